@@ -2,8 +2,10 @@
 
 Every 100-byte window is keyed by the least hash of the 24-byte strings in it, so equal
 windows have equal keys wherever they stand. Consecutive windows with one key form a
-piece (about 140 bytes). Pieces are pre-aggregated: of byte-equal pieces under one key
-only the earliest goes on, the others repeat it whole. Keys left with two or more
+piece (about 140 bytes). Pieces are pre-aggregated, within each batch of rows before they
+are shuffled and by key after it: of byte-equal pieces only the earliest goes on, the
+others repeat it whole. A key under which very many different pieces meet is dealt out
+again by single windows, pre-aggregated likewise. Keys left with two or more
 different pieces get suffix arrays: the bytes of their pieces are sorted in two stages
 (suffixes smaller than their successors directly, the others induced from them by a scan
 of the buckets), and windows whose adjacent common prefix reaches 100 bytes are equal; all
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textbytes import U64, Hasher, buffer_of, slices
+from .textbytes import U64, Hasher, buffer_of, mix, slices
 
 LENGTH = 100
 GRAM = 24
@@ -33,7 +35,10 @@ SPAN = LENGTH - GRAM + 1
 BUFFER = 2 << 20
 LAST = (1 << 63) - 1
 
-PIECE_SCHEMA = "loops boolean, key long, piece long, doc long, tie long, start long, len long"
+#: Different pieces under one key that are searched together; a key with more is dealt out by its windows.
+MOST_PIECES = 20_000
+
+PIECE_SCHEMA = "again boolean, loops boolean, key long, piece long, doc long, tie long, start long, len long"
 SPAN_SCHEMA = "doc long, tie long, start long, len long"
 FETCH_SCHEMA = "key long, doc long, tie long, start long, len long, body binary"
 
@@ -79,24 +84,55 @@ def pieces_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _pieces(docs: DataFrame) -> DataFrame:
-    """Pieces of all documents."""
+    """Pieces of all documents. ``again``: an equal piece stands earlier in the same batch of rows.
+
+    Such pieces are settled; they get a key of their own, so that a piece which many
+    documents share doesn't fill one partition.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = buffer_of(batch.column("text"))
             ids, ties = batch.column("doc").to_numpy(), batch.column("tie").to_numpy()
+            cols: list[list[np.ndarray]] = [[] for _ in range(7)]
             for i, j in slices(off, most_docs=1 << 30):
                 doc, start, length, key, content, loops = pieces_of(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                columns = (loops, key.view(np.int64), content.view(np.int64), ids[doc + i], ties[doc + i], start, length)
-                yield pa.record_batch(dict(zip(("loops", "key", "piece", "doc", "tie", "start", "len"), map(pa.array, columns), strict=True)))
+                for col, x in zip(cols, (loops, key, content, ids[doc + i], ties[doc + i], start, length), strict=True):
+                    col.append(x)
+            if not cols[0]:
+                continue
+            loops, key, content, doc, tie, start, length = map(np.concatenate, cols)
+            again = later_equals(content ^ key, doc, tie, start)
+            own = mix(doc.astype(np.uint64) ^ mix(tie.astype(np.uint64) + start.astype(np.uint64)))
+            key = np.where(again, own, key)
+            columns = (again, loops, key.view(np.int64), content.view(np.int64), doc, tie, start, length)
+            yield pa.record_batch(dict(zip(("again", "loops", "key", "piece", "doc", "tie", "start", "len"), map(pa.array, columns), strict=True)))
 
     return docs.mapInArrow(cut, PIECE_SCHEMA)
 
 
+def later_equals(content: np.ndarray, doc: np.ndarray, tie: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which of the strings with these hashes have an equal at an earlier place among them."""
+    order = np.argsort(content, kind="stable")
+    equal = content[order][1:] == content[order][:-1]
+    many = order[np.concatenate(([False], equal)) | np.concatenate((equal, [False]))]
+    order = many[np.lexsort((start[many], tie[many], doc[many], content[many]))]
+    out = np.zeros(len(content), bool)
+    if len(order) > 1:
+        a, b = order[:-1], order[1:]
+        same = content[a] == content[b]
+        # behind the first place of its run: rows that stand twice share that place
+        run = np.cumsum(np.concatenate(([True], ~same)))
+        first = order[np.flatnonzero(np.concatenate(([True], ~same)))][run - 1]
+        out[order] = (doc[first] != doc[order]) | (tie[first] != tie[order]) | (start[first] != start[order])
+    return out
+
+
 def _fetched(todo: DataFrame, docs: DataFrame) -> DataFrame:
     """Bytes of the wanted pieces (by key), and the merged spans of those known to repeat (no body)."""
-    wanted = todo.groupBy("doc", "tie").agg(F.collect_list(F.struct("whole", "key", "start", "len")).alias("parts"))
-    joined = docs.join(wanted, ["doc", "tie"]).dropDuplicates(["doc", "tie"]).select("doc", "tie", "text", "parts")
+    wanted = todo.groupBy("doc", "tie").agg(F.collect_list(F.struct("whole", "crowded", "key", "start", "len")).alias("parts"))
+    # All columns of the documents stay, so that their exchange serves the last join as well.
+    joined = docs.join(wanted, ["doc", "tie"])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,6 +145,9 @@ def _fetched(todo: DataFrame, docs: DataFrame) -> DataFrame:
             whole = flat.field("whole").to_numpy(zero_copy_only=False)
             start, length, key = (flat.field(x).to_numpy() for x in ("start", "len", "key"))
             ids, ties = batch.column("doc").to_numpy(), batch.column("tie").to_numpy()
+            crowded = flat.field("crowded").to_numpy(zero_copy_only=False) & ~whole
+            if crowded.any():
+                row, start, length, key, whole = dealt(data, off, ids, ties, row, start, length, key, whole, crowded)
             begin = off[:-1][row] + start
             bodies = [raw[b : b + n] for b, n in zip(begin[~whole].tolist(), length[~whole].tolist(), strict=True)]
             r, s, e = merged(row[whole], start[whole], start[whole] + length[whole])
@@ -127,6 +166,28 @@ def _fetched(todo: DataFrame, docs: DataFrame) -> DataFrame:
     return joined.mapInArrow(fetch, FETCH_SCHEMA)
 
 
+def dealt(data, off, ids, ties, row, start, length, key, whole, crowded) -> tuple[np.ndarray, ...]:
+    """Parts in which the pieces of crowded keys are replaced by their windows, each under a key of its own.
+
+    Of equal windows in the batch only the earliest is searched for, the others are known to repeat.
+    """
+    kept = ~crowded
+    many = length[crowded] - LENGTH + 1
+    r = np.repeat(row[crowded], many)
+    s = np.repeat(start[crowded], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    owners = np.unique(r)
+    sizes = off[owners + 1] - off[owners]
+    base = np.zeros(len(off) - 1, np.int64)
+    base[owners] = np.cumsum(sizes) - sizes
+    text = np.concatenate([data[off[k] : off[k + 1]] for k in owners.tolist()])
+    h = Hasher(text).spans(base[r] + s, base[r] + s + LENGTH)
+    again = later_equals(h, ids[r], ties[r], s)
+    return (
+        np.concatenate((row[kept], r)), np.concatenate((start[kept], s)), np.concatenate((length[kept], np.full(len(r), LENGTH))),
+        np.concatenate((key[kept], mix(h).view(np.int64))), np.concatenate((whole[kept], again)),
+    )
+
+
 def merged(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Union of the spans of each row: spans that overlap or touch become one."""
     if not len(row):
@@ -300,20 +361,22 @@ def _spans(fetched: DataFrame) -> DataFrame:
 
 def removed_spans(docs: DataFrame) -> DataFrame:
     """(doc, tie, start, len) of bytes to remove; spans of one document may overlap."""
-    found = _pieces(docs).repartition("key")
+    found = _pieces(docs.select("doc", "tie", "text")).repartition("key")
     equal = Window.partitionBy("key", "piece", "len").orderBy("doc", "tie", "start")
     alike = Window.partitionBy("key")
     ranked = found.withColumn("turn", F.rank().over(equal))
     ranked = ranked.withColumn("several", F.min("piece").over(alike) != F.max("piece").over(alike))
-    todo = ranked.withColumn("whole", F.col("turn") > 1).where("whole or several or loops")
-    return _spans(_fetched(todo.select("whole", "key", "doc", "tie", "start", "len"), docs))
+    ranked = ranked.withColumn("crowded", F.count_if(F.col("turn") == 1).over(alike) > MOST_PIECES)
+    todo = ranked.withColumn("whole", F.col("again") | (F.col("turn") > 1)).where("whole or several or loops")
+    return _spans(_fetched(todo.select("whole", "crowded", "key", "doc", "tie", "start", "len"), docs))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """One row per document: bytes, removed bytes and runs, and the hash of what is left."""
-    keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("tie"), "text")
+    own = F.col("doc_id").cast("long")
+    keyed = docs.select(own.alias("doc_id"), F.coalesce(own, F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("tie"), "text")
     parts = (
-        removed_spans(keyed.select("doc", "tie", "text"))
+        removed_spans(keyed)
         .groupBy("doc", "tie")
         .agg(F.collect_list(F.struct("start", "len")).alias("spans"))  # at most the windows of one document
     )
@@ -350,5 +413,5 @@ def dedup(docs: DataFrame) -> DataFrame:
                 }
             )
 
-    joined = keyed.join(parts, ["doc", "tie"], "left").select(F.col("doc_id").cast("long"), "text", "spans")
+    joined = keyed.join(parts, ["doc", "tie"], "left")
     return joined.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
