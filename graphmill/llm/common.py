@@ -2,53 +2,23 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import saved, shipped
+
 #: Words of a text, as a Java and RE2 regular expression.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-PACKAGE = Path(__file__).resolve().parents[1]
-
-
-def shipped(spark: SparkSession) -> None:
-    """Give Python workers this package, unless they find it by their path already."""
-    context = spark.sparkContext
-    found = {Path(x).resolve() for x in os.environ.get("PYTHONPATH", "").split(os.pathsep) if x}
-    if PACKAGE.parent in found or getattr(context, "_package_shipped", False):
-        return
-    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-package-')}/{PACKAGE.name}", "zip", PACKAGE.parent, PACKAGE.name)
-    context.addPyFile(archive)
-    context._package_shipped = True
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     shipped(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder of ``spark.checkpoint.dir``.
-
-    Only a session without that setting (tests on one machine) gets a temporary folder.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
-
-
-def hex_of(value: bytes) -> str:
-    return value.hex()
-
-
 def n_words(text) -> F.Column:
     """Number of words of a text column; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+__all__ = ["WORD", "n_words", "saved", "shipped", "table"]
