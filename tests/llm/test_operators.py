@@ -379,3 +379,60 @@ def test_span_hashes_agree():
     got = h.spans(np.array([0, 3, 7, 0]), np.array([3, 6, 10, 4]))
     assert got[0] == got[1] == got[2] != got[3]
     assert hashlib.sha256(b"").hexdigest() == brute.sha("")
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_suffix_dedup_of_crowded_keys(tables, monkeypatch, name):
+    monkeypatch.setattr(suffix_dedup, "MOST_PIECES", 1)
+    docs = tables[name][0]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.dedup(docs).collect()}
+    assert got == brute.suffix(pairs(docs))
+
+
+def test_suffix_dedup_nulls_and_repeats(spark):
+    a, b = "x" * 20 + "".join(map(str, range(60))), "".join(map(chr, range(300, 420)))
+    rows = [(None, a), (3, a), (3, a), (7, a + b), (7, b), (9, None), (None, None)]
+    got = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    n = len(a)
+    assert sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in got)[:2] == [(0, 0, 0), (0, n, n)]
+    assert [(r["n_bytes"], r["n_removed"]) for r in got if r["doc_id"] == 3] == [(n, 0)] * 2
+    seven = sorted((r["n_bytes"], r["n_removed"]) for r in got if r["doc_id"] == 7)
+    assert seven in ([(240, 0), (n + 240, n + 240)], [(240, 240), (n + 240, n)])
+
+
+def test_near_dups_of_a_cloud(spark):
+    rng = random.Random(8)
+    word = lambda: "w%d" % rng.randrange(10**6)
+    base = [word() for _ in range(150)]
+    texts = []
+    for _ in range(160):  # variants near the threshold to the base and to each other, some in small families
+        own = list(texts[rng.randrange(len(texts))]) if texts and rng.random() < 0.3 else list(base)
+        for _ in range(rng.randrange(1, 9)):
+            own[rng.randrange(150)] = word()
+        texts.append(own)
+    rows = [(1000 - k, " ".join(t)) for k, t in enumerate(texts)]
+    want = brute.near(rows)
+    assert len({c for _, c in want.values()}) > 5
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
+def test_pairs_around_a_centre_miss_none(spark):
+    rng = random.Random(9)
+    word = lambda: "w%d" % rng.randrange(10**6)
+    base = [word() for _ in range(100)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 90):
+        own = list(base) if k % 3 else rows[rng.randrange(len(rows))][1].split(" ")
+        for _ in range(rng.randrange(2, 8)):
+            own[rng.randrange(len(own))] = word()
+        rows.append((k, " ".join(own + [word() for _ in range(rng.randrange(9))])))
+    sets = {d: brute.shingles(t, 4) for d, t in rows}
+    alike = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    linked = {d for d in sets if d and alike(0, d)}
+    comp = {d: 0 if d in linked else d for d in sets if d}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    stars = spark.createDataFrame([(0, d, c) for d, c in comp.items()], "c long, x long, component long")
+    got = {(r["a"], r["b"]) for r in near_dups._pairs_around(stars, docs, 4, 80).collect()}
+    want = {(a, b) for a in comp for b in comp if a < b and comp[a] != comp[b] and alike(a, b)}
+    assert want and want <= got
