@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import render
 from ..model import Graph, nid, rid_of, rtid_of
 from ..operators import category, closure, dag, infer, search, setjoin, traverse, weights
 from ..session import saved
@@ -782,6 +783,26 @@ def _(g):
     return big(category.located(direct, [], up, up.where("false")))
 
 
+@query(
+    "edges_tsv",
+    " SELECT concat_ws(chr(9), rid1, rtid1, rid2, rtid2, pid) AS line FROM edges",
+)
+def _(g):
+    return render.tab_separated(search.scan(g))
+
+
+@query("relationships_xml")
+def _(g):
+    return render.relationships_xml(traverse.named(g, g.live_edges))
+
+
+@query("reconcile_json")
+def _(g):
+    names = g.nodes.where("rtid = 1").select(F.col("rid").alias("cat"), F.col("name").alias("category"))
+    terms = search.term_dictionary(g).join(categories_of(g), "rid").join(names, "cat").select("term", "rid", "category")
+    return render.reconcile_json(search.reconcile(terms, "brand#1"))
+
+
 def graph_of(spark: SparkSession, sf_dir: str) -> Graph:
     """The graph of a folder; nodes and edges are materialised once per session."""
     held = graph_of.__dict__.setdefault("held", {})

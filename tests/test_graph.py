@@ -267,3 +267,30 @@ def test_ids_and_text(spark):
     assert tuple(packed.select(rid_of("n"), rtid_of("n"), node_id(F.col("rid"), F.col("rtid"))).first()) == (77, 12, "77-12")
     assert like_escaped("5%_#") == "5#%#_##" and split_terms(r"a\;b;c;;\\") == ["a;b", "c", "\\"] and resource_types(9) == [1, 13]
     assert df.where(matches("q", "2 3")).count() == 1 and df.where(matches("q", "2", prefix=True)).count() == 0
+
+
+def test_api_and_rendering(spark, micro):
+    from graphmill import api
+    from graphmill.functions import render
+
+    got = api.execute(micro, "relations", kind="children", terms=["a"])
+    assert pairs(got, "rid1", "rid2") == {"BA", "CA", "EA"}
+    assert pairs(api.execute(micro, "relations", kind="all_subclasses", ids=[(4, 1)]), "rid1", "rid2") == {"ED", "FE"}
+    assert {r["rid"] for r in api.execute(micro, "siblings", terms=["B"]).collect()} == {3, 5}
+    assert {r["name"] for r in api.execute(micro, "concept", uris=["http://x#F"]).collect()} == {"F"}
+    assert {r["term"] for r in api.execute(micro, "keyword", text="", ancestors=["D"]).collect()} == {"D", "E", "F"}
+    assert api.execute(micro, "sql", statement="select * from graph_nodes where name = :n", n="A").count() == 1
+    assert api.execute(micro, "ontologies").count() == 3 and len(list(api.cursor(got))) == 3
+    for bad in ({"name": "nothing"}, {"name": "relations", "kind": "strange"}):
+        with pytest.raises(GraphError) as found:
+            api.execute(micro, **bad) if len(bad) == 1 else api.relations(micro, kind="strange")
+        assert render.error_envelope(found.value)["type"] in ("function", "argument")
+    xml = [r["xml"] for r in render.relationships_xml(got).collect()]
+    assert all(x.startswith("<relationship>") and '<object id="1-1">A</object>' in x for x in xml)
+    lines = render.tab_separated(spark.createDataFrame([(1, "a\tb\nc", None)], "a int, b string, c string")).first()["line"]
+    assert lines == "1\ta b c\t"
+    terms = search.term_dictionary(micro).withColumn("category", F.lit("x"))
+    text = render.reconcile_json(search.reconcile(terms, "a"), "f").first()["json"]
+    assert text.startswith('f({"result":[{"id":1,"term":"A"') and text.endswith("]})")
+    assert render.terms_xml(search.autocomplete(terms, "a")).first()["xml"].startswith("<term")
+    assert "<class" in render.classes_xml(search.concept_details(micro, api.DETAILS)).first()["xml"]
