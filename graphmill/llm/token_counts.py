@@ -1,10 +1,10 @@
 """Token counts of a unigram model by dynamic programming on a trie of pre-tokens.
 
-Distinct pre-tokens go into a trie; the best score of a prefix is computed once,
-when its node is made, from the scores of the shorter prefixes above it, and every
-later word with that prefix reuses it. The node where a word ends stores its token
-count. The trie lives as long as the task and starts afresh beyond ``MOST_NODES``,
-which bounds memory and changes no count.
+Distinct pre-tokens go into a trie; the best score of a prefix is computed once, at its
+node, from the scores of the shorter prefixes above it, and every word with that prefix
+shares it. The node where a word ends holds its token count, which the task remembers by
+the word's hash; the memory starts afresh beyond ``MOST_KNOWN`` words, which bounds it and
+changes no count.
 
 The vocabulary is a public one (``piece_bpe_32k.model``). Its pieces are ranked by
 merge order, so each gets the log probability of a Zipf law, ``-ln(rank + 2)``.
@@ -19,21 +19,21 @@ from __future__ import annotations
 
 import math
 import os
-import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textbytes import U64, Hasher, buffer_of, mix, slices, sums_by, words_of
+
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 MODEL = "piece_bpe_32k.model"
-MOST_NODES = 400_000
-#: Longer words are counted without nodes of their own.
-LONG = 2000
-WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+#: Words whose counts a task remembers, rows of a trie at once, and letters of words that share one with short words.
+MOST_KNOWN, ROWS, WIDE = 2_000_000, 20_000, 60
+FACTOR = U64(0x9E3779B97F4A7C15)
 MARK = "▁"
 
 SCHEMA = "doc_id long, n_words long, n_tokens long"
@@ -57,50 +57,75 @@ def vocabulary(path: str) -> tuple[dict[str, float], float]:
 
 
 class Trie:
-    """Forward scores and counts of prefixes; ``count(word)`` adds what is missing."""
+    """Forward scores of the prefixes of many words at once.
+
+    Sorted words lie side by side as rows of code points; a node is the first row with a
+    prefix, and later rows share its number. Scores are filled by depth, all nodes of a depth
+    together: each takes the best piece that ends there on top of its ancestor's score.
+    """
 
-    def __init__(self, pieces: dict[str, float], byte: float, most: int = MOST_NODES):
-        self.pieces, self.byte, self.most = pieces, byte, most
+    def __init__(self, pieces: dict[str, float], byte: float):
+        self.byte = byte
         self.longest = max(map(len, pieces), default=1)
+        names = sorted(pieces)
+        hashes = np.array([self._hash(np.array([list(map(ord, x))], np.uint64))[0] for x in names], np.uint64)
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        self.scores = np.array([pieces[x] for x in names])[order] if names else np.zeros(0)
         self.made = 0
-        self.clear()
-
-    def clear(self) -> None:
-        self.children: list[dict[str, int]] = [{}]
-        self.score, self.tokens = [0.0], [0]
-
-    def count(self, word: str) -> int:
-        if len(word) > LONG:
-            return Trie(self.pieces, self.byte)._grown(word)
-        if len(self.score) > self.most:
-            self.clear()
-        return self._grown(word)
-
-    def _grown(self, word: str) -> int:
-        """Tokens of the word, whose prefixes become nodes."""
-        node, path = 0, [0]
-        children, score, tokens = self.children, self.score, self.tokens
-        for depth, c in enumerate(word, 1):
-            below = children[node].get(c)
-            if below is None:
-                width = len(c.encode("utf-8", "surrogatepass"))
-                best, fewest = score[node] + self.byte * width, tokens[node] + width
-                for start in range(max(0, depth - self.longest), depth):
-                    own = self.pieces.get(word[start:depth])
-                    if own is not None:
-                        above = path[start]
-                        total = score[above] + own
-                        if total > best or total == best and tokens[above] + 1 < fewest:
-                            best, fewest = total, tokens[above] + 1
-                below = len(score)
-                children[node][c] = below
-                children.append({})
-                score.append(best)
-                tokens.append(fewest)
-                self.made += 1
-            node = below
-            path.append(node)
-        return tokens[node]
+
+    @staticmethod
+    def _hash(rows: np.ndarray) -> np.ndarray:
+        h = np.zeros(len(rows), np.uint64)
+        for k in range(rows.shape[1] - 1, -1, -1):
+            h = h * FACTOR + mix(rows[:, k])
+        return h
+
+    def count(self, words: list[str]) -> np.ndarray:
+        """Tokens of each word."""
+        out = np.zeros(len(words), np.int64)
+        order = sorted(range(len(words)), key=lambda k: (len(words[k]) > WIDE, words[k]))
+        for i in range(0, len(order), ROWS):
+            part = order[i : i + ROWS]
+            out[part] = self._counted([words[k] for k in part])
+        return out
+
+    def _counted(self, words: list[str]) -> np.ndarray:
+        length = np.array([len(w) for w in words])
+        wide = int(length.max(initial=0))
+        letters = np.zeros((len(words), wide), np.uint64)
+        letters[np.arange(wide) < length[:, None]] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        shared = np.zeros(len(words), np.int64)
+        if len(words) > 1:
+            same = (letters[1:] == letters[:-1]) & (np.arange(wide) < np.minimum(length[1:], length[:-1])[:, None])
+            shared[1:] = np.logical_and.accumulate(same, axis=1).sum(1)
+        depths = np.arange(1, wide + 1)
+        new = (depths > shared[:, None]) & (depths <= length[:, None])
+        node = np.zeros((len(words), wide + 1), np.int64)
+        node[:, 1:][new] = np.arange(1, new.sum() + 1)
+        node = np.maximum.accumulate(node, axis=0)  # a shared prefix is the node of the row above
+        score, tokens = np.zeros(new.sum() + 1), np.zeros(new.sum() + 1, np.int64)
+        self.made += int(new.sum())
+        for d in range(1, wide + 1):
+            rows = np.flatnonzero(new[:, d - 1])
+            last = letters[rows, d - 1]
+            width = 1 + (last >= 0x80).astype(np.int64) + (last >= 0x800) + (last >= 0x10000)
+            above = node[rows, d - 1]
+            best, fewest = score[above] + self.byte * width, tokens[above] + width
+            h = np.zeros(len(rows), np.uint64)
+            mixed = mix(letters[rows, max(0, d - self.longest) : d])
+            for size in range(1, min(d, self.longest) + 1):
+                h = mixed[:, -size] + h * FACTOR
+                at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+                hit = np.flatnonzero(self.hashes[at] == h) if len(self.hashes) else np.zeros(0, int)
+                if len(hit):
+                    up = node[rows[hit], d - size]
+                    total, count = score[up] + self.scores[at[hit]], tokens[up] + 1
+                    better = (total > best[hit]) | (total == best[hit]) & (count < fewest[hit])
+                    best[hit[better]], fewest[hit[better]] = total[better], count[better]
+            at = node[rows, d]
+            score[at], tokens[at] = best, fewest
+        return tokens[node[np.arange(len(words)), length]]
 
 
 def count_tokens(docs: DataFrame, tokenizers: str = TOKENIZERS, model: str = MODEL) -> DataFrame:
@@ -109,21 +134,27 @@ def count_tokens(docs: DataFrame, tokenizers: str = TOKENIZERS, model: str = MOD
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(*vocabulary(path))
+        known: dict[int, int] = {}
         for batch in batches:
-            known: dict[str, int] = {}
-            words, tokens = [], []
-            for text in batch.column("text").to_pylist():
-                found = Counter(WORDS.findall(text)) if text else {}
-                total = 0
-                for word, n in found.items():
-                    size = known.get(word)
-                    if size is None:
-                        size = known[word] = trie.count(MARK + word)
-                    total += n * size
-                words.append(sum(found.values()))
-                tokens.append(total)
-            yield pa.record_batch(
-                {"doc_id": batch.column("doc_id"), "n_words": pa.array(words, pa.int64()), "n_tokens": pa.array(tokens, pa.int64())}
-            )
+            data, off = buffer_of(batch.column("text"))
+            for i, j in slices(off):
+                part, cut = data[off[i] : off[j]], off[i : j + 1] - off[i]
+                start, end, doc = words_of(part, cut)
+                single, first, inverse = np.unique(Hasher(part).spans(start, end), return_index=True, return_inverse=True)
+                if len(known) > MOST_KNOWN:
+                    known.clear()
+                raw, keys = part.tobytes(), single.tolist()
+                fresh = [k for k, h in enumerate(keys) if h not in known]
+                words = [MARK + raw[start[f] : end[f]].decode("utf-8", "replace") for f in first[fresh].tolist()]
+                known.update(zip((keys[k] for k in fresh), trie.count(words).tolist(), strict=True))
+                sizes = np.array([known[h] for h in keys], np.int64)
+                total = np.bincount(doc, weights=sizes[inverse], minlength=j - i) if len(keys) else np.zeros(j - i)
+                yield pa.record_batch(
+                    {
+                        "doc_id": batch.column("doc_id").slice(i, j - i),
+                        "n_words": pa.array(sums_by(doc, j - i)),
+                        "n_tokens": pa.array(total.astype(np.int64)),
+                    }
+                )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tally, SCHEMA)

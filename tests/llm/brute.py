@@ -111,3 +111,16 @@ def contaminated(docs, items):
                     hit |= set(range(p, p + n))
         out[d] = (len(w), len(hit), len(found), sha(",".join(sorted(map(str, found)))), bool(hit) and 20 * len(hit) >= len(w))
     return out
+
+
+def unigram(word, pieces, byte):
+    """Fewest tokens of the best-scored segmentation, over all ends and starts."""
+    best = [(0.0, 0)]
+    for end in range(1, len(word) + 1):
+        width = len(word[end - 1].encode())
+        ways = [(best[end - 1][0] + byte * width, best[end - 1][1] + width)]
+        for start in range(max(0, end - 20), end):
+            if word[start:end] in pieces:
+                ways.append((best[start][0] + pieces[word[start:end]], best[start][1] + 1))
+        best.append(min(ways, key=lambda x: (-x[0], x[1])))
+    return best[-1][1]
