@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 U64 = np.uint64
 #: Slices of a batch: bounded scratch memory, and few enough documents that a
 #: slice-local document number fits beside 54 bits of hash.
-SLICE_BYTES, SLICE_DOCS, HASH_BITS = 4 << 20, 1024, 54
+SLICE_BYTES, SLICE_DOCS, HASH_BITS = 1 << 20, 1024, 54
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -37,7 +37,9 @@ def buffer_of(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     """Bytes and offsets (one more than texts) of a string column; null reads as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks() if texts.num_chunks != 1 else texts.chunk(0)
-    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    if texts.null_count:
+        texts = pc.fill_null(texts, "" if pa.types.is_string(texts.type) or pa.types.is_large_string(texts.type) else b"")
+    texts = texts.cast(pa.large_binary())
     if not len(texts):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = texts.buffers()
