@@ -6,9 +6,10 @@ and i + 1, and a bin keeps its least value; after as many rounds as bins, round
 puts every shingle into bin j, so that every coordinate is filled. Documents that agree
 on all rows of a band share a bucket. Equal sets are one representative throughout.
 
-Links within buckets are found without all pairs: every member meets the bucket's least
-member, connected components follow, and only members that are then still in different
-components of one bucket meet each other. Candidate pairs that the sketch bounds below
+Links within buckets are found without all pairs: every member first meets the least of
+its buckets' least members, then those of them that connected components still keep
+apart. Members of one bucket that are then still in different components meet only if
+they share enough of what tells them from the bucket's least member. Candidate pairs that the sketch bounds below
 the threshold (by more than six standard errors) are dropped, all others are verified on
 their full sets. Components come from hooking to the least neighbour and contraction.
 
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved
@@ -34,6 +35,8 @@ SLOTS = BANDS * ROWS
 PERCENT, WIDTH = 80, 4
 #: Least share of equal 8-bit coordinates of a pair that is verified: 0.8 less 6.4 standard errors.
 LEAST_AGREE = int(SLOTS * 0.66)
+#: Candidate pairs whose ids are broadcast to pick their texts; beyond it the texts are shuffled.
+MOST_BROADCAST = 500_000
 
 SKETCH_SCHEMA = "doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>, marks binary"
 _SEEDS = mix(np.arange(1, 2 * SLOTS + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))
@@ -128,24 +131,88 @@ def _promising(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return near.select("a", "b", "marks_a", "marks_b").mapInArrow(compare, "a long, b long")
 
 
+def _with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs with both texts."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if pairs.count() <= MOST_BROADCAST:  # few enough ids: the other texts needn't move
+        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        docs = docs.join(F.broadcast(ids), "doc_id", "left_semi")
+    text = lambda x: docs.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")).where(f"{x} is not null")
+    return pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
+
+
+def _sets_of(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs [i, j) of pairs with the keyed sets of their two texts."""
+    (left, l_off), (right, r_off) = (buffer_of(batch.column(f"text_{x}")) for x in "ab")
+    for i, j in slices(l_off + r_off):
+        sets = [shingle_sets(LOWER[data[off[i] : off[j]]], off[i : j + 1] - off[i], width) for data, off in ((left, l_off), (right, r_off))]
+        yield i, j, *sets
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
-    text = lambda x: docs.select(F.col("doc_id").cast("long").alias(x), F.col("text").alias(f"text_{x}")).where(f"{x} is not null")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (left, l_off), (right, r_off) = (buffer_of(batch.column(f"text_{x}")) for x in "ab")
             good = np.zeros(batch.num_rows, bool)
-            for i, j in slices(l_off + r_off):
-                sets = []
-                for data, off in ((left, l_off), (right, r_off)):
-                    sets.append(shingle_sets(LOWER[data[off[i] : off[j]]], off[i : j + 1] - off[i], width))
+            for i, j, *sets in _sets_of(batch, width):
                 sizes = [sums_by((s >> U64(HASH_BITS)).astype(np.int64), j - i) for s in (*sets, distinct(np.concatenate(sets)))]
                 shared = sizes[0] + sizes[1] - sizes[2]
                 good[i:j] = (100 * shared >= percent * sizes[2]) & (sizes[2] > 0)
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    return pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long")
+    return _with_texts(pairs, docs).mapInArrow(confirm, "a long, b long")
+
+
+def _differences(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(a, b, n, diff): size of b's set, and the shingles that only one of a and b has."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, left, right in _sets_of(batch, width):
+                both = np.sort(np.concatenate((left, right)))
+                twice = both[1:] == both[:-1]
+                single = both[~(np.concatenate((twice, [False])) | np.concatenate(([False], twice)))] if len(both) else both
+                doc = (single >> U64(HASH_BITS)).astype(np.int64)
+                ends = np.concatenate(([0], np.cumsum(sums_by(doc, j - i)))).astype(np.int32)
+                h = (single & U64((1 << HASH_BITS) - 1)).astype(np.int64)
+                yield pa.record_batch(
+                    {
+                        "a": batch.column("a").slice(i, j - i),
+                        "b": batch.column("b").slice(i, j - i),
+                        "n": pa.array(sums_by((right >> U64(HASH_BITS)).astype(np.int64), j - i)),
+                        "diff": pa.ListArray.from_arrays(pa.array(ends), pa.array(h)),
+                    }
+                )
+
+    return _with_texts(pairs, docs).mapInArrow(compare, "a long, b long, n long, diff array<long>")
+
+
+def _pairs_around(stars: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of members (c, x, component) of the same centre c, of different components, that may be similar.
+
+    With D the shingles by which a member differs from the centre, and sizes n, two members
+    are similar just if their D share at least ((u D_x - v n_x) + (u D_y - v n_y)) / 2u shingles,
+    where u = 100 + percent and v = 100 - percent; that is one at least unless both are similar to
+    the centre, which has linked them. So the members' differences are joined on prefixes of
+    their rarest shingles, with positions bounding the overlap: members that differ from the
+    centre each in its own way never meet.
+    """
+    u, v = 100 + percent, 100 - percent
+    diff = saved(_differences(stars.select(F.col("c").alias("a"), F.col("x").alias("b")), docs, width).toDF("c", "x", "n", "diff"))
+    heads = diff.select("c", "x", F.size("diff").alias("d"), (u * F.size("diff") - v * F.col("n")).alias("w")).join(stars, ["c", "x"])
+    lightest = heads.groupBy("c").agg(F.min("w").alias("least_w"))
+    shared = F.greatest(F.lit(1), F.ceil((F.col("w") + F.col("least_w")) / (2 * u)))
+    heads = heads.join(lightest, "c").withColumn("keep", F.col("d") - shared + 1)
+    items = diff.select("c", "x", F.explode("diff").alias("e"))
+    often = items.groupBy("c", "e").agg(F.count("*").alias("often"))
+    place = F.row_number().over(Window.partitionBy("c", "x").orderBy("often", "e"))  # within one document's set
+    ranked = items.join(often, ["c", "e"]).withColumn("i", place).where("often > 1")
+    prefix = ranked.join(heads, ["c", "x"]).where("i <= keep").select("c", "e", "x", "i", "d", "w", "component")
+    left, right = prefix.toDF("c", "e", "a", "ia", "da", "wa", "ca"), prefix.toDF("c", "e", "b", "ib", "db", "wb", "cb")
+    enough = F.expr(f"{2 * u} * (1 + least(da - ia, db - ib)) >= wa + wb")
+    met = left.join(right, (left["c"] == right["c"]) & (left["e"] == right["e"]) & F.expr("a < b and ca <> cb") & enough)
+    return met.select("a", "b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -176,22 +243,31 @@ def links(docs: DataFrame, rows: DataFrame, width: int = WIDTH, percent: int = P
         .agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("marks").alias("marks"))
         .select("rep", "n_shingles", "bands", "marks")
     )
+    confirmed = lambda pairs: saved(_verified(saved(_promising(pairs, reps, percent)), docs, width, percent))
     members = reps.select("rep", F.explode("bands").alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("bucket", "least")
     shared = saved(members.join(buckets, "bucket"))
-    stars = shared.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
-    found = saved(_verified(_promising(stars, reps, percent), docs, width, percent))
+    first = shared.where("rep <> least").groupBy(F.col("rep").alias("b")).agg(F.min("least").alias("a"))
+    found = confirmed(first.select("a", "b"))
     label = components(found)
+    # A member's other centres matter only where its component differs from theirs.
+    of = lambda x: label.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
+    stars = shared.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = stars.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
+    more = confirmed(stars.join(first, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        found = found.union(more)
+        label = components(found)
     labelled = shared.join(label, shared["rep"] == label["node"], "left").select(
         "bucket", "rep", "least", F.coalesce("component", "rep").alias("component")
     )
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    rest = saved(labelled.join(mixed, "bucket"))
-    left = rest.select("bucket", F.col("rep").alias("a"), F.col("component").alias("ca"), "least")
-    right = rest.select("bucket", F.col("rep").alias("b"), F.col("component").alias("cb"))
-    pairs = left.join(right, "bucket").where("ca < cb and a <> least and b <> least")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = saved(_verified(_promising(pairs, reps, percent), docs, width, percent))
+    stars = labelled.join(mixed, "bucket").where("rep <> least").select(F.col("least").alias("c"), F.col("rep").alias("x"), "component").distinct()
+    several = stars.groupBy("c").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("c")
+    stars = saved(stars.join(several, "c"))
+    if stars.isEmpty():
+        return label
+    more = confirmed(_pairs_around(stars, docs, width, percent))
     return components(found.union(more)) if not more.isEmpty() else label
 
 
