@@ -103,17 +103,19 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
         .select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "tries")
     )
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash"))
-    tried = docs.select(*key, "text").join(per_doc, same).select("doc_id", "text_hash", words("text").alias("words"), "tries")
-    exact = lambda t, p: F.slice("words", t["shift"] + p + 1, t["len"]) == F.slice(t["item_words"], p + 1, t["len"])
-    found = F.flatten(
+    tried = docs.select(*key, "text").join(per_doc, same)
+    exact = lambda w, t, p: F.slice(w, t["shift"] + p + 1, t["len"]) == F.slice(t["item_words"], p + 1, t["len"])
+    verified = lambda w: F.flatten(
         F.transform(
             "tries",
             lambda t: F.transform(
-                F.filter(t["ps"], lambda p: exact(t, p)),
+                F.filter(t["ps"], lambda p: exact(w, t, p)),
                 lambda p: F.struct(t["item_id"].alias("item_id"), (t["shift"] + p).alias("start"), t["len"].alias("len")),
             ),
         )
     )
+    # The words are bound to a lambda's variable: inlined, they would be split again for every window.
+    found = F.flatten(F.transform(F.array(words("text")), verified))
     return tried.select("doc_id", "text_hash", found.alias("found")).where(F.size("found") > 0).dropDuplicates(["doc_id", "text_hash"])
 
 
