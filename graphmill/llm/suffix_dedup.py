@@ -32,7 +32,7 @@ LENGTH = 100
 GRAM = 24
 SPAN = LENGTH - GRAM + 1
 #: Bytes of pieces that one suffix array takes together; a key's pieces stay together.
-BUFFER = 2 << 20
+BUFFER = 1 << 20
 LAST = (1 << 63) - 1
 
 #: Different pieces under one key that are searched together; a key with more is dealt out by its windows.
@@ -95,7 +95,7 @@ def _pieces(docs: DataFrame) -> DataFrame:
             data, off = buffer_of(batch.column("text"))
             ids, ties = batch.column("doc").to_numpy(), batch.column("tie").to_numpy()
             cols: list[list[np.ndarray]] = [[] for _ in range(7)]
-            for i, j in slices(off, most_docs=1 << 30):
+            for i, j in slices(off, most_bytes=1 << 20, most_docs=1 << 30):
                 doc, start, length, key, content, loops = pieces_of(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 for col, x in zip(cols, (loops, key, content, ids[doc + i], ties[doc + i], start, length), strict=True):
                     col.append(x)
