@@ -18,8 +18,8 @@ from .operators import dag, search, traverse
 
 #: Literal properties of each part of a concept's details (fixed values).
 DETAILS = {
-    "definitions": ["definition", "externallySourcedDefinition", "birnlexDefinition", "IAO_0000115"],
-    "comments": ["comment", "birnlexComment", "curatorNote"],
+    "definitions": ["definition", "externallySourcedDefinition", "IAO_0000115"],
+    "comments": ["comment", "curatorNote"],
     "synonyms": ["synonym", "hasExactSynonym", "hasRelatedSynonym", "altLabel", "abbrev", "acronym"],
 }
 
