@@ -139,7 +139,10 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, rounds: int = 120) -> Model | None:
-    """Fit and calibrate on at most ``fit_rows`` labelled documents; None without both labels."""
+    """Fit and calibrate on at most ``fit_rows`` labelled documents; None without both labels.
+
+    One task fits on the sample, whose rows the parameter bounds; the driver gets the weights.
+    """
     rank = F.xxhash64(F.lit("quality"), "doc_id")
     picked = (
         labels.where("doc_id is not null and quality is not null")
@@ -150,10 +153,22 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, rounds: in
     )
     # At most fit_rows rows of two numbers: a proven bound, so they may be broadcast.
     sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    rows = sample.mapInArrow(_rows, "doc_id long, label int, feature array<int>, value array<float>").toArrow()
+    rows = sample.mapInArrow(_rows, "doc_id long, label int, feature array<int>, value array<float>")
+
+    def learn(table: pa.Table) -> pa.Table:
+        model = _fitted(table.sort_by("doc_id").slice(0, fit_rows), rounds)
+        if model is None:
+            return pa.table({"weights": pa.array([], pa.binary())} | {c: pa.array([], pa.float64()) for c in ("bias", "scale", "shift")})
+        numbers = {c: [getattr(model, c)] for c in ("bias", "scale", "shift")}
+        return pa.table({"weights": pa.array([model.weights.tobytes()], pa.binary())} | numbers)
+
+    found = rows.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(learn, "weights binary, bias double, scale double, shift double").collect()
+    return Model(np.frombuffer(bytes(found[0]["weights"]), np.float32), *found[0][1:]) if found else None
+
+
+def _fitted(rows: pa.Table, rounds: int) -> Model | None:
     if rows.num_rows < 10:
         return None
-    rows = rows.sort_by("doc_id").slice(0, fit_rows)
     label = rows.column("label").to_numpy().astype(float)
     if len(np.unique(label)) < 2:
         return None
