@@ -11,8 +11,15 @@ from ..session import saved, shipped
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows in an Arrow batch at most: texts are long, and a worker holds a batch or two at once.
+BATCH_ROWS = 2000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     shipped(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
