@@ -25,7 +25,7 @@ from .textbytes import LOWER, U64, Hasher, buffer_of, keyed, slices, sums_by, wi
 
 BITS = 16
 FAMILIES = 3
-#: Rows that the classifier is fitted on at most: the bound of what reaches the driver.
+#: Rows that the classifier is fitted on at most.
 FIT_ROWS = 2000
 #: Documents whose calibrated probability of good quality is lower are rejected.
 THRESHOLD = 0.5
