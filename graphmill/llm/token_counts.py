@@ -85,8 +85,10 @@ class Trie:
         """Tokens of each word."""
         out = np.zeros(len(words), np.int64)
         order = sorted(range(len(words)), key=lambda k: (len(words[k]) > WIDE, words[k]))
-        for i in range(0, len(order), ROWS):
-            part = order[i : i + ROWS]
+        short = sum(len(w) <= WIDE for w in words)
+        # Longer words stand alone: a row is as wide as the longest word beside it.
+        runs = [order[i : min(i + ROWS, short)] for i in range(0, short, ROWS)] + [[k] for k in order[short:]]
+        for part in runs:
             out[part] = self._counted([words[k] for k in part])
         return out
 
