@@ -7,6 +7,9 @@
 3. Blocks: each source's documents stand in a shuffled order (by MD5 of the id), their
    words cut into equal blocks, the whole sequence twice over. The slot of rank k takes
    block k of its source.
+4. Amounts: every source's sequence is cut at its rounded target, within a block too and at
+   one word at least. The SQL of the registered query counts whole slots instead (``exact``
+   false): a source then misses its target by some blocks, and one below a block may get none.
 
 Ranks and word offsets come from two-level prefix sums (per bucket, then within), so no
 window ever holds a whole source. Defined results: a null text has size 0; null sources are
@@ -121,31 +124,39 @@ def pieces(rows: DataFrame, slots: DataFrame, block: int = BLOCK) -> DataFrame:
     return cut.join(slots.select("src", "k", "slot"), ["src", "k"], "left")
 
 
-def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def exact_turns(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``turns``: per time that the sequence meets the document, where it starts and how many of its words are taken."""
+    quota = F.when(F.col("target") > 0, F.greatest(F.round("target"), F.lit(1.0))).otherwise(0).cast("long")
+    start = lambda t: F.col("first") + F.col("source_size") * t
+    words = lambda t: F.least("size", F.col("quota") - start(t))
+    turns = F.array(*(F.struct(start(t).alias("a"), words(t).alias("words")) for t in range(MOST_TIMES)))
+    return rows.withColumn("quota", quota).withColumn("turns", F.filter(turns, lambda x: x["words"] > 0))
+
+
+def mix(docs: DataFrame, block: int = BLOCK, exact: bool = True) -> DataFrame:
     """Per document: its size, its source's size and target, and the words that the mix takes of it."""
     sizes = sized(docs)
     goal = targets(sizes)
+    if exact:
+        took = F.aggregate("turns", F.lit(0).cast("long"), lambda n, x: n + x["words"])
+        return exact_turns(placed(sizes, goal)).select("doc_id", "size", "source_size", "target", took.alias("taken"))
     found = pieces(placed(sizes, goal), schedule(goal, block), block)
     took = F.sum(F.when(F.col("slot").isNotNull(), F.col("to_word") - F.col("from_word")).otherwise(0))
     keys = ["src", "bucket", "rn", "doc_id", "size", "source_size", "target"]
     return found.groupBy(*keys).agg(took.cast("long").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself, with the columns of the documents: a row for each time that a document is taken.
 
-    A document that the last block of its source cuts keeps the taken words, joined by one space.
+    The document in which its source's target ends keeps the taken words, joined by one space.
     """
     sizes = sized(docs)
-    goal = targets(sizes)
-    found = pieces(placed(sizes, goal), schedule(goal, block), block).where("slot is not null")
-    keys = ["src", "bucket", "rn", "doc_id", "source", "size"]
-    turns = found.groupBy(*keys, "turn").agg(F.min("from_word").alias("from_word"), F.max("to_word").alias("to_word"))
     # Rows that share id, source and size are told apart by their place among their like.
     place = lambda *order: F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(*order))
-    rows = turns.groupBy(*keys).agg(F.collect_list(F.struct("turn", "from_word", "to_word")).alias("_turns"))
+    rows = exact_turns(placed(sizes, targets(sizes))).where(F.size("turns") > 0)
     rows = rows.withColumn("_like", place("src", "bucket", "rn")).select(
-        F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("size").alias("_words"), "_like", "_turns"
+        F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("size").alias("_words"), "_like", F.col("turns.words").alias("_turns")
     )
     full = docs.withColumn("_size", n_words("text"))
     full = full.withColumn("_like", F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy("text")))
@@ -153,9 +164,9 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_source"))
         & (F.col("_size") == F.col("_words")) & (full["_like"] == rows["_like"])
     )
-    taken = full.join(rows, same).withColumn("_turn", F.explode("_turns"))
-    words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.col("_turn.from_word") + 1, F.col("_turn.to_word") - F.col("_turn.from_word")), " ")
-    part = (F.col("_turn.from_word") > 0) | (F.col("_turn.to_word") < F.col("_size"))
+    taken = full.join(rows, same).withColumn("_taken", F.explode("_turns"))
+    words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("_taken").cast("int")), " ")
+    part = F.col("_taken") < F.col("_size")
     text: Column = F.when(part, words).otherwise(F.col("text"))
     out = {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
     return taken.select(*(out[c].alias(c) if c in out else F.col(c) for c in docs.columns))

@@ -332,6 +332,17 @@ def test_mixing(tables, name):
     assert words == {r["doc_id"]: r["taken"] for r in got if r["taken"]}
 
 
+def test_mixing_small_sources(spark):
+    sizes = [10000] + [20 + 6 * k for k in range(30)]
+    rows = [(100 * k + j, f"s{k:02}", " ".join(["w"] * n)) for k, size in enumerate(sizes) for j, n in enumerate((size - size // 3, size // 3))]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    for table in (docs, docs.where("doc_id = 100")):
+        got = table.select("doc_id", "source").join(mixing.mix(table), "doc_id").groupBy("source").agg({"target": "max", "taken": "sum"}).collect()
+        assert all(abs(r["sum(taken)"] - r["max(target)"]) <= 0.5 for r in got)
+        mixed = mixing.mixed_documents(table).selectExpr("source", "size(split(text, ' ')) as n").groupBy("source").sum("n").collect()
+        assert {r["source"]: r["sum(n)"] for r in mixed} == {r["source"]: r["sum(taken)"] for r in got}
+
+
 def test_html_text():
     page = (
         "<!DOCTYPE html><html><head><title>T</title><script>if(a<b){'</p>'}</script></head><body><header><h1>Site</h1></header>"
