@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from .closure import longest_depth
 #: Weight of an edge of which nothing is known, and the free constant of the formula (fixed values).
 DEFAULT_WEIGHT, ALPHA = 0.0001, 0.0
 RESTART, ROUNDS, BUDGET, PATH_LENGTH = 0.6, 80, 40, 10
+#: Targets of a center-piece subgraph that the driver reads at once.
+TARGETS = 64
 
 
 def tree_depths(trees: dict[str, DataFrame]) -> DataFrame:
@@ -91,59 +94,68 @@ def joint_scores(scores: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def center_piece(
-    weighted: DataFrame, queries: DataFrame, budget: int = BUDGET, path_length: int = PATH_LENGTH, rounds: int = ROUNDS, candidates: int = 2000
+    weighted: DataFrame, queries: DataFrame, budget: int = BUDGET, path_length: int = PATH_LENGTH, rounds: int = ROUNDS
 ) -> DataFrame:
     """(src, pid, dst, weight) of a small connected subgraph that best links the query nodes.
 
-    Scores of all nodes come from distributed walks. Key paths are then taken greedily on the
-    ``candidates`` best nodes, so what the driver holds is bounded by that parameter: the best
-    node not yet taken is linked with every query node by the path of adjacent nodes with the
-    largest sum of scores per new node, until ``budget`` nodes are taken.
+    Scores of all nodes come from distributed walks. Key paths are then taken greedily, each
+    searched over all edges: the best node not yet tried is linked with every query node by
+    the path of adjacent nodes with the largest sum of scores per new node, until ``budget``
+    nodes are taken. The driver holds the taken nodes and the next ``TARGETS`` targets.
     """
     scores = saved(joint_scores(random_walks(transition(weighted), queries, rounds=rounds), queries))
     sources = sorted(r["node"] for r in queries.select("node").distinct().collect())
-    top = scores.orderBy(F.desc("score"), "node").limit(candidates)
-    value = {r["node"]: r["score"] for r in top.collect()}
-    value |= {s: value.get(s, 0.0) for s in sources}
-    inside = weighted.sparkSession.createDataFrame([(n,) for n in sorted(value)], "n long")
-    local = weighted.join(inside.toDF("src"), "src", "left_semi").join(inside.toDF("dst"), "dst", "left_semi")
-    near: dict[int, set[int]] = {n: set() for n in value}
-    for r in local.select("src", "dst").distinct().collect():
-        near[r["src"]].add(r["dst"])
-        near[r["dst"]].add(r["src"])
-    taken, tried = set(sources), set(sources)
-    while len(taken) < budget + len(sources):
-        left = sorted((n for n in value if n not in tried), key=lambda n: (-value[n], n))
-        if not left:
+    value = {s: 0.0 for s in sources} | {r["node"]: r["score"] for r in scores.where(F.col("node").isin(sources)).collect()}
+    both = weighted.select("src", "dst").union(weighted.select("dst", "src")).where("src <> dst").distinct()
+    # A node that a query node misses scores 0, and may still lie on a path.
+    steps = saved(both.join(scores.toDF("dst", "value"), "dst", "left").select("src", "dst", F.coalesce("value", F.lit(0.0)).alias("value")))
+    taken = set(sources)
+    for target, score in _targets(scores, sources):
+        if len(taken) >= budget + len(sources):
             break
-        target = left[0]
-        tried.add(target)
         for s in sources:
-            taken.update(_key_path(near, value, taken, s, target, path_length) or ())
+            taken.update(_key_path(steps, taken, s, value[s], target, score, path_length) or ())
     chosen = weighted.sparkSession.createDataFrame([(n,) for n in sorted(taken)], "n long")
     return weighted.join(chosen.toDF("src"), "src", "left_semi").join(chosen.toDF("dst"), "dst", "left_semi").select("src", "pid", "dst", "weight")
 
 
-def _key_path(near: dict[int, set[int]], value: dict[int, float], taken: set[int], source: int, target: int, most: int) -> list[int] | None:
-    """The path from source to target, through nodes of rising closeness to the target's score order, with the most score per new node."""
-    rank = {n: k for k, n in enumerate(sorted(value, key=lambda n: (value[n], n)))}
-    best: dict[tuple[int, int], tuple[float, list[int]]] = {(source, 0): (value[source], [source])}
-    frontier = {(source, 0)}
+def _targets(scores: DataFrame, sources: list[int]) -> Iterator[tuple[int, float]]:
+    """All scored nodes but the query nodes, with their scores, best first."""
+    left = scores.where(~F.col("node").isin(sources))
+    last = F.lit(True)
+    while found := left.where(last).orderBy(F.desc("score"), "node").limit(TARGETS).collect():
+        yield from ((r["node"], r["score"]) for r in found)
+        node, score = found[-1]["node"], found[-1]["score"]
+        last = (F.col("score") < score) | ((F.col("score") == score) & (F.col("node") > node))
+
+
+def _key_path(steps: DataFrame, taken: set[int], source: int, value: float, target: int, score: float, most: int) -> list[int] | None:
+    """The path from source to target, through nodes of rising closeness to the target's score order, with the most score per new node.
+
+    Each round takes the states (node, new nodes) that the last one improved over the edges
+    (src, dst, value of dst); a state keeps its largest sum, and of equal ones the first found.
+    """
+    known = F.col("dst").isin(sorted(taken))
+    allowed = steps.where(known | (F.col("value") < score) | ((F.col("value") == score) & (F.col("dst") <= target)))
+    allowed = allowed.select("src", "dst", F.col("value").alias("gain"), F.when(known, 0).otherwise(1).alias("fresh"))
+    spark = steps.sparkSession
+    state = spark.createDataFrame([(source, 0, -value, True, source, 0, [source])], "node long, new int, cost double, moved boolean, via long, via_new int, path array<long>")
     for _ in range(most):
-        following: set[tuple[int, int]] = set()
-        for node, new in sorted(frontier):
-            total, path = best[(node, new)]
-            for other in sorted(near[node]):
-                if other in path or rank[other] > rank[target] and other not in taken:
-                    continue
-                key = (other, new + (other not in taken))
-                found = total + value[other]
-                if key not in best or found > best[key][0]:
-                    best[key] = (found, [*path, other])
-                    following.add(key)
-        frontier = following
-    ends = [(t / max(new, 1), -len(p), p) for (node, new), (t, p) in best.items() if node == target]
-    return max(ends, key=lambda x: (x[0], x[1]))[2] if ends else None
+        reached = (
+            state.where("moved")
+            .join(allowed, F.col("node") == F.col("src"))
+            .where(~F.array_contains("path", F.col("dst")))
+            .select(
+                F.col("dst").alias("node"), (F.col("new") + F.col("fresh")).alias("new"), (F.col("cost") - F.col("gain")).alias("cost"),
+                F.lit(True).alias("moved"), F.col("node").alias("via"), F.col("new").alias("via_new"), F.concat("path", F.array("dst")).alias("path"),
+            )
+        )
+        best = F.min(F.struct("cost", "moved", "via", "via_new", "path")).alias("best")
+        state = saved(state.withColumn("moved", F.lit(False)).unionByName(reached).groupBy("node", "new").agg(best).select("node", "new", "best.*"))
+        if state.where("moved").isEmpty():
+            break
+    ends = [(-r["cost"] / max(r["new"], 1), -len(r["path"]), -r["new"], list(r["path"])) for r in state.where(F.col("node") == target).collect()]
+    return max(ends)[3] if ends else None
 
 
 def ranked(scores: DataFrame, k: int) -> DataFrame:

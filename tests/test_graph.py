@@ -186,6 +186,15 @@ def test_walk_scores(spark):
     assert {(r["src"], r["dst"]) for r in piece.collect()} == {(1, 2), (2, 3)}
 
 
+def test_center_piece_through_low_scores(spark):
+    # Node 3 is the only way between the query nodes, and 2,200 leaves have larger scores.
+    rows = [(1, 1, 3, 1e-9), (3, 1, 2, 1e-9)] + [(k % 2 + 1, 1, 10 + k, 1.0) for k in range(2200)]
+    weighted = spark.createDataFrame(rows, "src long, pid long, dst long, weight double")
+    queries = spark.createDataFrame([(1,), (2,)], "node long")
+    piece = weights.center_piece(weighted, queries, budget=1, rounds=4)
+    assert {(1, 3), (3, 2)} < {(r["src"], r["dst"]) for r in piece.collect()}
+
+
 def test_searches(spark):
     g = make(spark, [(1, 1, 5, 100, 13), (2, 1, 6, 101, 13)], {"Cerebellum": 1, "cerebral 50%": 2, "Brain": 3}, ["little brain", "Cere_label"])
     assert [r["name"] for r in search.search_names(g, "Cere", prefix=True).collect()] == ["Cerebellum", "cerebral 50%"]
