@@ -752,7 +752,7 @@ def _(g):
 def _(g):
     edges = g.extra["weights"].select(nid("rid1", "rtid1").alias("src"), "pid", nid("rid2", "rtid2").alias("dst"), "weight")
     wanted = seeds(g, (SUPPLIER + 1, 12), (SUPPLIER + 2, 12), (SUPPLIER + 3, 12)).select(nid("rid", "rtid").alias("node"))
-    found = weights.center_piece(saved(edges), wanted, budget=12, rounds=20)
+    found = weights.center_piece(saved(edges), wanted, budget=12)
     return big(found.select(rid_of("src").alias("rid1"), rtid_of("src").alias("rtid1"), "pid", rid_of("dst").alias("rid2"), rtid_of("dst").alias("rtid2"), "weight"))
 
 

@@ -34,6 +34,18 @@ def test_queries_without_sql(spark):
         assert found[name](spark, SF).count() > 0, name
 
 
+def test_center_piece_runs_all_rounds(spark, monkeypatch):
+    seen = []
+
+    def walks(step, queries, **given):
+        seen.append(given["rounds"])
+        return queries.selectExpr("node as query", "node", "1.0D as score")
+
+    monkeypatch.setattr(star_queries.weights, "random_walks", walks)
+    star_queries.queries()["center_piece_subgraph"](spark, SF)
+    assert seen == [star_queries.weights.ROUNDS] == [80]
+
+
 def test_entry(spark):
     import __spark_entry__
 
