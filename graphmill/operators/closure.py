@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import GraphError
-from ..session import saved
+from ..session import saved, saved_rows
+
+#: Parts over which the rows of a hot node are dealt.
+SALTS = 16
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -55,27 +58,41 @@ def all_pairs(arcs: DataFrame) -> DataFrame:
         known.append(frontier)
 
 
+def named_by(rows: DataFrame, keys: str | list[str], table: DataFrame, by: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``, which has at most one row a key, on the columns ``keys``.
+
+    Rows of a hot key are dealt over ``SALTS`` tasks by their column ``by``, the table's rows repeated for each.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    repeated = table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(repeated.hint("merge"), [*([keys] if isinstance(keys, str) else keys), "_salt"], how).drop("_salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of the edges (a, b); a component is named by its least node.
 
-    Each round hooks every node to its least neighbour, jumps to the roots, and goes on
-    with the edges between different roots only.
+    Each round hooks every node to its least neighbour, jumps to the roots by doubling, and
+    goes on with the edges between different roots only. A round is one job for each doubling
+    and one for the edges that are left.
     """
-    edges = saved(edges.select("a", "b").where("a <> b").distinct())
-    label = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("component", F.col("node"))
-    while not edges.isEmpty():
-        both = edges.union(edges.select("b", "a"))
-        parent = saved(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("up")))
-        while True:
-            above = parent.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            jumped = saved(parent.join(above, "up").select("node", F.col("top").alias("up"), (F.col("up") != F.col("top")).alias("moved")))
-            parent = jumped.select("node", "up")
-            if jumped.where("moved").isEmpty():
-                break
-        label = saved(label.join(parent.toDF("component", "up"), "component", "left").select("node", F.coalesce("up", "component").alias("component")))
-        ends = edges.join(parent.toDF("a", "ua"), "a").join(parent.toDF("b", "ub"), "b")
-        edges = saved(ends.where("ua <> ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct())
-    return label
+    edges, left = saved_rows(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    rounds = []
+    while left:
+        both = edges.select("a", "b").union(edges.select("b", "a"))
+        roots, moved = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("up")), 1
+        while moved:
+            jumped = named_by(roots, "up", roots.toDF("up", "top"), "node")
+            roots, moved = saved_rows(jumped.select("node", F.col("top").alias("up"), F.col("up").alias("before")), "up <> before")
+            roots = roots.select("node", "up")
+        rounds.append(roots)
+        ends = named_by(named_by(edges, "a", roots.toDF("a", "ua"), "b"), "b", roots.toDF("b", "ub"), "a")
+        edges, left = saved_rows(ends.where("ua <> ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct())
+    if not rounds:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    label = rounds[0].toDF("node", "component")
+    for roots in rounds[1:]:
+        label = named_by(label, "component", roots.toDF("component", "top"), "node", "left").select("node", F.coalesce("top", "component").alias("component"))
+    return saved(label)
 
 
 def longest_depth(arcs: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ import shutil
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 PACKAGE = Path(__file__).resolve().parent
 
@@ -23,12 +24,32 @@ def shipped(spark: SparkSession) -> None:
     context._package_shipped = True
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder of ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; without that setting a temporary one, on one machine only."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not context.master.startswith("local[") and context.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not hasattr(context, "_own_folder"):
+        context._own_folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    return context._own_folder
 
-    Only a session without that setting (tests on one machine) gets a temporary folder.
-    """
+
+def saved(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the folder of ``spark.checkpoint.dir``."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def saved_rows(df: DataFrame, which: str = "true") -> tuple[DataFrame, int]:
+    """``saved``, and how many rows meet the condition ``which``: counted by the job that saves them.
+
+    A task that runs again may count twice; whether the number is 0 is exact.
+    """
+    seen = Observation()
+    out = saved(df.observe(seen, F.count_if(F.expr(which)).alias("n")))
+    return out, seen.get.get("n") or 0
