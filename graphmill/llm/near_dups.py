@@ -9,12 +9,14 @@ on all rows of a band share a bucket. Equal sets are one representative througho
 Links within buckets are found without all pairs: every member first meets the least of
 its buckets' least members, then those of them that connected components still keep
 apart. Members of one bucket that are then still in different components meet only if
-they share enough of what tells them from the bucket's least member. Candidate pairs that the sketch bounds below
-the threshold (by more than six standard errors) are dropped, all others are verified on
-their full sets. Components come from hooking to the least neighbour and contraction.
+they share enough of what tells them from the bucket's least member. All candidate pairs
+are verified on their full sets: a text and those to be held against it stream through a
+task side by side, at most some ``RUN`` of them, so that no group of copies lands in one
+task. Components come from hooking to the least neighbour and contraction.
 
 Defined results: a null or empty text has an empty set and is linked with nothing; rows
-that share a doc_id are one node; a row without doc_id has no component and is kept.
+that share a doc_id are one node, whatever their texts; a row without doc_id has no
+component and is kept.
 """
 
 from __future__ import annotations
@@ -26,19 +28,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.closure import components, named_by
+from ..session import saved_rows
 from .common import saved
-from .textbytes import HASH_BITS, LOWER, U64, buffer_of, distinct, mix, shingle_sets, slices, sums_by
+from .textbytes import HASH_BITS, LOWER, U64, buffer_of, mix, shingle_sets, slices, sums_by
 
 BANDS, ROWS = 48, 7
 SLOTS = BANDS * ROWS
 #: Similarity in hundredths, and words in a shingle.
 PERCENT, WIDTH = 80, 4
-#: Least share of equal 8-bit coordinates of a pair that is verified: 0.8 less 6.4 standard errors.
-LEAST_AGREE = int(SLOTS * 0.66)
-#: Candidate pairs whose ids are broadcast to pick their texts; beyond it the texts are shuffled.
-MOST_BROADCAST = 500_000
-
-SKETCH_SCHEMA = "doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>, marks binary"
+#: Candidate pairs whose ids are broadcast to pick their texts (8 bytes each); beyond it the texts are shuffled.
+MOST_BROADCAST = 250_000
+#: Texts that are held against one other in a task, about.
+RUN = 2000
+#: Members of a group that meet its rows in one task, about.
+MEET = 256
+
+SKETCH_SCHEMA = "doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>"
 _SEEDS = mix(np.arange(1, 2 * SLOTS + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))
 _EMPTY = U64(0xFFFFFFFFFFFFFFFF)
 
@@ -82,7 +88,7 @@ def band_hashes(table: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.n
 
 
 def sketched(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Per row: set size, a 128-bit hash of the set, bucket of each band, and 8 bits of each coordinate."""
+    """Per row: set size, a 128-bit hash of the set, and bucket of each band."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,7 +107,6 @@ def sketched(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                         whole[k, doc[first]] = mix(np.add.reduceat(mix(h ^ _SEEDS[k + 7]), first))
                 ends = np.concatenate(([0], np.cumsum(np.where(many > 0, BANDS, 0)))).astype(np.int32)
                 filled = many > 0
-                marks = (table & U64(0xFF)).astype(np.uint8)
                 yield pa.record_batch(
                     {
                         "doc_id": batch.column("doc_id").slice(i, n),
@@ -109,86 +114,104 @@ def sketched(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                         "set_hi": pa.array(whole[0].view(np.int64)),
                         "set_lo": pa.array(whole[1].view(np.int64)),
                         "bands": pa.ListArray.from_arrays(pa.array(ends), pa.array(band_hashes(table[filled]).reshape(-1).view(np.int64))),
-                        "marks": pa.array([m.tobytes() for m in marks], pa.binary()),
                     }
                 )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(read, SKETCH_SCHEMA)
 
 
-def _promising(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and sketches allow the similarity."""
-    own = lambda x: reps.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("marks").alias(f"marks_{x}"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = (np.frombuffer(buffer_of(batch.column(f"marks_{x}"))[0], np.uint8).reshape(-1, SLOTS) for x in "ab")
-            agree = (left == right).sum(1) >= LEAST_AGREE
-            yield batch.select(["a", "b"]).filter(pa.array(agree))
-
-    sized = pairs.join(own("a"), "a").join(own("b"), "b")
-    near = sized.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    return near.select("a", "b", "marks_a", "marks_b").mapInArrow(compare, "a long, b long")
-
+def _beside(pairs: DataFrame, n_pairs: int, docs: DataFrame) -> DataFrame:
+    """Texts of the pairs (a, b), sorted within partitions: one row for a (role 0), then a row for each b (role 1).
 
-def _with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs with both texts."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    if pairs.count() <= MOST_BROADCAST:  # few enough ids: the other texts needn't move
+    The b's of one a are dealt into ``part``s of about ``RUN``; the text of a goes to each.
+    """
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / RUN).alias("parts"))
+    members = named_by(pairs, "a", sizes, "b")
+    part = F.pmod(F.xxhash64("b"), "parts")
+    member_ids = members.select(F.col("b").alias("doc_id"), "a", part.alias("part"), F.lit(1).alias("role"))
+    heads = sizes.select(F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    wanted = heads.withColumn("role", F.lit(0)).union(member_ids)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    if n_pairs <= MOST_BROADCAST:  # few enough ids: the other texts needn't move
         ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        docs = docs.join(F.broadcast(ids), "doc_id", "left_semi")
-    text = lambda x: docs.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")).where(f"{x} is not null")
-    return pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
-
-
-def _sets_of(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs [i, j) of pairs with the keyed sets of their two texts."""
-    (left, l_off), (right, r_off) = (buffer_of(batch.column(f"text_{x}")) for x in "ab")
-    for i, j in slices(l_off + r_off):
-        sets = [shingle_sets(LOWER[data[off[i] : off[j]]], off[i : j + 1] - off[i], width) for data, off in ((left, l_off), (right, r_off))]
-        yield i, j, *sets
-
+        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
+    # Rows that repeat an id and its text collapse before they are shuffled.
+    texts = texts.groupBy("doc_id").agg(F.collect_set("text").alias("texts"))
+    joined = texts.join(wanted.hint("merge"), "doc_id").select("a", "part", "role", F.col("doc_id").alias("b"), F.explode("texts").alias("text"))
+    return joined.repartition("a", "part").sortWithinPartitions("a", "part", "role", "b", "text")
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
-
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = np.zeros(batch.num_rows, bool)
-            for i, j, *sets in _sets_of(batch, width):
-                sizes = [sums_by((s >> U64(HASH_BITS)).astype(np.int64), j - i) for s in (*sets, distinct(np.concatenate(sets)))]
-                shared = sizes[0] + sizes[1] - sizes[2]
-                good[i:j] = (100 * shared >= percent * sizes[2]) & (sizes[2] > 0)
-            yield batch.select(["a", "b"]).filter(pa.array(good))
-
-    return _with_texts(pairs, docs).mapInArrow(confirm, "a long, b long")
 
+def _streamed(beside: DataFrame, width: int, compare, schema: str) -> DataFrame:
+    """``compare(a, sets of a, b's, their shingles, document of each)`` for every run of ``_beside`` rows."""
 
-def _differences(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """(a, b, n, diff): size of b's set, and the shingles that only one of a and b has."""
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, heads = None, []
         for batch in batches:
-            for i, j, left, right in _sets_of(batch, width):
-                both = np.sort(np.concatenate((left, right)))
-                twice = both[1:] == both[:-1]
-                single = both[~(np.concatenate((twice, [False])) | np.concatenate(([False], twice)))] if len(both) else both
-                doc = (single >> U64(HASH_BITS)).astype(np.int64)
-                ends = np.concatenate(([0], np.cumsum(sums_by(doc, j - i)))).astype(np.int32)
-                h = (single & U64((1 << HASH_BITS) - 1)).astype(np.int64)
-                yield pa.record_batch(
-                    {
-                        "a": batch.column("a").slice(i, j - i),
-                        "b": batch.column("b").slice(i, j - i),
-                        "n": pa.array(sums_by((right >> U64(HASH_BITS)).astype(np.int64), j - i)),
-                        "diff": pa.ListArray.from_arrays(pa.array(ends), pa.array(h)),
-                    }
-                )
-
-    return _with_texts(pairs, docs).mapInArrow(compare, "a long, b long, n long, diff array<long>")
-
-
-def _pairs_around(stars: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+            data, off = buffer_of(batch.column("text"))
+            a, part, role, b = (batch.column(x).to_numpy() for x in ("a", "part", "role", "b"))
+            for i, j in slices(off):
+                sets = shingle_sets(LOWER[data[off[i] : off[j]]], off[i : j + 1] - off[i], width)
+                doc, h = (sets >> U64(HASH_BITS)).astype(np.int64), sets & U64((1 << HASH_BITS) - 1)
+                upto = np.searchsorted(doc, np.arange(j - i + 1))
+                edges = np.flatnonzero((a[i + 1 : j] != a[i : j - 1]) | (part[i + 1 : j] != part[i : j - 1]) | (role[i + 1 : j] != role[i : j - 1])) + 1
+                for p, q in zip([0, *edges.tolist()], [*edges.tolist(), j - i], strict=True):
+                    if key != (a[i + p], part[i + p]):
+                        key, heads = (a[i + p], part[i + p]), []
+                    if role[i + p] == 0:
+                        for k in range(p, q):
+                            if not any(np.array_equal(h[upto[k] : upto[k + 1]], x) for x in heads):
+                                heads.append(h[upto[k] : upto[k + 1]])
+                    elif heads:
+                        yield compare(key[0], heads, b[i + p : i + q], h[upto[p] : upto[q]], doc[upto[p] : upto[q]] - p)
+
+    return beside.mapInArrow(read, schema)
+
+
+def _found(head: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of the shingles the sorted set ``head`` holds."""
+    if not len(head):
+        return np.zeros(len(h), bool)
+    return head[np.minimum(np.searchsorted(head, h), len(head) - 1)] == h
+
+
+def _verified(pairs: DataFrame, n_pairs: int, docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, int]:
+    """The pairs whose full sets are similar enough, and their number."""
+
+    def confirm(a, heads, b, h, doc) -> pa.RecordBatch:
+        size, good = sums_by(doc, len(b)), np.zeros(len(b), bool)
+        for head in heads:
+            shared = sums_by(doc[_found(head, h)], len(b))
+            both = size + len(head) - shared
+            good |= (100 * shared >= percent * both) & (both > 0)
+        return pa.record_batch({"a": pa.array(np.full(good.sum(), a)), "b": pa.array(b[good])})
+
+    return saved_rows(_streamed(_beside(pairs, n_pairs, docs), width, confirm, "a long, b long").distinct())
+
+
+def _differences(stars: DataFrame, n_stars: int, docs: DataFrame, width: int) -> DataFrame:
+    """(c, x, v, n, diff): size of each set v of x, and the shingles that only one of the centre c and x has."""
+
+    def compare(a, heads, b, h, doc) -> pa.RecordBatch:
+        head = heads[0]  # any one set serves as the origin, if it is the same for all
+        upto = np.searchsorted(doc, np.arange(len(b) + 1))
+        sets = [h[upto[k] : upto[k + 1]] for k in range(len(b))]
+        diff = [np.setxor1d(head, x, assume_unique=True) for x in sets]
+        ends = np.cumsum([0, *map(len, diff)]).astype(np.int32)
+        return pa.record_batch(
+            {
+                "c": pa.array(np.full(len(b), a)),
+                "x": pa.array(b),
+                "v": pa.array([int(mix(x).sum(dtype=np.uint64).view(np.int64)) if len(x) else 0 for x in sets], pa.int64()),
+                "n": pa.array(np.diff(upto).astype(np.int64)),
+                "diff": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(diff).view(np.int64))),
+            }
+        )
+
+    pairs = stars.select(F.col("c").alias("a"), F.col("x").alias("b"))
+    return saved(_streamed(_beside(pairs, n_stars, docs), width, compare, "c long, x long, v long, n long, diff array<long>"))
+
+
+def _pairs_around(stars: DataFrame, n_stars: int, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (a, b) of members (c, x, component) of the same centre c, of different components, that may be similar.
 
     With D the shingles by which a member differs from the centre, and sizes n, two members
@@ -196,96 +219,103 @@ def _pairs_around(stars: DataFrame, docs: DataFrame, width: int, percent: int) -
     where u = 100 + percent and v = 100 - percent; that is one at least unless both are similar to
     the centre, which has linked them. So the members' differences are joined on prefixes of
     their rarest shingles, with positions bounding the overlap: members that differ from the
-    centre each in its own way never meet.
+    centre each in its own way never meet. Rows of a hot centre or shingle are dealt by member.
     """
     u, v = 100 + percent, 100 - percent
-    diff = saved(_differences(stars.select(F.col("c").alias("a"), F.col("x").alias("b")), docs, width).toDF("c", "x", "n", "diff"))
-    heads = diff.select("c", "x", F.size("diff").alias("d"), (u * F.size("diff") - v * F.col("n")).alias("w")).join(stars, ["c", "x"])
-    lightest = heads.groupBy("c").agg(F.min("w").alias("least_w"))
+    diff = _differences(stars, n_stars, docs, width)
+    heads = diff.select("c", "x", "v", F.size("diff").alias("d"), (u * F.size("diff") - v * F.col("n")).alias("w"))
+    heads = heads.join(stars.hint("merge"), ["c", "x"])
+    heads = named_by(heads, "c", heads.groupBy("c").agg(F.min("w").alias("least_w")), "x")
     shared = F.greatest(F.lit(1), F.ceil((F.col("w") + F.col("least_w")) / (2 * u)))
-    heads = heads.join(lightest, "c").withColumn("keep", F.col("d") - shared + 1)
-    items = diff.select("c", "x", F.explode("diff").alias("e"))
-    often = items.groupBy("c", "e").agg(F.count("*").alias("often"))
-    place = F.row_number().over(Window.partitionBy("c", "x").orderBy("often", "e"))  # within one document's set
-    ranked = items.join(often, ["c", "e"]).withColumn("i", place).where("often > 1")
-    prefix = ranked.join(heads, ["c", "x"]).where("i <= keep").select("c", "e", "x", "i", "d", "w", "component")
-    left, right = prefix.toDF("c", "e", "a", "ia", "da", "wa", "ca"), prefix.toDF("c", "e", "b", "ib", "db", "wb", "cb")
-    enough = F.expr(f"{2 * u} * (1 + least(da - ia, db - ib)) >= wa + wb")
-    met = left.join(right, (left["c"] == right["c"]) & (left["e"] == right["e"]) & F.expr("a < b and ca <> cb") & enough)
-    return met.select("a", "b").distinct()
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node of the edges (a, b); a component is named by its least node."""
-    edges = saved(edges.select("a", "b").where("a <> b").distinct())
-    label = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("component", F.col("node"))
-    while not edges.isEmpty():
-        both = edges.union(edges.select("b", "a"))
-        parent = saved(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("up")))
-        while True:
-            above = parent.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            jumped = saved(parent.join(above, "up").select("node", F.col("top").alias("up"), (F.col("up") != F.col("top")).alias("moved")))
-            parent = jumped.select("node", "up")
-            if jumped.where("moved").isEmpty():
-                break
-        up = parent.select(F.col("node").alias("component"), "up")
-        label = saved(label.join(up, "component", "left").select("node", F.coalesce("up", "component").alias("component")))
-        ends = edges.join(parent.toDF("a", "ua"), "a").join(parent.toDF("b", "ub"), "b")
-        edges = saved(ends.where("ua <> ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct())
-    return label
+    heads = heads.withColumn("keep", F.col("d") - shared + 1)
+    # How often each shingle tells a member from the centre: counted per salt, then over the salts.
+    items = diff.select("c", "x", "v", F.explode("diff").alias("e"), F.pmod(F.xxhash64("x"), F.lit(32)).alias("salt"))
+    some = items.groupBy("c", "e", "salt").agg(F.count("*").alias("many"))
+    often = some.groupBy("c", "e").agg(F.sum("many").alias("often"), F.collect_set("salt").alias("salts")).where("often > 1")
+    counted = items.join(often.select("c", "e", "often", F.explode("salts").alias("salt")).hint("merge"), ["c", "e", "salt"])
+    place = F.row_number().over(Window.partitionBy("c", "x", "v").orderBy(F.col("often").desc(), F.col("e").desc()))  # within one set
+    # The prefix counts all shingles of the difference; those that no other member has stand first and meet none.
+    ranked = counted.withColumn("from_end", place).join(heads.hint("merge"), ["c", "x", "v"]).withColumn("i", F.col("d") - F.col("from_end") + 1)
+    prefix = ranked.where("i <= keep").withColumn("parts", F.least(F.ceil(F.col("often") / MEET), F.lit(1024)))
+    left = prefix.select("c", "e", F.pmod(F.xxhash64("x"), "parts").alias("part"), *(F.col(k).alias(f"{k}a") for k in ("x", "i", "d", "w", "component")))
+    right = prefix.select(
+        "c", "e", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), *(F.col(k).alias(f"{k}b") for k in ("x", "i", "d", "w", "component"))
+    )
+    enough = f"{2 * u} * (1 + least(da - ia, db - ib)) >= wa + wb"
+    met = left.join(right.hint("merge"), ["c", "e", "part"]).where(f"xa < xb and componenta <> componentb and {enough}")
+    return met.select(F.col("xa").alias("a"), F.col("xb").alias("b")).distinct()
 
 
-def links(docs: DataFrame, rows: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(node, component) of the representatives with a link; ``rows`` are the saved ``sketched`` documents."""
-    named = rows.where("doc_id is not null and n_shingles > 0")
-    reps = saved(
-        named.groupBy("set_hi", "set_lo", "n_shingles")
-        .agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("marks").alias("marks"))
-        .select("rep", "n_shingles", "bands", "marks")
-    )
-    confirmed = lambda pairs: saved(_verified(saved(_promising(pairs, reps, percent)), docs, width, percent))
+def _joined(label: DataFrame, found: DataFrame) -> DataFrame:
+    """``label`` (node, component) after more links (a, b): the components of its components."""
+    ends = _labelled(_labelled(found, "a", label, "b"), "b", label, "a")
+    merged = components(ends.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))).toDF("component", "top")
+    old = named_by(label, "component", merged, "node", "left").select("node", F.coalesce("top", "component").alias("component"))
+    new = merged.toDF("node", "component").join(label.select("node").hint("merge"), "node", "left_anti")
+    return saved(old.union(new))
+
+
+def _labelled(rows: DataFrame, x: str, label: DataFrame, by: str) -> DataFrame:
+    """``rows`` with ``of_x``: the component of the node in column x, null for one without a link."""
+    return named_by(rows, x, label.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")), by, "left")
+
+
+def links(docs: DataFrame, reps: DataFrame, owned: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(node, component) of the sets with a link, by their least doc_id ``rep``; ``owned`` tells the sets of each doc_id."""
+    if percent < PERCENT:
+        raise ValueError(f"the bands are set for similarities of {PERCENT} percent or more")
     members = reps.select("rep", F.explode("bands").alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("bucket", "least")
-    shared = saved(members.join(buckets, "bucket"))
-    first = shared.where("rep <> least").groupBy(F.col("rep").alias("b")).agg(F.min("least").alias("a"))
-    found = confirmed(first.select("a", "b"))
-    label = components(found)
+    shared = saved(members.join(buckets.hint("merge"), "bucket").where("rep <> least"))
+    first, n_first = saved_rows(shared.groupBy(F.col("rep").alias("b")).agg(F.min("least").alias("a")).select("a", "b"))
+    # An id that stands in several sets links them.
+    others = owned.where("rep <> doc_id").groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"))
+    own = others.join(reps.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
+    same_id = others.where("lo < hi").select(F.col("lo").alias("a"), F.col("hi").alias("b")).union(own.select("lo", "doc_id"))
+    found, _ = _verified(first, n_first, docs, width, percent)
+    label = components(found.union(same_id))
     # A member's other centres matter only where its component differs from theirs.
-    of = lambda x: label.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
-    stars = shared.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = stars.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
-    more = confirmed(stars.join(first, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        found = found.union(more)
-        label = components(found)
-    labelled = shared.join(label, shared["rep"] == label["node"], "left").select(
-        "bucket", "rep", "least", F.coalesce("component", "rep").alias("component")
-    )
+    stars = shared.select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
+    apart = _labelled(_labelled(stars, "a", label, "b"), "b", label, "a").where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
+    apart, n_apart = saved_rows(apart.join(first.hint("merge"), ["a", "b"], "left_anti"))
+    if n_apart:
+        found, n_found = _verified(apart, n_apart, docs, width, percent)
+        label = _joined(label, found) if n_found else label
+    labelled = _labelled(shared, "rep", label, "bucket").select("bucket", "rep", "least", F.coalesce("of_rep", "rep").alias("component"))
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    stars = labelled.join(mixed, "bucket").where("rep <> least").select(F.col("least").alias("c"), F.col("rep").alias("x"), "component").distinct()
-    several = stars.groupBy("c").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("c")
-    stars = saved(stars.join(several, "c"))
-    if stars.isEmpty():
-        return label
-    more = confirmed(_pairs_around(stars, docs, width, percent))
-    return components(found.union(more)) if not more.isEmpty() else label
+    around = named_by(labelled, "bucket", mixed, "rep").select(F.col("least").alias("c"), F.col("rep").alias("x"), "component").distinct()
+    around, n_around = saved_rows(around)
+    if n_around:
+        met, n_met = saved_rows(_pairs_around(around, n_around, docs, width, percent))
+        if n_met:
+            found, n_found = _verified(met, n_met, docs, width, percent)
+            label = _joined(label, found) if n_found else label
+    return label
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row per document: set size, component and whether it is its component's least document."""
     rows = saved(sketched(docs, width))
-    label = links(docs, rows, width, percent)
     same_set = ["set_hi", "set_lo", "n_shingles"]
-    reps = rows.where("doc_id is not null and n_shingles > 0").groupBy(*same_set).agg(F.min("doc_id").alias("rep"))
-    named = reps.join(label, F.col("rep") == F.col("node"), "left").select(*same_set, F.coalesce("component", "rep").alias("of_set"))
-    out = rows.select("doc_id", *same_set).join(named, same_set, "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("of_set", "doc_id"))
-    return out.select(
+    named = rows.where("doc_id is not null and n_shingles > 0")
+    reps = saved(named.groupBy(*same_set).agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")))
+    owned = saved(named_by(rows.drop("bands"), same_set, reps.drop("bands"), "doc_id", "left").select("doc_id", "n_shingles", "rep"))
+    label = links(docs, reps, owned.where("doc_id is not null and rep is not null"), width, percent)
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("of_rep", "rep", "doc_id"))
+    return _labelled(owned, "rep", label, "doc_id").select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
     )
 
 
 def deduplicated(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, the one with the least doc_id, with its own columns."""
-    gone = near_duplicates(docs, width, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each component, the one with the least doc_id, with its own columns.
+
+    Of rows that share that doc_id one stays, the one with the least text; rows without doc_id stay.
+    """
+    rows = near_duplicates(docs, width, percent).where("doc_id is not null")
+    verdict = saved(rows.groupBy("doc_id").agg(F.bool_and("kept").alias("_kept"), F.count("*").alias("_rows")).where("not _kept or _rows > 1"))
+    own, flagged = F.struct(*(docs[c] for c in docs.columns)).alias("row"), verdict.select(F.col("doc_id").alias("id"), "_kept")
+    carried = docs.select(own, docs["doc_id"].cast("long").alias("id"))
+    once = carried.join(flagged, "id", "left_anti")
+    again = carried.join(flagged.where("_kept"), "id").groupBy("id").agg(F.min_by("row", F.struct("row.text")).alias("row")).select("id", "row")
+    return once.union(again).select(*(F.col("row")[c].alias(c) for c in docs.columns))

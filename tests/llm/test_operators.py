@@ -440,6 +440,6 @@ def test_pairs_around_a_centre_miss_none(spark):
     comp = {d: 0 if d in linked else d for d in sets if d}
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     stars = spark.createDataFrame([(0, d, c) for d, c in comp.items()], "c long, x long, component long")
-    got = {(r["a"], r["b"]) for r in near_dups._pairs_around(stars, docs, 4, 80).collect()}
+    got = {(r["a"], r["b"]) for r in near_dups._pairs_around(stars, stars.count(), docs, 4, 80).collect()}
     want = {(a, b) for a in comp for b in comp if a < b and comp[a] != comp[b] and alike(a, b)}
     assert want and want <= got
