@@ -2,14 +2,18 @@
 
 Every 100-byte window is keyed by the least hash of the 24-byte strings in it, so equal
 windows have equal keys wherever they stand. Consecutive windows with one key form a
-piece (about 140 bytes). Pieces are pre-aggregated, within each batch of rows before they
-are shuffled and by key after it: of byte-equal pieces only the earliest goes on, the
-others repeat it whole. A key under which very many different pieces meet is dealt out
-again by single windows, pre-aggregated likewise. Keys left with two or more
-different pieces get suffix arrays: the bytes of their pieces are sorted in two stages
-(suffixes smaller than their successors directly, the others induced from them by a scan
-of the buckets), and windows whose adjacent common prefix reaches 100 bytes are equal; all
-but the earliest are removed.
+piece (about 140 bytes). Pieces are pre-aggregated by length and hash: within each batch of
+rows, where their bytes are compared, and by key after the shuffle. Keys with two or more
+pieces get suffix arrays: the bytes of their pieces are sorted in two stages (suffixes
+smaller than their successors directly, the others induced from them by a scan of the
+buckets), and windows whose adjacent common prefix reaches 100 bytes are equal; all but the
+earliest are removed. Of the pieces with one hash the two earliest are searched, so that the
+bytes of a representative are compared; only the third and later ones repeat it whole on the
+word of their 64-bit hash, length and key.
+
+A key under which very many different pieces meet is dealt out again by single windows, which
+are pre-aggregated by their bytes within each batch, then within salts of their hash, and meet
+in one task only as one row a salt.
 
 Order of documents: by doc_id, a missing one last; rows that share an id by the hash of
 their text. Rows that share id and text are one document and get equal results. A null
@@ -37,10 +41,11 @@ LAST = (1 << 63) - 1
 
 #: Different pieces under one key that are searched together; a key with more is dealt out by its windows.
 MOST_PIECES = 20_000
+#: Parts over which the equal windows of a crowded key are dealt before they meet.
+SALTS = 64
 
 PIECE_SCHEMA = "again boolean, loops boolean, key long, piece long, doc long, tie long, start long, len long"
-SPAN_SCHEMA = "doc long, tie long, start long, len long"
-FETCH_SCHEMA = "key long, doc long, tie long, start long, len long, body binary"
+FETCH_SCHEMA = "key long, salt long, doc long, tie long, start long, len long, body binary"
 
 
 def window_keys(grams: np.ndarray) -> np.ndarray:
@@ -94,15 +99,16 @@ def _pieces(docs: DataFrame) -> DataFrame:
         for batch in batches:
             data, off = buffer_of(batch.column("text"))
             ids, ties = batch.column("doc").to_numpy(), batch.column("tie").to_numpy()
-            cols: list[list[np.ndarray]] = [[] for _ in range(7)]
+            cols: list[list[np.ndarray]] = [[] for _ in range(6)]
             for i, j in slices(off, most_bytes=1 << 20, most_docs=1 << 30):
                 doc, start, length, key, content, loops = pieces_of(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                for col, x in zip(cols, (loops, key, content, ids[doc + i], ties[doc + i], start, length), strict=True):
+                for col, x in zip(cols, (loops, key, content, doc + i, start, length), strict=True):
                     col.append(x)
-            if not cols[0]:
+            if not any(map(len, cols[0])):
                 continue
-            loops, key, content, doc, tie, start, length = map(np.concatenate, cols)
-            again = later_equals(content ^ key, doc, tie, start)
+            loops, key, content, row, start, length = map(np.concatenate, cols)
+            doc, tie = ids[row], ties[row]
+            again = later_equals(content ^ key, doc, tie, start, data, off[:-1][row] + start, length)
             own = mix(doc.astype(np.uint64) ^ mix(tie.astype(np.uint64) + start.astype(np.uint64)))
             key = np.where(again, own, key)
             columns = (again, loops, key.view(np.int64), content.view(np.int64), doc, tie, start, length)
@@ -111,20 +117,24 @@ def _pieces(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(cut, PIECE_SCHEMA)
 
 
-def later_equals(content: np.ndarray, doc: np.ndarray, tie: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Which of the strings with these hashes have an equal at an earlier place among them."""
+def later_equals(content, doc, tie, start, data, begin, length) -> np.ndarray:
+    """Which of the strings have an equal, by hash and by bytes, at the earliest place of their hash among them."""
+    out = np.zeros(len(content), bool)
+    if len(content) < 2:
+        return out
     order = np.argsort(content, kind="stable")
     equal = content[order][1:] == content[order][:-1]
     many = order[np.concatenate(([False], equal)) | np.concatenate((equal, [False]))]
     order = many[np.lexsort((start[many], tie[many], doc[many], content[many]))]
-    out = np.zeros(len(content), bool)
     if len(order) > 1:
-        a, b = order[:-1], order[1:]
-        same = content[a] == content[b]
+        same = content[order][1:] == content[order][:-1]
         # behind the first place of its run: rows that stand twice share that place
         run = np.cumsum(np.concatenate(([True], ~same)))
         first = order[np.flatnonzero(np.concatenate(([True], ~same)))][run - 1]
-        out[order] = (doc[first] != doc[order]) | (tie[first] != tie[order]) | (start[first] != start[order])
+        later = (doc[first] != doc[order]) | (tie[first] != tie[order]) | (start[first] != start[order])
+        raw = data.tobytes()
+        places = zip(begin[first[later]].tolist(), begin[order[later]].tolist(), length[first[later]].tolist(), length[order[later]].tolist(), strict=True)
+        out[order[later]] = [m == n and raw[p : p + n] == raw[q : q + n] for p, q, m, n in places]
     return out
 
 
@@ -146,15 +156,17 @@ def _fetched(todo: DataFrame, docs: DataFrame) -> DataFrame:
             start, length, key = (flat.field(x).to_numpy() for x in ("start", "len", "key"))
             ids, ties = batch.column("doc").to_numpy(), batch.column("tie").to_numpy()
             crowded = flat.field("crowded").to_numpy(zero_copy_only=False) & ~whole
+            salt = np.zeros(len(row), np.int64)
             if crowded.any():
-                row, start, length, key, whole = dealt(data, off, ids, ties, row, start, length, key, whole, crowded)
+                row, start, length, key, whole, salt = dealt(data, off, ids, ties, row, start, length, key, whole, crowded)
             begin = off[:-1][row] + start
             bodies = [raw[b : b + n] for b, n in zip(begin[~whole].tolist(), length[~whole].tolist(), strict=True)]
             r, s, e = merged(row[whole], start[whole], start[whole] + length[whole])
             owner = np.concatenate((row[~whole], r))
             yield pa.record_batch(
                 {
-                    "key": pa.array(np.concatenate((key[~whole], ids[r]))),
+                    "key": pa.array(np.concatenate((key[~whole], mix((ids[r] ^ ties[r]).view(np.uint64)).view(np.int64)))),
+                    "salt": pa.array(np.concatenate((salt[~whole], np.zeros(len(r), np.int64)))),
                     "doc": pa.array(ids[owner]),
                     "tie": pa.array(ties[owner]),
                     "start": pa.array(np.concatenate((start[~whole], s))),
@@ -167,7 +179,7 @@ def _fetched(todo: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def dealt(data, off, ids, ties, row, start, length, key, whole, crowded) -> tuple[np.ndarray, ...]:
-    """Parts in which the pieces of crowded keys are replaced by their windows, each under a key of its own.
+    """Parts in which the pieces of crowded keys are replaced by their windows, each under a key of its own and salted.
 
     Of equal windows in the batch only the earliest is searched for, the others are known to repeat.
     """
@@ -181,10 +193,12 @@ def dealt(data, off, ids, ties, row, start, length, key, whole, crowded) -> tupl
     base[owners] = np.cumsum(sizes) - sizes
     text = np.concatenate([data[off[k] : off[k + 1]] for k in owners.tolist()])
     h = Hasher(text).spans(base[r] + s, base[r] + s + LENGTH)
-    again = later_equals(h, ids[r], ties[r], s)
+    wide = np.full(len(r), LENGTH)
+    again = later_equals(h, ids[r], ties[r], s, text, base[r] + s, wide)
+    salt = 1 + (mix(ids[r].astype(np.uint64) ^ ties[r].astype(np.uint64)) % U64(SALTS)).astype(np.int64)
     return (
-        np.concatenate((row[kept], r)), np.concatenate((start[kept], s)), np.concatenate((length[kept], np.full(len(r), LENGTH))),
-        np.concatenate((key[kept], mix(h).view(np.int64))), np.concatenate((whole[kept], again)),
+        np.concatenate((row[kept], r)), np.concatenate((start[kept], s)), np.concatenate((length[kept], wide)),
+        np.concatenate((key[kept], mix(h).view(np.int64))), np.concatenate((whole[kept], again)), np.concatenate((np.zeros(kept.sum(), np.int64), salt)),
     )
 
 
@@ -310,20 +324,36 @@ def repeated_in(doc: np.ndarray, tie: np.ndarray, start: np.ndarray, bodies: lis
     return doc[head], tie[head], s, e - s
 
 
-def _spans(fetched: DataFrame) -> DataFrame:
+def earliest(table: pa.Table) -> np.ndarray:
+    """Of the salted windows in a table, those that no equal one in it precedes."""
+    first: dict[bytes, tuple] = {}
+    rows = list(zip(*(table.column(x).to_pylist() for x in ("body", "doc", "tie", "start")), strict=True))
+    for body, *place in rows:
+        first[body] = min(first.get(body, tuple(place)), tuple(place))
+    return np.array([first[body] == tuple(place) for body, *place in rows], bool)
+
+
+def _spans(fetched: DataFrame, salted: bool) -> DataFrame:
+    """Rows without a body: spans that repeat. With ``salted``, windows of crowded keys meet within their salts, the earliest goes on."""
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def done(rows: pa.Table) -> pa.RecordBatch:
+        def done(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             cols = [rows.column(x).to_numpy() for x in ("doc", "tie", "start")]
             found = repeated_in(*cols, rows.column("body").to_pylist())
-            return pa.record_batch(dict(zip(("doc", "tie", "start", "len"), map(pa.array, found), strict=True)))
+            nothing = {"key": found[0] ^ found[1], "salt": np.zeros(len(found[0]), np.int64)}
+            spans = nothing | dict(zip(("doc", "tie", "start", "len"), found, strict=True))
+            yield pa.record_batch({k: pa.array(v) for k, v in spans.items()} | {"body": pa.nulls(len(found[0]), pa.binary())})
+            crowded = rows.filter(pa.compute.greater(rows.column("salt"), 0)) if salted else rows.slice(0, 0)
+            if crowded.num_rows:
+                yield from crowded.filter(pa.array(earliest(crowded))).to_batches()
 
         bytes_held = 0
         for batch in batches:
             known = batch.filter(pa.compute.is_null(batch.column("body")))
             if known.num_rows:
-                yield known.select(["doc", "tie", "start", "len"])
+                yield known
             batch = batch.filter(pa.compute.is_valid(batch.column("body")))
             at = 0
             while at < batch.num_rows:
@@ -342,21 +372,22 @@ def _spans(fetched: DataFrame) -> DataFrame:
                 bytes_held += int(total[end - 1])
                 at += end
                 if at < batch.num_rows:
-                    yield done(pa.Table.from_batches(held))
+                    yield from done(pa.Table.from_batches(held))
                     held, bytes_held = [], 0
             if bytes_held > 2 * BUFFER:  # all but the last key, which the next batch may continue
                 rows = pa.Table.from_batches(held)
                 key = rows.column("key").to_numpy()
                 cut = int(np.flatnonzero(key != key[-1])[-1]) + 1 if (key != key[-1]).any() else 0
                 if cut:
-                    yield done(rows.slice(0, cut))
+                    yield from done(rows.slice(0, cut))
                     held = rows.slice(cut).to_batches()
                     bytes_held = int(sum(x.column("len").to_numpy().sum() for x in held))
         if held:
-            yield done(pa.Table.from_batches(held))
+            yield from done(pa.Table.from_batches(held))
 
     # A key's pieces meet in one task, in order of the key.
-    return fetched.repartition("key").sortWithinPartitions("key").mapInArrow(search, SPAN_SCHEMA)
+    keys = ["key", "salt"] if salted else ["key"]
+    return fetched.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(search, FETCH_SCHEMA)
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
@@ -364,11 +395,13 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     found = _pieces(docs.select("doc", "tie", "text")).repartition("key")
     equal = Window.partitionBy("key", "piece", "len").orderBy("doc", "tie", "start")
     alike = Window.partitionBy("key")
-    ranked = found.withColumn("turn", F.rank().over(equal))
-    ranked = ranked.withColumn("several", F.min("piece").over(alike) != F.max("piece").over(alike))
-    ranked = ranked.withColumn("crowded", F.count_if(F.col("turn") == 1).over(alike) > MOST_PIECES)
-    todo = ranked.withColumn("whole", F.col("again") | (F.col("turn") > 1)).where("whole or several or loops")
-    return _spans(_fetched(todo.select("whole", "crowded", "key", "doc", "tie", "start", "len"), docs))
+    ranked = found.withColumns({"row": F.row_number().over(equal), "rank": F.rank().over(equal), "turn": F.dense_rank().over(equal)})
+    several = (F.max("turn").over(alike) > 1) | (F.min("piece").over(alike) != F.max("piece").over(alike))
+    ranked = ranked.withColumns({"several": several, "crowded": F.count_if(F.col("row") == 1).over(alike) > MOST_PIECES})
+    # Rows that stand twice are one document: one of them is searched.
+    todo = ranked.where("row = rank").withColumn("whole", F.col("again") | (F.col("turn") > 2)).where("whole or several or loops")
+    parts = _fetched(todo.select("whole", "crowded", "key", "doc", "tie", "start", "len"), docs)
+    return _spans(_spans(parts, salted=True), salted=False).select("doc", "tie", "start", "len")
 
 
 def dedup(docs: DataFrame) -> DataFrame:

@@ -407,6 +407,32 @@ def test_suffix_dedup_nulls_and_repeats(spark):
     assert seven in ([(240, 0), (n + 240, n + 240)], [(240, 240), (n + 240, n)])
 
 
+def test_suffix_dedup_of_short_texts(spark):
+    rows = [(k, "short") for k in range(6)]
+    for more in ([], [(9, "x" * 99), (10, "y" * 130)]):
+        docs = spark.createDataFrame(rows + more, "doc_id long, text string").repartition(2)
+        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.dedup(docs).collect()}
+        assert got == brute.suffix(sorted(rows + more))
+
+
+def test_suffix_dedup_of_many_surroundings(spark):
+    """More different pieces under one key than are searched together, so that their windows are dealt and salted."""
+    rng = random.Random(6)
+    passage = "".join(rng.choice("abcdefghij") for _ in range(130))
+    own = lambda n: "".join(rng.choice("klmnopqrst") for _ in range(n))
+    rows = [(k, own(9) + passage + own(9)) for k in range(suffix_dedup.MOST_PIECES + 500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.dedup(docs).collect()}
+    assert got == brute.suffix(rows)
+
+
+def test_equal_hashes_of_different_strings():
+    data = np.frombuffer(b"aaaabbbbaaaa", np.uint8)
+    zero, at = np.zeros(3, np.int64), np.array([0, 4, 8])
+    again = suffix_dedup.later_equals(np.zeros(3, np.uint64), np.arange(3), zero, zero, data, at, zero + 4)
+    assert again.tolist() == [False, False, True]
+
+
 def test_near_dups_of_a_cloud(spark):
     rng = random.Random(8)
     word = lambda: "w%d" % rng.randrange(10**6)
