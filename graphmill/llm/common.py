@@ -28,4 +28,15 @@ def n_words(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-__all__ = ["WORD", "n_words", "saved", "shipped", "table"]
+def packed(docs: DataFrame, *own: F.Column) -> DataFrame:
+    """The rows as one struct column ``row`` beside columns computed from it, so that no name clashes with the operator's."""
+    whole = F.struct(*(docs[f"`{c}`"].alias(c) for c in docs.columns))
+    return docs.select(whole.alias("row"), *own)
+
+
+def unpacked(docs: DataFrame, replaced: tuple[str, ...] = ()) -> list[F.Column]:
+    """The columns of ``row`` by the names of ``docs``, but for those that the operator's own columns replace."""
+    return [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c.lower() not in replaced]
+
+
+__all__ = ["WORD", "n_words", "packed", "saved", "shipped", "table", "unpacked"]

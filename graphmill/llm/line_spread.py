@@ -7,7 +7,8 @@ whose estimate lies near the threshold get an exact distinct count. Lines on
 
 A line is a ``\\n``-separated part of a text with at least one word; lines without
 a word are never removed. Defined results: a null site counts for no line; a null
-text has no lines and stays null; a null doc_id and repeated rows keep their rows.
+text has no lines and stays null; a null doc_id and repeated rows keep their rows; other
+columns stay as they are, but for those named like a column of the result, which replaces them.
 """
 
 from __future__ import annotations
@@ -15,9 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
+from ..operators.closure import named_by
+from .common import WORD, packed, unpacked
 
 MIN_SITES = 5
+#: Columns of the result; they replace those of the documents with the same names.
+OWN = ("kept_text", "n_lines", "n_removed")
 SKETCH_BITS = 12
 #: Relative standard error of such a sketch, times four.
 MARGIN = 4 * 1.04 / 2 ** (SKETCH_BITS / 2)
@@ -56,26 +60,24 @@ def remove_spread_lines(docs: DataFrame, site: str = "source", min_sites: int =
     """The documents with ``kept_text`` (boilerplate lines taken out), ``n_lines`` and ``n_removed``."""
     spread = spread_lines(docs, site, min_sites).select("a", "b")
     has_word = lambda x: F.regexp_like(x, F.lit(WORD))
-    hashes = F.array_distinct(F.transform(F.filter(F.split("text", "\n"), has_word), _hashes))
+    key = [docs["doc_id"].cast("long").alias("id"), F.xxhash64(docs["text"]).alias("tie")]
+    hashes = F.array_distinct(F.transform(F.filter(F.split(docs["text"], "\n"), has_word), _hashes))
+    lines = docs.select(*key, F.explode(hashes).alias("line")).select("id", "tie", "line.a", "line.b")
+    # A line that a third of all documents hold is dealt over many tasks, by their texts.
     hits = (
-        docs.select("doc_id", F.explode(hashes).alias("line"))
-        .select("doc_id", "line.a", "line.b")
-        .join(spread, ["a", "b"])
-        .groupBy("doc_id")
-        .agg(F.collect_set(F.struct("a", "b")).alias("_gone"))  # at most the lines of one document
-        .withColumnRenamed("doc_id", "_doc")
+        named_by(lines, ["a", "b"], spread, "tie")
+        .groupBy("id", "tie")
+        .agg(F.collect_set(F.struct("a", "b")).alias("gone"))  # at most the lines of one text
+        .select(F.col("id").alias("of_id"), F.col("tie").alias("of_tie"), "gone")
     )
-    lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("_gone", _hashes(x)) & has_word(x), F.lit(False)))
-    return (
-        docs.join(hits, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
-        .withColumn("_kept", kept)
-        .select(
-            *(docs[c] for c in docs.columns),
-            F.array_join("_kept", "\n").alias("kept_text"),
-            F.coalesce(F.size(F.filter(lines, has_word)), F.lit(0)).cast("long").alias("n_lines"),
-            F.greatest(F.coalesce(F.size(lines) - F.size("_kept"), F.lit(0)), F.lit(0)).cast("long").alias("n_removed"),
-        )
+    parts = F.split("row.text", "\n")
+    kept = F.filter(parts, lambda x: ~F.coalesce(F.array_contains("gone", _hashes(x)) & has_word(x), F.lit(False)))
+    joined = packed(docs, *key).join(hits, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("tie") == F.col("of_tie")), "left")
+    return joined.withColumn("kept", kept).select(
+        *unpacked(docs, OWN),
+        F.array_join("kept", "\n").alias("kept_text"),
+        F.coalesce(F.size(F.filter(parts, has_word)), F.lit(0)).cast("long").alias("n_lines"),
+        F.greatest(F.coalesce(F.size(parts) - F.size("kept"), F.lit(0)), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 

@@ -1,20 +1,21 @@
 """Mixing sources to target weights by a low-discrepancy schedule. DataFrame functions only.
 
 1. Targets: sources (by code point, null last) weigh 3, 1, 2, repeating, and share 150 %
-   of all words; no target exceeds twice its source, the excess is shared again.
+   of all words; no target exceeds twice its source, the excess is shared again. A source's
+   quota is its rounded target, one word at least if the target is above 0.
 2. Schedule: slot i maps the golden-ratio point ``frac(i * phi)`` (as 32-bit integers)
    through the sources' cumulative targets; slots are ranked per source.
 3. Blocks: each source's documents stand in a shuffled order (by MD5 of the id), their
    words cut into equal blocks, the whole sequence twice over. The slot of rank k takes
-   block k of its source.
-4. Amounts: every source's sequence is cut at its rounded target, within a block too and at
-   one word at least. The SQL of the registered query counts whole slots instead (``exact``
-   false): a source then misses its target by some blocks, and one below a block may get none.
+   block k of its source. A block has 256 words, or a 1024th of the mix if that is less.
+4. Ends: a source's last block ends at its quota. Slots beyond it stay empty; blocks that the
+   schedule gave no slot stand behind its end. So every source takes its quota exactly.
 
 Ranks and word offsets come from two-level prefix sums (per bucket, then within), so no
 window ever holds a whole source. Defined results: a null text has size 0; null sources are
-one source, the last; documents of size 0 take nothing; repeated rows are rows of their own;
-an empty table gives no rows.
+one source, the last; documents of size 0 take nothing; repeated rows are rows of their own
+(which of equal rows takes which words is left open); an empty table gives no rows; other
+columns stay as they are.
 """
 
 from __future__ import annotations
@@ -22,22 +23,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, n_words
+from ..operators.closure import named_by
+from .common import WORD, n_words, packed, saved, unpacked
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_TIMES = 2
-#: Words in a block, and so in a slot of the schedule.
-BLOCK = 256
+#: Words in a block, and so in a slot of the schedule, at most; blocks in the mix at least.
+BLOCK, LEAST_BLOCKS = 256, 1024
 #: floor(2**32 / golden ratio), the step of the point sequence (fixed value).
 STEP = 2654435769
 #: Slots in a bucket of the ranking; hex digits of the hash that make a shuffle bucket.
 SLOTS, DIGITS = 65536, 3
 
 
+def _key(docs: DataFrame) -> list[Column]:
+    """What tells a document from others: id, source, hash of the text and size in words."""
+    text = docs["text"]
+    return [docs["doc_id"].cast("long").alias("doc_id"), docs["source"].alias("source"), F.xxhash64(text).alias("tie"), n_words(text).alias("size")]
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size in words."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words("text").alias("size"))
+    """doc_id, source, hash and size in words of each document, saved: the texts are read once for them."""
+    return saved(docs.select(*_key(docs)))
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -62,17 +70,22 @@ def targets(sizes: DataFrame) -> DataFrame:
     point = lambda x: F.when(whole > 0, F.floor(x / whole * F.lit(2.0**32))).otherwise(F.lit(0)).cast("long")
     upto = F.sum("target").over(run.rowsBetween(Window.unboundedPreceding, 0))
     found = found.withColumn("hi", F.when(F.lead("src").over(run).isNull() & (whole > 0), F.lit(2**32)).otherwise(point(upto)))
-    return found.select(
-        "source", "src", "source_size", "target", F.coalesce(F.lag("hi").over(run), F.lit(0)).alias("lo"), "hi"
+    quota = F.when(F.col("target") > 0, F.greatest(F.round("target"), F.lit(1.0))).otherwise(0).cast("long")
+    return saved(
+        found.select("source", "src", "source_size", "target", quota.alias("quota"), F.coalesce(F.lag("hi").over(run), F.lit(0)).alias("lo"), "hi")
     )
 
 
-def schedule(goal: DataFrame, block: int = BLOCK) -> DataFrame:
+def slots_and_block(goal: DataFrame, block: int = BLOCK, least_blocks: int = LEAST_BLOCKS) -> tuple[int, int]:
+    """Slots of the schedule and words in each, from the sum of the quotas."""
+    total = goal.agg(F.sum("quota")).first()[0] or 0
+    words = max(1, min(block, total // least_blocks))
+    return -(-total // words), words
+
+
+def schedule(goal: DataFrame, slots: int) -> DataFrame:
     """(slot, src, k): which block of which source fills each slot."""
-    spark = goal.sparkSession
-    total = goal.agg(F.sum("target")).first()[0] or 0.0
-    slots = int(round(total / block))
-    points = spark.range(slots).select(F.col("id").alias("slot"), ((F.col("id") * STEP) % F.lit(2**32)).alias("point"))
+    points = goal.sparkSession.range(slots).select(F.col("id").alias("slot"), ((F.col("id") * STEP) % F.lit(2**32)).alias("point"))
     # One row per source against every slot would be a cross join; equal-width cells of the
     # point range make it an equi-join: a source's range is cut at cell borders.
     cell = 2**32 // 1024
@@ -91,19 +104,16 @@ def schedule(goal: DataFrame, block: int = BLOCK) -> DataFrame:
 def placed(sizes: DataFrame, goal: DataFrame) -> DataFrame:
     """Documents with their source's numbers and ``first``: the words before them in the shuffled source."""
     shuffle = F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    goal = goal.select(F.col("source").alias("_source"), "src", "source_size", "target")
-    rows = (
-        sizes.join(goal, F.col("source").eqNullSafe(F.col("_source")))
-        .drop("_source")
-        .withColumn("shuffle", shuffle)
-        .withColumn("bucket", F.substring("shuffle", 1, DIGITS))
-    )
+    # A struct of the source, as null is a source too; a hot source is dealt by the hash of the id.
+    goal = goal.select(F.struct("source").alias("of"), "src", "source_size", "target", "quota")
+    rows = named_by(sizes.withColumn("of", F.struct("source")).withColumn("shuffle", shuffle), "of", goal, "shuffle")
+    rows = rows.withColumn("bucket", F.substring("shuffle", 1, DIGITS))
     before = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("src", "bucket").agg(F.sum("size").alias("in_bucket"))
     starts = starts.select("src", "bucket", F.coalesce(F.sum("in_bucket").over(before), F.lit(0)).alias("start"))
-    within = Window.partitionBy("src", "bucket").orderBy("shuffle", "doc_id", "size")
+    within = Window.partitionBy("src", "bucket").orderBy("shuffle", "doc_id", "size", "tie")
     numbered = rows.select(
-        "doc_id", "source", "size", "src", "source_size", "target", "bucket",
+        "doc_id", "source", "tie", "size", "src", "source_size", "target", "quota", "bucket",
         F.row_number().over(within).alias("rn"),
         F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("inner"),
     )
@@ -111,65 +121,56 @@ def placed(sizes: DataFrame, goal: DataFrame) -> DataFrame:
     return joined.withColumn("first", F.col("start") + F.col("inner")).drop("start", "inner")
 
 
-def pieces(rows: DataFrame, slots: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Which words of which document each slot takes: one row per document, round and block (null ``slot``: none)."""
-    ends = lambda t: F.col("first") + F.col("source_size") * t
-    spans = F.array(*(F.struct(F.lit(t).alias("turn"), ends(t).alias("a"), (ends(t) + F.col("size")).alias("b")) for t in range(MOST_TIMES)))
-    cut = rows.withColumn("span", F.explode(spans)).select("*", "span.turn", "span.a", "span.b").drop("span")
-    blocks = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("a") / block), F.floor((F.col("b") - 1) / block)))
-    cut = cut.withColumn("k", F.explode_outer(blocks))
-    lo = F.greatest("a", F.col("k") * block)
-    hi = F.least("b", (F.col("k") + 1) * block)
-    cut = cut.withColumns({"from_word": lo - F.col("a"), "to_word": hi - F.col("a")}).drop("a", "b")
-    return cut.join(slots.select("src", "k", "slot"), ["src", "k"], "left")
-
+def pieces(rows: DataFrame, found: DataFrame, slots: int, block: int) -> DataFrame:
+    """Which words of which document each slot takes: one row per document, ``turn`` and block ``k``.
 
-def exact_turns(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``turns``: per time that the sequence meets the document, where it starts and how many of its words are taken."""
-    quota = F.when(F.col("target") > 0, F.greatest(F.round("target"), F.lit(1.0))).otherwise(0).cast("long")
+    A document without words, or behind its source's quota, has one row with null ``turn`` and ``slot``.
+    """
     start = lambda t: F.col("first") + F.col("source_size") * t
-    words = lambda t: F.least("size", F.col("quota") - start(t))
-    turns = F.array(*(F.struct(start(t).alias("a"), words(t).alias("words")) for t in range(MOST_TIMES)))
-    return rows.withColumn("quota", quota).withColumn("turns", F.filter(turns, lambda x: x["words"] > 0))
+    spans = F.array(
+        *(F.struct(F.lit(t).alias("turn"), start(t).alias("a"), F.least(start(t) + F.col("size"), "quota").alias("b")) for t in range(MOST_TIMES))
+    )
+    cut = rows.withColumn("span", F.explode_outer(F.filter(spans, lambda x: x["b"] > x["a"]))).select("*", "span.turn", "span.a", "span.b").drop("span")
+    cut = cut.withColumn("k", F.explode_outer(F.sequence(F.floor(F.col("a") / block), F.floor((F.col("b") - 1) / block))))
+    lo, hi = F.greatest("a", F.col("k") * block), F.least("b", (F.col("k") + 1) * block)
+    cut = cut.withColumns({"from_word": lo - F.col("a"), "to_word": hi - F.col("a")}).drop("a", "b")
+    behind = F.when(F.col("k").isNotNull(), F.col("k") + slots)
+    return cut.join(found.select("src", "k", "slot"), ["src", "k"], "left").withColumn("slot", F.coalesce("slot", behind))
 
 
-def mix(docs: DataFrame, block: int = BLOCK, exact: bool = True) -> DataFrame:
-    """Per document: its size, its source's size and target, and the words that the mix takes of it."""
+def _cut(docs: DataFrame) -> DataFrame:
     sizes = sized(docs)
     goal = targets(sizes)
-    if exact:
-        took = F.aggregate("turns", F.lit(0).cast("long"), lambda n, x: n + x["words"])
-        return exact_turns(placed(sizes, goal)).select("doc_id", "size", "source_size", "target", took.alias("taken"))
-    found = pieces(placed(sizes, goal), schedule(goal, block), block)
-    took = F.sum(F.when(F.col("slot").isNotNull(), F.col("to_word") - F.col("from_word")).otherwise(0))
+    slots, block = slots_and_block(goal)
+    return pieces(placed(sizes, goal), schedule(goal, slots), slots, block)
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """Per document: its size, its source's size and target, the words that the mix takes of it, and the first slot that does."""
     keys = ["src", "bucket", "rn", "doc_id", "size", "source_size", "target"]
-    return found.groupBy(*keys).agg(took.cast("long").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
+    took = F.coalesce(F.sum(F.col("to_word") - F.col("from_word")), F.lit(0)).cast("long")
+    found = _cut(docs).groupBy(*keys).agg(took.alias("taken"), F.min("slot").alias("first_slot"))
+    return found.select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself, with the columns of the documents: a row for each time that a document is taken.
+    """The mix itself, with the columns of the documents: a row for each time that a document is taken, in order of the schedule.
 
-    The document in which its source's target ends keeps the taken words, joined by one space.
+    The document in which its source's quota ends keeps the taken words, joined by one space.
     """
-    sizes = sized(docs)
-    # Rows that share id, source and size are told apart by their place among their like.
-    place = lambda *order: F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(*order))
-    rows = exact_turns(placed(sizes, targets(sizes))).where(F.size("turns") > 0)
-    rows = rows.withColumn("_like", place("src", "bucket", "rn")).select(
-        F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("size").alias("_words"), "_like", F.col("turns.words").alias("_turns")
-    )
-    full = docs.withColumn("_size", n_words("text"))
-    full = full.withColumn("_like", F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy("text")))
-    same = (
-        F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_source"))
-        & (F.col("_size") == F.col("_words")) & (full["_like"] == rows["_like"])
-    )
-    taken = full.join(rows, same).withColumn("_taken", F.explode("_turns"))
-    words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("_taken").cast("int")), " ")
-    part = F.col("_taken") < F.col("_size")
-    text: Column = F.when(part, words).otherwise(F.col("text"))
-    out = {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
-    return taken.select(*(out[c].alias(c) if c in out else F.col(c) for c in docs.columns))
+    same = ["doc_id", "source", "tie", "size"]
+    turns = _cut(docs).where("turn is not null").groupBy(*same, "src", "bucket", "rn", "turn")
+    turns = turns.agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"), F.min("slot").alias("slot"))
+    # Rows that share all four are told apart by their place among their like.
+    like = lambda *order: F.dense_rank().over(Window.partitionBy(*same).orderBy(*order))
+    turns = turns.withColumn("like", like("src", "bucket", "rn")).select(F.struct(*same).alias("same"), "like", "src", "slot", "taken")
+    texts = packed(docs, *_key(docs)).withColumn("like", F.row_number().over(Window.partitionBy(*same).orderBy("size")))
+    taken = texts.select("row", F.struct(*same).alias("same"), "like").join(turns.hint("merge"), ["same", "like"])
+    words = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0)), 1, F.col("taken").cast("int")), " ")
+    text = F.when(F.col("taken") < F.col("same.size"), words).otherwise(F.col("row.text"))
+    own = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    ordered = taken.orderBy("slot", "src", "same.doc_id")
+    return ordered.select(*(own[c].alias(c) if c in own else whole for c, whole in zip(docs.columns, unpacked(docs), strict=True)))
 
 
 ORACLE_SQL = f"""
@@ -189,9 +190,14 @@ levels AS (
     / ((SELECT sum(w) FROM weighed) - coalesce(sum(w) OVER (ORDER BY cap / w, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
   FROM weighed
 ),
-goal AS (
+aims AS (
   SELECT *, least(cap, coalesce((SELECT max(level) FROM levels WHERE cap / w >= level), 0) * w) AS target FROM levels
 ),
+goal AS (SELECT *, CASE WHEN target > 0 THEN greatest(round(target), 1)::BIGINT ELSE 0 END AS quota FROM aims),
+plan AS (
+  SELECT (whole + block - 1) // block AS slots, block
+  FROM (SELECT whole, greatest(1, least({BLOCK}, whole // {LEAST_BLOCKS})) AS block FROM (SELECT coalesce(sum(quota), 0)::BIGINT AS whole FROM goal))
+),
 upto AS (
   SELECT *, sum(target) OVER (ORDER BY src ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS u,
          (SELECT sum(target) FROM goal) AS whole, max(src) OVER () AS last FROM goal
@@ -201,18 +207,22 @@ bounds AS (
 ),
 ranges AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY src), 0) AS lo FROM bounds),
 slots AS (
-  SELECT src, count(*) AS n_slots
-  FROM (SELECT (i * {STEP}) % 4294967296 AS point FROM range((SELECT round(sum(target) / {BLOCK})::BIGINT FROM goal)) t(i)) p
-  JOIN ranges r ON p.point >= r.lo AND p.point < r.hi GROUP BY src
+  SELECT src, i AS slot, row_number() OVER (PARTITION BY src ORDER BY i) - 1 AS k
+  FROM (SELECT i, (i * {STEP}) % 4294967296 AS point FROM range((SELECT slots FROM plan)) t(i)) p
+  JOIN ranges r ON p.point >= r.lo AND p.point < r.hi
 ),
 placed AS (
-  SELECT s.doc_id, s.size, r.src, r.source_size, r.target,
+  SELECT s.doc_id, s.size, r.src, r.source_size, r.target, r.quota,
     coalesce(sum(s.size) OVER (PARTITION BY r.src ORDER BY md5('mix:' || coalesce(s.doc_id::VARCHAR, '')), s.doc_id, s.size
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first
   FROM sizes s JOIN ranges r ON s.source IS NOT DISTINCT FROM r.source
+),
+took AS (
+  SELECT *, greatest(0, least(first + size, quota) - first) AS once, greatest(0, least(source_size + first + size, quota) - source_size - first) AS twice,
+         first // block AS k, slots AS behind
+  FROM placed, plan
 )
-SELECT doc_id, size, source_size, target,
-  (greatest(0, least(first + size, coalesce(n_slots, 0) * {BLOCK}) - first)
-   + greatest(0, least(source_size + first + size, coalesce(n_slots, 0) * {BLOCK}) - (source_size + first)))::BIGINT AS taken
-FROM placed LEFT JOIN slots USING (src)
+SELECT doc_id, size, source_size, target, (once + twice)::BIGINT AS taken,
+       CASE WHEN once + twice > 0 THEN coalesce(s.slot, t.k + behind) END::BIGINT AS first_slot
+FROM took t LEFT JOIN slots s ON s.src = t.src AND s.k = t.k
 """

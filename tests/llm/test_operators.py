@@ -323,7 +323,7 @@ def test_mixing(tables, name):
         took[s] = took.get(s, 0) + r["taken"]
     assert len(got) == len(rows)
     for s in order:
-        assert abs(took[s] - want[s]) <= 4 * mixing.BLOCK
+        assert abs(took[s] - want[s]) <= 1
     assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(docs.repartition(5)).collect()))
     mixed = mixing.mixed_documents(docs).collect()
     words = {}
