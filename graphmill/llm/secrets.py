@@ -13,14 +13,12 @@ a null doc_id passes through; repeated rows give equal rows.
 from __future__ import annotations
 
 import base64
-import hashlib
 import json
 import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,12 +47,16 @@ BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 HEX = np.zeros(256, bool)
 HEX[list(b"0123456789abcdef")] = True
 MIN_HEX, MIN_ACCESS, MIN_VALUE = 16, 18, 12
+#: Characters of a web token's parts: a token starts only behind another character, so each run is tried once.
+TOKEN = frozenset("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_-")
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
 @cache
-def automaton() -> ahocorasick.Automaton:
+def automaton():
+    import ahocorasick
+
     found = ahocorasick.Automaton()
     for word, kind in KEYWORDS.items():
         found.add_word(word, (len(word), kind))
@@ -90,7 +92,7 @@ def keyword_spans(text: str, lowered: str) -> list[tuple[int, int, str]]:
     done = dict.fromkeys(KINDS, 0)
     for last, (length, kind) in sorted(automaton().iter(lowered), key=lambda hit: hit[0] - hit[1][0]):
         start = last - length + 1
-        if start < done[kind]:
+        if start < done[kind] or kind == "jwt" and start and text[start - 1] in TOKEN:
             continue
         m = (ASSIGN if kind == "assign" else ACCESS if kind == "access" else ANCHORED[kind]).match(text, start)
         if not m:
@@ -135,12 +137,13 @@ def scan(docs: DataFrame) -> DataFrame:
                     runs.setdefault(d, []).append((s, e))
                 rows = []
                 whole = part.tobytes()
+                lead = np.concatenate(([0], np.cumsum((part & 0xC0) != 0x80)))
                 for d in range(j - i):
                     raw = whole[cut[d] : cut[d + 1]]
                     text = raw.decode("utf-8", "replace")
                     spans = keyword_spans(text, raw.lower().decode("utf-8", "replace")) if raw else []
                     for s, e in runs.get(d, ()):
-                        at = int(np.count_nonzero((part[cut[d] : s] & 0xC0) != 0x80))
+                        at = int(lead[s] - lead[cut[d]])
                         spans.append((at, at + e - s, "hex"))
                     spans.sort(key=lambda x: (x[0], KINDS.index(x[2])))
                     rows.append([{"kind": k, "start": s, "end": e} for s, e, k in spans])
@@ -163,6 +166,3 @@ def digest(found: DataFrame) -> DataFrame:
         joined(F.col("spans")).alias("spans"),
     )
 
-
-def sha256_hex(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

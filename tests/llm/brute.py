@@ -3,6 +3,7 @@
 import hashlib
 import re
 from collections import Counter
+from html.parser import HTMLParser
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -124,3 +125,101 @@ def unigram(word, pieces, byte):
                 ways.append((best[start][0] + pieces[word[start:end]], best[start][1] + 1))
         best.append(min(ways, key=lambda x: (-x[0], x[1])))
     return best[-1][1]
+
+
+class _Tree(HTMLParser):
+    """Elements as [tag, class, parts], parts being text or elements; for well-formed pages."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.root = ["#page", "", []]
+        self.path = [self.root]
+        self.feed(page)
+
+    def handle_starttag(self, tag, attrs):
+        node = [tag, dict(attrs).get("class") or "", []]
+        self.path[-1][2].append(node)
+        self.path.append(node)
+
+    def handle_endtag(self, tag):
+        self.path.pop()
+
+    def handle_data(self, data):
+        self.path[-1][2].append(data)
+
+
+def main_text(page):
+    """Tree scoring by its definition: every element's score from a walk over all that it holds."""
+    tree, blocks, nodes = _Tree(page).root, [], []
+    doubtful = lambda node: node[1] == "share" and node[0] != "form"
+
+    def walk(node, above, in_link):
+        own = node[0] not in ("a",)
+        if node[0] == "nav" or "comments" in node[1]:
+            node = [node[0], node[1], []]
+        if own:
+            above = [*above, node]
+            nodes.append((node, above))
+            blocks.append((above, []))
+        for part in node[2]:
+            if isinstance(part, str):
+                blocks[-1][1].append((part, in_link))
+            else:
+                walk(part, above, in_link or part[0] == "a")
+                if part[0] != "a":
+                    blocks.append((above, []))
+
+    walk(tree, [], False)
+    found = []
+    for above, parts in blocks:
+        text = " ".join("".join(x for x, _ in parts).split())
+        if text:
+            found.append((above, text, min(sum(len(x.strip()) for x, linked in parts if linked), len(text))))
+    inside = lambda node, above: any(x is node for x in above)
+    held = lambda node: sum(len(t) for above, t, _ in found if inside(node, above))
+    forms = [node for node, _ in nodes if node[0] == "form" and held(node) < held(tree) / 2]
+    out = lambda above: any(inside(f, above) for f in forms)
+    found = [x for x in found if not out(x[0])]
+    prior = {"article": 25, "main": 20, "section": 3, "div": 3, "td": 2, "ul": -3}
+
+    def score(node):
+        points, any_paragraph = 0.0, False
+        for above, text, _ in found:
+            if len(text) < 25 or above[-1][0] == "h2":
+                continue
+            chain = above[:-1] if above[-1][0] in ("p", "pre", "td") else above
+            for steps, x in enumerate(chain[::-1][:4]):
+                if x is node:
+                    points += (1 + text.count(",") + min(len(text) / 100, 3)) / 2**steps
+                    any_paragraph = True
+        if not any_paragraph:
+            return 0.0
+        return (points + prior.get(node[0], 0) - 25 * doubtful(node)) * (1 - density(node))
+
+    def density(node):
+        chars = sum(len(t) for above, t, _ in found if inside(node, above))
+        return sum(n for above, _, n in found if inside(node, above)) / chars if chars else 0.0
+
+    scores = [score(node) for node, _ in nodes]
+    scored = [k for k, (node, _) in enumerate(nodes) if any(len(t) >= 25 and above[-1][0] != "h2" for above, t, _ in found)]
+    best = nodes[max(range(len(nodes)), key=lambda k: (scores[k], -k))] if scored else nodes[0]
+    for node, above in nodes:
+        if node[0] in ("article", "main") and inside(node, best[1]):
+            best = (node, above)
+            break
+    top = score(best[0])
+
+    def stays(above):
+        if inside(best[0], above):
+            below = [x for x in above if not inside(x, best[1])]
+            return all(not doubtful(x) or score(x) > 0 for x in below)
+        if len(best[1]) < 2 or not inside(best[1][-2], above) or above[-1] is best[1][-2]:
+            return False
+        side = above[[x is best[1][-2] for x in above].index(True) + 1 :]
+        first, chars = side[0], sum(len(t) for a, t, _ in found if inside(side[0], a))
+        if doubtful(first) or any(doubtful(x) and score(x) <= 0 for x in side[1:]):
+            return False
+        paragraph = first[0] in ("p", "pre", "td") and (chars > 80 and density(first) < 0.25 or 0 < chars and density(first) == 0)
+        return score(first) >= max(10, 0.2 * top) or paragraph or first[0] == "h2" and density(first) < 0.33
+
+    return "\n".join(text for above, text, _ in found if stays(above))

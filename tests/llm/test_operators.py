@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -363,6 +364,56 @@ def test_html_text():
     assert html_text.main_text(deep) == "text that is long enough, to count"
 
 
+def test_html_wrappers_and_doubt():
+    body = "<p>" + "Some words, here, and there. " * 10 + "</p>"
+    text = ("Some words, here, and there. " * 10).strip()
+    cases = {
+        f"<form class=f>{body * 3}</form>": [text] * 3,
+        f"<div>{body * 3}</div><form>{body}</form>": [text] * 3,
+        f"<article><h1 class='page-header'>Title</h1>{body}<div class='share'>Share this, please</div></article>": ["Title", text],
+        f"<div class='related-content'>{body * 6}</div><div>x</div>": [text] * 6,
+        f"<script>if(a<b){{x='</script>{body}<i title=\"a>b\">tail</i>": [text, "tail"],
+        f"<div>{body}<p title='>{body}</div>": [text, "", text],
+    }
+    for page, want in cases.items():
+        assert html_text.main_text(page).split("\n") == [x for x in want if x], page
+
+
+def test_html_against_plain_scoring():
+    rng = random.Random(12)
+    words = lambda n: " ".join(rng.choice(["word,", "other", "longer", "and,", "text"]) for _ in range(n))
+
+    def tree(depth):
+        if depth == 0 or rng.random() < 0.25:
+            tag = rng.choice(["p", "p", "p", "pre", "h2", "td"])
+            link = f"<a href='x'>{words(rng.randrange(1, 12))}</a>" if rng.random() < 0.3 else ""
+            return f"<{tag}>{words(rng.randrange(0, 60))} {link}</{tag}>"
+        tag, name = rng.choice(["div", "div", "section", "article", "ul", "form", "nav"]), rng.choice(["", "", "", "share", "comments", "content"])
+        name = "" if tag == "article" else name
+        return f"<{tag} class='{name}'>" + "".join(tree(depth - 1) for _ in range(rng.randrange(1, 5))) + f"</{tag}>"
+
+    for _ in range(300):
+        page = "<body>" + "".join(tree(rng.randrange(1, 5)) for _ in range(3)) + "</body>"
+        assert html_text.main_text(page) == brute.main_text(page)
+
+
+def test_hostile_pages_take_linear_time():
+    for part in ("<a ", "<b>", "<b></i>", "<p title='x>", "<!--", "<!", "<table><tr><td>x", "<ul><li>x", "<div>", "<p style=' ", "</b>", "<b><div></div>", '<a "" '):
+        spent = []
+        for n in (2, 16):
+            began = time.process_time()
+            html_text.main_text(part * (n * 30_000 // len(part)) + '">')
+            spent.append(time.process_time() - began)
+        assert spent[1] < 24 * spent[0] + 0.2, part
+    for part in ("eyJ", "eyJa.", "-----BEGIN PRIVATE KEY-----a ", "token=", "deadbeefdeadbeefx"):
+        spent = []
+        for n in (2, 16):
+            text, began = part * (n * 30_000 // len(part)), time.process_time()
+            secrets.keyword_spans(text, text.lower())
+            spent.append(time.process_time() - began)
+        assert spent[1] < 24 * spent[0] + 0.2, part
+
+
 def test_html_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r["page_id"]: r for r in html_text.extract(pages).collect()}
