@@ -1,24 +1,26 @@
 """Benchmark decontamination by a prefix-filtered set join. DataFrame functions only.
 
-An item's windows are 13 consecutive words (or all words of a shorter item). Word
-shingles of documents meet the items' shingles in one equi-join on hashes; what they
-share, counted over all documents, ranks the shingles by rarity. As a window must be
-contained whole, its rarest shingle is a sufficient prefix: only places with that
-shingle are candidates. Length and position bounds drop windows that would stick out of
-the document, and the rest is verified word by word.
+An item's windows are 13 consecutive words (or all words of a shorter item); equal windows
+of all items are one. Every text is split once. Its word shingles meet the windows' shingles
+in one equi-join on hashes, whose matches are saved: counted over all documents, they rank
+the shingles by rarity, and as a window must be contained whole, its rarest shingle is a
+sufficient prefix, so that only the matches of that one are joined with windows. Length and
+position bounds drop windows that would stick out of the document, and the rest is verified
+word by word. Items are looked up for windows that occur.
 
 Defined results: a null text has no words; a null item text has no windows; rows that
-share id and text are judged alike; an empty benchmark leaves every document clean.
+share id and text are judged alike; null ids are ids of their own texts; an empty benchmark
+leaves every document clean; other columns stay as they are.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from ..operators.closure import named_by
+from ..session import saved_rows
+from .common import packed, saved, unpacked
 
 #: Words of lower-cased text.
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -27,8 +29,8 @@ SHINGLE = 3
 #: A document with 1 / 20 of its words hit is contaminated.
 SHARE = 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Item shingles are broadcast only if there are at most so many (two longs each); more are shuffled.
-MOST_BROADCAST = 250_000
+#: Bytes of shingles or windows that are broadcast at most, and documents whose ids are; beyond it the join is a salted shuffle.
+MOST_BYTES, MOST_DOCS = 8 << 20, 250_000
 
 
 def words(text: str) -> Column:
@@ -42,98 +44,87 @@ def _shingles(of: str, width: int) -> Column:
     return F.when(F.size(of) >= width, F.transform(F.sequence(F.lit(0), F.size(of) - width), at))
 
 
-def _bounded(small: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(small) if rows <= MOST_BROADCAST else small
-
-
-def item_shingles(benchmark: DataFrame) -> DataFrame:
-    """(item_id, words, n, width, i, h): the shingles of each item; items below three words have one shingle."""
-    items = benchmark.select("item_id", words("text").alias("words")).dropDuplicates(["item_id", "words"])
-    items = items.withColumn("n", F.size("words")).where("n > 0").withColumn("item", F.xxhash64("item_id", "words"))
-    widths = [
-        items.where(F.least("n", F.lit(SHINGLE)) == k).select(
-            "item", "item_id", "words", "n", F.lit(k).alias("width"), F.posexplode(_shingles("words", k)).alias("i", "h")
-        )
-        for k in range(1, SHINGLE + 1)
-    ]
-    return reduce(DataFrame.unionByName, widths)
-
-
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, text_hash, found: array of (item_id, start, len)) of the documents with an occurring window."""
-    shingles = saved(item_shingles(benchmark))
-    sizes = {r["width"]: r["count"] for r in shingles.groupBy("width").count().collect()}  # three rows at most
-    total = sum(sizes.values())
-    key = [F.col("doc_id"), F.xxhash64("text").alias("text_hash")]
-    split = docs.select(*key, words("text").alias("words"))
-    places = []
-    for width in sorted(sizes):
-        wanted = _bounded(shingles.where(F.col("width") == width).select("h").distinct(), sizes[width])
-        own = split.select("doc_id", "text_hash", F.size("words").alias("n_words"), F.posexplode(_shingles("words", width)).alias("pos", "h"))
-        places.append(own.join(wanted, "h").withColumn("width", F.lit(width)))
-    if not places:
-        return split.where("false").select("doc_id", "text_hash", F.lit(None).cast("array<struct<item_id:bigint,start:int,len:int>>").alias("found"))
-    matched = saved(reduce(DataFrame.unionByName, places))
+def _met(rows: DataFrame, keys: list[str], table: DataFrame, n_bytes: int) -> DataFrame:
+    return rows.join(F.broadcast(table), keys) if n_bytes <= MOST_BYTES else named_by(rows, keys, table, "pos")
+
+
+def _key(docs: DataFrame) -> Column:
+    """What tells texts apart, as one value that is never null."""
+    return F.struct(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("hash")).alias("key")
+
+
+def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(win, len, width, items): the different windows, the words in their shingles, and the items that hold them."""
+    items = benchmark.select("item_id", words("text").alias("words")).withColumn("n", F.size("words")).where("n > 0")
+    length = F.least("n", F.lit(window))
+    slices = F.transform(F.sequence(F.lit(0), F.col("n") - length), lambda p: F.slice("words", p + 1, length))
+    found = items.select("item_id", F.explode(slices).alias("win")).groupBy("win").agg(F.collect_set("item_id").alias("items"))
+    return found.select("win", F.size("win").alias("len"), F.least(F.size("win"), F.lit(SHINGLE)).alias("width"), "items")
+
+
+def _shingles_of(column: str, widths: list[int]) -> Column:
+    """(width, h, place) of all shingles of the wanted widths."""
+    entry = lambda k: lambda h, i: F.struct(F.lit(k).alias("width"), h.alias("h"), i.alias("place"))
+    by_width = [F.transform(_shingles(column, k), entry(k)) for k in widths]
+    return F.explode(F.flatten(F.filter(F.array(*by_width), lambda x: x.isNotNull())))
+
+
+def hits(docs: DataFrame, windows: DataFrame) -> DataFrame | None:
+    """(key, n_words, found: array of (start, win)) of the texts with an occurring window; None without windows."""
+    widths = sorted(r[0] for r in windows.select("width").distinct().collect())  # three rows at most
+    if not widths:
+        return None
+    own_width = lambda x: x.where("shingle.width = width")
+    shingles = own_width(windows.select("win", "len", "width", _shingles_of("win", widths).alias("shingle")))
+    shingles = saved(shingles.select("win", "len", "width", "shingle.h", F.col("shingle.place").alias("j")))
+    wanted, n_wanted = saved_rows(shingles.select("width", "h").distinct())
+    split = docs.select(_key(docs), words("text").alias("words"))
+    places = split.select("key", F.size("words").alias("n_words"), _shingles_of("words", widths).alias("at"))
+    places = places.select("key", "n_words", "at.width", "at.h", F.col("at.place").alias("pos"))
+    matched = saved(_met(places, ["width", "h"], wanted, 16 * n_wanted))
     # Rarity of each shared shingle over all documents; a window with an absent shingle can't occur.
     rarity = matched.groupBy("width", "h").agg(F.count("*").alias("often"))
-    ranked = shingles.join(rarity, ["width", "h"])
-    length = F.least("n", F.lit(window))
-    count = length - F.col("width") + 1
-    spread = ranked.withColumn("p", F.explode(F.sequence(F.greatest(F.lit(0), F.col("i") - count + 1), F.least("i", F.col("n") - length))))
-    rarest = (
-        spread.groupBy("item", "p", "width", length.alias("len"), count.alias("need"))
-        .agg(F.min(F.struct("often", "h", "i")).alias("rarest"), F.count("*").alias("present"))
-        .where("present = need")
-        .groupBy("item", "width", "len", F.col("rarest.h").alias("h"), F.col("rarest.i").alias("i"))
-        .agg(F.collect_list("p").alias("ps"))
-    )
-    candidates = matched.join(_bounded(rarest, total), ["width", "h"])
-    inside = lambda p: (F.col("pos") - F.col("i") + p >= 0) & (F.col("pos") - F.col("i") + p + F.col("len") <= F.col("n_words"))
-    candidates = (
-        candidates.withColumn("ps", F.filter("ps", inside))
-        .where(F.size("ps") > 0)
-        .groupBy("doc_id", "text_hash", "item", "len", (F.col("pos") - F.col("i")).alias("shift"))
-        .agg(F.array_distinct(F.flatten(F.collect_list("ps"))).alias("ps"))
-    )
-    items = shingles.where("i = 0").select("item", "item_id", F.col("words").alias("item_words"))
-    per_doc = (
-        candidates.join(_bounded(items, total), "item")
-        .groupBy("doc_id", "text_hash")
-        .agg(F.collect_list(F.struct("item_id", "shift", "len", "ps", "item_words")).alias("tries"))
-        .select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "tries")
-    )
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash"))
-    tried = docs.select(*key, "text").join(per_doc, same)
-    exact = lambda w, t, p: F.slice(w, t["shift"] + p + 1, t["len"]) == F.slice(t["item_words"], p + 1, t["len"])
-    verified = lambda w: F.flatten(
-        F.transform(
-            "tries",
-            lambda t: F.transform(
-                F.filter(t["ps"], lambda p: exact(w, t, p)),
-                lambda p: F.struct(t["item_id"].alias("item_id"), (t["shift"] + p).alias("start"), t["len"].alias("len")),
-            ),
-        )
-    )
+    rarest = shingles.join(rarity.hint("merge"), ["width", "h"]).groupBy("win", "len", "width")
+    rarest = rarest.agg(F.min(F.struct("often", "h", "j")).alias("rarest"), F.count("*").alias("present")).where("present = len - width + 1")
+    rarest = saved(rarest.select("win", "len", "width", "rarest.h", "rarest.j"))
+    n_bytes = rarest.agg(F.sum(F.octet_length(F.array_join("win", " ")) + 48)).first()[0] or 0
+    candidates = _met(matched, ["width", "h"], rarest, n_bytes).withColumn("start", F.col("pos") - F.col("j"))
+    candidates = candidates.where("start >= 0 and start + len <= n_words")
+    tries, n_docs = saved_rows(candidates.groupBy("key").agg(F.collect_set(F.struct("start", "win")).alias("tries")))
+    texts = docs.select(_key(docs), "text")
+    if n_docs <= MOST_DOCS:  # few enough documents: the other texts needn't move
+        texts = texts.join(F.broadcast(tries.select("key")), "key", "left_semi")
+    exact = lambda w: F.filter("tries", lambda t: F.slice(w, t["start"] + 1, F.size(t["win"])) == t["win"])
+    tried = texts.dropDuplicates(["key"]).join(tries.hint("merge"), "key")
     # The words are bound to a lambda's variable: inlined, they would be split again for every window.
-    found = F.flatten(F.transform(F.array(words("text")), verified))
-    return tried.select("doc_id", "text_hash", found.alias("found")).where(F.size("found") > 0).dropDuplicates(["doc_id", "text_hash"])
+    both = F.transform(F.array(words("text")), lambda w: F.struct(F.size(w).alias("n_words"), exact(w).alias("found")))
+    return tried.select("key", F.element_at(both, 1).alias("x")).select("key", "x.n_words", "x.found").where(F.size("found") > 0)
+
+
+def _n_hit(found: Column) -> Column:
+    return F.size(F.array_distinct(F.flatten(F.transform(found, lambda x: F.sequence(x["start"], x["start"] + F.size(x["win"]) - 1)))))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document: words, hit words, items found and the verdict."""
-    found = hits(docs, benchmark, window)
-    spans = F.flatten(F.transform("found", lambda x: F.sequence(x["start"], x["start"] + x["len"] - 1)))
-    ids = F.array_sort(F.array_distinct(F.transform("found", lambda x: x["item_id"].cast("string"))))
-    found = found.select(
-        F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.size(F.array_distinct(spans)).alias("hit"), ids.alias("ids")
-    )
+    windows = saved(item_windows(benchmark, window))
+    found = hits(docs, windows)
     upper = WORDS.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")  # the same words before lower-casing
-    counted = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(F.regexp_count("text", F.lit(upper)), F.lit(0)).alias("n_words"))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash"))
+    counted = docs.select(_key(docs), F.coalesce(F.regexp_count("text", F.lit(upper)), F.lit(0)).alias("n_words"))
+    if found is None:
+        counted = counted.withColumns({"hit": F.lit(0), "ids": F.array().cast("array<string>")})
+    else:
+        found = saved(found.select("key", _n_hit(F.col("found")).alias("hit"), F.array_distinct("found.win").alias("wins")))
+        # A passage that a third of the documents hold is dealt by document.
+        items = named_by(found.select("key", F.explode("wins").alias("win")), "win", windows.select("win", "items"), "key")
+        items = items.select("key", F.explode("items").alias("item_id")).groupBy("key").agg(F.collect_set("item_id").alias("items"))
+        ids = F.array_sort(F.transform("items", lambda x: x.cast("string")))
+        items = found.select("key", "hit").join(items.hint("merge"), "key", "left").select("key", "hit", ids.alias("ids"))
+        counted = counted.join(items.hint("merge"), "key", "left")
     n_hit = F.coalesce("hit", F.lit(0))
     ids = F.coalesce("ids", F.array().cast("array<string>"))
-    return counted.join(found, same, "left").select(
-        F.col("doc_id").cast("long"),
+    return counted.select(
+        "key.doc_id",
         F.col("n_words").cast("long"),
         n_hit.cast("long").alias("n_hit"),
         F.size(ids).cast("long").alias("n_items"),
@@ -144,12 +135,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
-    found = hits(docs, benchmark, window)
-    spans = F.flatten(F.transform("found", lambda x: F.sequence(x["start"], x["start"] + x["len"] - 1)))
-    hit = found.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.size(F.array_distinct(spans)).alias("_hit"))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash"))
-    clean = F.coalesce(F.col("_hit") * SHARE < F.size(words("text")), F.lit(True))
-    return docs.join(hit, same, "left").where(clean).select(*(docs[c] for c in docs.columns))
+    found = hits(docs, saved(item_windows(benchmark, window)))
+    if found is None:
+        return docs
+    dirty, n_dirty = saved_rows(found.where(_n_hit(F.col("found")) * SHARE >= F.col("n_words")).select("key"))
+    dirty = F.broadcast(dirty) if n_dirty <= MOST_DOCS else dirty.hint("merge")
+    return packed(docs, _key(docs)).join(dirty, "key", "left_anti").select(*unpacked(docs))
 
 
 _SPLIT = "regexp_extract_all(translate({t}, '" + UPPER + "', '" + LOWER + "'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"

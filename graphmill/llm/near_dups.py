@@ -40,7 +40,7 @@ PERCENT, WIDTH = 80, 4
 #: Candidate pairs whose ids are broadcast to pick their texts (8 bytes each); beyond it the texts are shuffled.
 MOST_BROADCAST = 250_000
 #: Texts that are held against one other in a task, about.
-RUN = 2000
+RUN = 250
 #: Members of a group that meet its rows in one task, about.
 MEET = 256
 

@@ -1,7 +1,9 @@
 """Token-ID output: tokenise, split overlong documents, pack best-fit-decreasing, write id matrices.
 
 Documents are dealt into shards of bounded text by a hash of their id; each shard
-is packed on its own, so nothing grows with the corpus but the number of shards.
+is packed on its own, so nothing grows with the corpus but the number of shards. A
+task streams through its shards in order; a shard that copies of one id blow up beyond
+``MOST_TIMES`` its size is packed in several parts.
 Within a shard, segments go longest first into the fullest row that still holds
 them; a segment tree over remaining capacities finds that row in ``log(seq_len)``
 steps. Documents longer than a row are cut into row-sized segments, none dropped.
@@ -41,6 +43,8 @@ SEQ_LEN = 2048
 PAD_ID = 50256
 #: Bytes of text in a shard on average: bounds what one task holds.
 SHARD_BYTES = 8 << 20
+#: Shards in a task, and times the bytes of a shard that are packed together at most.
+SHARDS, MOST_TIMES = 4, 4
 #: Distinct chunks whose ids a task remembers at once.
 MOST_KNOWN = 500_000
 
@@ -174,11 +178,9 @@ def pack(
     path = f"{tokenizers}/{VOCABULARY}"
     shards = shard_count(docs, shard_bytes)
 
-    def pack_shard(key: tuple, shard: pa.Table) -> pa.Table:
-        shard = shard.take(pa.compute.sort_indices(shard, [("doc_id", "ascending"), ("text", "ascending")]))
-        data, off = buffer_of(shard.column("text"))
-        own = shard.column("doc_id").to_pylist()
-        chunks = ChunkEncoder(path)
+    def pack_part(shard: int, from_row: int, part: pa.Table, chunks: ChunkEncoder) -> pa.RecordBatch:
+        data, off = buffer_of(part.column("text"))
+        own = part.column("doc_id").to_pylist()
         parts, counts = [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)]
         for i, j in slices(off):
             ids, n = chunks.ids(data[off[i] : off[j]], off[i : j + 1] - off[i])
@@ -206,10 +208,10 @@ def pack(
             out["cu_seqlens"].append(bounds)
             out["doc_ids"].append([own[owner[k]] for k in row])
             out["doc_starts"].append([int(start[k]) for k in row])
-        return pa.table(
+        return pa.record_batch(
             {
-                "shard": pa.array([key[0].as_py()] * len(rows), pa.int64()),
-                "row": pa.array(range(len(rows)), pa.int64()),
+                "shard": pa.array([shard] * len(rows), pa.int64()),
+                "row": pa.array(range(from_row, from_row + len(rows)), pa.int64()),
                 "n_tokens": pa.array([x[-1] for x in out["cu_seqlens"]], pa.int64()),
                 "n_segments": pa.array([len(x) for x in out["doc_ids"]], pa.int64()),
                 "token_ids": pa.array(out["token_ids"], pa.binary()),
@@ -220,12 +222,32 @@ def pack(
             }
         )
 
+    def pack_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks, held, held_bytes, shard, row = ChunkEncoder(path), [], 0, None, 0
+        for batch in batches:
+            shards_here = batch.column("shard").to_numpy()
+            size = pa.compute.binary_length(batch.column("text")).to_numpy()
+            cuts = [0, *(np.flatnonzero(shards_here[1:] != shards_here[:-1]) + 1).tolist(), batch.num_rows]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                new = i < j and shards_here[i] != shard
+                if held and (new or held_bytes > MOST_TIMES * shard_bytes):
+                    packed = pack_part(shard, row, pa.Table.from_batches(held), chunks)
+                    yield packed
+                    held, held_bytes, row = [], 0, 0 if new else row + packed.num_rows
+                if i < j:
+                    shard = int(shards_here[i])
+                    held.append(batch.slice(i, j - i))
+                    held_bytes += int(size[i:j].sum())
+        if held:
+            yield pack_part(shard, row, pa.Table.from_batches(held), chunks)
+
     dealt = docs.select(
         F.pmod(F.xxhash64(F.lit("shard"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))), F.lit(shards)).alias("shard"),
         F.col("doc_id").cast("long"),
         "text",
-    )
-    return dealt.where(F.length("text") > 0).groupBy("shard").applyInArrow(pack_shard, SCHEMA)
+    ).where(F.length("text") > 0)
+    tasks = math.ceil(shards / SHARDS)
+    return dealt.repartition(tasks, "shard").sortWithinPartitions("shard", "doc_id", "text").mapInArrow(pack_all, SCHEMA)
 
 
 def segments_of(packed: Iterator) -> Iterator[tuple[int | None, int, list[int]]]:
@@ -236,4 +258,4 @@ def segments_of(packed: Iterator) -> Iterator[tuple[int | None, int, list[int]]]
             yield doc, r["doc_starts"][k], ids[r["cu_seqlens"][k] : r["cu_seqlens"][k + 1]].tolist()
 
 
-__all__ = ["Capacities", "ChunkEncoder", "U64", "best_fit_decreasing", "encoder", "pack", "segments_of"]
+__all__ = ["Capacities", "ChunkEncoder", "best_fit_decreasing", "encoder", "pack", "segments_of"]

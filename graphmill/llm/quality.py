@@ -1,14 +1,16 @@
 """Quality rules: base text statistics and a calibrated n-gram classifier.
 
 The classifier is a logistic regression over hashed word unigrams, word bigrams
-and byte 4-grams, each family scaled to unit sum. It is fitted on a bounded
+and character 4-grams (code points), each family scaled to unit sum. It is fitted on a bounded
 sample of labelled rows (``fit_rows``, those with the smallest hash of doc_id),
 calibrated by Platt scaling on a held-out fifth, and applied in Arrow batches
 against one fixed threshold.
 
 Defined results: a null or empty text has no words and fails the base rules; a
-null doc_id passes through; without labels of both kinds the verdict is the base
-rules' alone; repeated rows are judged alike.
+null doc_id passes through; without labels of both kinds (a doc_id with several labels
+counts with the least) the verdict is the base rules' alone; repeated rows are judged
+alike, and of labelled rows that share a doc_id the one with the least text is learnt from;
+other columns are left alone.
 """
 
 from __future__ import annotations
@@ -21,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbytes import LOWER, U64, Hasher, buffer_of, keyed, slices, sums_by, windows, words_of
+from .textbytes import U64, Hasher, buffer_of, keyed, slices, sums_by, windows, words_of
 
 BITS = 16
+#: Characters in a gram.
+CHARS = 4
 FAMILIES = 3
 #: Rows that the classifier is fitted on at most.
 FIT_ROWS = 2000
@@ -99,12 +103,12 @@ def features(data: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarray, np.nda
     hasher = Hasher(data)
     h = hasher.spans(start, end)
     pair, at = windows(h, doc, 2)
-    gram = hasher.grams(4)
-    places = np.arange(len(gram))
-    owner = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    whole = owner[places] == owner[places + 3] if len(gram) else np.zeros(0, bool)
+    lead = np.flatnonzero((data & 0xC0) != 0x80)  # first bytes of the characters
+    owner = np.repeat(np.arange(len(off) - 1), np.diff(off))[lead]
+    whole = np.flatnonzero(owner[: len(lead) - CHARS + 1] == owner[CHARS - 1 :]) if len(lead) >= CHARS else np.zeros(0, np.int64)
+    gram = hasher.spans(lead[whole], np.append(lead, len(data))[whole + CHARS])
     shift = U64(64 - BITS)
-    found = [(doc, h), (doc[at], pair), (owner[places[whole]], gram[whole])]
+    found = [(doc, h), (doc[at], pair), (owner[whole], gram)]
     return [(d, (x >> shift).astype(np.int64) + (k << BITS)) for k, (d, x) in enumerate(found)]
 
 
@@ -152,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, rounds: in
         .limit(fit_rows)
     )
     # At most fit_rows rows of two numbers: a proven bound, so they may be broadcast.
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     rows = sample.mapInArrow(_rows, "doc_id long, label int, feature array<int>, value array<float>")
 
     def learn(table: pa.Table) -> pa.Table:
@@ -167,8 +171,6 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, rounds: in
 
 
 def _fitted(rows: pa.Table, rounds: int) -> Model | None:
-    if rows.num_rows < 10:
-        return None
     label = rows.column("label").to_numpy().astype(float)
     if len(np.unique(label)) < 2:
         return None
@@ -262,4 +264,4 @@ def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     return docs.mapInArrow(keep, schema)
 
 
-__all__ = ["FIT_ROWS", "LOWER", "Model", "THRESHOLD", "base_counts", "base_failed", "fit", "kept_documents", "margins", "score"]
+__all__ = ["FIT_ROWS", "Model", "THRESHOLD", "base_counts", "base_failed", "fit", "kept_documents", "margins", "score"]

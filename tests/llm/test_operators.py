@@ -202,6 +202,18 @@ def test_decontaminate(tables, name):
     assert clean == {d for d, x in want.items() if not x[4]}
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_decontaminate_without_broadcasts(tables, monkeypatch, name):
+    monkeypatch.setattr(decontaminate, "MOST_BYTES", -1)
+    monkeypatch.setattr(decontaminate, "MOST_DOCS", -1)
+    test_decontaminate(tables, name)
+
+
+def test_near_dups_without_broadcasts(tables, monkeypatch):
+    monkeypatch.setattr(near_dups, "MOST_BROADCAST", -1)
+    test_near_dups(tables, "edge")
+
+
 def test_decontaminate_without_items(spark, tables):
     docs = tables["edge"][0]
     none = spark.createDataFrame([], "item_id long, text string")
@@ -259,6 +271,17 @@ def test_packing_round_trip(tables, name):
         assert got == encode(text or ""), d
 
 
+def test_packing_of_a_blown_up_shard(spark):
+    rows = [(5, "word " * 400)] * 300 + [(None, "other " * 100)] * 3 + [(k, f"text {k}") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = packing.pack(docs, seq_len=128, shard_bytes=20_000).collect()
+    assert len({(r["shard"], r["row"]) for r in got}) == len(got)
+    encode = packing.encoder(f"{packing.TOKENIZERS}/{packing.VOCABULARY}").encode_ordinary
+    assert sum(len(ids) for _, _, ids in packing.segments_of(got)) == sum(len(encode(t)) for _, t in rows)
+    starts = sorted((d or 0, at) for d, at, _ in packing.segments_of(got))
+    assert starts.count((5, 0)) == 301 and starts.count((0, 0)) == 4
+
+
 def test_best_fit_decreasing():
     rng = random.Random(2)
     lengths = [rng.randrange(1, 65) for _ in range(500)]
@@ -272,7 +295,7 @@ def test_best_fit_decreasing():
             slow[min(fits, key=lambda k: slow[k])] -= n
         else:
             slow.append(64 - n)
-    assert len(rows) == len(slow)
+    assert sorted(64 - sum(lengths[k] for k in r) for r in rows) == sorted(slow)
 
 
 @pytest.mark.parametrize("name", NAMES)
