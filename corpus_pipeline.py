@@ -1,12 +1,15 @@
 """A training-data pipeline: quality rules, near-duplicates, decontamination, mixing, packing.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each
-result as Parquet in the shared folder and reads it again as the next stage's input.
+result as Parquet in the shared folder and reads it again as the next stage's input. A
+stage's folder is removed once the next one stands; the last one's stays, as it is the result.
+
+Rows that share a doc_id are one document to the near-duplicate stage, which keeps one of
+them; the other stages judge rows that share id and text alike.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -14,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphmill.llm import decontaminate, mixing, near_dups, packing, quality
 from graphmill.llm.common import table
+from graphmill.session import removed, shared_folder
 
 #: Words in a shingle of the near-duplicate stage.
 SHINGLE_WORDS = 5
@@ -52,10 +56,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-pipeline-")
-    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            removed(spark, f"{folder}/{k - 1}")
     return docs

@@ -37,6 +37,12 @@ def shared_folder(spark: SparkSession) -> str:
     return context._own_folder
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever Spark's file systems hold it."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder of ``spark.checkpoint.dir``."""
     context = df.sparkSession.sparkContext
