@@ -13,14 +13,14 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .model import Graph, GraphError
+from .model import SYNONYM_PROPERTIES, Graph, GraphError
 from .operators import dag, search, traverse
 
 #: Literal properties of each part of a concept's details (fixed values).
 DETAILS = {
     "definitions": ["definition", "externallySourcedDefinition", "IAO_0000115"],
     "comments": ["comment", "curatorNote"],
-    "synonyms": ["synonym", "hasExactSynonym", "hasRelatedSynonym", "altLabel", "abbrev", "acronym"],
+    "synonyms": [name for name in SYNONYM_PROPERTIES if name not in ("label", "prefLabel")],
 }
 
 Function = Callable[..., DataFrame]

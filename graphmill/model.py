@@ -40,10 +40,31 @@ DEFINING_TYPES = (2, 3, 7, 8, 9, 10, 11)
 TYPE_BITS = {1: ResourceType.CLASS, 2: ResourceType.INDIVIDUAL, 4: ResourceType.PROPERTY, 8: ResourceType.LITERAL}
 #: Properties whose literals name their subject (fixed values).
 SYNONYM_PROPERTIES = (
-    "synonym", "synonyms", "hasExactSynonym", "hasRelatedSynonym", "hasNarrowSynonym", "hasBroadSynonym", "abbrev", "abbreviation",
-    "acronym", "altLabel", "prefLabel", "label",
+    "prefLabel", "label", "has_exact_synonym", "hasExactSynonym", "synonym", "abbrev", "has_related_synonym", "hasRelatedSynonym",
+    "acronym", "taxonomicCommonName", "ncbiTaxScientificName", "ncbiTaxGenbankCommonName", "ncbiTaxBlastName", "ncbiIncludesName",
+    "ncbiInPartName", "has_narrow_synonym", "hasNarrowSynonym", "misspelling", "misnomer", "has_broad_synonym", "hasBroadSynonym",
 )
 ABBREVIATIONS, ACRONYMS = ("abbrev", "abbreviation"), ("acronym",)
+#: Classes below which all are obsolete, and namespaces of the vocabulary (fixed values).
+RETIRED_ROOTS = ("_birnlex_retired_class", "ObsoleteClass", "DeprecatedClass")
+RDF, RDFS, OWL, XSD = (
+    "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "http://www.w3.org/2000/01/rdf-schema#", "http://www.w3.org/2002/07/owl#",
+    "http://www.w3.org/2001/XMLSchema#",
+)
+#: System properties by namespace, and those that are symmetric, annotations of resources or of texts (fixed values).
+SYSTEM_PROPERTIES = {
+    OWL: (
+        "allValuesFrom", "backwardCompatibleWith", "cardinality", "complementOf", "deprecated", "differentFrom", "disjointUnion", "disjointWith",
+        "distinctMembers", "equivalentClass", "equivalentProperty", "hasValue", "imports", "incompatibleWith", "intersectionOf", "inverseOf",
+        "maxCardinality", "minCardinality", "onDatatype", "onProperty", "oneOf", "priorVersion", "sameAs", "someValuesFrom", "unionOf",
+        "valuesFrom", "versionInfo",
+    ),
+    RDF: ("first", "object", "predicate", "rest", "subject", "type", "value"),
+    RDFS: ("comment", "domain", "isDefinedBy", "label", "member", "range", "seeAlso", "subClassOf", "subPropertyOf"),
+}
+SYMMETRIC = ("complementOf", "differentFrom", "disjointWith", "equivalentClass", "equivalentProperty", "inverseOf", "sameAs")
+RESOURCE_ANNOTATIONS = ("backwardCompatibleWith", "incompatibleWith", "priorVersion", "isDefinedBy", "seeAlso")
+TEXT_ANNOTATIONS = ("versionInfo", "comment", "label", "deprecated")
 
 NODE_COLUMNS = ("rid", "rtid", "name", "label", "kbid", "anonymous", "is_obsolete", "uri")
 EDGE_COLUMNS = (

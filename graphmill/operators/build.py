@@ -11,12 +11,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import EDGE_KEY, NODE_COLUMNS, Graph
+from ..model import EDGE_KEY, NODE_COLUMNS, OWL, RESOURCE_ANNOTATIONS, SYMMETRIC, SYSTEM_PROPERTIES, TEXT_ANNOTATIONS, Graph
 from ..model import ResourceType as T
-from ..session import saved
-from .infer import as_edges, unhide_restrictions, without_mutual
+from ..session import saved, saved_rows
+from .infer import as_edges, deprecated_classes, propagate_obsolete, retired_roots, unhide_restrictions, without_mutual
 
-#: Columns of the tables of a shredded ontology.
+#: Columns of the tables of a shredded ontology (fixed values).
 TABLES = {
     "namespace": "id long, prefix string, url string",
     "primitiveclass": "id long, name string, nsid long, is_system boolean",
@@ -69,13 +69,8 @@ ANONYMOUS = {
 #: Restriction codes and statements of hidden edges (fixed values).
 QUANTIFIERS = {"allvaluesfromclass": (T.ALL_VALUES_FROM, "a", "forall", "allValuesFrom"), "somevaluesfromclass": (T.SOME_VALUES_FROM, "v", "exists", "someValuesFrom")}
 CARDINALITIES = {"cardinalityclass": (T.CARDINALITY, "b", "="), "mincardinalityclass": (T.MIN_CARDINALITY, "m", ">="), "maxcardinalityclass": (T.MAX_CARDINALITY, "n", "<=")}
-#: System vocabulary that the rules need (fixed values).
+#: System classes that the rules need (fixed values).
 SYSTEM_CLASSES = ("Thing", "Restriction")
-SYSTEM_PROPERTIES = (
-    "type", "onProperty", "subClassOf", "equivalentClass", "subPropertyOf", "equivalentProperty", "inverseOf", "disjointWith", "disjointUnion",
-    "differentFrom", "sameAs", "hasValue", "allValuesFrom", "someValuesFrom", "domain", "range", "complementOf", "unionOf", "intersectionOf",
-    "oneOf", "distinctMembers", "onDatatype", "label", "deprecated",
-)
 #: Properties that give a label, the first that is there.
 LABEL_PROPERTIES = ("label", "IAO_0000589")
 LITERAL_LENGTH = 1500
@@ -83,17 +78,32 @@ LITERAL_LENGTH = 1500
 SYSTEM_ID = 1 << 40
 
 
+def system_rows() -> tuple[list[tuple], list[tuple], list[tuple]]:
+    """Namespaces, classes and properties of the system vocabulary; a row's id follows from its place in the lists."""
+    spaces = [(SYSTEM_ID + k, url) for k, url in enumerate(SYSTEM_PROPERTIES)]
+    classes = [(SYSTEM_ID + k, name, OWL) for k, name in enumerate(SYSTEM_CLASSES)]
+    names = [(url, name) for url, listed in SYSTEM_PROPERTIES.items() for name in listed]
+    of = lambda n: (n in RESOURCE_ANNOTATIONS, n in SYMMETRIC, n in TEXT_ANNOTATIONS, n in RESOURCE_ANNOTATIONS + TEXT_ANNOTATIONS)
+    return spaces, classes, [(SYSTEM_ID + k, name, url, *of(name)) for k, (url, name) in enumerate(names)]
+
+
 def complete(spark: SparkSession, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The tables, with empty ones for those that are missing and with the system vocabulary the rules need."""
+    """The tables, with empty ones for those that are missing and with the system vocabulary."""
     out = {name: tables.get(name, spark.createDataFrame([], schema)) for name, schema in TABLES.items()}
+    spaces, classes, properties = system_rows()
+    own = spark.createDataFrame(spaces, "id long, url string").join(out["namespace"].select("url"), "url", "left_anti")
+    out["namespace"] = out["namespace"].unionByName(own, allowMissingColumns=True)
+    at = out["namespace"].groupBy("url").agg(F.min("id").alias("nsid"))
 
-    def with_names(table: str, names: tuple[str, ...], schema: str, row) -> DataFrame:
-        wanted = spark.createDataFrame([row(k, n) for k, n in enumerate(names)], schema)
-        return out[table].unionByName(wanted.join(out[table].select("name"), "name", "left_anti"), allowMissingColumns=True)
+    def with_system(table: str, rows: list[tuple], schema: str) -> DataFrame:
+        wanted = spark.createDataFrame(rows, schema).join(at, "url", "left").drop("url").withColumn("is_system", F.lit(True))
+        missing = wanted.join(out[table].where("is_system").select("name"), "name", "left_anti")
+        filled = missing.withColumns({c: F.lit(False) for c in out[table].columns if c not in missing.columns})
+        return out[table].unionByName(filled)
 
-    out["primitiveclass"] = with_names("primitiveclass", SYSTEM_CLASSES, TABLES["primitiveclass"], lambda k, n: (SYSTEM_ID + k, n, None, True))
-    flags = lambda k, n: (SYSTEM_ID + k, n, None, False, False, n in ("equivalentClass", "sameAs"), False, False, n == "label", True)
-    out["property"] = with_names("property", SYSTEM_PROPERTIES, TABLES["property"], flags)
+    out["primitiveclass"] = with_system("primitiveclass", classes, "id long, name string, url string")
+    flags = "is_object boolean, is_symmetric boolean, is_datatype boolean, is_annotation boolean"
+    out["property"] = with_system("property", properties, f"id long, name string, url string, {flags}")
     ints = spark.createDataFrame([(SYSTEM_ID, "int")], TABLES["datatype"])
     out["datatype"] = out["datatype"].unionByName(ints.join(out["datatype"].select("name"), "name", "left_anti"))
     return out
@@ -202,7 +212,7 @@ def quoted_at(column: str, mark: str) -> Column:
     return F.when(F.contains(F.col(column), F.lit(mark)), F.concat(F.lit('"'), F.col(column), F.lit('"'))).otherwise(F.col(column))
 
 
-def set_labels(t: dict[str, DataFrame], nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
+def set_labels(t: dict[str, DataFrame], nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes with labels: a label property's text, else the own name, else text composed from the parts of the definition.
 
     Composed labels need their parts' labels first, so rounds go on until none is added; what
@@ -219,7 +229,8 @@ def set_labels(t: dict[str, DataFrame], nodes: DataFrame, edges: DataFrame, roun
     label = lambda rid, rtid, out: known.select(F.col("rid").alias(rid), F.col("rtid").alias(rtid), F.col("found").alias(out))
     prop = lambda df: df.join(label("propertyid", "_t", "p").where(f"_t = {int(T.PROPERTY)}").drop("_t"), "propertyid")
     some = lambda kind, df, text: df.select(F.col("id").alias("rid"), F.lit(int(kind)).alias("rtid"), text.alias("found"))
-    for _ in range(rounds):
+    added = 1
+    while added:
         new = []
         for table, (kind, _, sign) in CARDINALITIES.items():
             new.append(some(kind, prop(t[table]), F.concat(F.lit("something with "), quoted_at("p", " "), F.lit(f" {sign} "), F.col("cardinality").cast("string"))))
@@ -237,26 +248,30 @@ def set_labels(t: dict[str, DataFrame], nodes: DataFrame, edges: DataFrame, roun
             member = t[table].select("id", value_column, "rtid").distinct().join(label(value_column, "rtid", "v"), [value_column, "rtid"], "left")
             whole = member.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(quoted_at("v", ","))), ", ").alias("v"), F.count_if(F.col("v").isNull()).alias("open"))
             new.append(some(kind, whole.where("open = 0"), F.concat(F.lit(f"{word} of ("), F.col("v"), F.lit(")"))))
-        added = reduce(DataFrame.unionByName, new).where("found is not null").groupBy("rid", "rtid").agg(F.min("found").alias("found"))
-        added = saved(added.join(known.select("rid", "rtid"), ["rid", "rtid"], "left_anti"))
-        if added.isEmpty():
-            break
-        known = saved(known.unionByName(added))
+        found = reduce(DataFrame.unionByName, new).where("found is not null").groupBy("rid", "rtid").agg(F.min("found").alias("found"))
+        found, added = saved_rows(found.join(known.select("rid", "rtid"), ["rid", "rtid"], "left_anti"))
+        known = saved(known.unionByName(found)) if added else known
     out = nodes.join(known, ["rid", "rtid"], "left")
     return out.select(*(F.coalesce("found", "name").alias(c) if c == "label" else F.col(c) for c in NODE_COLUMNS))
 
 
 def build_graph(spark: SparkSession, tables: dict[str, DataFrame], kbid: int = 1, kb: str = "kb") -> Graph:
-    """A graph from the tables of one ontology; the edges before any inference are kept as ``extra['raw_edges']``."""
+    """A graph from the tables of one ontology, obsolete classes and their edges flagged.
+
+    The edges before any inference are kept as ``extra['raw_edges']``.
+    """
     t = complete(spark, tables)
     nodes, edges = saved(build_nodes(t, kbid)), saved(build_edges(t, kbid))
-    props = t["property"].withColumn("kbid", F.lit(kbid))
-    return Graph(
+    graph = Graph(
         nodes=saved(set_labels(t, nodes, edges)),
         edges=edges,
-        properties=props,
+        properties=t["property"].withColumn("kbid", F.lit(kbid)),
         sub_properties=t["subpropertyof"].withColumn("kbid", F.lit(kbid)),
         inverse_properties=t["inversepropertyof"].withColumn("kbid", F.lit(kbid)),
         kbs=spark.createDataFrame([(kbid, kb)], "id int, name string"),
-        extra={"raw_edges": edges, "intersections": t["intersectionclass"], "unions": t["unionclass"]},
+        extra={"intersections": t["intersectionclass"], "unions": t["unionclass"]},
     )
+    graph = propagate_obsolete(graph, deprecated_classes(graph), retired_roots(graph))
+    graph.nodes, graph.edges = saved(graph.nodes), saved(graph.edges)
+    graph.extra["raw_edges"] = graph.edges
+    return graph

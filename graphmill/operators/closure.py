@@ -36,8 +36,8 @@ def reach(arcs: DataFrame, seeds: DataFrame, max_hops: int | None = None) -> Dat
         hop += 1
         step = frontier.join(arcs, frontier["node"] == arcs["src"]).select("seed", F.col("dst").alias("node")).distinct()
         seen = _union(known).select("seed", "node")
-        frontier = saved(step.join(seen, ["seed", "node"], "left_anti").withColumn("hops", F.lit(hop).cast("long")))
-        if frontier.isEmpty():
+        frontier, left = saved_rows(step.join(seen, ["seed", "node"], "left_anti").withColumn("hops", F.lit(hop).cast("long")))
+        if not left:
             break
         known.append(frontier)
     return _union(known)
@@ -52,8 +52,8 @@ def all_pairs(arcs: DataFrame) -> DataFrame:
         hop += 1
         step = frontier.select("src", F.col("dst").alias("mid")).join(arcs.toDF("mid", "dst"), "mid").select("src", "dst").where("src <> dst").distinct()
         seen = _union(known).select("src", "dst")
-        frontier = saved(step.join(seen, ["src", "dst"], "left_anti").withColumn("hops", F.lit(hop).cast("long")))
-        if frontier.isEmpty():
+        frontier, left = saved_rows(step.join(seen, ["src", "dst"], "left_anti").withColumn("hops", F.lit(hop).cast("long")))
+        if not left:
             return _union(known)
         known.append(frontier)
 
@@ -98,23 +98,23 @@ def components(edges: DataFrame) -> DataFrame:
 def longest_depth(arcs: DataFrame) -> DataFrame:
     """(node, depth): nodes of a rooted DAG of arcs (src child, dst parent) by their longest path from a root, roots at 1.
 
-    Relaxation by layers: a node's depth is final once no parent moved in the round before.
-    A cycle raises, after as many rounds as there are nodes at most.
+    Relaxation by layers: a node is in every layer that a path from a root reaches, its depth is
+    the last one. A cycle raises: one below a root once the layers outnumber the nodes, one that no
+    root reaches as its nodes are in no layer.
     """
     arcs = saved(arcs.select("src", "dst").where("src <> dst").distinct())
-    nodes = arcs.select(F.col("src").alias("node")).union(arcs.select("dst")).distinct()
-    roots = nodes.join(arcs.select(F.col("src").alias("node")), "node", "left_anti")
-    depth = 1
-    layer = saved(roots)
-    layers = [layer.withColumn("depth", F.lit(1).cast("long"))]
+    nodes = saved(arcs.select(F.col("src").alias("node")).union(arcs.select("dst")).distinct())
     total = nodes.count()
-    while True:
+    layer, left = saved_rows(nodes.join(arcs.select(F.col("src").alias("node")), "node", "left_anti"))
+    depth, layers = 0, []
+    while left:
         depth += 1
-        layer = saved(arcs.join(layer, arcs["dst"] == layer["node"], "left_semi").select(F.col("src").alias("node")).distinct())
-        if layer.isEmpty():
-            break
         if depth > total:
             raise GraphError("cycle", "a longest depth needs a graph without cycles")
         layers.append(layer.withColumn("depth", F.lit(depth).cast("long")))
-    found = _union(layers).groupBy("node").agg(F.max("depth").alias("depth"))
-    return nodes.join(found, "node", "left").select("node", F.coalesce("depth", F.lit(1)).cast("long").alias("depth"))
+        layer, left = saved_rows(arcs.join(layer, arcs["dst"] == layer["node"], "left_semi").select(F.col("src").alias("node")).distinct())
+    empty = nodes.withColumn("depth", F.lit(0).cast("long")).where("false")
+    found = saved(_union([empty, *layers]).groupBy("node").agg(F.max("depth").alias("depth")))
+    if found.count() < total:
+        raise GraphError("cycle", "a longest depth needs a graph without cycles")
+    return found

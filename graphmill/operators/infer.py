@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import DEFINING_TYPES, EDGE_COLUMNS, EDGE_KEY, Graph
-from ..session import saved
+from ..model import DEFINING_TYPES, EDGE_COLUMNS, EDGE_KEY, OWL, RETIRED_ROOTS, Graph
+from ..session import saved, saved_rows
 from .closure import components, reach
 
 
@@ -91,13 +91,13 @@ def set_subclasses(graph: Graph, intersections: DataFrame, unions: DataFrame) ->
     named = same.select("rid1", "rtid1", "rid2", "rtid2").unionByName(turned).where("rtid1 = 1")
     below = of_property(graph, "subClassOf").where("rtid1 = 1").select("rid1", "rtid1", "rid2", "rtid2").unionByName(named)
     parts = intersections.where("rtid in (1, 8)").select(F.col("id").alias("rid2"), "classid", F.col("rtid").alias("part_type"))
-    frontier = saved(below.where("rtid2 = 8").select("rid1", "rtid1", "rid2").distinct())
+    frontier, left = saved_rows(below.where("rtid2 = 8").select("rid1", "rtid1", "rid2").distinct())
     found, seen = None, frontier
-    while not frontier.isEmpty():
+    while left:
         step = frontier.join(parts, "rid2").select("rid1", "rtid1", F.col("classid").alias("rid2"), F.col("part_type").alias("rtid2"))
         found = step if found is None else found.unionByName(step)
         deeper = step.where("rtid2 = 8").select("rid1", "rtid1", "rid2").distinct()
-        frontier = saved(deeper.join(seen, ["rid1", "rtid1", "rid2"], "left_anti"))
+        frontier, left = saved_rows(deeper.join(seen, ["rid1", "rtid1", "rid2"], "left_anti"))
         seen = seen.unionByName(frontier)
     members = unions.where("rtid in (1, 9)").select(F.col("id").alias("rid2"), F.col("classid").alias("part"), F.col("rtid").alias("part_type"))
     upward = named.where("rtid2 = 9").join(members, "rid2").select(
@@ -131,8 +131,8 @@ def inheritable_edges(graph: Graph, pid: int, sub_properties: list[int]) -> Data
     held, new = frontier.select("rid1", "rid2", "rtid2").distinct(), None
     while True:
         step = frontier.join(arcs, frontier["rid1"] == arcs["parent"]).select(F.col("child").alias("rid1"), "pid", "rid2", "rtid2").distinct()
-        frontier = saved(step.join(held, ["rid1", "rid2", "rtid2"], "left_anti"))
-        if frontier.isEmpty():
+        frontier, left = saved_rows(step.join(held, ["rid1", "rid2", "rtid2"], "left_anti"))
+        if not left:
             break
         held = held.unionByName(frontier.select("rid1", "rid2", "rtid2").distinct())
         new = frontier if new is None else new.unionByName(frontier)
@@ -175,10 +175,27 @@ def unhide_restrictions(edges: DataFrame) -> DataFrame:
     return edges.join(shown, ["rid1", "rtid1"], "left").select(*(hidden.alias(c) if c == "hidden" else F.col(c) for c in edges.columns))
 
 
+def deprecated_classes(graph: Graph) -> DataFrame:
+    """(rid) of the classes that the vocabulary's ``deprecated`` calls true."""
+    mark = graph.nodes.where((F.col("rtid") == 15) & (F.col("uri") == f"{OWL}deprecated")).select(F.col("rid").alias("pid"))
+    true = graph.nodes.where("rtid = 13 and name = 'true'").select(F.col("rid").alias("rid2"))
+    said = graph.edges.where("rtid1 = 1 and rtid2 = 13").join(mark, "pid", "left_semi").join(true, "rid2", "left_semi")
+    return said.select(F.col("rid1").alias("rid")).distinct()
+
+
+def retired_roots(graph: Graph) -> DataFrame:
+    """(rid) of the classes below which all are retired, by name or label."""
+    named = F.lower("name").isin(*map(str.lower, RETIRED_ROOTS)) | F.lower("label").isin(*map(str.lower, RETIRED_ROOTS))
+    return graph.nodes.where((F.col("rtid") == 1) & named).select("rid").distinct()
+
+
 def propagate_obsolete(graph: Graph, deprecated: DataFrame, retired: DataFrame) -> Graph:
-    """The graph with flags set: deprecated classes (rid), all classes below a retired root (rid), and every edge that touches one."""
+    """The graph with flags set: deprecated classes (rid), all classes below a retired root (rid), and every edge that touches one.
+
+    A root itself stays: only what lies below it is retired.
+    """
     arcs = of_property(graph, "subClassOf").where("rtid1 = 1 and rtid2 = 1").select(F.col("rid2").alias("src"), F.col("rid1").alias("dst"))
-    below = reach(arcs, retired.select(F.col("rid").alias("seed"))).select(F.col("node").alias("rid"))
+    below = reach(arcs, retired.select(F.col("rid").alias("seed"))).where("hops > 0").select(F.col("node").alias("rid"))
     gone = saved(deprecated.select("rid").union(below).distinct().withColumns({"rtid": F.lit(1), "gone": F.lit(True)}))
     flag = lambda *hits: F.col("is_obsolete") | F.coalesce(*hits, F.lit(False))
     nodes = graph.nodes.join(gone, ["rid", "rtid"], "left")

@@ -601,8 +601,8 @@ def _(g):
 
 @query(
     "unhide_restrictions",
-    """ SELECT rid1, rtid1::BIGINT AS rtid1, pid, rid2, rtid2::BIGINT AS rtid2,
-      pid IN (2, 8) AND NOT EXISTS (SELECT 1 FROM edges o WHERE o.pid NOT IN (2, 8) AND o.rid2 = e.rid1 AND o.rtid2 = e.rtid1) AS hidden FROM edges e""",
+    """ SELECT e.rid1, e.rtid1::BIGINT AS rtid1, e.pid, e.rid2, e.rtid2::BIGINT AS rtid2, e.pid IN (2, 8) AND s.rid2 IS NULL AS hidden
+    FROM edges e LEFT JOIN (SELECT DISTINCT rid2, rtid2 FROM edges WHERE pid NOT IN (2, 8)) s ON s.rid2 = e.rid1 AND s.rtid2 = e.rtid1""",
 )
 def _(g):
     edges = g.edges.withColumn("hidden", F.col("pid").isin(2, 8))
@@ -613,7 +613,7 @@ def _(g):
     "obsolete_propagation",
     """ SELECT rid1, rtid1::BIGINT AS rtid1, pid, rid2, rtid2::BIGINT AS rtid2,
       (rtid1 = 1 AND rid1 IN (SELECT rid FROM dead)) OR (rtid2 = 1 AND rid2 IN (SELECT rid FROM dead)) AS is_obsolete FROM edges""",
-    CLOSURE_SQL + """, dead AS (SELECT "desc" AS rid FROM clo WHERE anc = 7 UNION SELECT 7 UNION SELECT p_partkey FROM part WHERE p_size = 13)""",
+    CLOSURE_SQL + """, dead AS (SELECT "desc" AS rid FROM clo WHERE anc = 7 UNION SELECT p_partkey FROM part WHERE p_size = 13)""",
 )
 def _(g):
     sizes = g.nodes.sparkSession.read.parquet(f"{g.extra['sf_dir']}/part.parquet").where("p_size = 13")

@@ -1,8 +1,9 @@
 """OWL documents in RDF/XML: files to triples in tasks, triples to the tables of a shredded ontology.
 
-Each file is parsed by one task into (subject, predicate, object) rows; everything after
-that is joins on predicates, so many documents load side by side. Ids come from two-level
-ranks of a stable key, never from the order of rows.
+Each file is read by one task as a stream of elements into (subject, predicate, object) rows,
+so that neither a tree nor a list of a whole document is held; everything after that is joins
+on predicates, and many documents load side by side. Ids come from two-level ranks of a stable
+key, never from the order of rows.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import io
 from collections.abc import Iterator
 from functools import reduce
+from itertools import count, islice
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -17,83 +19,123 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalized_literal
-from ..model import GraphError
+from ..model import OWL, RDF, RDFS, RESOURCE_ANNOTATIONS, SYSTEM_PROPERTIES, TEXT_ANNOTATIONS, XSD, GraphError
 from ..model import ResourceType as T
-from ..session import saved, shipped
+from ..session import saved, saved_rows, shipped
 
-# Namespaces of the vocabulary.
-RDF, RDFS, OWL, XSD = (
-    "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "http://www.w3.org/2000/01/rdf-schema#", "http://www.w3.org/2002/07/owl#",
-    "http://www.w3.org/2001/XMLSchema#",
-)
 XML = "{http://www.w3.org/XML/1998/namespace}"
 MEMBER = "urn:member"
 TRIPLES = "s string, p string, o string, literal boolean, lang string, datatype string"
-#: Axioms that a load refuses (fixed values).
-REFUSED = ("hasKey", "NegativePropertyAssertion", "AllDisjointProperties")
+#: Axioms that a load refuses (fixed values): keys, negative assertions, rules; definitions of datatypes are refused as well.
+REFUSED = (f"{OWL}hasKey", f"{OWL}NegativePropertyAssertion", "http://www.w3.org/2003/11/swrl#Imp")
+#: Annotations of the vocabulary: properties that need no declaration.
+ANNOTATIONS = [url + name for url, names in SYSTEM_PROPERTIES.items() for name in names if name in RESOURCE_ANNOTATIONS + TEXT_ANNOTATIONS]
+#: Between a literal's text, language and datatype where they make up its key.
+MARK = "\u0001"
+#: Triples that a task hands over at once.
+BATCH = 50_000
 PROPERTY_KINDS = ("ObjectProperty", "DatatypeProperty", "AnnotationProperty", "TransitiveProperty", "SymmetricProperty", "FunctionalProperty")
 CLASS_KINDS = (f"{OWL}Class", f"{RDFS}Class")
 
 
 def triples_of(data: bytes, source: str) -> Iterator[tuple]:
-    """Triples of one RDF/XML document; blank nodes are named after the document."""
-    root = ElementTree.fromstring(data)
-    state = {"blank": 0, "base": root.get(f"{XML}base", "").rstrip("#")}
-    name = lambda tag: tag[1:].replace("}", "", 1) if tag[0] == "{" else tag
+    """Triples of one RDF/XML document, in one pass over its elements; blank nodes are named after the document.
 
-    def iri(value: str) -> str:
-        return value if ":" in value.split("/")[0] else state["base"] + (value if value.startswith("#") or not value else "#" + value)
-
-    def blank(label: str | None = None) -> str:
-        state["blank"] += label is None
-        return f"_:{source}/{label or state['blank']}"
-
-    def subject(element) -> str:
-        about, own, label = (element.get(f"{{{RDF}}}{k}") for k in ("about", "ID", "nodeID"))
-        return iri(about) if about is not None else iri("#" + own) if own is not None else blank(label)
-
-    def read(element) -> Iterator[tuple]:
-        s = subject(element)
-        element.set("_s", s)
-        if element.tag != f"{{{RDF}}}Description":
-            yield s, f"{RDF}type", name(element.tag), False, None, None
-        for child in element:
-            p = name(child.tag)
-            resource, label, kind = (child.get(f"{{{RDF}}}{k}") for k in ("resource", "nodeID", "parseType"))
-            if kind == "Collection":
-                o = blank()
-                yield s, p, o, False, None, None
-                for member in child:
-                    yield from read(member)
-                    yield o, MEMBER, member.get("_s"), False, None, None
-            elif resource is not None:
-                yield s, p, iri(resource), False, None, None
-            elif label is not None:
-                yield s, p, blank(label), False, None, None
-            elif len(child):
-                for node in child:
-                    yield from read(node)
-                    yield s, p, node.get("_s"), False, None, None
-            else:
-                yield s, p, child.text or "", True, child.get(f"{XML}lang"), child.get(f"{{{RDF}}}datatype")
-
-    for element in root:
-        yield from read(element)
+    Property attributes, nested bases and languages, collections, and properties parsed as resources or as literals are read.
+    """
+    blanks = count(1)
+    name = lambda tag: tag[1:].replace("}", "", 1) if tag[0] == "{" else tag
+    rdf = lambda element, key: element.get(f"{{{RDF}}}{key}")
+    fresh = lambda: f"_:{source}/{next(blanks)}"
+    plain = lambda key: not key.startswith((f"{{{RDF}}}", XML)) and key[0] == "{"
+
+    def iri(value: str, base: str) -> str:
+        return value if ":" in value.split("/")[0] else base + (value if value.startswith("#") or not value else "#" + value)
+
+    # Open elements: kind ("root", "node", "property", "literal", "inner"), subject, predicate, list or object, base, language, parts.
+    path: list[dict] = []
+    for event, element in ElementTree.iterparse(io.BytesIO(data), ("start", "end")):
+        if event == "start":
+            above = path[-1] if path else {"kind": "", "base": "", "lang": None, "parts": 0}
+            above["parts"] += 1
+            own = {"base": element.get(f"{XML}base", above["base"]).rstrip("#"), "lang": element.get(f"{XML}lang", above["lang"]), "parts": 0}
+            path.append(own)
+            if above["kind"] in ("literal", "inner"):
+                own["kind"] = "inner"
+            elif not above["kind"] and element.tag == f"{{{RDF}}}RDF":
+                own["kind"] = "root"
+            elif above["kind"] == "node":
+                p, kind = name(element.tag), rdf(element, "parseType")
+                resource, label = rdf(element, "resource"), rdf(element, "nodeID")
+                if p == f"{RDF}li":
+                    above["members"] = above.get("members", 0) + 1
+                    p = f"{RDF}_{above['members']}"
+                own |= {"kind": "property", "s": above["s"], "p": p, "list": None, "done": False}
+                said = [(name(k), v) for k, v in element.attrib.items() if plain(k)]
+                if kind == "Collection":
+                    own |= {"list": fresh(), "done": True}
+                    yield own["s"], p, own["list"], False, None, None
+                elif kind == "Resource":
+                    own |= {"kind": "node", "s": fresh()}
+                    yield above["s"], p, own["s"], False, None, None
+                elif kind == "Literal":
+                    own["kind"] = "literal"
+                elif resource is not None or label is not None or said:
+                    o = iri(resource, own["base"]) if resource is not None else f"_:{source}/{label}" if label is not None else fresh()
+                    own["done"] = True
+                    yield own["s"], p, o, False, None, None
+                    for q, v in said:
+                        yield o, q, v, True, own["lang"], None
+            else:  # a node: below the root, a property or nothing at all
+                about, given, label = (rdf(element, k) for k in ("about", "ID", "nodeID"))
+                s = iri(about, own["base"]) if about is not None else iri("#" + given, own["base"]) if given is not None else None
+                s = s if s is not None else f"_:{source}/{label}" if label is not None else fresh()
+                own |= {"kind": "node", "s": s}
+                if element.tag != f"{{{RDF}}}Description":
+                    yield s, f"{RDF}type", name(element.tag), False, None, None
+                for k, v in element.attrib.items():
+                    if k == f"{{{RDF}}}type":
+                        yield s, f"{RDF}type", iri(v, own["base"]), False, None, None
+                    elif plain(k):
+                        yield s, name(k), v, True, own["lang"], None
+                if above["kind"] == "property":
+                    if above["list"]:
+                        yield above["list"], MEMBER, s, False, None, None
+                    else:
+                        above["done"] = True
+                        yield above["s"], above["p"], s, False, None, None
+        else:
+            own = path.pop()
+            if own["kind"] == "literal":
+                inner = (element.text or "") + "".join(ElementTree.tostring(x, "unicode") for x in element)
+                yield own["s"], own["p"], inner, True, None, f"{RDF}XMLLiteral"
+            elif own["kind"] == "property" and not own["done"]:
+                yield own["s"], own["p"], element.text or "", True, own["lang"], rdf(element, "datatype")
+            if own["kind"] != "inner":
+                element.clear()
 
 
 def read_triples(spark: SparkSession, path: str) -> DataFrame:
     """Triples of all RDF/XML files of a path."""
+    columns = [c.split()[0] for c in TRIPLES.split(", ")]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for file, data in zip(batch["path"], batch["content"], strict=True):
-                rows = list(triples_of(io.BytesIO(data).getvalue(), file.rsplit("/", 1)[-1]))
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in TRIPLES.split(", ")])
+                rows = triples_of(bytes(data), file.rsplit("/", 1)[-1])
+                while part := list(islice(rows, BATCH)):
+                    yield pd.DataFrame(part, columns=columns)
 
     shipped(spark)
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, TRIPLES)
 
 
+def literal_key(text: Column, lang: Column, datatype: Column) -> Column:
+    """What tells literals apart: the normalised text, with language and datatype behind it if there are any."""
+    tail = F.concat(F.lit(MARK), F.coalesce(lang, F.lit("")), F.lit(MARK), F.coalesce(datatype, F.lit("")))
+    return F.concat(text, F.when(lang.isNotNull() | datatype.isNotNull(), tail).otherwise(F.lit("")))
+
+
 def dense_ids(keys: DataFrame, key: str = "key") -> DataFrame:
     """(key, id): ids 1, 2, .. that depend on the keys alone; ranks within hash buckets, behind the sizes of earlier buckets."""
     keys = keys.select(key).distinct().withColumn("part", F.substring(F.md5(key), 1, 2))
@@ -110,11 +152,14 @@ def local_name(iri: Column) -> Column:
 def shred(triples: DataFrame) -> dict[str, DataFrame]:
     """The tables of an ontology from its triples."""
     t = saved(triples.distinct())
-    refused = t.where((F.col("p") == f"{RDF}type") & F.col("o").isin(*(OWL + k for k in REFUSED)) | F.col("p").isin(*(OWL + k for k in REFUSED)))
-    if bad := refused.select("o").first():
-        raise GraphError("axiom", f"{bad['o']} is not supported")
+    refused = t.where((F.col("p") == f"{RDF}type") & F.col("o").isin(*REFUSED)).select("o").union(t.where(F.col("p").isin(*REFUSED)).select("p"))
+    kinds_of_data = t.where((F.col("p") == f"{RDF}type") & (F.col("o") == f"{RDFS}Datatype")).select("s")
+    defined = t.where(F.col("p") == f"{OWL}equivalentClass").join(kinds_of_data, "s", "left_semi").select(F.lit("a definition of a datatype"))
+    if bad := refused.union(defined).first():
+        raise GraphError("axiom", f"{bad[0]} is not supported")
     of = lambda *names: t.where(F.col("p").isin(*names) & ~F.col("literal")).select("s", "o")
-    texts = lambda name: t.where((F.col("p") == name) & F.col("literal")).select("s", "o")
+    key = literal_key(normalized_literal("o"), F.col("lang"), F.col("datatype"))
+    texts = lambda name, keyed=False: t.where((F.col("p") == name) & F.col("literal")).select("s", key.alias("o") if keyed else "o")
     is_blank = lambda c: F.startswith(F.col(c), F.lit("_:"))
     types = of(f"{RDF}type")
     member = of(MEMBER).toDF("list", "item")
@@ -122,15 +167,20 @@ def shred(triples: DataFrame) -> dict[str, DataFrame]:
     # names of all kinds
     props = types.where(F.col("o").isin(*(OWL + k for k in PROPERTY_KINDS), f"{RDF}Property"))
     has = lambda kind: F.max(F.col("o") == OWL + kind).alias(kind)
-    props = props.groupBy(F.col("s").alias("key")).agg(*map(has, PROPERTY_KINDS))
+    props = props.groupBy(F.col("s").alias("key")).agg(*map(has, PROPERTY_KINDS)).withColumn("system", F.lit(False))
+    # the vocabulary's annotations count where they are used
+    used = t.where(F.col("p").isin(*ANNOTATIONS)).select(F.col("p").alias("key")).distinct().join(props.select("key"), "key", "left_anti")
+    flags = {k: F.lit(k == "AnnotationProperty") for k in PROPERTY_KINDS} | {"system": F.lit(True)}
+    props = props.unionByName(used.withColumns(flags))
     classes = types.where(F.col("o").isin(*CLASS_KINDS) & ~is_blank("s")).select(F.col("s").alias("key")).distinct()
     known = [OWL + k for k in (*PROPERTY_KINDS, "Class", "Restriction", "Ontology", "AllDifferent", "Axiom")] + [f"{RDFS}Datatype", f"{RDFS}Class", f"{RDF}Property"]
     persons = types.where(~F.col("o").isin(*known) & ~is_blank("s")).select(F.col("s").alias("key")).distinct()
     used = of(f"{RDFS}range", f"{OWL}onDatatype").where(F.startswith("o", F.lit(XSD))).select(F.col("o").alias("key"))
+    used = used.union(t.where("datatype is not null").select("datatype"))
     datatypes = types.where(F.col("o") == f"{RDFS}Datatype").select(F.col("s").alias("key")).union(used).distinct()
     # annotation values that name nothing known count as literals
     named = reduce(DataFrame.union, [classes, persons, props.select("key"), datatypes]).distinct()
-    literal = t.where("literal").select(normalized_literal("o").alias("key"))
+    literal = t.where("literal").select(key.alias("key"))
     stray = t.where("not literal").select("s", "o").where(~is_blank("o")).select(F.col("o").alias("key"))
     stray = stray.join(named, "key", "left_anti").where(~F.startswith("key", F.lit(OWL)) & ~F.startswith("key", F.lit(RDFS)) & ~F.startswith("key", F.lit(XSD)))
     literals = literal.union(stray).distinct()
@@ -146,11 +196,11 @@ def shred(triples: DataFrame) -> dict[str, DataFrame]:
         "primitiveclass": in_space(ids["c"]).select("id", local_name(F.col("key")).alias("name"), "nsid", F.lit(False).alias("is_system")),
         "individual": in_space(ids["i"]).select("id", local_name(F.col("key")).alias("name"), "nsid"),
         "datatype": ids["d"].select("id", local_name(F.col("key")).alias("name")),
-        "literal": ids["l"].select("id", F.col("key").alias("lexicalform"), F.lit(None).cast("string").alias("langtag"), F.lit(None).cast("long").alias("datatypeid")),
+        "literal": _literals(ids["l"], ids["d"]),
         "property": in_space(flags).select(
             "id", local_name(F.col("key")).alias("name"), "nsid", F.col("ObjectProperty").alias("is_object"), F.col("TransitiveProperty").alias("is_transitive"),
             F.col("SymmetricProperty").alias("is_symmetric"), F.col("FunctionalProperty").alias("is_functional"),
-            F.col("DatatypeProperty").alias("is_datatype"), F.col("AnnotationProperty").alias("is_annotation"), F.lit(False).alias("is_system"),
+            F.col("DatatypeProperty").alias("is_datatype"), F.col("AnnotationProperty").alias("is_annotation"), F.col("system").alias("is_system"),
         ),
     }
     ontologies = types.where(F.col("o") == f"{OWL}Ontology").select(F.col("s").alias("key"))
@@ -194,7 +244,7 @@ def shred(triples: DataFrame) -> dict[str, DataFrame]:
     out["differentindividual"] = different.where("at = 12 and bt = 12").select("individualid1", "individualid2")
     # assertions of the ontology's own properties, and annotations of the vocabulary's
     own = t.join(ids["p"].toDF("p", "propertyid"), "p")
-    value = F.when(F.col("literal"), normalized_literal("o")).otherwise(F.col("o"))
+    value = F.when(F.col("literal"), key).otherwise(F.col("o"))
     a = nodes.select(F.col("node").alias("s"), F.col("id").alias("subjectid"), F.col("rtid").alias("subject_rtid"))
     b = all_nodes.select(F.col("node").alias("v"), F.col("id").alias("objectid"), F.col("rtid").alias("object_rtid"))
     right_kind = F.col("literal") == (F.col("object_rtid") == int(T.LITERAL))
@@ -203,6 +253,14 @@ def shred(triples: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
+def _literals(ids: DataFrame, datatypes: DataFrame) -> DataFrame:
+    """The literal table from the keys: text, language and datatype."""
+    parts = F.split("key", MARK)
+    part = lambda k: F.when((F.size(parts) > 1) & (F.get(parts, F.lit(k)) != ""), F.get(parts, F.lit(k)))
+    found = ids.select("id", F.get(parts, F.lit(0)).alias("lexicalform"), part(1).alias("langtag"), part(2).alias("datatype"))
+    return found.join(datatypes.toDF("datatype", "datatypeid"), "datatype", "left").select("id", "lexicalform", "langtag", "datatypeid")
+
+
 def _all_pairs(members: DataFrame) -> DataFrame:
     """Both-way-distinct pairs (s, o) of the items of each list: an axiom over n things is one of each pair of them."""
     return members.toDF("list", "axiom", "s").join(members.toDF("list", "axiom", "o"), ["list", "axiom"]).where("s < o").select("s", "o")
@@ -220,7 +278,7 @@ def _expressions(of, texts, member: DataFrame) -> DataFrame:
         DataFrame.unionByName,
         [
             row(quant("allValuesFrom"), T.ALL_VALUES_FROM), row(quant("someValuesFrom"), T.SOME_VALUES_FROM),
-            row(quant("hasValue").union(on.join(texts(f"{OWL}hasValue").toDF("node", "value"), "node")), T.HAS_VALUE),
+            row(quant("hasValue").union(on.join(texts(f"{OWL}hasValue", keyed=True).toDF("node", "value"), "node")), T.HAS_VALUE),
             row(count("cardinality", "qualifiedCardinality"), T.CARDINALITY), row(count("minCardinality", "minQualifiedCardinality"), T.MIN_CARDINALITY),
             row(count("maxCardinality", "maxQualifiedCardinality"), T.MAX_CARDINALITY), row(count("hasSelf"), T.HAS_SELF),
             row(of(f"{OWL}complementOf").toDF("node", "value").withColumn("prop", null), T.COMPLEMENT),
@@ -229,23 +287,21 @@ def _expressions(of, texts, member: DataFrame) -> DataFrame:
     )
 
 
-def _browser_texts(parts: DataFrame, rounds: int = 30) -> DataFrame:
-    """(node, kind, text) of the expressions: their parts' names and texts, inside out."""
+def _browser_texts(parts: DataFrame) -> DataFrame:
+    """(node, kind, text) of the expressions: their parts' names and texts, inside out; an expression within itself has none."""
     words = {2: "only", 3: "some", 4: "exactly", 5: "min", 6: "max", 7: "not", 8: "and", 9: "or", 10: "value", 11: "one of", 20: "self"}
     word = F.element_at(F.create_map(*(F.lit(x) for k in words.items() for x in k)), F.col("kind"))
     plain = ~F.startswith(F.col("value"), F.lit("_:"))
-    found = parts.where("false").select(F.col("node").alias("value"), F.col("prop").alias("inner"))
-    done = None
-    for _ in range(rounds):
-        filled = parts.join(found, "value", "left").withColumn("shown", F.when(plain, F.col("value")).otherwise(F.col("inner")))
+    texts, added = parts.where("false").select("node", "kind", F.lit("").alias("text")), 1
+    while added:
+        inner = texts.select(F.col("node").alias("value"), F.concat(F.lit("("), "text", F.lit(")")).alias("inner"))
+        left = parts.join(texts.select("node"), "node", "left_anti")
+        filled = left.join(inner, "value", "left").withColumn("shown", F.when(plain, F.split_part("value", F.lit(MARK), F.lit(1))).otherwise(F.col("inner")))
         text = F.concat_ws(" ", F.first("prop"), word, F.array_join(F.array_sort(F.collect_list("shown")), ", "))
         new = filled.groupBy("node", "kind").agg(text.alias("text"), F.count_if(F.col("shown").isNull()).alias("open")).where("open = 0")
-        new = saved(new.select("node", "kind", "text"))
-        size = new.count()
-        if size == done:
-            break
-        done, found = size, new.select(F.col("node").alias("value"), F.concat(F.lit("("), "text", F.lit(")")).alias("inner"))
-    return new
+        new, added = saved_rows(new.select("node", "kind", "text"))
+        texts = saved(texts.unionByName(new)) if added else texts
+    return texts
 
 
 def _expression_tables(parts: DataFrame, interned: DataFrame, nodes: DataFrame, all_nodes: DataFrame, prop_ids: DataFrame) -> dict[str, DataFrame]:

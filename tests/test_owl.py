@@ -2,7 +2,7 @@
 
 import pytest
 
-from graphmill.model import GraphError
+from graphmill.model import SYNONYM_PROPERTIES, GraphError
 from graphmill.operators import build, dag, infer, search, traverse
 from graphmill.sources import owl
 
@@ -95,6 +95,65 @@ def test_refused_axioms(spark, tmp_path):
         owl.shred(owl.read_triples(spark, str(tmp_path)))
 
 
+def test_refused_rules_and_definitions(spark, tmp_path):
+    bodies = {
+        "rule": '<rdf:Description rdf:about="#r"><rdf:type rdf:resource="http://www.w3.org/2003/11/swrl#Imp"/></rdf:Description>',
+        "data": '<rdfs:Datatype rdf:about="#d"><owl:equivalentClass rdf:resource="http://www.w3.org/2001/XMLSchema#int"/></rdfs:Datatype>',
+    }
+    for name, body in bodies.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "bad.owl").write_text(HEAD + body + "</rdf:RDF>")
+        with pytest.raises(GraphError):
+            owl.shred(owl.read_triples(spark, str(tmp_path / name)))
+
+
+def test_syntax():
+    body = """<owl:Class rdf:about="#A" rdfs:label="a label"><rdfs:comment xml:lang="en">hi</rdfs:comment>
+      <note xml:base="http://y.org/z" rdf:resource="#there"/><note rdf:parseType="Resource"><deep>1</deep></note>
+      <note rdf:parseType="Literal">x <b>y</b></note><note rdf:nodeID="n"/><note rdfs:label="blank"/></owl:Class>
+      <rdf:Bag rdf:nodeID="n"><rdf:li>p</rdf:li><rdf:li>q</rdf:li></rdf:Bag>"""
+    o, rdf, rdfs = "http://x.org/o#", "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "http://www.w3.org/2000/01/rdf-schema#"
+    got = list(owl.triples_of((HEAD + body + "</rdf:RDF>").encode(), "f"))
+    for want in (
+        (o + "A", rdfs + "label", "a label", True, None, None), (o + "A", rdfs + "comment", "hi", True, "en", None),
+        (o + "A", o + "note", "http://y.org/z#there", False, None, None), (o + "A", o + "note", "_:f/1", False, None, None),
+        ("_:f/1", o + "deep", "1", True, None, None), (o + "A", o + "note", 'x <ns0:b xmlns:ns0="http://x.org/o#">y</ns0:b>', True, None, rdf + "XMLLiteral"),
+        (o + "A", o + "note", "_:f/n", False, None, None), ("_:f/2", rdfs + "label", "blank", True, None, None),
+        ("_:f/n", rdf + "_1", "p", True, None, None), ("_:f/n", rdf + "_2", "q", True, None, None),
+    ):
+        assert want in got, want
+    deep = '<owl:Class rdf:about="#A">' + "<note><owl:Class>" * 3000 + "</owl:Class></note>" * 3000 + "</owl:Class>"
+    assert len(list(owl.triples_of((HEAD + deep + "</rdf:RDF>").encode(), "f"))) == 6001
+
+
+def test_obsolete_labels_and_synonyms(spark, tmp_path):
+    lines = [
+        '<owl:Ontology rdf:about="http://x.org/o"/><owl:Class rdf:about="#ObsoleteClass"/><owl:Class rdf:about="#Top"/>',
+        '<owl:Class rdf:about="#Old"><rdfs:subClassOf rdf:resource="#ObsoleteClass"/></owl:Class>',
+        '<owl:Class rdf:about="#Older"><rdfs:subClassOf rdf:resource="#Old"/></owl:Class>',
+        '<owl:Class rdf:about="#Gone"><rdfs:label xml:lang="en">gone class</rdfs:label><rdfs:subClassOf rdf:resource="#Top"/>'
+        '<owl:deprecated rdf:datatype="http://www.w3.org/2001/XMLSchema#boolean">true</owl:deprecated></owl:Class>',
+    ]
+    for k, name in enumerate(SYNONYM_PROPERTIES):
+        if name != "label":
+            lines.append(f'<owl:AnnotationProperty rdf:about="#{name}"/>')
+        tag = "rdfs:label" if name == "label" else name
+        lines.append(f'<owl:Class rdf:about="#C{k}"><{tag}>also called {k}</{tag}></owl:Class>')
+    (tmp_path / "a.owl").write_text(HEAD + "".join(lines) + "</rdf:RDF>")
+    tables = owl.shred(owl.read_triples(spark, str(tmp_path)))
+    said = {r["lexicalform"]: (r["langtag"], r["datatypeid"] is not None) for r in tables["literal"].collect()}
+    assert said["gone class"] == ("en", False) and said["true"] == (None, True) and said["also called 3"] == (None, False)
+    g = build.build_graph(spark, tables, kb="o")
+    name = {r["rid"]: (r["name"], r["label"], r["is_obsolete"]) for r in g.nodes.where("rtid = 1").collect()}
+    assert {n for n, _, gone in name.values() if gone} == {"Old", "Older", "Gone"}
+    assert ("Gone", "gone class", True) in name.values()
+    dead = g.edges.where("is_obsolete and rtid2 = 1").collect()
+    assert {(name[r["rid1"]][0], name[r["rid2"]][0]) for r in dead} == {("Old", "ObsoleteClass"), ("Older", "Old"), ("Gone", "Top")}
+    for k in range(len(SYNONYM_PROPERTIES)):
+        found = search.ids_by_term(g, [f"Also called {k}"], use_label=False, synonyms=True).collect()
+        assert [name[r["rid"]][0] for r in found if r["rtid"] == 1] == [f"C{k}"], SYNONYM_PROPERTIES[k]
+
+
 def test_spool(spark, tmp_path):
     (tmp_path / "t.tsv").write_text("1\tx\t[NULL]\n2\t[NULL]\t0\n")
     rows = owl.load_spool(spark, str(tmp_path), "id long, name string, nsid long").orderBy("id").collect()
