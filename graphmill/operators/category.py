@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import ABBREVIATIONS, ACRONYMS, Graph
+from ..model import ABBREVIATIONS, ACRONYMS, SYNONYM_PROPERTIES, Graph
 from .infer import has_definition, of_property
 from .search import ids_by_term, synonym_edges
 
@@ -33,7 +33,7 @@ def term_categories(graph: Graph, index: DataFrame, category_terms: list[str], g
     text = lambda names, out: (
         synonym_edges(graph, names).where("rtid = 1").groupBy("rid").agg(F.array_join(F.array_sort(F.collect_set("term")), ",").alias(out))
     )
-    other = [n for n in ("synonym", "synonyms", "hasExactSynonym", "hasRelatedSynonym", "hasNarrowSynonym", "hasBroadSynonym")]
+    other = [n for n in SYNONYM_PROPERTIES if n not in ("label", "prefLabel", *ABBREVIATIONS, *ACRONYMS)]
     alt = text(["altLabel"], "alt")
     out = found.join(classes, "rid").join(classes.toDF("cat", "category"), "cat").join(alt, "rid", "left").join(text(other, "synonyms"), "rid", "left")
     out = out.join(text(ABBREVIATIONS, "abbreviations"), "rid", "left").join(text(ACRONYMS, "acronyms"), "rid", "left")

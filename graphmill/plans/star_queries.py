@@ -329,11 +329,17 @@ def _(g):
     return big(dag.lowest_common_ancestors(closure_of(g), groups))
 
 
-@query("dag_paths", f' SELECT {SEED}::BIGINT AS anc, "desc", (hops + 1)::BIGINT AS n_nodes FROM clo WHERE anc = {SEED}', CLOSURE_SQL)
+@query(
+    "dag_paths",
+    f' SELECT {SEED}::BIGINT AS anc, "desc", step::BIGINT AS step, node FROM walk',
+    CLOSURE_SQL
+    + f""", near AS (SELECT "desc" AS node, hops AS h FROM clo WHERE anc = {SEED} UNION ALL SELECT {SEED}, 0),
+    next AS (SELECT s.src AS node, min(s.dst) AS up FROM sub s JOIN near a ON a.node = s.dst JOIN near b ON b.node = s.src AND a.h = b.h - 1 GROUP BY 1),
+    walk AS (SELECT node AS "desc", 0 AS step, node FROM near WHERE h > 0 UNION ALL SELECT w."desc", step + 1, up FROM walk w JOIN next n ON n.node = w.node)""",
+)
 def _(g):
     index = closure_of(g)
-    paths = dag.shortest_paths(sub_arcs(g), index, index.where(F.col("anc") == SEED))
-    return big(paths.groupBy("anc", "desc").agg(F.count("*").alias("n_nodes")))
+    return big(dag.shortest_paths(sub_arcs(g), index, index.where(F.col("anc") == SEED)))
 
 
 @query("siblings", " SELECT DISTINCT a.src AS node, b.src AS sibling FROM sub a JOIN sub b ON a.dst = b.dst WHERE a.src <> b.src AND a.src <> a.dst AND b.src <> b.dst")
@@ -803,6 +809,121 @@ def _(g):
     return render.reconcile_json(search.reconcile(terms, "brand#1"))
 
 
+# --- kinds of requests, labels and clean-up ------------------------------------------------------------------------
+
+REQUESTS = {
+    "parents": (traverse.Kind.PARENTS, (97, 1), "pid = 1 AND rid1 = 97"),
+    "children": (traverse.Kind.CHILDREN, (7, 1), "pid = 1 AND rid2 = 7"),
+    "parts": (traverse.Kind.PARTS, (NATION + 3, 12), f"pid IN (2, 8) AND rid2 = {NATION + 3}"),
+    "whole": (traverse.Kind.WHOLE, (SUPPLIER + 2, 12), f"pid IN (2, 8) AND rid1 = {SUPPLIER + 2}"),
+}
+for _name, (_kind, _seed, _where) in REQUESTS.items():
+    query(f"graph_request_{_name}", EDGE2.format(edges=f"(SELECT * FROM edges WHERE {_where})", extra=""))(
+        lambda g, kind=_kind, seed=_seed: big(traverse.graph_request(g, kind, seeds(g, seed)))
+    )
+
+
+@query(
+    "superclasses",
+    EDGE2.format(edges="(SELECT * FROM edges WHERE pid = 1 AND rid1 <> rid2 AND (rid1 = 97 OR rid1 IN (SELECT anc FROM clo WHERE \"desc\" = 97)))", extra=""),
+    CLOSURE_SQL,
+)
+def _(g):
+    return big(traverse.superclasses(g, seeds(g, (97, 1))))
+
+
+@query(
+    "subclasses",
+    EDGE2.format(edges="(SELECT * FROM edges WHERE pid = 1 AND rid1 <> rid2 AND (rid2 = 7 OR rid2 IN (SELECT \"desc\" FROM clo WHERE anc = 7)))", extra=""),
+    CLOSURE_SQL,
+)
+def _(g):
+    return big(traverse.subclasses(g, seeds(g, (7, 1))))
+
+
+@query(
+    "concept_search",
+    """ SELECT n.rid, n.name, coalesce(s, '') AS synonyms, coalesce(p, '') AS superclasses FROM nodes n
+      LEFT JOIN (SELECT rid1 AS rid, string_agg(DISTINCT txt, '|' ORDER BY txt) AS s FROM edges JOIN lit ON rid2 = lit.rid WHERE pid = 4 GROUP BY 1) USING (rid)
+      LEFT JOIN (SELECT src AS rid, string_agg(DISTINCT m.name, '|' ORDER BY m.name) AS p FROM sub JOIN nodes m ON m.rid = dst AND m.rtid = 1 GROUP BY 1) USING (rid)
+    WHERE n.rtid = 1 AND (lower(n.name) IN (SELECT t FROM near) OR n.rid IN (SELECT rid FROM syn WHERE lower(term) IN (SELECT t FROM near)))""",
+    SYN
+    + f""", near AS (
+      SELECT DISTINCT lower(name) AS t FROM (
+        SELECT name, {DIST.format(t="brand#2")} FROM (
+          SELECT name FROM nodes WHERE rtid = 1 AND lower(name) LIKE '%brand#2%' UNION SELECT term FROM syn WHERE rtid = 1 AND lower(term) LIKE '%brand#2%'
+        ) WHERE levenshtein(name, 'brand#2') <= {search.MAX_EDIT_DISTANCE} ORDER BY dist, name LIMIT {search.CONCEPT_LIMIT}
+      )
+    )""",
+)
+def _(g):
+    return big(search.search_concepts(g, "brand#2", {"synonyms": ["synonym"]}))
+
+
+@query(
+    "copy_across_equivalents",
+    f""" {NEW} new WHERE NOT (pid = 1 AND EXISTS (
+      SELECT 1 FROM (SELECT * FROM new UNION SELECT * FROM edges) o WHERE o.pid = 1 AND o.rid1 = new.rid2 AND o.rid2 = new.rid1 AND o.rtid1 = 1 AND o.rtid2 = 1
+    ))""",
+    """ same AS (SELECT rid1 AS a, rid2 AS b FROM edges WHERE pid = 7 UNION SELECT rid2, rid1 FROM edges WHERE pid = 7),
+    new AS (
+      SELECT * FROM (
+        SELECT b AS rid1, rtid1, pid, rid2, rtid2 FROM edges JOIN same ON rid1 = a AND rtid1 = 1 WHERE pid <> 7
+        UNION SELECT rid1, rtid1, pid, b, rtid2 FROM edges JOIN same ON rid2 = a AND rtid2 = 1 WHERE pid <> 7
+      ) WHERE NOT (rid1 = rid2 AND rtid1 = rtid2) EXCEPT SELECT * FROM edges
+    )""",
+)
+def _(g):
+    return big(infer.copy_across_equivalents(g).select("rid1", "rtid1", "pid", "rid2", "rtid2"))
+
+
+@query(
+    "backfill_labels",
+    """ SELECT n.rid, n.rtid::BIGINT AS rtid, CASE WHEN n.rtid <> 1 THEN n.name WHEN n.rid % 10 = 6 THEN upper(n.name) ELSE coalesce(upper(m.name), n.name) END AS label
+    FROM nodes n LEFT JOIN nodes m ON n.rtid = 1 AND m.rtid = 1 AND n.rid % 10 = 5 AND m.rid = n.rid + 1""",
+)
+def _(g):
+    proper = F.when((F.col("rtid") == 1) & (F.col("rid") % 10 == 6), F.upper("name")).otherwise(F.col("name"))
+    named = Graph(g.nodes.withColumn("label", proper), g.edges, g.properties, g.sub_properties, g.inverse_properties, g.kbs, {})
+    return big(infer.backfill_labels(named, infer.equivalence_groups(g)).select("rid", "rtid", "label"))
+
+
+@query(
+    "replace_labels",
+    """ SELECT n.rid, n.rtid::BIGINT AS rtid, CASE WHEN n.rtid = 1 AND (n.rid = 7 OR n.rid IN (SELECT "desc" FROM clo WHERE anc = 7)) THEN p_brand ELSE n.name END AS label
+    FROM nodes n LEFT JOIN part ON p_partkey = n.rid""",
+    CLOSURE_SQL,
+)
+def _(g):
+    return big(infer.replace_labels(g, seeds(g, (7, 1)).select("rid"), "synonym").select("rid", "rtid", "label"))
+
+
+@query(
+    "single_use_instances",
+    f""" SELECT rid1 AS rid FROM edges WHERE rtid1 = 12 AND rid1 IN (SELECT rid1 FROM edges WHERE rtid1 = 12 AND pid = 2 AND rid2 % 5 = 3 AND rid2 BETWEEN {NATION} AND {REGION - 1})
+    GROUP BY rid1 HAVING count(*) = 1""",
+)
+def _(g):
+    nations = g.nodes.where(f"rtid = 12 and rid between {NATION} and {REGION - 1} and rid % 5 = 3").select("rid")
+    return big(infer.single_use_instances(g, nations, "part_of"))
+
+
+@query(
+    "pathway_labels",
+    """ SELECT p_partkey::BIGINT AS rid, coalesce('[' || l || '] -> ' || CASE WHEN r IS NULL THEN '' ELSE '[' || r || ']' END, label) AS label
+    FROM (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN p_brand ELSE p_name END AS label FROM part) n
+    LEFT JOIN (SELECT p_partkey * 3 AS k, CASE WHEN p_partkey % 5 = 0 THEN p_brand ELSE p_name END AS l FROM part) ON k = p_partkey
+    LEFT JOIN (SELECT p_partkey * 6 AS q, CASE WHEN p_partkey % 5 = 0 THEN p_brand ELSE p_name END AS r FROM part) ON q = p_partkey""",
+)
+def _(g):
+    brand = g.nodes.where("rtid = 13").select(F.col("rid").alias("rid2"), F.col("name").alias("brand"))
+    brands = g.edges.where("pid = 4").join(brand, "rid2").select(F.col("rid1").alias("rid"), F.col("brand").alias("standard_name"))
+    shown = F.when(F.col("rid") % 5 != 0, F.col("name")).alias("display_name")
+    names = g.nodes.where("rtid = 1").join(brands, "rid", "left").select("rid", shown, "standard_name")
+    side = lambda k: names.where(F.col("rid") % k == 0).select("rid", (F.col("rid") / k).cast("long").alias("part"))
+    return big(infer.pathway_labels(names, side(3), side(6)))
+
+
 def graph_of(spark: SparkSession, sf_dir: str) -> Graph:
     """The graph of a folder; nodes and edges are materialised once per session."""
     held = graph_of.__dict__.setdefault("held", {})
