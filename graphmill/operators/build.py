@@ -136,21 +136,24 @@ def build_nodes(t: dict[str, DataFrame], kbid: int) -> DataFrame:
 
 def build_edges(t: dict[str, DataFrame], kbid: int) -> DataFrame:
     """All edges of the statements; hidden ones are shown where something visible leads to them."""
-    system = t["property"].where("is_system").groupBy("name").agg(F.min("id").alias("id"))
+    # Ids of the vocabulary by name: as many rows as it has names.
+    ids = lambda table, names: {
+        r["name"]: r["id"] for r in t[table].where(F.col("name").isin(list(names))).groupBy("name").agg(F.min("id").alias("id")).collect()
+    }
+    system = ids("property", [n for names in SYSTEM_PROPERTIES.values() for n in names])
+    classes, integer = ids("primitiveclass", SYSTEM_CLASSES), ids("datatype", ["int"])["int"]
 
     def edge(df: DataFrame, left, left_type, pid, right, right_type, **flags) -> DataFrame:
         of = lambda x: F.col(x) if isinstance(x, str) else F.lit(int(x)) if not isinstance(x, Column) else x
-        if isinstance(pid, tuple):  # the id of a system property by name: one row
-            df = df.crossJoin(F.broadcast(system.where(F.col("name") == pid[0]).select(F.col("id").alias("_pid"))))
-            pid = "_pid"
+        pid = system[pid[0]] if isinstance(pid, tuple) else pid  # a system property by name
         found = df.select(
             of(left).cast("long").alias("rid1"), of(left_type).cast("int").alias("rtid1"), of(pid).cast("long").alias("pid"),
             of(right).cast("long").alias("rid2"), of(right_type).cast("int").alias("rtid2"),
             *([flags.pop("stmt").alias("restriction_stmt")] if "stmt" in flags else []),
         )
-        return as_edges(found.distinct(), kbid, **flags)
+        return as_edges(found, kbid, **flags)
 
-    thing, restriction = (t["primitiveclass"].where(F.col("name") == n).groupBy().agg(F.min("id").alias(f"_{n}")) for n in SYSTEM_CLASSES)
+    thing, restriction = (F.lit(classes[n]) for n in SYSTEM_CLASSES)
     p = T.PROPERTY
     child = t["subclassof"].select(F.struct("childid", "child_rtid").alias("c"), F.struct(F.col("parentid").alias("childid"), F.col("parent_rtid").alias("child_rtid")).alias("p"))
     up = without_mutual(child.distinct(), "c", "p").select("c.childid", "c.child_rtid", F.col("p.childid").alias("parentid"), F.col("p.child_rtid").alias("parent_rtid"))
@@ -179,31 +182,27 @@ def build_edges(t: dict[str, DataFrame], kbid: int) -> DataFrame:
     values = {"hasvalue": (T.HAS_VALUE, "hasValue", "valueid"), "hasself": (T.HAS_SELF, None, None)}
     values |= {table: (kind, name, "rangeclassid") for table, (kind, _, _, name) in QUANTIFIERS.items()}
     for table, (kind, name, value) in values.items():
-        own = t[table].crossJoin(F.broadcast(restriction))
-        parts.append(edge(own, "id", kind, ("type",), "_Restriction", T.CLASS, derived=True))
+        parts.append(edge(t[table], "id", kind, ("type",), restriction, T.CLASS, derived=True))
         parts.append(edge(t[table], "id", kind, ("onProperty",), "propertyid", p, derived=True))
         if name:
             parts.append(edge(t[table], "id", kind, (name,), value, "rtid", derived=True))
     # domains to ranges; a side that a property lacks is Thing
     domain, range_ = t["domain"].toDF("propertyid", "drid", "drtid"), t["range"].toDF("propertyid", "rrid", "rrtid")
     parts.append(edge(domain.join(range_, "propertyid"), "drid", "drtid", "propertyid", "rrid", "rrtid"))
-    alone = domain.join(range_, "propertyid", "left_anti").crossJoin(F.broadcast(thing))
-    parts.append(edge(alone, "drid", "drtid", "propertyid", "_Thing", T.CLASS, derived=True))
-    alone = range_.join(domain, "propertyid", "left_anti").crossJoin(F.broadcast(thing))
-    parts.append(edge(alone, "_Thing", T.CLASS, "propertyid", "rrid", "rrtid", derived=True))
+    parts.append(edge(domain.join(range_, "propertyid", "left_anti"), "drid", "drtid", "propertyid", thing, T.CLASS, derived=True))
+    parts.append(edge(range_.join(domain, "propertyid", "left_anti"), thing, T.CLASS, "propertyid", "rrid", "rrtid", derived=True))
     for table, (kind, code, stmt, _) in QUANTIFIERS.items():
         parts.append(edge(t[table], "id", kind, "propertyid", "rangeclassid", "rtid", hidden=True, restriction_type=code, restriction_stmt=stmt))
-    integer = t["datatype"].where("name = 'int'").groupBy().agg(F.min("id").alias("_int"))
     counted = []
     for table, (kind, code, sign) in CARDINALITIES.items():
-        own = t[table].crossJoin(F.broadcast(integer)).withColumn("stmt", F.concat(F.lit(f"cardinality{sign}"), F.col("cardinality").cast("string")))
-        parts.append(edge(own, "id", kind, "propertyid", "_int", T.DATATYPE, hidden=True, restriction_type=code, stmt=F.col("stmt")))
+        own = t[table].withColumn("stmt", F.concat(F.lit(f"cardinality{sign}"), F.col("cardinality").cast("string")))
+        parts.append(edge(own, "id", kind, "propertyid", integer, T.DATATYPE, hidden=True, restriction_type=code, stmt=F.col("stmt")))
         child = t["subclassof"].where(f"parent_rtid = {int(kind)}").join(own, F.col("parentid") == F.col("id"))
-        counted.append(edge(child, "childid", "child_rtid", "propertyid", "_int", T.DATATYPE, derived=True, restriction_type=code, stmt=F.col("stmt")))
+        counted.append(edge(child, "childid", "child_rtid", "propertyid", integer, T.DATATYPE, derived=True, restriction_type=code, stmt=F.col("stmt")))
     facet = {"derived": True, "restriction_type": "d", "restriction_stmt": "datatype"}
     parts.append(edge(t["datatype_restriction"], "id", T.DATATYPE_RESTRICTION, ("onDatatype",), "dtid", T.DATATYPE, **facet))
     parts.append(edge(t["datatype_restriction"], "id", T.DATATYPE_RESTRICTION, "facetpropid", "literalid", T.LITERAL, **facet))
-    edges = reduce(DataFrame.unionByName, parts).dropDuplicates([*EDGE_KEY, "hidden", "restriction_type", "restriction_stmt"])
+    edges = saved(reduce(DataFrame.unionByName, parts).dropDuplicates([*EDGE_KEY, "hidden", "restriction_type", "restriction_stmt"]))
     new = reduce(DataFrame.unionByName, counted).join(edges.select(*EDGE_KEY).distinct(), list(EDGE_KEY), "left_anti")
     return unhide_restrictions(edges.unionByName(new))
 
