@@ -319,3 +319,23 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     once = carried.join(flagged, "id", "left_anti")
     again = carried.join(flagged.where("_kept"), "id").groupBy("id").agg(F.min_by("row", F.struct("row.text")).alias("row")).select("id", "row")
     return once.union(again).select(*(F.col("row")[c].alias(c) for c in docs.columns))
+
+
+#: The registered query in SQL: shingles joined with themselves, links, and the least node reached.
+ORACLE_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t-\\r]+'), []) AS w FROM documents
+),
+sets AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p + 1 : p + {WIDTH}], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - {WIDTH - 1}, 1))) AS p FROM d WHERE len(w) > 0)
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM met JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * c >= {PERCENT} * (a.n + b.n - c)),
+way AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reached AS (SELECT doc_id AS node, doc_id AS low FROM d UNION SELECT way.y, low FROM reached JOIN way ON way.x = node WHERE low < way.y),
+least AS (SELECT node, min(low) AS component_id FROM reached GROUP BY node)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM d LEFT JOIN sizes USING (doc_id) JOIN least ON node = doc_id
+"""

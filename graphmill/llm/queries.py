@@ -63,4 +63,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": line_spread.ORACLE_SQL,
     "op6_mix_sources": mixing.ORACLE_SQL,
     "op7_decontaminate": decontaminate.ORACLE_SQL,
+    "op9_near_dups": near_dups.ORACLE_SQL,
+    "op10_suffix_dedup": suffix_dedup.ORACLE_SQL,
 }

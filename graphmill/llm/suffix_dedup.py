@@ -448,3 +448,29 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     joined = keyed.join(parts, ["doc", "tie"], "left")
     return joined.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+#: The registered query in SQL: all windows as hexadecimal text, their first places, and the islands of later ones.
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(hex(encode(text)), '') AS h FROM documents),
+win AS (
+  SELECT doc_id, p, md5_number(substring(h, 2 * p + 1, {2 * LENGTH})) AS s
+  FROM (SELECT doc_id, h, unnest(range(len(h) // 2 - {LENGTH - 1})) AS p FROM d WHERE len(h) >= {2 * LENGTH})
+),
+later AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS turn FROM win) WHERE turn > 1),
+cut AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= {LENGTH} THEN 0 ELSE 1 END AS new FROM later),
+runs AS (
+  SELECT doc_id, run, min(p) AS a, max(p) + {LENGTH} AS b FROM (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM cut) GROUP BY ALL
+),
+gaps AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before, lead(a) OVER (PARTITION BY doc_id ORDER BY a) IS NULL AS last FROM runs
+),
+cuts AS (
+  SELECT g.doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans,
+    string_agg(substring(h, 2 * before + 1, 2 * (a - before)) || CASE WHEN last THEN substring(h, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS kept
+  FROM gaps g JOIN d USING (doc_id) GROUP BY g.doc_id
+)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN cuts USING (doc_id)
+"""
