@@ -3,7 +3,7 @@
 Routes of the service that this library replaces map to: ontologies -> ``ontologies``; concepts by id, address,
 term or search -> ``concept`` and ``concept_search``; siblings -> ``siblings_of``; rel/{type} -> ``relations``;
 keyword (with ancestors) -> ``keyword``; reconcile -> ``reconciled``; getprop -> ``property_list``; cards ->
-``graphmill.operators.category.card``.
+``card_listing``; the XML responses of relationships -> ``neighborhood_document``.
 """
 
 from __future__ import annotations
@@ -13,8 +13,9 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .functions import render
 from .model import SYNONYM_PROPERTIES, Graph, GraphError
-from .operators import dag, search, traverse
+from .operators import category, dag, search, traverse
 
 #: Literal properties of each part of a concept's details (fixed values).
 DETAILS = {
@@ -64,7 +65,9 @@ def run_sql(graph: Graph, statement: str, **arguments) -> DataFrame:
 
 @function("ontologies")
 def ontologies(graph: Graph) -> DataFrame:
-    return search.list_kbs(graph)
+    """(id, name, rid, rtid, uri): knowledge bases and the ontologies in them; one without an ontology has nulls."""
+    own = graph.live_nodes.where("rtid = 18").select("rid", "rtid", F.coalesce("uri", "name").alias("uri"), F.col("kbid").alias("id"))
+    return search.list_kbs(graph).join(own, "id", "left").select("id", "name", "rid", "rtid", "uri")
 
 
 @function("concept")
@@ -126,6 +129,22 @@ def property_list(graph: Graph, kinds: Iterable[str] = ()) -> DataFrame:
     return search.property_nodes(graph, kinds)
 
 
+@function("cards")
+def card_listing(graph: Graph, roots: Iterable[str], pivots: dict[str, str], index: DataFrame | None = None) -> DataFrame:
+    """(line) the cards of the classes below the roots, a tab-separated line each."""
+    if index is None:
+        arcs = traverse.chosen_edges(graph, ["subClassOf"]).where("rtid1 = 1 and rtid2 = 1")
+        index = dag.closure_index(arcs.select(F.col("rid1").alias("src"), F.col("rid2").alias("dst")))
+    return render.tab_separated(category.card(graph, index, seeds(graph, roots).select("rid"), pivots))
+
+
+@function("neighborhood_document")
+def neighborhood_document(graph: Graph, kind: str = "all", level: int = 1, limit: int = traverse.NEIGHBOR_LIMIT, **wanted) -> DataFrame:
+    """(xml) the response to a request of relationships: at most ``limit`` of them, and whether there were more."""
+    found, more = traverse.truncated(relations(graph, kind, level, **wanted), limit)
+    return render.relationships_document(found, more)
+
+
 def cursor(found: DataFrame):
     """Rows one after another, partition by partition: never the whole result at once."""
     return found.toLocalIterator(prefetchPartitions=True)

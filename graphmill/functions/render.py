@@ -19,6 +19,18 @@ def relationships_xml(edges: DataFrame) -> DataFrame:
     return edges.select(F.to_xml(row, {"rowTag": "relationship"}).alias("xml"))
 
 
+def relationships_document(edges: DataFrame, truncated: bool) -> DataFrame:
+    """(xml) one row: the response to a neighbourhood request, whose edges a limit bounds, and whether there were more.
+
+    The names of its elements are fixed values.
+    """
+    rows = relationships_xml(edges)
+    inner = F.array_join(F.array_sort(F.collect_list("xml")), "")
+    head, flag = "<success><data><ontGraph><relationships>", str(truncated).lower()
+    tail = f"</relationships></ontGraph></data><truncatedResults>{flag}</truncatedResults></success>"
+    return rows.agg(F.concat(F.lit(head), inner, F.lit(tail)).alias("xml"))
+
+
 def classes_xml(details: DataFrame) -> DataFrame:
     """(xml) one ``class`` element per row of concept details."""
     rest = [F.col(c) for c in details.columns if c not in ("rid", "name")]

@@ -103,6 +103,16 @@ def search_names(
     return _ranked(nodes.where(~hit if negated else hit), text, max_distance, limit)
 
 
+def search_ids(graph: Graph, text: str, type_mask: int = 1, negated: bool = False, prefix: bool = False, max_distance: int = 0, limit: int = 0) -> DataFrame:
+    """(rid, rtid, name, dist): as ``search_names``, with the ids; a name that several nodes bear comes once for each."""
+    nodes = graph.live_nodes.where(F.col("rtid").isin(resource_types(type_mask)) & ~F.col("anonymous"))
+    hit = matches("name", text, prefix)
+    found = nodes.where(~hit if negated else hit).select("rid", "rtid", "name").distinct()
+    found = found.withColumn("dist", F.levenshtein("name", F.lit(text)).cast("long"))
+    found = found.where(F.col("dist") <= max_distance) if max_distance else found
+    return found.orderBy("dist", "name", "rtid", "rid").limit(limit) if limit else found
+
+
 def search_terms(graph: Graph, text: str, max_distance: int = 0, limit: int = 0) -> DataFrame:
     """(name, dist) over class names and the literals that some synonym property uses."""
     classes = graph.live_nodes.where("rtid = 1 and not anonymous").select("name")

@@ -391,6 +391,11 @@ def _(g):
     return big(search.search_names(g, "blue", negated=True, max_distance=9))
 
 
+@query("search_ids_like", " SELECT rid, rtid::BIGINT AS rtid, name, " + DIST.format(t="#00001") + " FROM nodes WHERE rtid IN (1, 12) AND lower(name) LIKE '%#00001%'")
+def _(g):
+    return big(search.search_ids(g, "#00001", type_mask=3))
+
+
 @query(
     "search_term_synonym_literals",
     " SELECT name, " + DIST.format(t="brand") + " FROM (SELECT name FROM nodes WHERE rtid = 1 AND lower(name) LIKE '%brand%' UNION SELECT term FROM syn WHERE rtid = 1 AND lower(term) LIKE '%brand%') ORDER BY dist, name LIMIT 20",

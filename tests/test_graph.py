@@ -303,3 +303,11 @@ def test_api_and_rendering(spark, micro):
     assert text.startswith('f({"result":[{"id":1,"term":"A"') and text.endswith("]})")
     assert render.terms_xml(search.autocomplete(terms, "a")).first()["xml"].startswith("<term")
     assert "<class" in render.classes_xml(search.concept_details(micro, api.DETAILS)).first()["xml"]
+
+
+def test_longest_depth_of_cycles(spark):
+    arcs = lambda *rows: spark.createDataFrame(list(rows), "src long, dst long")
+    assert {(r["node"], r["depth"]) for r in closure.longest_depth(arcs((2, 1), (3, 2), (3, 1), (4, 4))).collect()} == {(1, 1), (2, 2), (3, 3)}
+    for bad in (arcs((1, 2), (2, 1)), arcs((2, 1), (3, 2), (2, 3)), arcs((2, 1), (8, 9), (9, 8))):
+        with pytest.raises(GraphError):
+            closure.longest_depth(bad)

@@ -1,9 +1,12 @@
 """An OWL document from file to graph."""
 
+from xml.etree import ElementTree
+
 import pytest
 
+from graphmill import api
 from graphmill.model import SYNONYM_PROPERTIES, GraphError
-from graphmill.operators import build, dag, infer, search, traverse
+from graphmill.operators import build, dag, infer, load, search, traverse
 from graphmill.sources import owl
 
 HEAD = (
@@ -89,6 +92,27 @@ def test_graph(spark, tables):
         search.property_nodes(g, ["strange"])
 
 
+def test_post_processing(spark, tables):
+    g = load.post_processed(build.build_graph(spark, tables, kb="o"))
+    label = {(r["rid"], r["rtid"]): r["label"] for r in g.nodes.collect()}
+    name = {r["id"]: r["name"] for r in g.properties.collect()}
+    edges = {(label[r["rid1"], r["rtid1"]], name[r["pid"]], label[r["rid2"], r["rtid2"]], r["derived"]) for r in g.edges.collect()}
+    assert {("Mind", "subClassOf", "Brain", True), ("me", "has_part", "mine", True), ("mine", "part_of", "me", False)} <= edges
+    pairs = {(label[r["desc"], 1], label[r["anc"], 1]) for r in g.extra["index:subClassOf"].collect()}
+    assert {("Mind", "Brain"), ("Mind", "Organ"), ("Heart", "Organ")} <= pairs and ("Organ", "Mind") not in pairs
+    counts = {label[r["node"], 1]: (r["anc_all"], r["desc_all"]) for r in g.extra["counts:subClassOf"].collect()}
+    assert counts["Mind"] == (2, 0) and counts["Organ"] == (0, 3)
+    assert g.extra["raw_edges"].count() < g.edges.count()
+    xml = api.execute(g, "neighborhood_document", kind="parents", terms=["Heart"]).first()["xml"]
+    root = ElementTree.fromstring(xml)
+    assert root.find("truncatedResults").text == "false" and {x.text for x in root.iter("object")} == {"Organ", "SomeValuesFrom Restriction"}
+    assert ElementTree.fromstring(api.execute(g, "neighborhood_document", kind="parents", terms=["Heart"], limit=1).first()["xml"]).find("truncatedResults").text == "true"
+    lines = sorted(r["line"].split("\t")[1:3] for r in api.execute(g, "cards", roots=["Organ"], pivots={"synonym": "synonyms"}).collect())
+    assert lines == [["Brain", "Organ"], ["Heart", "Organ"], ["Mind", "Brain"]]
+    assert [(r["name"], r["uri"]) for r in api.execute(g, "ontologies").collect()] == [("o", "http://x.org/o")]
+    assert [r["name"] for r in search.search_ids(g, "hear").collect()] == ["Heart"]
+
+
 def test_refused_axioms(spark, tmp_path):
     (tmp_path / "bad.owl").write_text(HEAD + '<owl:Class rdf:about="#A"><owl:hasKey rdf:parseType="Collection"><rdf:Description rdf:about="#p"/></owl:hasKey></owl:Class></rdf:RDF>')
     with pytest.raises(GraphError):
