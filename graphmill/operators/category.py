@@ -50,7 +50,7 @@ def card(graph: Graph, index: DataFrame, root: DataFrame, pivots: dict[str, str]
     """(rid, name, parents, one column per pivot): classes below the root (rid), their parents' names and literal properties side by side."""
     below = index.join(root.select(F.col("rid").alias("anc")), "anc", "left_semi").select(F.col("desc").alias("rid")).distinct()
     classes = graph.live_nodes.where("rtid = 1").select("rid", "name")
-    up = of_property(graph, "subClassOf").select(F.col("rid1").alias("rid"), F.col("rid2").alias("p")).join(classes.toDF("p", "parent"), "p")
+    up = of_property(graph, "subClassOf").where("rtid1 = 1 and rtid2 = 1").select(F.col("rid1").alias("rid"), F.col("rid2").alias("p")).join(classes.toDF("p", "parent"), "p")
     parents = up.groupBy("rid").agg(F.array_join(F.array_sort(F.collect_set("parent")), ";").alias("parents"))
     props = graph.properties.where(F.col("name").isin(list(pivots))).select(F.col("id").alias("pid"), F.col("name").alias("pname"))
     texts = graph.live_nodes.where("rtid = 13").select(F.col("rid").alias("rid2"), F.coalesce("label", "name").alias("v"))
