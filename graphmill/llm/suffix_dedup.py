@@ -2,14 +2,13 @@
 
 Every 100-byte window is keyed by the least hash of the 24-byte strings in it, so equal
 windows have equal keys wherever they stand. Consecutive windows with one key form a
-piece (about 140 bytes). Pieces are pre-aggregated by length and hash: within each batch of
-rows, where their bytes are compared, and by key after the shuffle. Keys with two or more
-pieces get suffix arrays: the bytes of their pieces are sorted in two stages (suffixes
-smaller than their successors directly, the others induced from them by a scan of the
-buckets), and windows whose adjacent common prefix reaches 100 bytes are equal; all but the
-earliest are removed. Of the pieces with one hash the two earliest are searched, so that the
-bytes of a representative are compared; only the third and later ones repeat it whole on the
-word of their 64-bit hash, length and key.
+piece (about 140 bytes). Pieces are pre-aggregated: within each batch of rows by comparing
+their bytes, and by key after the shuffle through 128-bit BLAKE2b digests of their bytes; only
+the earliest of equal pieces goes on, the others repeat it whole. Keys left with two or more
+different pieces get suffix arrays: the bytes of their pieces are sorted in two stages
+(suffixes smaller than their successors directly, the others induced from them by a scan of
+the buckets), and windows whose adjacent common prefix reaches 100 bytes are equal; all but
+the earliest are removed.
 
 A key under which very many different pieces meet is dealt out again by single windows, which
 are pre-aggregated by their bytes within each batch, then within salts of their hash, and meet
@@ -44,7 +43,7 @@ MOST_PIECES = 20_000
 #: Parts over which the equal windows of a crowded key are dealt before they meet.
 SALTS = 64
 
-PIECE_SCHEMA = "again boolean, loops boolean, key long, piece long, doc long, tie long, start long, len long"
+PIECE_SCHEMA = "again boolean, loops boolean, key long, piece long, rest long, doc long, tie long, start long, len long"
 FETCH_SCHEMA = "key long, salt long, doc long, tie long, start long, len long, body binary"
 
 
@@ -108,15 +107,24 @@ def _pieces(docs: DataFrame) -> DataFrame:
                 continue
             loops, key, content, row, start, length = map(np.concatenate, cols)
             doc, tie = ids[row], ties[row]
-            again = later_equals(content ^ key, doc, tie, start, data, off[:-1][row] + start, length)
+            begin = off[:-1][row] + start
+            again = later_equals(content ^ key, doc, tie, start, data, begin, length)
+            digest = digests(data, begin, np.where(again, 0, length))
             own = mix(doc.astype(np.uint64) ^ mix(tie.astype(np.uint64) + start.astype(np.uint64)))
             key = np.where(again, own, key)
-            columns = (again, loops, key.view(np.int64), content.view(np.int64), doc, tie, start, length)
-            yield pa.record_batch(dict(zip(("again", "loops", "key", "piece", "doc", "tie", "start", "len"), map(pa.array, columns), strict=True)))
+            columns = (again, loops, key.view(np.int64), digest[:, 0], digest[:, 1], doc, tie, start, length)
+            yield pa.record_batch(dict(zip(("again", "loops", "key", "piece", "rest", "doc", "tie", "start", "len"), map(pa.array, columns), strict=True)))
 
     return docs.mapInArrow(cut, PIECE_SCHEMA)
 
 
+def digests(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """128 bits of BLAKE2b of each span, as two numbers."""
+    raw = data.tobytes()
+    found = [hashlib.blake2b(raw[p:q], digest_size=16).digest() for p, q in zip(begin.tolist(), (begin + length).tolist(), strict=True)]
+    return np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
+
+
 def later_equals(content, doc, tie, start, data, begin, length) -> np.ndarray:
     """Which of the strings have an equal, by hash and by bytes, at the earliest place of their hash among them."""
     out = np.zeros(len(content), bool)
@@ -393,13 +401,13 @@ def _spans(fetched: DataFrame, salted: bool) -> DataFrame:
 def removed_spans(docs: DataFrame) -> DataFrame:
     """(doc, tie, start, len) of bytes to remove; spans of one document may overlap."""
     found = _pieces(docs.select("doc", "tie", "text")).repartition("key")
-    equal = Window.partitionBy("key", "piece", "len").orderBy("doc", "tie", "start")
+    equal = Window.partitionBy("key", "piece", "rest", "len").orderBy("doc", "tie", "start")
     alike = Window.partitionBy("key")
-    ranked = found.withColumns({"row": F.row_number().over(equal), "rank": F.rank().over(equal), "turn": F.dense_rank().over(equal)})
-    several = (F.max("turn").over(alike) > 1) | (F.min("piece").over(alike) != F.max("piece").over(alike))
-    ranked = ranked.withColumns({"several": several, "crowded": F.count_if(F.col("row") == 1).over(alike) > MOST_PIECES})
+    ranked = found.withColumns({"row": F.row_number().over(equal), "rank": F.rank().over(equal)})
+    differ = lambda c: F.min(c).over(alike) != F.max(c).over(alike)
+    ranked = ranked.withColumns({"several": differ("piece") | differ("rest"), "crowded": F.count_if(F.col("row") == 1).over(alike) > MOST_PIECES})
     # Rows that stand twice are one document: one of them is searched.
-    todo = ranked.where("row = rank").withColumn("whole", F.col("again") | (F.col("turn") > 2)).where("whole or several or loops")
+    todo = ranked.where("row = rank").withColumn("whole", F.col("again") | (F.col("rank") > 1)).where("whole or several or loops")
     parts = _fetched(todo.select("whole", "crowded", "key", "doc", "tie", "start", "len"), docs)
     return _spans(_spans(parts, salted=True), salted=False).select("doc", "tie", "start", "len")
 
