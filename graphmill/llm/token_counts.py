@@ -65,7 +65,7 @@ class Trie:
     """
 
     def __init__(self, pieces: dict[str, float], byte: float):
-        self.byte = byte
+        self.byte, self.pieces = byte, pieces
         self.longest = max(map(len, pieces), default=1)
         names = sorted(pieces)
         hashes = np.array([self._hash(np.array([list(map(ord, x))], np.uint64))[0] for x in names], np.uint64)
@@ -86,12 +86,32 @@ class Trie:
         out = np.zeros(len(words), np.int64)
         order = sorted(range(len(words)), key=lambda k: (len(words[k]) > WIDE, words[k]))
         short = sum(len(w) <= WIDE for w in words)
-        # Longer words stand alone: a row is as wide as the longest word beside it.
-        runs = [order[i : min(i + ROWS, short)] for i in range(0, short, ROWS)] + [[k] for k in order[short:]]
-        for part in runs:
+        for i in range(0, short, ROWS):
+            part = order[i : min(i + ROWS, short)]
             out[part] = self._counted([words[k] for k in part])
+        # Longer words stand alone, as a row is as wide as the longest word beside it: their trie is a chain.
+        for k in order[short:]:
+            out[k] = self._chain(words[k])
         return out
 
+    def _chain(self, word: str) -> int:
+        """Tokens of one word, node by node."""
+        pieces, longest, byte = self.pieces, self.longest, self.byte
+        score, tokens = [0.0], [0]
+        for d in range(1, len(word) + 1):
+            width = len(word[d - 1].encode("utf-8", "surrogatepass"))
+            best, fewest = score[-1] + byte * width, tokens[-1] + width
+            for at in range(d - 1, max(d - longest, 0) - 1, -1):
+                found = pieces.get(word[at:d])
+                if found is not None:
+                    total, count = score[at] + found, tokens[at] + 1
+                    if total > best or total == best and count < fewest:
+                        best, fewest = total, count
+            score.append(best)
+            tokens.append(fewest)
+        self.made += len(word)
+        return tokens[-1]
+
     def _counted(self, words: list[str]) -> np.ndarray:
         length = np.array([len(w) for w in words])
         wide = int(length.max(initial=0))
