@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import saved
+from ..session import saved, saved_rows
 from .closure import longest_depth
 
 #: Weight of an edge of which nothing is known, and the free constant of the formula (fixed values).
@@ -151,8 +150,9 @@ def _key_path(steps: DataFrame, taken: set[int], source: int, value: float, targ
             )
         )
         best = F.min(F.struct("cost", "moved", "via", "via_new", "path")).alias("best")
-        state = saved(state.withColumn("moved", F.lit(False)).unionByName(reached).groupBy("node", "new").agg(best).select("node", "new", "best.*"))
-        if state.where("moved").isEmpty():
+        found = state.withColumn("moved", F.lit(False)).unionByName(reached).groupBy("node", "new").agg(best).select("node", "new", "best.*")
+        state, moved = saved_rows(found, "moved")
+        if not moved:
             break
     ends = [(-r["cost"] / max(r["new"], 1), -len(r["path"]), -r["new"], list(r["path"])) for r in state.where(F.col("node") == target).collect()]
     return max(ends)[3] if ends else None
@@ -163,16 +163,3 @@ def ranked(scores: DataFrame, k: int) -> DataFrame:
     turn = F.row_number().over(Window.orderBy(F.desc("score"), "node"))
     return scores.orderBy(F.desc("score"), "node").limit(k).withColumn("turn", turn)
 
-
-def path_graph_walk(n: int, c: float, rounds: int) -> list[float]:
-    """Scores of a walk from the first node of a path of n nodes, for tests."""
-    r = [1.0] + [0.0] * (n - 1)
-    deg = [1 if k in (0, n - 1) else 2 for k in range(n)]
-    for _ in range(rounds):
-        new = [(1 - c) if k == 0 else 0.0 for k in range(n)]
-        for k in range(n):
-            for j in (k - 1, k + 1):
-                if 0 <= j < n:
-                    new[j] += c * r[k] / deg[k]
-        r = new
-    return [round(x, 9) + math.copysign(0.0, x) for x in r]

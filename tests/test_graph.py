@@ -14,6 +14,20 @@ SUB = ["BA", "CA", "DB", "DC", "ED", "EA", "FE"]
 PROPS = [(1, "subClassOf"), (2, "part_of"), (3, "proper_part_of"), (4, "equivalentClass"), (5, "synonym"), (6, "label"), (7, "has_part"), (8, "type")]
 
 
+def path_graph_walk(n: int, c: float, rounds: int) -> list[float]:
+    """Scores of a walk from the first node of a path of n nodes."""
+    r = [1.0] + [0.0] * (n - 1)
+    deg = [1 if k in (0, n - 1) else 2 for k in range(n)]
+    for _ in range(rounds):
+        new = [(1 - c) if k == 0 else 0.0 for k in range(n)]
+        for k in range(n):
+            for j in (k - 1, k + 1):
+                if 0 <= j < n:
+                    new[j] += c * r[k] / deg[k]
+        r = new
+    return [round(x, 9) for x in r]
+
+
 def make(spark, edges, classes=NAMES, literals=(), hidden=(), obsolete=(), subs=((3, 2),)):
     nodes = [(r, 1, n, n, 1, False, n in obsolete, f"http://x#{n}") for n, r in classes.items()]
     nodes += [(100 + k, 13, t, t, 1, False, False, None) for k, t in enumerate(literals)]
@@ -178,7 +192,7 @@ def test_walk_scores(spark):
     queries = spark.createDataFrame([(1,), (3,)], "node long")
     scores = weights.random_walks(weights.transition(line), queries)
     got = {(r["query"], r["node"]): round(r["score"], 6) for r in scores.collect()}
-    want = weights.path_graph_walk(3, 0.6, 80)
+    want = path_graph_walk(3, 0.6, 80)
     assert [got[1, n] for n in (1, 2, 3)] == [round(x, 6) for x in want] == [0.5125, 0.375, 0.1125]
     joint = {r["node"]: round(r["score"], 6) for r in weights.joint_scores(scores, queries).collect()}
     assert joint == {1: 0.057656, 2: 0.140625, 3: 0.057656}
