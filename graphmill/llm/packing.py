@@ -25,6 +25,7 @@ from __future__ import annotations
 import base64
 import math
 import os
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -43,10 +44,10 @@ SEQ_LEN = 2048
 PAD_ID = 50256
 #: Bytes of text in a shard on average: bounds what one task holds.
 SHARD_BYTES = 8 << 20
-#: Shards in a task, and times the bytes of a shard that are packed together at most.
-SHARDS, MOST_TIMES = 4, 4
+#: Times the bytes of a shard that are packed together at most.
+MOST_TIMES = 4
 #: Distinct chunks whose ids a task remembers at once.
-MOST_KNOWN = 500_000
+MOST_KNOWN = 200_000
 
 SCHEMA = (
     "shard long, row long, n_tokens long, n_segments long, token_ids binary, position_ids binary, "
@@ -78,14 +79,14 @@ class ChunkEncoder:
 
     def clear(self) -> None:
         self.known.clear()
-        self.flat: list[np.ndarray] = []
-        self.sizes: list[int] = []
+        # Ids of all known chunks one after another, and where each ends.
+        self.flat, self.ends = array("H"), array("q", [0])
 
     def ids(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of ids of each text."""
         if not len(data):
             return np.zeros(0, np.uint16), np.zeros(len(off) - 1, np.int64)
-        if len(self.sizes) > MOST_KNOWN:
+        if len(self.ends) > MOST_KNOWN:
             self.clear()
         before, after = np.roll(data, 1), np.roll(data, -1)
         shown, shown_after = (before > 0x20) & (before < 0x7F), (after > 0x20) & (after < 0x7F)
@@ -94,26 +95,21 @@ class ChunkEncoder:
         cut[0] = True
         start = np.flatnonzero(cut)
         end = np.append(start[1:], len(data))
-        hashes = Hasher(data).spans(start, end)
-        single, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        single, first, inverse = np.unique(Hasher(data).spans(start, end), return_index=True, return_inverse=True)
         raw = data.tobytes()
         number = np.empty(len(single), np.int64)
         known = self.known
         for k, (h, at) in enumerate(zip(single.tolist(), first.tolist(), strict=True)):
             n = known.get(h)
             if n is None:
-                n = known[h] = len(self.sizes)
-                ids = self.encode(raw[start[at] : end[at]].decode("utf-8", "replace"))
-                self.flat.append(np.asarray(ids, np.uint16))
-                self.sizes.append(len(ids))
+                n = known[h] = len(self.ends) - 1
+                self.flat.extend(self.encode(raw[start[at] : end[at]].decode("utf-8", "replace")))
+                self.ends.append(len(self.flat))
             number[k] = n
-        used, local = np.unique(number, return_inverse=True)
-        sizes = np.array([self.sizes[n] for n in used.tolist()], np.int64)
-        pool = np.concatenate([self.flat[n] for n in used.tolist()])
-        begin = (np.cumsum(sizes) - sizes)[local][inverse]
-        width = sizes[local][inverse]
+        ends, flat = np.frombuffer(self.ends, np.int64), np.frombuffer(self.flat, np.uint16)
+        begin, width = ends[number][inverse], (ends[number + 1] - ends[number])[inverse]
         total = np.cumsum(width)
-        out = pool[np.repeat(begin - (total - width), width) + np.arange(total[-1])]
+        out = flat[np.repeat(begin - (total - width), width) + np.arange(total[-1])]
         owner = np.searchsorted(off, start, "right") - 1
         return out, np.bincount(owner, weights=width, minlength=len(off) - 1).astype(np.int64)
 
@@ -246,8 +242,8 @@ def pack(
         F.col("doc_id").cast("long"),
         "text",
     ).where(F.length("text") > 0)
-    tasks = math.ceil(shards / SHARDS)
-    return dealt.repartition(tasks, "shard").sortWithinPartitions("shard", "doc_id", "text").mapInArrow(pack_all, SCHEMA)
+    # As many partitions as shards: a hash of few numbers is uneven, but some shards in one task are no harm.
+    return dealt.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "text").mapInArrow(pack_all, SCHEMA)
 
 
 def segments_of(packed: Iterator) -> Iterator[tuple[int | None, int, list[int]]]:
