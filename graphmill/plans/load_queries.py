@@ -47,7 +47,7 @@ def star_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "allvaluesfromclass": sel(p, "p % 8 = 0", id="p", propertyid="3L", rangeclassid=half, rtid="1", browsertext="concat('all ', p)"),
         "cardinalityclass": sel(p, "p % 7 = 0", id="p", propertyid="2L", cardinality="cast(p % 5 + 1 as int)", browsertext="concat('card ', p)"),
         "complementclass": sel(p, "p % 11 = 0", id="p", classid=half, rtid="1", browsertext="concat('not ', p)"),
-        "hasvalue": sel(p, "p % 19 = 0", id="p", propertyid="1L", valueid="p % 10 + 1", rtid="12", browsertext="concat('value ', p)"),
+        "hasvalue": sel(p, "p % 19 = 0", id="p", propertyid="1L", valueid="p % 5 + 1", rtid="12", browsertext="concat('value ', p)"),
         "intersectionclass": union(
             sel(p, "p % 13 = 0", id="p", classid=half, rtid="1", browsertext="concat('and ', p)"),
             sel(p, "p % 39 = 0", id="p", classid="p", rtid="3", browsertext="concat('and ', p)"),
@@ -114,7 +114,7 @@ up AS (
 reified AS (
   SELECT p AS id, 3 AS t, 2 AS pid, p // 3 AS v, 1 AS vt, 'someValuesFrom' AS verb, 'v' AS code, 'exists' AS stmt FROM p WHERE p % 3 = 0
   UNION ALL SELECT p, 2, 3, p // 2, 1, 'allValuesFrom', 'a', 'forall' FROM p WHERE p % 8 = 0
-  UNION ALL SELECT p, 10, 1, p % 10 + 1, 12, 'hasValue', NULL, NULL FROM p WHERE p % 19 = 0
+  UNION ALL SELECT p, 10, 1, p % 5 + 1, 12, 'hasValue', NULL, NULL FROM p WHERE p % 19 = 0
 ),
 sys(name, pid) AS {_values([(name, pid) for name, pid in SYSTEM_PID.items()])},
 drawn AS (
@@ -165,7 +165,7 @@ labels AS (
   UNION ALL SELECT p, 4, 'something with part_of = ' || (p % 5 + 1) FROM p WHERE p % 7 = 0
   UNION ALL SELECT p.p, 7, 'not (' || n.l || ')' FROM p JOIN named n ON n.p = p.p // 2 WHERE p.p % 11 = 0
   UNION ALL SELECT p, 10, 'something with value of supplied_by to be ' || CASE WHEN contains(s_name, ' ') THEN '"' || s_name || '"' ELSE s_name END
-    FROM p JOIN s ON s = p % 10 + 1 WHERE p % 19 = 0
+    FROM p JOIN s ON s = p % 5 + 1 WHERE p % 19 = 0
   UNION ALL SELECT p, 8, l FROM joint
   UNION ALL SELECT p.p, 9, 'union of (' || (SELECT string_agg(x, ', ' ORDER BY x) FROM (VALUES (a.l), (CASE WHEN contains(b.l, ',') THEN '"' || b.l || '"' ELSE b.l END)) v(x) WHERE x IS NOT NULL) || ')'
     FROM p JOIN listed a ON a.p = p.p // 2 LEFT JOIN joint b ON b.p = p.p AND p.p % 221 = 0 WHERE p.p % 17 = 0

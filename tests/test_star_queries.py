@@ -1,9 +1,9 @@
-"""Every star-schema query against its SQL on the smallest tables."""
+"""Every query of the graph and of the load path against its SQL on the smallest tables."""
 
 import duckdb
 import pytest
 
-from graphmill.plans import star_queries
+from graphmill.plans import load_queries, star_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,10 +16,13 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(star_queries.SQL))
+SQL = star_queries.SQL | load_queries.SQL
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, duck, name):
-    got = star_queries.queries()[name](spark, SF)
-    want = duck.execute(star_queries.SQL[name])
+    got = (star_queries.queries() | load_queries.QUERIES)[name](spark, SF)
+    want = duck.execute(SQL[name])
     columns = sorted(got.columns)
     names = [d[0] for d in want.description]
     assert sorted(names) == columns
