@@ -47,10 +47,12 @@ def spread_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SIT
     slack = max(1.0, MARGIN * min_sites)
     near = F.abs(F.col("n_sites") - min_sites) <= slack
     candidates = estimates.where(F.col("n_sites") >= min_sites - slack).withColumn("near", near)
+    # Distinct pairs of line and site: what is left of a line that everyone has is one row a site.
     exact = (
-        lines.join(candidates.where("near").select("a", "b"), ["a", "b"], "left_semi")
+        lines.distinct()
+        .join(candidates.where("near").select("a", "b"), ["a", "b"], "left_semi")
         .groupBy("a", "b")
-        .agg(F.countDistinct("site").alias("n_sites"))
+        .agg(F.count("*").alias("n_sites"))
         .where(F.col("n_sites") >= min_sites)
     )
     return candidates.where("not near").select("a", "b", "n_sites").unionByName(exact)
