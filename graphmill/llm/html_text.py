@@ -6,11 +6,15 @@ points are discounted by its share of link text. The best container is kept,
 with siblings that score well themselves.
 
 Menus, headers, footers, sidebars, notices, adverts, scripts, styles and reader comments
-never take part, whether their element or a word of its class, id or role tells so (a
-heading's own class aside). A form doesn't either, unless it holds half of the page's text or
-more: then it wraps the page and is a container like any other. Other words that often name
-boilerplate (sharing, related, social, ...) cost their element points: within the best
-container such an element stays only if its paragraphs outweigh them.
+never take part, whether their element tells so or a class, id or role that is made of such
+words alone (a heading's own class aside). A name of which only a part is such a word
+("site-footer", "comments-area") removes an element that holds less than a third of the page's
+text and no article, a larger one gets half of the points; a part that names reader comments
+always removes, and a name that tells a state ("has-sidebar", "ad-free") says nothing. A form
+doesn't take part either, unless it holds half of the page's text or more: then it wraps the
+page and is a container like any other. Words that often name boilerplate (sharing, related,
+social, ...) cost their element points: within the best container such an element stays only if
+its paragraphs outweigh them.
 
 Defined results: a null or empty page, or one without text, gives an empty string
 and 0; null ids and urls pass through; unclosed and stray tags are tolerated. The time is
@@ -37,7 +41,7 @@ SPLIT = re.compile(r"[^a-z0-9]+")
 
 # Element names and words in class, id and role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math select".split())
+RAW = frozenset("script style textarea title template iframe svg select".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -55,8 +59,11 @@ DOUBTFUL = frozenset(
     "login newsletter pager pagination promo promoted promotion recommended related replies reply search share sharing signup skip "
     "social subscribe widget widgets".split()
 )
-#: Points that a word of DOUBTFUL costs, and the share of a page's text that makes a form a container.
-DOUBT, WRAPPER = 25.0, 0.5
+REMARKS = frozenset("comment comments commentlist disqus respond".split())
+#: Parts of a name that make it tell a state of the page, not what its element holds.
+STATES = frozenset("no not non has have with without is free off on open closed fixed sticky enabled disabled active layout theme".split())
+#: Points that a word of DOUBTFUL costs, the share of a page's text that makes a form a container, and the one that is too large for boilerplate.
+DOUBT, WRAPPER, LARGE = 25.0, 0.5, 1 / 3
 #: An open element that a start tag of the same group closes.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 PRIOR = {"article": 25.0, "main": 20.0, "section": 3.0, "div": 3.0, "td": 2.0, "ul": -3.0, "ol": -3.0, "li": -3.0}
@@ -66,17 +73,19 @@ RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 
 
 def judged(tag: str, attributes: str) -> str:
-    """What an element's tag, class, id and role make of it: "dropped", "form", "doubtful" or ""."""
+    """What an element's tag, class, id and role make of it: "dropped", "form", "partly" (boilerplate if small), "doubtful" or ""."""
     if tag in DROPPED:
         return "dropped"
     if attributes and tag not in ("html", "body", "article", "main"):
         if HIDDEN.search(attributes):
             return "dropped"
-        words = {w for m in NAMES.findall(attributes) for w in SPLIT.split("".join(m).lower())}
-        if tag not in HEADING and words & BOILERPLATE:
+        names = [frozenset(filter(None, SPLIT.split(name))) for m in NAMES.findall(attributes) for name in "".join(m).lower().split()]
+        names = [parts for parts in names if parts and not parts & STATES]
+        if tag not in HEADING and any(parts <= BOILERPLATE or parts & REMARKS for parts in names):
             return "dropped"
         if tag in BLOCK and tag not in HEADING and tag not in FORM:
-            return "form" if "form" in words else "doubtful" if words & DOUBTFUL else ""
+            words = frozenset().union(*names)
+            return "form" if "form" in words else "partly" if words & BOILERPLATE else "doubtful" if words & DOUBTFUL else ""
     return "form" if tag in FORM else ""
 
 
@@ -232,9 +241,13 @@ def main_text(html: str | None) -> str:
     for node, text, _ in page.blocks:
         held[node] += len(text)
     held = summed(page, held)
-    out = [False] * n  # in a form that doesn't wrap the page
+    articles = summed(page, [float(tag in ("article", "main")) for tag in page.tags])
+    out = [False] * n  # in boilerplate, or in a form that doesn't wrap the page
+    verdicts = list(page.verdicts)
     for k in range(1, n):
-        out[k] = out[page.parents[k]] or page.verdicts[k] == "form" and held[k] < WRAPPER * held[0]
+        if verdicts[k] == "partly":
+            verdicts[k] = "dropped" if held[k] < LARGE * held[0] and not articles[k] else "large"
+        out[k] = out[page.parents[k]] or verdicts[k] == "dropped" or verdicts[k] == "form" and held[k] < WRAPPER * held[0]
     points, chars, linked = [0.0] * n, [0] * n, [0] * n
     scored = [False] * n
     for node, text, links in page.blocks:
@@ -255,8 +268,9 @@ def main_text(html: str | None) -> str:
             at, share = page.parents[at], share / 2
     chars, linked = summed(page, chars), summed(page, linked)
     density = [linked[k] / chars[k] if chars[k] else 0.0 for k in range(n)]
-    prior = [PRIOR.get(tag, 0.0) - DOUBT * (verdict == "doubtful") for tag, verdict in zip(page.tags, page.verdicts, strict=True)]
-    score = [(points[k] + prior[k]) * (1 - density[k]) if scored[k] else 0.0 for k in range(n)]
+    prior = [PRIOR.get(tag, 0.0) - DOUBT * (verdict == "doubtful") for tag, verdict in zip(page.tags, verdicts, strict=True)]
+    worth = [points[k] * (0.5 if verdicts[k] == "large" else 1) + prior[k] for k in range(n)]
+    score = [worth[k] * (1 - density[k]) if scored[k] else 0.0 for k in range(n)]
     best = max(range(n), key=lambda k: (score[k], -k)) if any(scored) else 0
     at = best
     while at > 0:  # an article's parts belong together
@@ -268,8 +282,8 @@ def main_text(html: str | None) -> str:
     for k in range(n):
         up = page.parents[k]
         if k == best or up >= 0 and kept[up]:
-            kept[k] = k == best or page.verdicts[k] != "doubtful" or score[k] > 0
-        elif best and up == page.parents[best] and page.verdicts[k] != "doubtful":
+            kept[k] = k == best or verdicts[k] != "doubtful" or score[k] > 0
+        elif best and up == page.parents[best] and verdicts[k] != "doubtful":
             paragraph = page.tags[k] in PARAGRAPH and (chars[k] > 80 and density[k] < 0.25 or 0 < chars[k] and density[k] == 0)
             kept[k] = score[k] >= least or paragraph or page.tags[k] in HEADING and density[k] < 0.33
     return "\n".join(text for node, text, _ in page.blocks if kept[node] and not out[node])

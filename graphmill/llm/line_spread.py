@@ -3,7 +3,7 @@
 A HyperLogLog sketch of sites is built for each line hash; partial sketches merge
 by aggregation, so a line that occurs everywhere costs one sketch a task. Lines
 whose estimate lies near the threshold get an exact distinct count. Lines on
-``min_sites`` sites or more are removed from every document.
+``min_sites`` sites or more are removed from every document, by their numbers in its text.
 
 A line is a ``\\n``-separated part of a text with at least one word; lines without
 a word are never removed. Defined results: a null site counts for no line; a null
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.closure import named_by
+from ..session import saved_rows
 from .common import WORD, packed, unpacked
 
 MIN_SITES = 5
@@ -27,30 +28,38 @@ SKETCH_BITS = 12
 MARGIN = 4 * 1.04 / 2 ** (SKETCH_BITS / 2)
 
 
-def _hashes(line: Column) -> Column:
-    """96 bits that stand for a line."""
-    return F.struct(F.xxhash64(line).alias("a"), F.hash(line).alias("b"))
+#: Lines whose hashes are broadcast at most (12 bytes each); beyond it the join is a salted shuffle.
+MOST_LINES = 250_000
 
 
-def _lines(docs: DataFrame, site: str) -> DataFrame:
-    """(site, line hash) of each line with a word, once per document."""
-    has_word = lambda x: F.regexp_like(x, F.lit(WORD))
-    hashes = F.array_distinct(F.transform(F.filter(F.split("text", "\n"), has_word), _hashes))
-    return docs.select(F.col(site).alias("site"), F.explode(hashes).alias("line")).select("site", "line.a", "line.b")
+def _lines(docs: DataFrame, *keys: Column) -> DataFrame:
+    """The keys, number ``place`` and 96 bits of hash (a, b) of each line with a word."""
+    # The keys are computed below the explode: beside it, they would be computed again for every line.
+    whole = docs.select(*keys, docs["text"].alias("_text"))
+    own = whole.columns[:-1]
+    found = whole.select(*own, F.posexplode(F.split("_text", "\n")).alias("place", "line")).where(F.regexp_like("line", F.lit(WORD)))
+    return found.select(*own, "place", F.xxhash64("line").alias("a"), F.hash("line").alias("b"))
+
+
+def _met(lines: DataFrame, table: DataFrame, n_table: int, by: str) -> DataFrame:
+    """The lines whose hashes ``table`` holds; a line that a third of all documents hold is dealt over many tasks, by column ``by``."""
+    if n_table <= MOST_LINES:
+        return lines.join(F.broadcast(table), ["a", "b"])
+    return named_by(lines, ["a", "b"], table, by)
 
 
 def spread_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """Hashes (a, b) and number of sites of the lines on at least ``min_sites`` sites."""
-    lines = _lines(docs, site).where("site is not null")
+    lines = _lines(docs, docs[site].alias("site")).where("site is not null").select("site", "a", "b")
     # Copies of one line on one site collapse in the map-side combine of this grouping.
     estimates = lines.groupBy("a", "b").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(SKETCH_BITS))).alias("n_sites"))
     slack = max(1.0, MARGIN * min_sites)
     near = F.abs(F.col("n_sites") - min_sites) <= slack
-    candidates = estimates.where(F.col("n_sites") >= min_sites - slack).withColumn("near", near)
-    # Distinct pairs of line and site: what is left of a line that everyone has is one row a site.
+    candidates, n_near = saved_rows(estimates.where(F.col("n_sites") >= min_sites - slack).withColumn("near", near), "near")
+    # Only near lines get here: they have few sites, so few distinct pairs.
     exact = (
-        lines.distinct()
-        .join(candidates.where("near").select("a", "b"), ["a", "b"], "left_semi")
+        _met(lines, candidates.where("near").select("a", "b"), n_near, "site")
+        .distinct()
         .groupBy("a", "b")
         .agg(F.count("*").alias("n_sites"))
         .where(F.col("n_sites") >= min_sites)
@@ -60,26 +69,24 @@ def spread_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SIT
 
 def remove_spread_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """The documents with ``kept_text`` (boilerplate lines taken out), ``n_lines`` and ``n_removed``."""
-    spread = spread_lines(docs, site, min_sites).select("a", "b")
-    has_word = lambda x: F.regexp_like(x, F.lit(WORD))
+    spread, n_spread = saved_rows(spread_lines(docs, site, min_sites).select("a", "b"))
     key = [docs["doc_id"].cast("long").alias("id"), F.xxhash64(docs["text"]).alias("tie")]
-    hashes = F.array_distinct(F.transform(F.filter(F.split(docs["text"], "\n"), has_word), _hashes))
-    lines = docs.select(*key, F.explode(hashes).alias("line")).select("id", "tie", "line.a", "line.b")
-    # A line that a third of all documents hold is dealt over many tasks, by their texts.
     hits = (
-        named_by(lines, ["a", "b"], spread, "tie")
+        _met(_lines(docs, *key), spread, n_spread, "tie")
         .groupBy("id", "tie")
-        .agg(F.collect_set(F.struct("a", "b")).alias("gone"))  # at most the lines of one text
+        .agg(F.collect_set("place").alias("gone"))  # at most the lines of one text
         .select(F.col("id").alias("of_id"), F.col("tie").alias("of_tie"), "gone")
     )
-    parts = F.split("row.text", "\n")
-    kept = F.filter(parts, lambda x: ~F.coalesce(F.array_contains("gone", _hashes(x)) & has_word(x), F.lit(False)))
     joined = packed(docs, *key).join(hits, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("tie") == F.col("of_tie")), "left")
-    return joined.withColumn("kept", kept).select(
+    # The lines are bound to a lambda's variable: inlined, they would be split again for every line.
+    staying = lambda p: F.array_except(F.sequence(F.lit(0), F.size(p) - 1), "gone")
+    kept = F.transform(F.array(F.split("row.text", "\n")), lambda p: F.array_join(F.transform(staying(p), lambda i: F.get(p, i)), "\n"))
+    has_word = lambda x: F.regexp_like(x, F.lit(WORD))
+    return joined.select(
         *unpacked(docs, OWN),
-        F.array_join("kept", "\n").alias("kept_text"),
-        F.coalesce(F.size(F.filter(parts, has_word)), F.lit(0)).cast("long").alias("n_lines"),
-        F.greatest(F.coalesce(F.size(parts) - F.size("kept"), F.lit(0)), F.lit(0)).cast("long").alias("n_removed"),
+        F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.element_at(kept, 1)).alias("kept_text"),
+        F.coalesce(F.size(F.filter(F.split("row.text", "\n"), has_word)), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 

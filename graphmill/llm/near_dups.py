@@ -4,13 +4,14 @@ A document's set holds its distinct word shingles. Its sketch has ``BANDS * ROWS
 coordinates: in round i each shingle falls into one hashed bin with a value between i
 and i + 1, and a bin keeps its least value; after as many rounds as bins, round t + j
 puts every shingle into bin j, so that every coordinate is filled. Documents that agree
-on all rows of a band share a bucket. Equal sets are one representative throughout.
+on all rows of a band share a bucket. Texts of the same words are one representative
+throughout, told by 128 bits of BLAKE2b of the words.
 
 Links within buckets are found without all pairs: every member first meets the least of
 its buckets' least members, then those of them that connected components still keep
 apart. Members of one bucket that are then still in different components meet only if
 they share enough of what tells them from the bucket's least member. All candidate pairs
-are verified on their full sets: a text and those to be held against it stream through a
+are verified on their full sets, word by word: a text and those to be held against it stream through a
 task side by side, at most some ``RUN`` of them, so that no group of copies lands in one
 task. Components come from hooking to the least neighbour and contraction.
 
@@ -22,6 +23,7 @@ component and is kept.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,8 @@ from pyspark.sql import functions as F
 
 from ..operators.closure import components, named_by
 from ..session import saved_rows
-from .common import saved
-from .textbytes import HASH_BITS, LOWER, U64, buffer_of, mix, shingle_sets, slices, sums_by
+from .common import saved, unpacked
+from .textbytes import HASH_BITS, LOWER, U64, buffer_of, distinct, mix, normal_words, shingle_sets, shingles, slices, sums_by
 
 BANDS, ROWS = 48, 7
 SLOTS = BANDS * ROWS
@@ -44,7 +46,7 @@ RUN = 250
 #: Members of a group that meet its rows in one task, about.
 MEET = 256
 
-SKETCH_SCHEMA = "doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>"
+SKETCH_SCHEMA = "doc_id long, n_shingles long, words_hi long, words_lo long, bands array<long>"
 _SEEDS = mix(np.arange(1, 2 * SLOTS + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))
 _EMPTY = U64(0xFFFFFFFFFFFFFFFF)
 
@@ -88,31 +90,30 @@ def band_hashes(table: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.n
 
 
 def sketched(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Per row: set size, a 128-bit hash of the set, and bucket of each band."""
+    """Per row: set size, a 128-bit digest of the words, and bucket of each band."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = buffer_of(batch.column("text"))
             for i, j in slices(off):
-                keys = shingle_sets(LOWER[data[off[i] : off[j]]], off[i : j + 1] - off[i], width)
+                part, cut = LOWER[data[off[i] : off[j]]], off[i : j + 1] - off[i]
+                keys = shingle_sets(part, cut, width)
                 n = j - i
                 doc = (keys >> U64(HASH_BITS)).astype(np.int64)
                 many = sums_by(doc, n)
                 table = sketches(keys, n)
-                h = keys & U64((1 << HASH_BITS) - 1)
-                first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, int)
-                whole = np.zeros((2, n), np.uint64)
-                for k in range(2):
-                    if len(doc):
-                        whole[k, doc[first]] = mix(np.add.reduceat(mix(h ^ _SEEDS[k + 7]), first))
+                plain, upto = normal_words(part, cut)
+                raw, upto = plain.tobytes(), upto.tolist()
+                digests = b"".join(blake2b(raw[p:q], digest_size=16).digest() for p, q in zip(upto, upto[1:], strict=False))
+                whole = np.frombuffer(digests, np.int64).reshape(-1, 2)
                 ends = np.concatenate(([0], np.cumsum(np.where(many > 0, BANDS, 0)))).astype(np.int32)
                 filled = many > 0
                 yield pa.record_batch(
                     {
                         "doc_id": batch.column("doc_id").slice(i, n),
                         "n_shingles": pa.array(many),
-                        "set_hi": pa.array(whole[0].view(np.int64)),
-                        "set_lo": pa.array(whole[1].view(np.int64)),
+                        "words_hi": pa.array(whole[:, 0]),
+                        "words_lo": pa.array(whole[:, 1]),
                         "bands": pa.ListArray.from_arrays(pa.array(ends), pa.array(band_hashes(table[filled]).reshape(-1).view(np.int64))),
                     }
                 )
@@ -135,14 +136,14 @@ def _beside(pairs: DataFrame, n_pairs: int, docs: DataFrame) -> DataFrame:
     if n_pairs <= MOST_BROADCAST:  # few enough ids: the other texts needn't move
         ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
         texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
-    # Rows that repeat an id and its text collapse before they are shuffled.
-    texts = texts.groupBy("doc_id").agg(F.collect_set("text").alias("texts"))
-    joined = texts.join(wanted.hint("merge"), "doc_id").select("a", "part", "role", F.col("doc_id").alias("b"), F.explode("texts").alias("text"))
+    # Rows that repeat an id and its text collapse before they are joined.
+    texts = texts.dropDuplicates(["doc_id", "text"])
+    joined = texts.join(wanted.hint("merge"), "doc_id").select("a", "part", "role", F.col("doc_id").alias("b"), "text")
     return joined.repartition("a", "part").sortWithinPartitions("a", "part", "role", "b", "text")
 
 
-def _streamed(beside: DataFrame, width: int, compare, schema: str) -> DataFrame:
-    """``compare(a, sets of a, b's, their shingles, document of each)`` for every run of ``_beside`` rows."""
+def _streamed(beside: DataFrame, compare, schema: str) -> DataFrame:
+    """``compare(a, texts of a, b's, their bytes, offsets)`` for every run of ``_beside`` rows, lower-cased."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, heads = None, []
@@ -150,51 +151,62 @@ def _streamed(beside: DataFrame, width: int, compare, schema: str) -> DataFrame:
             data, off = buffer_of(batch.column("text"))
             a, part, role, b = (batch.column(x).to_numpy() for x in ("a", "part", "role", "b"))
             for i, j in slices(off):
-                sets = shingle_sets(LOWER[data[off[i] : off[j]]], off[i : j + 1] - off[i], width)
-                doc, h = (sets >> U64(HASH_BITS)).astype(np.int64), sets & U64((1 << HASH_BITS) - 1)
-                upto = np.searchsorted(doc, np.arange(j - i + 1))
+                lower = LOWER[data[off[i] : off[j]]]
                 edges = np.flatnonzero((a[i + 1 : j] != a[i : j - 1]) | (part[i + 1 : j] != part[i : j - 1]) | (role[i + 1 : j] != role[i : j - 1])) + 1
                 for p, q in zip([0, *edges.tolist()], [*edges.tolist(), j - i], strict=True):
                     if key != (a[i + p], part[i + p]):
                         key, heads = (a[i + p], part[i + p]), []
+                    cut = off[i + p : i + q + 1] - off[i]
                     if role[i + p] == 0:
-                        for k in range(p, q):
-                            if not any(np.array_equal(h[upto[k] : upto[k + 1]], x) for x in heads):
-                                heads.append(h[upto[k] : upto[k + 1]])
+                        heads += [lower[x:y] for x, y in zip(cut, cut[1:], strict=False)]
                     elif heads:
-                        yield compare(key[0], heads, b[i + p : i + q], h[upto[p] : upto[q]], doc[upto[p] : upto[q]] - p)
+                        yield compare(key[0], heads, b[i + p : i + q], lower[cut[0] : cut[-1]], cut - cut[0])
 
     return beside.mapInArrow(read, schema)
 
 
-def _found(head: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Which of the shingles the sorted set ``head`` holds."""
-    if not len(head):
-        return np.zeros(len(h), bool)
-    return head[np.minimum(np.searchsorted(head, h), len(head) - 1)] == h
+def _with_head(head: np.ndarray, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with ``head`` in front as number 0."""
+    return np.concatenate((head, data)), np.concatenate(([0], off + len(head)))
+
+
+def overlaps(head: np.ndarray, data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, int, np.ndarray]:
+    """Set size of each text, of ``head``, and the shingles that both have, by their words."""
+    doc, shingle = shingles(*_with_head(head, data, off), width)
+    if not len(doc):
+        return np.zeros(len(off) - 1, np.int64), 0, np.zeros(len(off) - 1, np.int64)
+    most = int(shingle.max()) + 1
+    pairs = distinct(doc * most + shingle)
+    doc, shingle = pairs // most, pairs % most
+    held = np.zeros(most, bool)
+    held[shingle[doc == 0]] = True
+    size, shared = sums_by(doc, len(off)), sums_by(doc[held[shingle]], len(off))
+    return size[1:], int(size[0]), shared[1:]
 
 
 def _verified(pairs: DataFrame, n_pairs: int, docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, int]:
     """The pairs whose full sets are similar enough, and their number."""
 
-    def confirm(a, heads, b, h, doc) -> pa.RecordBatch:
-        size, good = sums_by(doc, len(b)), np.zeros(len(b), bool)
+    def confirm(a, heads, b, data, off) -> pa.RecordBatch:
+        good = np.zeros(len(b), bool)
         for head in heads:
-            shared = sums_by(doc[_found(head, h)], len(b))
-            both = size + len(head) - shared
+            size, own, shared = overlaps(head, data, off, width)
+            both = size + own - shared
             good |= (100 * shared >= percent * both) & (both > 0)
         return pa.record_batch({"a": pa.array(np.full(good.sum(), a)), "b": pa.array(b[good])})
 
-    return saved_rows(_streamed(_beside(pairs, n_pairs, docs), width, confirm, "a long, b long").distinct())
+    return saved_rows(_streamed(_beside(pairs, n_pairs, docs), confirm, "a long, b long").distinct())
 
 
 def _differences(stars: DataFrame, n_stars: int, docs: DataFrame, width: int) -> DataFrame:
     """(c, x, v, n, diff): size of each set v of x, and the shingles that only one of the centre c and x has."""
 
-    def compare(a, heads, b, h, doc) -> pa.RecordBatch:
-        head = heads[0]  # any one set serves as the origin, if it is the same for all
-        upto = np.searchsorted(doc, np.arange(len(b) + 1))
-        sets = [h[upto[k] : upto[k + 1]] for k in range(len(b))]
+    def compare(a, heads, b, data, off) -> pa.RecordBatch:
+        # any one text of the centre serves as the origin, if it is the same for all
+        keys = shingle_sets(*_with_head(heads[0], data, off), width)
+        doc, h = (keys >> U64(HASH_BITS)).astype(np.int64), keys & U64((1 << HASH_BITS) - 1)
+        upto = np.searchsorted(doc, np.arange(len(off) + 1))
+        head, *sets = [h[upto[k] : upto[k + 1]] for k in range(len(off))]
         diff = [np.setxor1d(head, x, assume_unique=True) for x in sets]
         ends = np.cumsum([0, *map(len, diff)]).astype(np.int32)
         return pa.record_batch(
@@ -202,13 +214,13 @@ def _differences(stars: DataFrame, n_stars: int, docs: DataFrame, width: int) ->
                 "c": pa.array(np.full(len(b), a)),
                 "x": pa.array(b),
                 "v": pa.array([int(mix(x).sum(dtype=np.uint64).view(np.int64)) if len(x) else 0 for x in sets], pa.int64()),
-                "n": pa.array(np.diff(upto).astype(np.int64)),
+                "n": pa.array(np.diff(upto)[1:].astype(np.int64)),
                 "diff": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(diff).view(np.int64))),
             }
         )
 
     pairs = stars.select(F.col("c").alias("a"), F.col("x").alias("b"))
-    return saved(_streamed(_beside(pairs, n_stars, docs), width, compare, "c long, x long, v long, n long, diff array<long>"))
+    return saved(_streamed(_beside(pairs, n_stars, docs), compare, "c long, x long, v long, n long, diff array<long>"))
 
 
 def _pairs_around(stars: DataFrame, n_stars: int, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -296,10 +308,10 @@ def links(docs: DataFrame, reps: DataFrame, owned: DataFrame, width: int = WIDTH
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row per document: set size, component and whether it is its component's least document."""
     rows = saved(sketched(docs, width))
-    same_set = ["set_hi", "set_lo", "n_shingles"]
+    same_words = ["words_hi", "words_lo", "n_shingles"]
     named = rows.where("doc_id is not null and n_shingles > 0")
-    reps = saved(named.groupBy(*same_set).agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")))
-    owned = saved(named_by(rows.drop("bands"), same_set, reps.drop("bands"), "doc_id", "left").select("doc_id", "n_shingles", "rep"))
+    reps = saved(named.groupBy(*same_words).agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")))
+    owned = saved(named_by(rows.drop("bands"), same_words, reps.drop("bands"), "doc_id", "left").select("doc_id", "n_shingles", "rep"))
     label = links(docs, reps, owned.where("doc_id is not null and rep is not null"), width, percent)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("of_rep", "rep", "doc_id"))
     return _labelled(owned, "rep", label, "doc_id").select(
@@ -314,11 +326,11 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     """
     rows = near_duplicates(docs, width, percent).where("doc_id is not null")
     verdict = saved(rows.groupBy("doc_id").agg(F.bool_and("kept").alias("_kept"), F.count("*").alias("_rows")).where("not _kept or _rows > 1"))
-    own, flagged = F.struct(*(docs[c] for c in docs.columns)).alias("row"), verdict.select(F.col("doc_id").alias("id"), "_kept")
+    own, flagged = F.struct(*(docs[f"`{c}`"].alias(c) for c in docs.columns)).alias("row"), verdict.select(F.col("doc_id").alias("id"), "_kept")
     carried = docs.select(own, docs["doc_id"].cast("long").alias("id"))
     once = carried.join(flagged, "id", "left_anti")
     again = carried.join(flagged.where("_kept"), "id").groupBy("id").agg(F.min_by("row", F.struct("row.text")).alias("row")).select("id", "row")
-    return once.union(again).select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    return once.union(again).select(*unpacked(docs))
 
 
 #: The registered query in SQL: shingles joined with themselves, links, and the least node reached.

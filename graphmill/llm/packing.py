@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbytes import U64, Hasher, buffer_of, slices
+from .textbytes import buffer_of, numbered, slices
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -65,7 +65,7 @@ def encoder(path: str):
 
 
 class ChunkEncoder:
-    """Ids of many texts at once; each distinct chunk between safe cuts is encoded once.
+    """Ids of many texts at once; each distinct chunk between safe cuts is encoded once and known by its bytes.
 
     A cut stands before a single space that follows a printable ASCII character, or
     follows a non-ASCII one and precedes a printable ASCII one. The pattern never
@@ -74,7 +74,7 @@ class ChunkEncoder:
 
     def __init__(self, path: str):
         self.encode = encoder(path).encode_ordinary
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.clear()
 
     def clear(self) -> None:
@@ -95,15 +95,16 @@ class ChunkEncoder:
         cut[0] = True
         start = np.flatnonzero(cut)
         end = np.append(start[1:], len(data))
-        single, first, inverse = np.unique(Hasher(data).spans(start, end), return_index=True, return_inverse=True)
+        inverse, first = numbered(data, start, end)
         raw = data.tobytes()
-        number = np.empty(len(single), np.int64)
+        number = np.empty(len(first), np.int64)
         known = self.known
-        for k, (h, at) in enumerate(zip(single.tolist(), first.tolist(), strict=True)):
-            n = known.get(h)
+        for k, (p, q) in enumerate(zip(start[first].tolist(), end[first].tolist(), strict=True)):
+            chunk = raw[p:q]
+            n = known.get(chunk)
             if n is None:
-                n = known[h] = len(self.ends) - 1
-                self.flat.extend(self.encode(raw[start[at] : end[at]].decode("utf-8", "replace")))
+                n = known[chunk] = len(self.ends) - 1
+                self.flat.extend(self.encode(chunk.decode("utf-8", "replace")))
                 self.ends.append(len(self.flat))
             number[k] = n
         ends, flat = np.frombuffer(self.ends, np.int64), np.frombuffer(self.flat, np.uint16)

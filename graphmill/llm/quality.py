@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbytes import U64, Hasher, buffer_of, keyed, slices, sums_by, windows, words_of
+from .textbytes import U64, buffer_of, numbered, slices, span_hashes, sums_by, tuples, windows, words_of
 
 BITS = 16
 #: Characters in a gram.
@@ -57,8 +57,6 @@ def base_counts(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     """The contract's five counts for each document of a slice."""
     n = len(off) - 1
     start, end, doc = words_of(data, off)
-    hasher = Hasher(data)
-    h = hasher.spans(start, end)
     lead = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
     symbols = np.concatenate(([0], np.cumsum(SYMBOLS[data])))
     # lines: from a document's start or a newline to the next newline or the document's end
@@ -71,17 +69,16 @@ def base_counts(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     line_end = np.where(cut[line_end] & (line_end > line_start), line_end - 1, line_end)
     first_word = np.searchsorted(start, line_start)
     has_word = (first_word < len(start)) & (np.append(start, len(data) + 1)[first_word] < line_end)
-    line_key = keyed(hasher.spans(line_start[has_word], line_end[has_word]), line_doc[has_word])
-    single = np.unique(line_key)
-    dup = sums_by(line_doc[has_word], n) - sums_by((single >> U64(54)).astype(np.int64), n)
-    win, at = windows(h, doc, 3)
-    key = keyed(win, doc[at])
+    line, owner = numbered(data, line_start[has_word], line_end[has_word])[0], line_doc[has_word]
+    dup = sums_by(owner, n) - sums_by(np.unique(line * n + owner) % n, n) if n else sums_by(owner, n)
+    at = np.flatnonzero(doc[:-2] == doc[2:]) if len(doc) > 2 else np.zeros(0, np.int64)
+    key = tuples(numbered(data, start, end)[0], doc, at, 3) * n + doc[at] if len(at) else at
     order = np.argsort(key)
     same = key[order][1:] == key[order][:-1]
     twice = np.zeros(len(key), bool)
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
-    covered = np.zeros(len(h), bool)
+    covered = np.zeros(len(doc), bool)
     for j in range(3):
         covered[at[twice] + j] = True
     return {
@@ -100,13 +97,12 @@ def base_failed(counts: dict[str, np.ndarray]) -> np.ndarray:
 def features(data: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """(document, hashed feature) of each occurrence, by family; case is kept, as shouting is a feature."""
     start, end, doc = words_of(data, off)
-    hasher = Hasher(data)
-    h = hasher.spans(start, end)
+    h = span_hashes(data, start, end)
     pair, at = windows(h, doc, 2)
     lead = np.flatnonzero((data & 0xC0) != 0x80)  # first bytes of the characters
     owner = np.repeat(np.arange(len(off) - 1), np.diff(off))[lead]
     whole = np.flatnonzero(owner[: len(lead) - CHARS + 1] == owner[CHARS - 1 :]) if len(lead) >= CHARS else np.zeros(0, np.int64)
-    gram = hasher.spans(lead[whole], np.append(lead, len(data))[whole + CHARS])
+    gram = span_hashes(data, lead[whole], np.append(lead, len(data))[whole + CHARS])
     shift = U64(64 - BITS)
     found = [(doc, h), (doc[at], pair), (owner[whole], gram)]
     return [(d, (x >> shift).astype(np.int64) + (k << BITS)) for k, (d, x) in enumerate(found)]
@@ -246,12 +242,13 @@ def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     """
     model = fit(docs, labels, fit_rows)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.schema
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # as names may hold dots
+    text = f"c{docs.columns.index('text')}"
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
         for batch in batches:
-            data, off = buffer_of(batch.column("text"))
+            data, off = buffer_of(batch.column(text))
             kept = [np.zeros(0, bool)]
             for i, j in slices(off):
                 part, cut = data[off[i] : off[j]], off[i : j + 1] - off[i]
@@ -261,7 +258,7 @@ def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
                 kept.append(good)
             yield batch.filter(pa.array(np.concatenate(kept)))
 
-    return docs.mapInArrow(keep, schema)
+    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)
 
 
 __all__ = ["FIT_ROWS", "Model", "THRESHOLD", "base_counts", "base_failed", "fit", "kept_documents", "margins", "score"]

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textbytes import U64, Hasher, buffer_of, mix, slices
+from .textbytes import U64, buffer_of, gram_hashes, mix, slices, span_hashes
 
 LENGTH = 100
 GRAM = 24
@@ -66,8 +66,7 @@ def pieces_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     Two windows of one piece can only be equal if its least gram occurs again after the
     first of them has passed it; ``loops`` tells that.
     """
-    hasher = Hasher(data)
-    grams = hasher.grams(GRAM)
+    grams = gram_hashes(data, GRAM)
     keys = window_keys(grams)
     size = np.diff(off)
     fits = np.maximum(size - LENGTH + 1, 0)
@@ -84,7 +83,7 @@ def pieces_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     passed = grams[at] == key
     passed[last] = False
     loops = np.logical_or.reduceat(passed, first)
-    return doc[first], start - off[:-1][doc[first]], end - start, key[first], hasher.spans(start, end), loops
+    return doc[first], start - off[:-1][doc[first]], end - start, key[first], span_hashes(data, start, end), loops
 
 
 def _pieces(docs: DataFrame) -> DataFrame:
@@ -200,7 +199,7 @@ def dealt(data, off, ids, ties, row, start, length, key, whole, crowded) -> tupl
     base = np.zeros(len(off) - 1, np.int64)
     base[owners] = np.cumsum(sizes) - sizes
     text = np.concatenate([data[off[k] : off[k + 1]] for k in owners.tolist()])
-    h = Hasher(text).spans(base[r] + s, base[r] + s + LENGTH)
+    h = span_hashes(text, base[r] + s, base[r] + s + LENGTH)
     wide = np.full(len(r), LENGTH)
     again = later_equals(h, ids[r], ties[r], s, text, base[r] + s, wide)
     salt = 1 + (mix(ids[r].astype(np.uint64) ^ ties[r].astype(np.uint64)) % U64(SALTS)).astype(np.int64)

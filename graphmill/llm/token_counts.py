@@ -3,7 +3,7 @@
 Distinct pre-tokens go into a trie; the best score of a prefix is computed once, at its
 node, from the scores of the shorter prefixes above it, and every word with that prefix
 shares it. The node where a word ends holds its token count, which the task remembers by
-the word's hash; the memory starts afresh beyond ``MOST_KNOWN`` words, which bounds it and
+the word's bytes; the memory starts afresh beyond ``MOST_KNOWN`` words, which bounds it and
 changes no count.
 
 The vocabulary is a public one (``piece_bpe_32k.model``). Its pieces are ranked by
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbytes import U64, Hasher, buffer_of, mix, slices, sums_by, words_of
+from .textbytes import U64, buffer_of, mix, numbered, slices, sums_by, words_of
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 MODEL = "piece_bpe_32k.model"
@@ -156,20 +156,20 @@ def count_tokens(docs: DataFrame, tokenizers: str = TOKENIZERS, model: str = MOD
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(*vocabulary(path))
-        known: dict[int, int] = {}
+        known: dict[bytes, int] = {}
         for batch in batches:
             data, off = buffer_of(batch.column("text"))
             for i, j in slices(off):
                 part, cut = data[off[i] : off[j]], off[i : j + 1] - off[i]
                 start, end, doc = words_of(part, cut)
-                single, first, inverse = np.unique(Hasher(part).spans(start, end), return_index=True, return_inverse=True)
+                inverse, first = numbered(part, start, end)
                 if len(known) > MOST_KNOWN:
                     known.clear()
-                raw, keys = part.tobytes(), single.tolist()
-                fresh = [k for k, h in enumerate(keys) if h not in known]
-                words = [MARK + raw[start[f] : end[f]].decode("utf-8", "replace") for f in first[fresh].tolist()]
-                known.update(zip((keys[k] for k in fresh), trie.count(words).tolist(), strict=True))
-                sizes = np.array([known[h] for h in keys], np.int64)
+                raw = part.tobytes()
+                keys = [raw[p:q] for p, q in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+                fresh = [w for w in keys if w not in known]
+                known.update(zip(fresh, trie.count([MARK + w.decode("utf-8", "replace") for w in fresh]).tolist(), strict=True))
+                sizes = np.array([known[w] for w in keys], np.int64)
                 total = np.bincount(doc, weights=sizes[inverse], minlength=j - i) if len(keys) else np.zeros(j - i)
                 yield pa.record_batch(
                     {

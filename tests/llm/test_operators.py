@@ -402,6 +402,32 @@ def test_html_wrappers_and_doubt():
         assert html_text.main_text(page).split("\n") == [x for x in want if x], page
 
 
+def test_html_names_of_wrappers():
+    """Pages put together from known parts: what the article holds must come out, whatever the names around it."""
+    rng = random.Random(31)
+    sentence = lambda: " ".join(rng.choice("some words here and there that tell a story".split()) for _ in range(18)).capitalize() + ", and so on."
+    wrappers = (
+        "class='page has-sidebar'", "class='content no-sidebar'", "class='nav-fixed'", "class='ad-free'", "id='no-header'", "class='header-off'",
+        "id='page' class='site no-sidebar'", "class='comments-open'", "class='content-sidebar-wrap'", "class='with-nav layout'", "",
+    )
+    around = (
+        "<div class='site-footer'>{}</div>", "<div id='comments'><p>{}</p></div>", "<div class='cookie-notice'>{}</div>", "<nav>{}</nav>",
+        "<div class='sidebar-left'><p>{}</p></div>", "<div class='ad'>{}</div>", "<aside>{}</aside>", "<form><p>{}</p></form>",
+    )
+    for wrapper in wrappers:
+        for tag in ("div", "section", "article"):
+            blocks = [sentence() for _ in range(6)]
+            held = "".join(f"<p>{x}</p>" for x in blocks)
+            held = held if tag == "div" else f"<{tag}>{held}</{tag}>"
+            rest = [x.format(sentence()) for x in rng.sample(around, 4)]
+            page = f"<body>{''.join(rest[:2])}<div {wrapper}>{held}</div>{''.join(rest[2:])}</body>"
+            assert html_text.main_text(page).split("\n") == blocks, page
+    table = f"<table><tr><td class='navbar-off'>{''.join(f'<p>{x}</p>' for x in blocks)}</td></tr></table>"
+    assert html_text.main_text(table).split("\n") == blocks
+    article = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold, always.</p><noscript><p>A figure, in words.</p></noscript></article>"
+    assert html_text.main_text(article) == "Let x=2 hold, always.\nA figure, in words."
+
+
 def test_html_against_plain_scoring():
     rng = random.Random(12)
     words = lambda n: " ".join(rng.choice(["word,", "other", "longer", "and,", "text"]) for _ in range(n))
@@ -456,12 +482,68 @@ def test_empty_tables(spark, tmp_path):
 
 def test_span_hashes_agree():
     data = np.frombuffer(b"abcabcXabc", np.uint8)
-    h = textbytes.Hasher(data)
-    got = h.spans(np.array([0, 3, 7, 0]), np.array([3, 6, 10, 4]))
+    got = textbytes.span_hashes(data, np.array([0, 3, 7, 0]), np.array([3, 6, 10, 4]))
     assert got[0] == got[1] == got[2] != got[3]
     assert hashlib.sha256(b"").hexdigest() == brute.sha("")
 
 
+def thue_morse(n, first="a", second="b"):
+    return "".join(second if bin(k).count("1") % 2 else first for k in range(n))
+
+
+def test_spans_are_numbered_by_their_bytes(monkeypatch):
+    rng = random.Random(8)
+    parts = ["".join(rng.choice("ab") for _ in range(rng.choice([0, 1, 3, 8, 9, 30, 1024, 1025, 1500]))) for _ in range(60)]
+    parts = [rng.choice(parts) for _ in range(300)] + [thue_morse(2048), thue_morse(2048, "b", "a")]
+    data, ends = np.frombuffer("".join(parts).encode(), np.uint8), np.cumsum([len(x) for x in parts])
+    start = ends - [len(x) for x in parts]
+    for hashed in (textbytes.span_hashes, lambda data, start, end: (end - start).astype(np.uint64) % np.uint64(5)):  # and a bad one
+        monkeypatch.setattr(textbytes, "span_hashes", hashed)
+        number, first = textbytes.numbered(data, start, ends)
+        assert len(set(zip(number.tolist(), parts, strict=True))) == len(set(parts)) == len(set(number.tolist()))
+        assert [parts[first[n]] for n in number.tolist()] == parts
+
+
+def test_strings_that_collide_in_polynomial_hashes(spark):
+    s, u = thue_morse(1024), thue_morse(1024, "b", "a")
+    lines = "\n".join([s, u] + [f"some other words in line {k}" for k in range(20)])
+    docs = spark.createDataFrame([(1, s), (2, u), (3, f"{u} x"), (4, lines)], "doc_id long, text string").coalesce(1)
+    near = {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in near_dups.near_duplicates(docs).collect()}
+    assert near == {k: (v[1], v[0]) for k, v in brute.near(pairs(docs)).items()}
+    encode = packing.encoder(f"{packing.TOKENIZERS}/{packing.VOCABULARY}").encode_ordinary
+    assert {d: ids for d, _, ids in packing.segments_of(packing.pack(docs).collect())} == {r["doc_id"]: encode(r["text"]) for r in docs.collect()}
+    assert {r["doc_id"]: r["n_dup_lines"] for r in quality.score(docs, None).collect()} == {1: 0, 2: 0, 3: 0, 4: 0}
+    counts = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(docs).collect()}
+    alone = {r["doc_id"]: r["n_tokens"] for k in (1, 2) for r in token_counts.count_tokens(docs.where(f"doc_id = {k}")).collect()}
+    assert {k: counts[k] for k in (1, 2)} == alone
+
+
+def test_line_spread_of_long_texts(spark):
+    rng = random.Random(4)
+    short = [f"{rng.randrange(10**6):06d}" for _ in range(150_000)]
+    texts = [("\n".join(short), f"s{k}") for k in range(6)] + [("\n".join(short[:10] + ["own", ""] + short[10:20]), "s1")]
+    docs = spark.createDataFrame([(k, t, s) for k, (t, s) in enumerate(texts)], "doc_id long, text string, source string").repartition(7)
+    began = time.time()
+    got = {r["doc_id"]: r for r in line_spread.remove_spread_lines(docs).collect()}
+    assert time.time() - began < 30  # seven texts, 1 MB each but one
+    assert got[6]["kept_text"] == "own\n" and got[6]["n_removed"] == 20 and got[6]["n_lines"] == 21
+    assert all(got[k]["kept_text"] == "" and got[k]["n_removed"] == 150_000 for k in range(6))
+
+
+def test_line_spread_without_broadcasts(spark, tables, monkeypatch):
+    docs = tables["edge"][0]
+    want = sorted(map(str, line_spread.digest(line_spread.remove_spread_lines(docs)).collect()))
+    monkeypatch.setattr(line_spread, "MOST_LINES", -1)
+    assert sorted(map(str, line_spread.digest(line_spread.remove_spread_lines(docs)).collect())) == want
+
+
+def test_columns_with_dots(spark, tables):
+    docs = spark.createDataFrame([(1, "a b c d e f", "x"), (2, "a b c d e f", "y"), (3, None, "z")], "doc_id long, text string, `a.b` string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality.kept_documents(docs, labels).columns == docs.columns
+    assert sorted(r["a.b"] for r in near_dups.deduplicated(docs).collect()) == ["x", "z"]
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_suffix_dedup_of_crowded_keys(tables, monkeypatch, name):
     monkeypatch.setattr(suffix_dedup, "MOST_PIECES", 1)
