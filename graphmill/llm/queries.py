@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, line_spread, mixing, near_dups, packing, quality, secrets, suffix_dedup, token_counts
+from . import alignment, decontaminate, html_text, languages, line_spread, merkle, mixing, near_dups, packing, quality, secrets, suffix_dedup, token_counts
 from .common import table
 
 
@@ -51,11 +51,25 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return languages.identify(docs, languages.fit(docs))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_pack_tokens, op2_quality_rules, op3_html_text, op4_secret_scan, op5_line_dedup,
         op6_mix_sources, op7_decontaminate, op8_token_counts, op9_near_dups, op10_suffix_dedup,
+        op11_align_tokenizers, op12_language_id, op13_merkle_manifest,
     )
 }
 
@@ -65,4 +79,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_decontaminate": decontaminate.ORACLE_SQL,
     "op9_near_dups": near_dups.ORACLE_SQL,
     "op10_suffix_dedup": suffix_dedup.ORACLE_SQL,
+    "op13_merkle_manifest": merkle.ORACLE_SQL,
 }

@@ -221,10 +221,10 @@ def shingles(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray,
     return doc[at], tuples(numbered(data, start, end)[0], doc, at, width)
 
 
-def normal_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def normal_words(data: np.ndarray, off: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """The texts with one space behind each word and nothing else between words."""
-    start, end, doc = words_of(data, off)
-    keep = ~SPACE[data]
+    start, end, doc = words_of(data, off, gap)
+    keep = ~gap[data]
     keep = np.append(keep, False)
     shown = np.append(data, np.uint8(0x20))
     width = end - start + 1
