@@ -211,7 +211,7 @@ def test_mixture_of_two_languages():
         _, bucket, n = languages.grams(data, off, 12)
         counts.append(np.bincount(bucket, weights=n, minlength=1 << 12))
     model = languages.model_of(names, counts, 12)
-    data, off = textbytes.buffer_of(pa.array([words["aa"] * 9 + words["cc"] * 6, words["bb"] * 4, "", words["cc"]]))
+    data, off = textbytes.buffer_of(pa.array([words["aa"] * 9 + words["cc"] * 12, words["bb"] * 4, "", words["cc"]]))
     best, score = languages.mixtures(model, *languages.grams(data, off, 12), 4)
     assert [names[k] for k in best[[0, 1, 3]]] == ["cc", "bb", "cc"] and 0.5 < score[0] < 0.7 and score[1] > 0.99
     assert languages.bits_for(4) == 18 and languages.bits_for(65) == 17 and languages.bits_for(1 << 24) == 0
