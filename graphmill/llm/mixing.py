@@ -3,13 +3,16 @@
 1. Targets: sources (by code point, null last) weigh 3, 1, 2, repeating, and share 150 %
    of all words; no target exceeds twice its source, the excess is shared again. A source's
    quota is its rounded target, one word at least if the target is above 0.
-2. Schedule: slot i maps the golden-ratio point ``frac(i * phi)`` (as 32-bit integers)
-   through the sources' cumulative targets; slots are ranked per source.
-3. Blocks: each source's documents stand in a shuffled order (by MD5 of the id), their
-   words cut into equal blocks, the whole sequence twice over. The slot of rank k takes
-   block k of its source. A block has 256 words, or a 1024th of the mix if that is less.
-4. Ends: a source's last block ends at its quota. Slots beyond it stay empty; blocks that the
-   schedule gave no slot stand behind its end. So every source takes its quota exactly.
+2. Blocks: each source's documents stand in a shuffled order (by MD5 of the id), a ring of
+   words cut into equal blocks. A block has 256 words, or less if the mix were below 1024 blocks,
+   or more if it were above 2 ** 22. A source needs as many blocks as its quota fills.
+3. Schedule: point i is ``frac(i * phi)`` (as 32-bit integers), mapped through the sources'
+   cumulative numbers of blocks. No gap between the first 2 n points of that sequence is as wide as
+   1 / n, so twice as many points as blocks give every source the slots it needs; points are
+   ranked per source, and those beyond its blocks stay empty.
+4. Joining: the first point of a source tells, by its place in the source's range, at which
+   block of the ring the source begins. Its slot of rank k hands out the k-th block from there,
+   the last one up to the quota. What a document gives is what the slots hand out of it.
 
 Ranks and word offsets come from two-level prefix sums (per bucket, then within), so no
 window ever holds a whole source. Defined results: a null text has size 0; null sources are
@@ -29,8 +32,8 @@ from .common import WORD, n_words, packed, saved, unpacked
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_TIMES = 2
-#: Words in a block, and so in a slot of the schedule, at most; blocks in the mix at least.
-BLOCK, LEAST_BLOCKS = 256, 1024
+#: Words in a block, unless the mix had fewer or more blocks than these.
+BLOCK, LEAST_BLOCKS, MOST_BLOCKS = 256, 1024, 1 << 22
 #: floor(2**32 / golden ratio), the step of the point sequence (fixed value).
 STEP = 2654435769
 #: Slots in a bucket of the ranking; hex digits of the hash that make a shuffle bucket.
@@ -49,7 +52,7 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def targets(sizes: DataFrame) -> DataFrame:
-    """One row per source: rank ``src``, ``source_size``, ``target`` and the half-open 32-bit range ``lo``..``hi`` of its points."""
+    """One row per source: rank ``src``, ``source_size``, ``target`` and ``quota``."""
     total = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     # Windows over one row per source.
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
@@ -65,40 +68,43 @@ def targets(sizes: DataFrame) -> DataFrame:
     )
     open_level = F.max(F.when(F.col("cap") / F.col("w") >= F.col("level"), F.col("level"))).over(everything)
     found = level.withColumn("target", F.least(F.col("cap"), F.coalesce(open_level, F.lit(0.0)) * F.col("w")))
-    run = Window.orderBy("src")
-    whole = F.sum("target").over(everything)
-    point = lambda x: F.when(whole > 0, F.floor(x / whole * F.lit(2.0**32))).otherwise(F.lit(0)).cast("long")
-    upto = F.sum("target").over(run.rowsBetween(Window.unboundedPreceding, 0))
-    found = found.withColumn("hi", F.when(F.lead("src").over(run).isNull() & (whole > 0), F.lit(2**32)).otherwise(point(upto)))
     quota = F.when(F.col("target") > 0, F.greatest(F.round("target"), F.lit(1.0))).otherwise(0).cast("long")
-    return saved(
-        found.select("source", "src", "source_size", "target", quota.alias("quota"), F.coalesce(F.lag("hi").over(run), F.lit(0)).alias("lo"), "hi")
-    )
+    return saved(found.select("source", "src", "source_size", "target", quota.alias("quota")))
 
 
-def slots_and_block(goal: DataFrame, block: int = BLOCK, least_blocks: int = LEAST_BLOCKS) -> tuple[int, int]:
-    """Slots of the schedule and words in each, from the sum of the quotas."""
+def block_words(goal: DataFrame, block: int = BLOCK, least_blocks: int = LEAST_BLOCKS, most_blocks: int = MOST_BLOCKS) -> int:
+    """Words in a block, from the sum of the quotas."""
     total = goal.agg(F.sum("quota")).first()[0] or 0
-    words = max(1, min(block, total // least_blocks))
-    return -(-total // words), words
-
-
-def schedule(goal: DataFrame, slots: int) -> DataFrame:
-    """(slot, src, k): which block of which source fills each slot."""
-    points = goal.sparkSession.range(slots).select(F.col("id").alias("slot"), ((F.col("id") * STEP) % F.lit(2**32)).alias("point"))
-    # One row per source against every slot would be a cross join; equal-width cells of the
-    # point range make it an equi-join: a source's range is cut at cell borders.
-    cell = 2**32 // 1024
-    ranges = goal.where("hi > lo").select(
-        "src", "lo", "hi", F.explode(F.sequence((F.col("lo") / cell).cast("long"), ((F.col("hi") - 1) / cell).cast("long"))).alias("cell")
-    )
-    owned = points.withColumn("cell", F.floor(F.col("point") / cell).cast("long")).join(ranges, "cell").where("point >= lo and point < hi")
-    owned = owned.select("slot", "src", F.floor(F.col("slot") / SLOTS).alias("part"))
+    return max(1, min(block, total // least_blocks), total // most_blocks)
+
+
+def schedule(goal: DataFrame, block: int) -> DataFrame:
+    """(src, k, slot, begin): the slot of each block of each source, and the word of the ring at which the source begins."""
+    # A window over one row per source.
+    need = F.ceil(F.col("quota") / block)
+    upto = F.sum(need).over(Window.orderBy("src").rowsBetween(Window.unboundedPreceding, 0))
+    found = goal.select("src", "source_size", need.alias("need"), upto.alias("upto")).where("need > 0")
+    blocks = found.agg(F.max("upto")).first()[0] or 0
+    if not blocks:
+        return goal.select("src", F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("slot"), F.lit(0).cast("long").alias("begin")).where("false")
+    border = lambda x: F.expr(f"({x} << 32) div {blocks}")
+    found = found.select("src", "source_size", "need", border("(upto - need)").alias("lo"), border("upto").alias("hi"))
+    points = goal.sparkSession.range(2 * blocks).select(F.col("id").alias("slot"), ((F.col("id") * STEP) % F.lit(2**32)).alias("point"))
+    # One row per source against every point would be a cross join; equal-width cells of the point range, as many
+    # as blocks, make it an equi-join: a source's range is cut at cell borders.
+    cell = max(1, 2**32 // blocks)
+    cells = F.sequence(F.floor(F.col("lo") / cell).cast("long"), F.floor((F.col("hi") - 1) / cell).cast("long"))
+    owned = points.withColumn("cell", F.floor(F.col("point") / cell).cast("long")).join(found.withColumn("cell", F.explode(cells)), "cell")
+    owned = owned.where("point >= lo and point < hi").withColumn("part", F.floor(F.col("slot") / SLOTS))
     before = Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = owned.groupBy("src", "part").count().select("src", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
     within = Window.partitionBy("src", "part").orderBy("slot")
-    ranked = owned.withColumn("rn", F.row_number().over(within)).join(starts, ["src", "part"])
-    return ranked.select("slot", "src", (F.col("start") + F.col("rn") - 1).alias("k"))
+    ranked = owned.withColumn("rn", F.row_number().over(within)).join(starts, ["src", "part"]).withColumn("k", F.col("start") + F.col("rn") - 1)
+    ranked = ranked.where("k < need")
+    ring = F.ceil(F.col("source_size") / block)
+    begin = F.floor((F.col("point") - F.col("lo")) / (F.col("hi") - F.col("lo")) * ring) * block
+    first = ranked.where("k = 0").select("src", begin.cast("long").alias("begin"))
+    return ranked.select("src", "k", "slot").join(first.hint("merge"), "src")
 
 
 def placed(sizes: DataFrame, goal: DataFrame) -> DataFrame:
@@ -113,7 +119,7 @@ def placed(sizes: DataFrame, goal: DataFrame) -> DataFrame:
     starts = starts.select("src", "bucket", F.coalesce(F.sum("in_bucket").over(before), F.lit(0)).alias("start"))
     within = Window.partitionBy("src", "bucket").orderBy("shuffle", "doc_id", "size", "tie")
     numbered = rows.select(
-        "doc_id", "source", "tie", "size", "src", "source_size", "target", "quota", "bucket",
+        "doc_id", "source", "tie", "size", "src", "source_size", "target", "quota", "bucket", "shuffle",
         F.row_number().over(within).alias("rn"),
         F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("inner"),
     )
@@ -121,34 +127,41 @@ def placed(sizes: DataFrame, goal: DataFrame) -> DataFrame:
     return joined.withColumn("first", F.col("start") + F.col("inner")).drop("start", "inner")
 
 
-def pieces(rows: DataFrame, found: DataFrame, slots: int, block: int) -> DataFrame:
-    """Which words of which document each slot takes: one row per document, ``turn`` and block ``k``.
+def pieces(rows: DataFrame, slots: DataFrame, block: int) -> DataFrame:
+    """Which words of which document each slot hands out: one row per document, ``turn`` of the ring and block ``k``.
 
-    A document without words, or behind its source's quota, has one row with null ``turn`` and ``slot``.
+    A document that no slot takes from has one row, with null ``turn`` and ``slot``.
     """
-    start = lambda t: F.col("first") + F.col("source_size") * t
+    begins = slots.where("k = 0").select("src", "begin")
+    rows = named_by(rows, "src", begins, "shuffle", "left").withColumn("begin", F.coalesce("begin", F.lit(0)))
+    start = lambda t: F.col("first") + F.col("source_size") * t - F.col("begin")
     spans = F.array(
-        *(F.struct(F.lit(t).alias("turn"), start(t).alias("a"), F.least(start(t) + F.col("size"), "quota").alias("b")) for t in range(MOST_TIMES))
+        *(
+            F.struct(
+                F.lit(t).alias("turn"), start(t).alias("at"), F.greatest(start(t), F.lit(0)).alias("a"), F.least(start(t) + F.col("size"), "quota").alias("b")
+            )
+            for t in range(MOST_TIMES + 1)
+        )
     )
-    cut = rows.withColumn("span", F.explode_outer(F.filter(spans, lambda x: x["b"] > x["a"]))).select("*", "span.turn", "span.a", "span.b").drop("span")
+    cut = rows.withColumn("span", F.explode_outer(F.filter(spans, lambda x: x["b"] > x["a"]))).select("*", "span.*").drop("span")
     cut = cut.withColumn("k", F.explode_outer(F.sequence(F.floor(F.col("a") / block), F.floor((F.col("b") - 1) / block))))
     lo, hi = F.greatest("a", F.col("k") * block), F.least("b", (F.col("k") + 1) * block)
-    cut = cut.withColumns({"from_word": lo - F.col("a"), "to_word": hi - F.col("a")}).drop("a", "b")
-    behind = F.when(F.col("k").isNotNull(), F.col("k") + slots)
-    return cut.join(found.select("src", "k", "slot"), ["src", "k"], "left").withColumn("slot", F.coalesce("slot", behind))
+    cut = cut.withColumns({"from_word": lo - F.col("at"), "to_word": hi - F.col("at")}).drop("a", "b", "at", "begin")
+    # Every block that is needed has its slot; the outer side keeps the documents that give nothing.
+    return cut.join(slots.select("src", "k", "slot"), ["src", "k"], "left")
 
 
 def _cut(docs: DataFrame) -> DataFrame:
     sizes = sized(docs)
     goal = targets(sizes)
-    slots, block = slots_and_block(goal)
-    return pieces(placed(sizes, goal), schedule(goal, slots), slots, block)
+    block = block_words(goal)
+    return pieces(placed(sizes, goal), saved(schedule(goal, block)), block)
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """Per document: its size, its source's size and target, the words that the mix takes of it, and the first slot that does."""
     keys = ["src", "bucket", "rn", "doc_id", "size", "source_size", "target"]
-    took = F.coalesce(F.sum(F.col("to_word") - F.col("from_word")), F.lit(0)).cast("long")
+    took = F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("to_word") - F.col("from_word"))), F.lit(0)).cast("long")
     found = _cut(docs).groupBy(*keys).agg(took.alias("taken"), F.min("slot").alias("first_slot"))
     return found.select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
@@ -156,17 +169,17 @@ def mix(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself, with the columns of the documents: a row for each time that a document is taken, in order of the schedule.
 
-    The document in which its source's quota ends keeps the taken words, joined by one space.
+    The documents in which its source begins or its quota ends keep the taken words, joined by one space.
     """
     same = ["doc_id", "source", "tie", "size"]
-    turns = _cut(docs).where("turn is not null").groupBy(*same, "src", "bucket", "rn", "turn")
-    turns = turns.agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"), F.min("slot").alias("slot"))
+    turns = _cut(docs).where("slot is not null").groupBy(*same, "src", "bucket", "rn", "turn")
+    turns = turns.agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"), F.min("from_word").alias("from"), F.min("slot").alias("slot"))
     # Rows that share all four are told apart by their place among their like.
     like = lambda *order: F.dense_rank().over(Window.partitionBy(*same).orderBy(*order))
-    turns = turns.withColumn("like", like("src", "bucket", "rn")).select(F.struct(*same).alias("same"), "like", "src", "slot", "taken")
+    turns = turns.withColumn("like", like("src", "bucket", "rn")).select(F.struct(*same).alias("same"), "like", "src", "slot", "from", "taken")
     texts = packed(docs, *_key(docs)).withColumn("like", F.row_number().over(Window.partitionBy(*same).orderBy("size")))
     taken = texts.select("row", F.struct(*same).alias("same"), "like").join(turns.hint("merge"), ["same", "like"])
-    words = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0)), 1, F.col("taken").cast("int")), " ")
+    words = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0)), F.col("from").cast("int") + 1, F.col("taken").cast("int")), " ")
     text = F.when(F.col("taken") < F.col("same.size"), words).otherwise(F.col("row.text"))
     own = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     ordered = taken.orderBy("slot", "src", "same.doc_id")
@@ -195,34 +208,34 @@ aims AS (
 ),
 goal AS (SELECT *, CASE WHEN target > 0 THEN greatest(round(target), 1)::BIGINT ELSE 0 END AS quota FROM aims),
 plan AS (
-  SELECT (whole + block - 1) // block AS slots, block
-  FROM (SELECT whole, greatest(1, least({BLOCK}, whole // {LEAST_BLOCKS})) AS block FROM (SELECT coalesce(sum(quota), 0)::BIGINT AS whole FROM goal))
+  SELECT greatest(1, least({BLOCK}, whole // {LEAST_BLOCKS}), whole // {MOST_BLOCKS}) AS block FROM (SELECT coalesce(sum(quota), 0)::BIGINT AS whole FROM goal)
 ),
-upto AS (
-  SELECT *, sum(target) OVER (ORDER BY src ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS u,
-         (SELECT sum(target) FROM goal) AS whole, max(src) OVER () AS last FROM goal
+needs AS (SELECT *, (quota + block - 1) // block AS need, sum((quota + block - 1) // block) OVER (ORDER BY src)::BIGINT AS upto FROM goal, plan),
+ranges AS (
+  SELECT *, ((upto - need) << 32) // blocks AS lo, (upto << 32) // blocks AS hi FROM (SELECT *, max(upto) OVER () AS blocks FROM needs) WHERE need > 0
 ),
-bounds AS (
-  SELECT *, CASE WHEN whole <= 0 THEN 0 WHEN src = last THEN 4294967296 ELSE floor(u / whole * 4294967296.0::DOUBLE)::BIGINT END AS hi FROM upto
-),
-ranges AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY src), 0) AS lo FROM bounds),
 slots AS (
-  SELECT src, i AS slot, row_number() OVER (PARTITION BY src ORDER BY i) - 1 AS k
-  FROM (SELECT i, (i * {STEP}) % 4294967296 AS point FROM range((SELECT slots FROM plan)) t(i)) p
-  JOIN ranges r ON p.point >= r.lo AND p.point < r.hi
+  SELECT * FROM (
+    SELECT src, need, i AS slot, row_number() OVER (PARTITION BY src ORDER BY i) - 1 AS k,
+           floor((point - lo)::DOUBLE / (hi - lo)::DOUBLE * ((source_size + block - 1) // block)::DOUBLE)::BIGINT * block AS begin
+    FROM (SELECT i, (i * {STEP}) % 4294967296 AS point FROM range((SELECT 2 * max(blocks) FROM ranges)) t(i)) p
+    JOIN ranges r ON p.point >= r.lo AND p.point < r.hi
+  ) WHERE k < need
 ),
 placed AS (
   SELECT s.doc_id, s.size, r.src, r.source_size, r.target, r.quota,
     coalesce(sum(s.size) OVER (PARTITION BY r.src ORDER BY md5('mix:' || coalesce(s.doc_id::VARCHAR, '')), s.doc_id, s.size
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first
-  FROM sizes s JOIN ranges r ON s.source IS NOT DISTINCT FROM r.source
+  FROM sizes s JOIN goal r ON s.source IS NOT DISTINCT FROM r.source
+),
+spans AS (
+  SELECT p.*, row_number() OVER () AS rid, greatest(0, first + t * source_size - coalesce(begin, 0)) AS a, least(first + t * source_size - coalesce(begin, 0) + size, quota) AS b
+  FROM (SELECT p.*, s.begin, row_number() OVER () AS id FROM placed p LEFT JOIN slots s ON s.src = p.src AND s.k = 0) p, range({MOST_TIMES + 1}) t(t)
 ),
-took AS (
-  SELECT *, greatest(0, least(first + size, quota) - first) AS once, greatest(0, least(source_size + first + size, quota) - source_size - first) AS twice,
-         first // block AS k, slots AS behind
-  FROM placed, plan
+handed AS (
+  SELECT sp.id, sum(least(b, (k + 1) * block) - greatest(a, k * block)) AS taken, min(slot) AS first_slot
+  FROM spans sp JOIN plan ON true JOIN slots s ON s.src = sp.src AND k * block < b AND (k + 1) * block > a WHERE b > a GROUP BY sp.id
 )
-SELECT doc_id, size, source_size, target, (once + twice)::BIGINT AS taken,
-       CASE WHEN once + twice > 0 THEN coalesce(s.slot, t.k + behind) END::BIGINT AS first_slot
-FROM took t LEFT JOIN slots s ON s.src = t.src AND s.k = t.k
+SELECT doc_id, size, source_size, target, coalesce(max(taken), 0)::BIGINT AS taken, max(first_slot)::BIGINT AS first_slot
+FROM spans LEFT JOIN handed USING (id) GROUP BY id, doc_id, size, source_size, target
 """

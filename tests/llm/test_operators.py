@@ -356,6 +356,26 @@ def test_mixing(tables, name):
     assert words == {r["doc_id"]: r["taken"] for r in got if r["taken"]}
 
 
+def test_mixing_takes_what_its_slots_hand_out(tables, monkeypatch):
+    docs = tables["real"][0]
+    sums = lambda: docs.select("doc_id", "source").join(mixing.mix(docs), "doc_id")
+    before = {r["doc_id"]: (r["source"], r["taken"]) for r in sums().collect()}
+    monkeypatch.setattr(mixing, "STEP", 1640531527)
+    after = {r["doc_id"]: (r["source"], r["taken"]) for r in sums().collect()}
+    assert sum(before[d] != after[d] for d in before) > 5
+    for source in {s for s, _ in before.values()}:
+        assert sum(n for s, n in before.values() if s == source) == sum(n for s, n in after.values() if s == source)
+    goal = mixing.targets(mixing.sized(docs))
+    for block in (256, 31, 5):
+        slots = mixing.schedule(goal, block).collect()
+        assert {(r["src"], r["k"]) for r in slots} == {(r["src"], k) for r in goal.collect() for k in range(-(-r["quota"] // block))}
+        assert len({r["slot"] for r in slots}) == len(slots)
+        order = sorted(slots, key=lambda r: r["slot"])  # the sources take turns: every stretch holds about a source's share
+        for r in goal.collect():
+            need, half = -(-r["quota"] // block), len(order) // 2
+            assert need < 20 or abs(sum(x["src"] == r["src"] for x in order[:half]) - need / 2) < 4 + need / 10
+
+
 def test_mixing_small_sources(spark):
     sizes = [10000] + [20 + 6 * k for k in range(30)]
     rows = [(100 * k + j, f"s{k:02}", " ".join(["w"] * n)) for k, size in enumerate(sizes) for j, n in enumerate((size - size // 3, size // 3))]
