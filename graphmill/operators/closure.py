@@ -95,26 +95,90 @@ def components(edges: DataFrame) -> DataFrame:
     return saved(label)
 
 
-def longest_depth(arcs: DataFrame) -> DataFrame:
+def _trimmed(arcs: DataFrame, n_arcs: int) -> tuple[DataFrame, int]:
+    """The arcs (src, dst) on a way from a cycle to a cycle: those of nodes that nothing enters or leaves go, round by round."""
+    while n_arcs:
+        entered, left = arcs.select(F.col("dst").alias("src")).distinct(), arcs.select(F.col("src").alias("dst")).distinct()
+        kept, n_kept = saved_rows(arcs.join(entered.hint("merge"), "src", "left_semi").join(left.hint("merge"), "dst", "left_semi").select("src", "dst"))
+        if n_kept == n_arcs:
+            break
+        arcs, n_arcs = kept, n_kept
+    return arcs, n_arcs
+
+
+def strong_components(arcs: DataFrame) -> DataFrame:
+    """(node, component) of the nodes on cycles of arcs (src, dst): nodes that reach one another share a component, named by its greatest node.
+
+    Arcs off all cycles are trimmed. Then every node takes the greatest node that reaches it as
+    its colour; what reaches the node that gave a colour, within that colour, is a component. Arcs
+    between the other nodes of one colour go on. Only nodes whose colour is new move on in a
+    round; the rounds are bounded by the length of the longest simple way within a colour.
+    """
+    arcs, n_arcs = _trimmed(*saved_rows(arcs.select("src", "dst").where("src <> dst").distinct()))
+    found = []
+    while n_arcs:
+        nodes = arcs.select(F.col("src").alias("node"), F.col("src").alias("colour")).distinct()
+        colours, newest, n_new = nodes, nodes, 1
+        while n_new:
+            told = newest.join(arcs.hint("merge"), newest["node"] == arcs["src"]).groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("told"))
+            merged = colours.join(told.hint("merge"), "node", "left")
+            merged = merged.select("node", F.greatest("colour", F.coalesce("told", "colour")).alias("colour"), (F.coalesce("told", "colour") > F.col("colour")).alias("new"))
+            merged, n_new = saved_rows(merged, "new")
+            colours, newest = merged.select("node", "colour"), merged.where("new").select("node", "colour")
+        ends = named_by(named_by(arcs, "src", colours.toDF("src", "of"), "dst"), "dst", colours.toDF("dst", "to"), "src").where("of = to")
+        arcs = saved(ends.select("src", "dst"))
+        # Backwards from the nodes that gave their colours; within a colour each node belongs to one of them.
+        members = [saved(colours.where("node = colour"))]
+        while True:
+            step = arcs.join(members[-1].hint("merge"), arcs["dst"] == members[-1]["node"]).select(F.col("src").alias("node"), "colour").distinct()
+            more, n_more = saved_rows(step.join(_union(members).select("node").hint("merge"), "node", "left_anti"))
+            if not n_more:
+                break
+            members.append(more)
+        found.append(_union(members).select("node", F.col("colour").alias("component")))
+        done = found[-1].select(F.col("node").alias("src"))
+        rest = arcs.join(done.hint("merge"), "src", "left_anti").join(done.toDF("dst").hint("merge"), "dst", "left_anti").select("src", "dst")
+        arcs, n_arcs = _trimmed(*saved_rows(rest))
+    if not found:
+        return arcs.select(F.col("src").alias("node"), F.col("dst").alias("component"))
+    return _union(found)
+
+
+def longest_depth(arcs: DataFrame, equivalent: DataFrame | None = None) -> DataFrame:
     """(node, depth): nodes of a rooted DAG of arcs (src child, dst parent) by their longest path from a root, roots at 1.
 
-    Relaxation by layers: a node is in every layer that a path from a root reaches, its depth is
-    the last one. A cycle raises: one below a root once the layers outnumber the nodes, one that no
-    root reaches as its nodes are in no layer.
+    Layers by counting open parents: a node is in the layer after the last of its parents, so
+    each arc is used once and a cycle is never entered. ``equivalent`` (node, component) names
+    groups of nodes: those that lie on a cycle of arcs within their group count as one node and
+    share a depth. Any other cycle raises.
     """
     arcs = saved(arcs.select("src", "dst").where("src <> dst").distinct())
-    nodes = saved(arcs.select(F.col("src").alias("node")).union(arcs.select("dst")).distinct())
-    total = nodes.count()
-    layer, left = saved_rows(nodes.join(arcs.select(F.col("src").alias("node")), "node", "left_anti"))
-    depth, layers = 0, []
+    nodes = arcs.select(F.col("src").alias("node")).union(arcs.select("dst")).distinct()
+    one = None
+    if equivalent is not None:
+        group = equivalent.select("node", "component")
+        within = named_by(named_by(arcs, "src", group.toDF("src", "a"), "dst"), "dst", group.toDF("dst", "b"), "src").where("a = b")
+        one = saved(strong_components(within.select("src", "dst")))
+        ends = named_by(named_by(arcs, "src", one.toDF("src", "a"), "dst", "left"), "dst", one.toDF("dst", "b"), "src", "left")
+        arcs = saved(ends.select(F.coalesce("a", "src").alias("src"), F.coalesce("b", "dst").alias("dst")).where("src <> dst").distinct())
+        nodes = named_by(nodes, "node", one, "node", "left").select(F.coalesce("component", "node").alias("node")).distinct()
+    nodes = saved(nodes)
+    needs = arcs.groupBy("src").agg(F.count("*").alias("need"))
+    arcs = saved(named_by(arcs, "src", needs, "dst"))
+    layer, left = saved_rows(nodes.join(needs.select(F.col("src").alias("node")).hint("merge"), "node", "left_anti"))
+    waiting = arcs.select(F.col("src").alias("node"), "need", F.col("need").alias("met")).where("false")
+    depth, layers = 0, [nodes.withColumn("depth", F.lit(0).cast("long")).where("false")]
     while left:
         depth += 1
-        if depth > total:
-            raise GraphError("cycle", "a longest depth needs a graph without cycles")
-        layers.append(layer.withColumn("depth", F.lit(depth).cast("long")))
-        layer, left = saved_rows(arcs.join(layer, arcs["dst"] == layer["node"], "left_semi").select(F.col("src").alias("node")).distinct())
-    empty = nodes.withColumn("depth", F.lit(0).cast("long")).where("false")
-    found = saved(_union([empty, *layers]).groupBy("node").agg(F.max("depth").alias("depth")))
-    if found.count() < total:
+        layers.append(layer.select("node", F.lit(depth).cast("long").alias("depth")))
+        met = arcs.join(layer.hint("merge"), arcs["dst"] == layer["node"]).select(F.col("src").alias("node"), "need", F.lit(1).cast("long").alias("met"))
+        touched = met.union(waiting).groupBy("node", "need").agg(F.sum("met").alias("met"))
+        touched, left = saved_rows(touched, "met = need")
+        layer, waiting = touched.where("met = need").select("node"), touched.where("met < need")
+    found = saved(_union(layers))
+    if found.count() < nodes.count():
         raise GraphError("cycle", "a longest depth needs a graph without cycles")
-    return found
+    if one is None:
+        return found
+    rest = found.join(one.select(F.col("component").alias("node")).distinct().hint("merge"), "node", "left_anti")
+    return rest.union(named_by(one, "component", found.select(F.col("node").alias("component"), "depth"), "node").select("node", "depth"))

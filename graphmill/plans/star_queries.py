@@ -707,6 +707,21 @@ def _(g):
     return big(closure.longest_depth(sub_arcs(g)))
 
 
+CYCLIC_SQL = """
+pair AS (SELECT rid1 AS lo, rid2 AS hi FROM edges WHERE pid = 7),
+way AS (SELECT rid1 AS src, rid2 AS dst FROM edges WHERE pid = 1 UNION SELECT lo, hi FROM pair UNION SELECT hi, lo FROM pair),
+rep AS (SELECT node, coalesce(p.lo, node) AS one FROM (SELECT src AS node FROM way UNION SELECT dst FROM way) n LEFT JOIN pair p ON p.hi = n.node),
+up AS (SELECT DISTINCT a.one AS src, b.one AS dst FROM way JOIN rep a ON a.node = src JOIN rep b ON b.node = dst WHERE a.one <> b.one),"""
+
+
+@query("depth_with_equivalent_cycles", " SELECT rep.node, depth FROM rep JOIN lng ON lng.node = rep.one", CYCLIC_SQL + DEPTH_SQL.replace("sub", "up"))
+def _(g):
+    """Equivalent classes lie below one another, so the hierarchy has a cycle for each pair."""
+    pairs = g.edges.where("pid = 7").select(F.col("rid1").alias("src"), F.col("rid2").alias("dst"))
+    arcs = sub_arcs(g).union(pairs).union(pairs.select("dst", "src"))
+    return big(closure.longest_depth(arcs, infer.equivalence_groups(g).select(F.col("ridm").alias("node"), F.col("rid").alias("component"))))
+
+
 PLACES = f"""
 typ AS (
   SELECT c_custkey::BIGINT AS node, 1 AS cls FROM customer UNION ALL SELECT s_suppkey + {SUPPLIER}, 2 FROM supplier

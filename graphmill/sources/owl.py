@@ -1,7 +1,7 @@
-"""OWL documents in RDF/XML: files to triples in tasks, triples to the tables of a shredded ontology.
+"""OWL documents in RDF/XML or N-Triples: files to triples in tasks, triples to the tables of a shredded ontology.
 
-Each file is read by one task as a stream of elements into (subject, predicate, object) rows,
-so that neither a tree nor a list of a whole document is held; everything after that is joins
+Files are cut at their top-level elements or lines, so that many tasks read one (``documents``);
+elements become (subject, predicate, object) rows as a stream. Everything after that is joins
 on predicates, and many documents load side by side. Ids come from two-level ranks of a stable
 key, never from the order of rows.
 """
@@ -22,9 +22,12 @@ from ..functions.text import normalized_literal
 from ..model import OWL, RDF, RDFS, RESOURCE_ANNOTATIONS, SYSTEM_PROPERTIES, TEXT_ANNOTATIONS, XSD, GraphError
 from ..model import ResourceType as T
 from ..session import saved, saved_rows, shipped
+from . import documents
 
 XML = "{http://www.w3.org/XML/1998/namespace}"
 MEMBER = "urn:member"
+#: Predicate of the rows (namespace, PREFIX, prefix) that tell what a document calls its namespaces.
+PREFIX = "urn:prefix"
 TRIPLES = "s string, p string, o string, literal boolean, lang string, datatype string"
 #: Axioms that a load refuses (fixed values): keys, negative assertions, rules; definitions of datatypes are refused as well.
 REFUSED = (f"{OWL}hasKey", f"{OWL}NegativePropertyAssertion", "http://www.w3.org/2003/11/swrl#Imp")
@@ -38,15 +41,17 @@ PROPERTY_KINDS = ("ObjectProperty", "DatatypeProperty", "AnnotationProperty", "T
 CLASS_KINDS = (f"{OWL}Class", f"{RDFS}Class")
 
 
-def triples_of(data: bytes, source: str) -> Iterator[tuple]:
+def triples_of(data: bytes, source: str, piece: str = "") -> Iterator[tuple]:
     """Triples of one RDF/XML document, in one pass over its elements; blank nodes are named after the document.
 
+    ``piece`` tells the parts of a document apart in the names of nodes without a label.
+
     Property attributes, nested bases and languages, collections, and properties parsed as resources or as literals are read.
     """
     blanks = count(1)
     name = lambda tag: tag[1:].replace("}", "", 1) if tag[0] == "{" else tag
     rdf = lambda element, key: element.get(f"{{{RDF}}}{key}")
-    fresh = lambda: f"_:{source}/{next(blanks)}"
+    fresh = lambda: f"_:{source}/{piece}{next(blanks)}"
     plain = lambda key: not key.startswith((f"{{{RDF}}}", XML)) and key[0] == "{"
 
     def iri(value: str, base: str) -> str:
@@ -54,8 +59,11 @@ def triples_of(data: bytes, source: str) -> Iterator[tuple]:
 
     # Open elements: kind ("root", "node", "property", "literal", "inner"), subject, predicate, list or object, base, language, parts.
     path: list[dict] = []
-    for event, element in ElementTree.iterparse(io.BytesIO(data), ("start", "end")):
-        if event == "start":
+    for event, element in ElementTree.iterparse(io.BytesIO(data), ("start", "end", "start-ns")):
+        if event == "start-ns":
+            if element[0]:
+                yield element[1], PREFIX, element[0], False, None, None
+        elif event == "start":
             above = path[-1] if path else {"kind": "", "base": "", "lang": None, "parts": 0}
             above["parts"] += 1
             own = {"base": element.get(f"{XML}base", above["base"]).rstrip("#"), "lang": element.get(f"{XML}lang", above["lang"]), "parts": 0}
@@ -115,8 +123,11 @@ def triples_of(data: bytes, source: str) -> Iterator[tuple]:
                 element.clear()
 
 
-def read_triples(spark: SparkSession, path: str) -> DataFrame:
-    """Triples of all RDF/XML files of a path."""
+def read_triples(spark: SparkSession, path: str, split: bool = True) -> DataFrame:
+    """Triples of all files of a path: N-Triples in files named ``.nt``, RDF/XML in all others.
+
+    Without ``split`` each RDF/XML file is read by one task as it is, in any encoding.
+    """
     columns = [c.split()[0] for c in TRIPLES.split(", ")]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -127,6 +138,10 @@ def read_triples(spark: SparkSession, path: str) -> DataFrame:
                     yield pd.DataFrame(part, columns=columns)
 
     shipped(spark)
+    if path.endswith(".nt"):
+        return documents.with_members(saved(documents.read_lines(spark, path)), MEMBER)
+    if split:
+        return documents.with_members(documents.read_split(spark, path, triples_of), MEMBER)
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, TRIPLES)
 
 
@@ -151,7 +166,8 @@ def local_name(iri: Column) -> Column:
 
 def shred(triples: DataFrame) -> dict[str, DataFrame]:
     """The tables of an ontology from its triples."""
-    t = saved(triples.distinct())
+    every = saved(triples.distinct())
+    t = every.where(F.col("p") != PREFIX)
     refused = t.where((F.col("p") == f"{RDF}type") & F.col("o").isin(*REFUSED)).select("o").union(t.where(F.col("p").isin(*REFUSED)).select("p"))
     kinds_of_data = t.where((F.col("p") == f"{RDF}type") & (F.col("o") == f"{RDFS}Datatype")).select("s")
     defined = t.where(F.col("p") == f"{OWL}equivalentClass").join(kinds_of_data, "s", "left_semi").select(F.lit("a definition of a datatype"))
@@ -190,9 +206,10 @@ def shred(triples: DataFrame) -> dict[str, DataFrame]:
     spaces = reduce(DataFrame.union, [ids[k].select("key") for k in "cip"]).select(F.regexp_extract("key", r"^(.*[#/])[^#/]*$", 1).alias("key")).where("key <> ''").distinct()
     space = saved(dense_ids(spaces))
     in_space = lambda df: df.withColumn("url", F.regexp_extract("key", r"^(.*[#/])[^#/]*$", 1)).join(space.toDF("url", "nsid"), "url", "left")
+    prefixes = every.where(F.col("p") == PREFIX).groupBy(F.col("s").alias("key")).agg(F.min("o").alias("prefix"))
     flags = props.join(ids["p"], "key")
     out = {
-        "namespace": space.select("id", F.lit(None).cast("string").alias("prefix"), F.col("key").alias("url")),
+        "namespace": space.join(prefixes, "key", "left").select("id", "prefix", F.col("key").alias("url")),
         "primitiveclass": in_space(ids["c"]).select("id", local_name(F.col("key")).alias("name"), "nsid", F.lit(False).alias("is_system")),
         "individual": in_space(ids["i"]).select("id", local_name(F.col("key")).alias("name"), "nsid"),
         "datatype": ids["d"].select("id", local_name(F.col("key")).alias("name")),

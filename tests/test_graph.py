@@ -1,6 +1,7 @@
 """Graph operators on a micro fixture with hand-computed answers, and on random graphs against plain search."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -325,3 +326,37 @@ def test_longest_depth_of_cycles(spark):
     for bad in (arcs((1, 2), (2, 1)), arcs((2, 1), (3, 2), (2, 3)), arcs((2, 1), (8, 9), (9, 8))):
         with pytest.raises(GraphError):
             closure.longest_depth(bad)
+
+
+def test_longest_depth_contracts_equivalent_cycles(spark):
+    frame = lambda names, *rows: spark.createDataFrame(list(rows), names)
+    arcs = frame("src long, dst long", (2, 1), (3, 2), (2, 3), (4, 3), (5, 4), (6, 1), (7, 6), (5, 7), (3, 8), (8, 1))
+    groups = frame("node long, component long", (2, 2), (3, 2), (6, 6), (7, 6))
+    got = {r["node"]: r["depth"] for r in closure.longest_depth(arcs, groups).collect()}
+    assert got == {1: 1, 2: 3, 3: 3, 4: 4, 5: 5, 6: 2, 7: 3, 8: 2}  # 6 and 7 are equivalent, but on no cycle
+    with pytest.raises(GraphError):  # a cycle that leaves its group
+        closure.longest_depth(arcs.union(frame("src long, dst long", (2, 5))), groups)
+    with pytest.raises(GraphError):
+        closure.longest_depth(arcs)
+
+
+def test_long_cycles_raise_at_once(spark):
+    n = 20_000
+    ring = spark.range(1, n + 1).select(F.col("id").alias("src"), F.when(F.col("id") == n, 1).otherwise(F.col("id") + 1).cast("long").alias("dst"))
+    began = time.time()
+    with pytest.raises(GraphError):
+        closure.longest_depth(ring.union(spark.createDataFrame([(1, 0)], "src long, dst long")))
+    assert time.time() - began < 30
+
+
+def test_strong_components(spark):
+    rng = random.Random(6)
+    for n, m in ((12, 14), (40, 60), (60, 75)):
+        arcs = {(rng.randrange(n), rng.randrange(n)) for _ in range(m)}
+        reach = {k: {k} for k in range(n)}
+        for _ in range(n):
+            for a, b in arcs:
+                reach[a] |= reach[b]
+        want = {k: max(j for j in reach[k] if k in reach[j]) for k in range(n) if any(j != k and k in reach[j] for j in reach[k])}
+        got = closure.strong_components(spark.createDataFrame(sorted(arcs), "src long, dst long")).collect()
+        assert {r["node"]: r["component"] for r in got} == want and len(got) == len(want)
