@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 from itertools import count, islice
 from xml.etree import ElementTree
 
@@ -41,10 +41,11 @@ PROPERTY_KINDS = ("ObjectProperty", "DatatypeProperty", "AnnotationProperty", "T
 CLASS_KINDS = (f"{OWL}Class", f"{RDFS}Class")
 
 
-def triples_of(data: bytes, source: str, piece: str = "") -> Iterator[tuple]:
+def triples_of(data: bytes, source: str, piece: str = "", prefixes: bool = False) -> Iterator[tuple]:
     """Triples of one RDF/XML document, in one pass over its elements; blank nodes are named after the document.
 
-    ``piece`` tells the parts of a document apart in the names of nodes without a label.
+    ``piece`` tells the parts of a document apart in the names of nodes without a label; with
+    ``prefixes`` there is a row of ``PREFIX`` for each that the document declares.
 
     Property attributes, nested bases and languages, collections, and properties parsed as resources or as literals are read.
     """
@@ -59,7 +60,7 @@ def triples_of(data: bytes, source: str, piece: str = "") -> Iterator[tuple]:
 
     # Open elements: kind ("root", "node", "property", "literal", "inner"), subject, predicate, list or object, base, language, parts.
     path: list[dict] = []
-    for event, element in ElementTree.iterparse(io.BytesIO(data), ("start", "end", "start-ns")):
+    for event, element in ElementTree.iterparse(io.BytesIO(data), ("start", "end", *(["start-ns"] if prefixes else []))):
         if event == "start-ns":
             if element[0]:
                 yield element[1], PREFIX, element[0], False, None, None
@@ -133,7 +134,7 @@ def read_triples(spark: SparkSession, path: str, split: bool = True) -> DataFram
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for file, data in zip(batch["path"], batch["content"], strict=True):
-                rows = triples_of(bytes(data), file.rsplit("/", 1)[-1])
+                rows = triples_of(bytes(data), file.rsplit("/", 1)[-1], prefixes=True)
                 while part := list(islice(rows, BATCH)):
                     yield pd.DataFrame(part, columns=columns)
 
@@ -141,7 +142,7 @@ def read_triples(spark: SparkSession, path: str, split: bool = True) -> DataFram
     if path.endswith(".nt"):
         return documents.with_members(saved(documents.read_lines(spark, path)), MEMBER)
     if split:
-        return documents.with_members(documents.read_split(spark, path, triples_of), MEMBER)
+        return documents.with_members(documents.read_split(spark, path, partial(triples_of, prefixes=True)), MEMBER)
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, TRIPLES)
 
 
