@@ -1,12 +1,12 @@
 """Benchmark decontamination by a prefix-filtered set join. DataFrame functions only.
 
 An item's windows are 13 consecutive words (or all words of a shorter item); equal windows
-of all items are one. Every text is split once. Its word shingles meet the windows' shingles
-in one equi-join on hashes, whose matches are saved: counted over all documents, they rank
-the shingles by rarity, and as a window must be contained whole, its rarest shingle is a
-sufficient prefix, so that only the matches of that one are joined with windows. Length and
-position bounds drop windows that would stick out of the document, and the rest is verified
-word by word. Items are looked up for windows that occur.
+of all items are one. A window's shingles are ordered by rarity among all windows (longer
+shingles first where they are alike); as a window must be contained whole, its first shingle in
+that order is a sufficient prefix. Only these shingles, one a window, are joined with the
+shingles of the texts, in one pass over them. Length and position bounds drop windows that
+would stick out of the document, and the rest is verified word by word. Items are looked up for
+windows that occur.
 
 Defined results: a null text has no words; a null item text has no windows; rows that
 share id and text are judged alike; null ids are ids of their own texts; an empty benchmark
@@ -29,8 +29,8 @@ SHINGLE = 3
 #: A document with 1 / 20 of its words hit is contaminated.
 SHARE = 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Bytes of shingles or windows that are broadcast at most, and documents whose ids are; beyond it the join is a salted shuffle.
-MOST_BYTES, MOST_DOCS = 8 << 20, 250_000
+#: Bytes of the windows' shingles that are broadcast at most (40 a window), and documents whose ids are; beyond it the join is a salted shuffle.
+MOST_BYTES, MOST_DOCS = 32 << 20, 250_000
 
 
 def words(text: str) -> Column:
@@ -77,19 +77,17 @@ def hits(docs: DataFrame, windows: DataFrame) -> DataFrame | None:
     own_width = lambda x: x.where("shingle.width = width")
     shingles = own_width(windows.select("win", "len", "width", _shingles_of("win", widths).alias("shingle")))
     shingles = saved(shingles.select("win", "len", "width", "shingle.h", F.col("shingle.place").alias("j")))
-    wanted, n_wanted = saved_rows(shingles.select("width", "h").distinct())
+    rarity = shingles.groupBy("width", "h").agg(F.count("*").alias("often"))
+    length = F.octet_length(F.array_join(F.slice("win", F.col("j") + 1, F.col("width")), ""))
+    order = F.struct("often", (-length).alias("length"), "h", "j")
+    prefix = shingles.join(rarity.hint("merge"), ["width", "h"]).groupBy("win", "len", "width").agg(F.min(order).alias("first"))
+    prefix, n_prefix = saved_rows(prefix.select("width", "first.h", "first.j", "len", F.xxhash64("win").alias("of")))
     split = docs.select(_key(docs), words("text").alias("words"))
     places = split.select("key", F.size("words").alias("n_words"), _shingles_of("words", widths).alias("at"))
     places = places.select("key", "n_words", "at.width", "at.h", F.col("at.place").alias("pos"))
-    matched = saved(_met(places, ["width", "h"], wanted, 16 * n_wanted))
-    # Rarity of each shared shingle over all documents; a window with an absent shingle can't occur.
-    rarity = matched.groupBy("width", "h").agg(F.count("*").alias("often"))
-    rarest = shingles.join(rarity.hint("merge"), ["width", "h"]).groupBy("win", "len", "width")
-    rarest = rarest.agg(F.min(F.struct("often", "h", "j")).alias("rarest"), F.count("*").alias("present")).where("present = len - width + 1")
-    rarest = saved(rarest.select("win", "len", "width", "rarest.h", "rarest.j"))
-    n_bytes = rarest.agg(F.sum(F.octet_length(F.array_join("win", " ")) + 48)).first()[0] or 0
-    candidates = _met(matched, ["width", "h"], rarest, n_bytes).withColumn("start", F.col("pos") - F.col("j"))
-    candidates = candidates.where("start >= 0 and start + len <= n_words")
+    candidates = _met(places, ["width", "h"], prefix, 40 * n_prefix).withColumn("start", F.col("pos") - F.col("j"))
+    candidates = candidates.where("start >= 0 and start + len <= n_words").select("key", "start", "of")
+    candidates = named_by(candidates, "of", windows.select(F.xxhash64("win").alias("of"), "win"), "key")
     tries, n_docs = saved_rows(candidates.groupBy("key").agg(F.collect_set(F.struct("start", "win")).alias("tries")))
     texts = docs.select(_key(docs), "text")
     if n_docs <= MOST_DOCS:  # few enough documents: the other texts needn't move
