@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import render
 from ..model import Graph, nid, rid_of, rtid_of
-from ..operators import category, closure, dag, infer, search, setjoin, traverse, weights
+from ..operators import category, closure, dag, infer, labels, search, setjoin, traverse, weights
 from ..session import saved
 from ..sources.star import GRAPH_SQL, NATION, REGION, SUPPLIER, star_graph
 
@@ -283,6 +283,26 @@ def _(g):
     return big(dag.is_ancestor(closure_of(g), spread_pairs(g)))
 
 
+@query(
+    "is_ancestor_labels",
+    f' SELECT n1, n2, (n1 = n2 OR anc IS NOT NULL) AS is_anc FROM {PAIRS} LEFT JOIN clo ON n1 = "desc" AND n2 = anc',
+    CLOSURE_SQL,
+)
+def _(g):
+    """The same pairs by intervals: no closure is built."""
+    return big(labels.is_ancestor(labels.label_index(sub_arcs(g)), spread_pairs(g)))
+
+
+@query(
+    "dag_counts_labels",
+    """ SELECT node, count(DISTINCT a.anc)::BIGINT AS anc_all, count(DISTINCT d."desc")::BIGINT AS desc_all
+    FROM (SELECT "desc" AS node FROM clo UNION SELECT anc FROM clo) LEFT JOIN clo a ON a."desc" = node LEFT JOIN clo d ON d.anc = node GROUP BY node""",
+    CLOSURE_SQL,
+)
+def _(g):
+    return big(labels.neighbor_counts(sub_arcs(g)))
+
+
 @query("dag_ancestors_level", ' SELECT "desc" AS node, anc, hops::BIGINT AS hops FROM clo WHERE hops <= 2', CLOSURE_SQL)
 def _(g):
     return big(dag.ancestors(closure_of(g), g.nodes.where("rtid = 1").select(F.col("rid").alias("node")), 2))

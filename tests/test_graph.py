@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from graphmill.functions.text import last_ancestors, like_escaped, matches, normalized_literal, path_ids, split_terms
 from graphmill.model import GraphError, Graph, nid, node_id, parsed_id, resource_types, rid_of, rtid_of
-from graphmill.operators import category, closure, dag, infer, search, setjoin, traverse, weights
+from graphmill.operators import category, closure, dag, infer, labels, search, setjoin, traverse, weights
 
 NAMES = dict(zip("ABCDEFX", range(1, 8), strict=True))
 SUB = ["BA", "CA", "DB", "DC", "ED", "EA", "FE"]
@@ -360,3 +360,28 @@ def test_strong_components(spark):
         want = {k: max(j for j in reach[k] if k in reach[j]) for k in range(n) if any(j != k and k in reach[j] for j in reach[k])}
         got = closure.strong_components(spark.createDataFrame(sorted(arcs), "src long, dst long")).collect()
         assert {r["node"]: r["component"] for r in got} == want and len(got) == len(want)
+
+
+def test_labels_of_random_hierarchies(spark):
+    rng = random.Random(14)
+    for n, m in ((2, 1), (120, 200)):
+        arcs = {tuple(sorted(rng.sample(range(n + 1), 2), reverse=True)) for _ in range(m)}  # child above parent: no cycle
+        nodes = sorted({x for arc in arcs for x in arc})
+        above = {k: {k} for k in nodes}
+        for a, b in sorted(arcs):
+            above[a] |= above[b]
+        frame = spark.createDataFrame(sorted(arcs), "src long, dst long")
+        index = labels.label_index(frame)
+        pairs = spark.createDataFrame([(a, b) for a in nodes for b in nodes] + [(10**6, 10**6), (10**6, nodes[0])], "n1 long, n2 long")
+        got = {(r["n1"], r["n2"]): r["is_anc"] for r in labels.is_ancestor(index, pairs).collect()}
+        assert got == {(a, b): b in above[a] for a in nodes for b in nodes} | {(10**6, 10**6): True, (10**6, nodes[0]): False}
+        counts = {r["node"]: (r["anc_all"], r["desc_all"]) for r in labels.neighbor_counts(frame).collect()}
+        assert counts == {k: (len(above[k]) - 1, sum(k in above[x] for x in nodes) - 1) for k in nodes}
+    with pytest.raises(GraphError):
+        labels.label_index(spark.createDataFrame([(1, 2), (2, 1), (3, 1)], "src long, dst long"))
+
+
+def test_labels_are_few(spark):
+    arcs = spark.range(2, 2001).select(F.col("id").alias("src"), F.explode(F.array_distinct(F.array(F.expr("id div 2"), F.expr("greatest(id div 3, 1)")))).alias("dst"))
+    index = labels.label_index(arcs)
+    assert index.runs.count() < 5 * index.places.count() and index.places.select("at").distinct().count() == 2000
