@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .functions import render
+from .functions import render, sql
 from .model import SYNONYM_PROPERTIES, Graph, GraphError
 from .operators import category, dag, search, traverse
 
@@ -55,12 +55,12 @@ def seeds(graph: Graph, terms: Iterable[str] = (), ids: Iterable[tuple[int, int]
 
 
 @function("sql")
-def run_sql(graph: Graph, statement: str, **arguments) -> DataFrame:
-    """A statement over the graph's tables (nodes, edges, properties), with named arguments, never pasted text."""
-    tables = {"nodes": graph.live_nodes, "edges": graph.live_edges, "properties": graph.properties}
-    for name, table in tables.items():
-        table.createOrReplaceTempView(f"graph_{name}")
-    return graph.nodes.sparkSession.sql(statement, args=arguments or None)
+def run_sql(graph: Graph, statement: str, hierarchy: DataFrame | None = None, **arguments) -> DataFrame:
+    """A statement over the graph's tables (nodes, edges, properties) and functions, with named arguments, never pasted text.
+
+    ``hierarchy``: child -> parent arcs (src, dst) whose ancestors and descendants the statement may ask for.
+    """
+    return sql.register(graph, hierarchy).sql(statement, args=arguments or None)
 
 
 @function("ontologies")

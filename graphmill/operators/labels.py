@@ -95,6 +95,28 @@ def label_index(arcs: DataFrame) -> LabelIndex:
     return LabelIndex(tree.select("node", "at"), found)
 
 
+#: Levels of blocks: places lie below 2 ** LEVELS.
+LEVELS = 40
+
+
+def keys(index: LabelIndex) -> DataFrame:
+    """(node, level, block): the blocks of all sizes 2 ** level that hold each node's place, up to the whole range."""
+    most = index.places.agg(F.max("at")).first()[0] or 0
+    levels = F.sequence(F.lit(0), F.lit(most.bit_length()))
+    return index.places.select("node", "at", F.explode(levels).alias("level")).select("node", "level", F.expr("shiftright(at, level)").alias("block"))
+
+
+def covers(index: LabelIndex) -> DataFrame:
+    """(node, level, block): the few largest blocks that make up each node's runs, two a size at most.
+
+    A node lies below another just if one of its ``keys`` is one of the other's ``covers``: an equi-join.
+    """
+    runs = index.runs.select("node", "lo", "hi", F.explode(F.sequence(F.lit(0), F.least(F.lit(LEVELS), F.ceil(F.log2(F.col("hi") - F.col("lo") + 2)).cast("int")))).alias("level"))
+    runs = runs.select("node", "level", F.expr("shiftright(lo + shiftleft(1L, level) - 1, level)").alias("a"), F.expr("shiftright(hi + 1, level) - 1").alias("b"))
+    ends = F.array_compact(F.array(F.when(F.col("a") % 2 == 1, F.col("a")), F.when(F.col("b") % 2 == 0, F.col("b"))))
+    return runs.where("a <= b").select("node", "level", F.explode(ends).alias("block"))
+
+
 def is_ancestor(index: LabelIndex, pairs: DataFrame) -> DataFrame:
     """Pairs (n1, n2) with ``is_anc``: whether n2 is n1 or one of its ancestors; one place and one run a pair."""
     placed = pairs.distinct().join(index.places.toDF("n1", "at"), "n1")

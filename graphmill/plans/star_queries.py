@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import api
 from ..functions import render
 from ..model import Graph, nid, rid_of, rtid_of
 from ..operators import category, closure, dag, infer, labels, search, setjoin, traverse, weights
@@ -303,6 +304,40 @@ def _(g):
     return big(labels.neighbor_counts(sub_arcs(g)))
 
 
+@query("sql_ancestors", ' SELECT "desc" AS node, anc FROM clo', CLOSURE_SQL)
+def _(g):
+    """A lateral join with a table function, over all classes."""
+    return api.run_sql(g, "SELECT n.rid AS node, a.rid AS anc FROM graph_nodes n, LATERAL graph_ancestors(n.rid) a WHERE n.rtid = 1", sub_arcs(g))
+
+
+@query("sql_descendant_names", ' SELECT anc AS node, n.name, count(*)::BIGINT AS n FROM clo JOIN nodes n ON n.rid = "desc" AND n.rtid = 1 GROUP BY ALL', CLOSURE_SQL)
+def _(g):
+    return api.run_sql(
+        g,
+        """SELECT n.rid AS node, m.name, count(*) AS n FROM graph_nodes n, LATERAL graph_descendants(n.rid) d JOIN graph_nodes m ON m.rid = d.rid AND m.rtid = 1
+        WHERE n.rtid = 1 GROUP BY n.rid, m.name""",
+        sub_arcs(g),
+    )
+
+
+@query(
+    "sql_neighbors",
+    """ SELECT n.rid, n.rtid::BIGINT AS rtid, o.rid2 AS parent, p.name AS parent_name, count(i.rid1)::BIGINT AS n_parts
+    FROM nodes n JOIN edges o ON o.rid1 = n.rid AND o.rtid1 = n.rtid AND o.pid = 2 LEFT JOIN nodes p ON p.rid = o.rid2 AND p.rtid = o.rtid2
+    LEFT JOIN edges i ON i.rid2 = n.rid AND i.rtid2 = n.rtid AND i.pid = 2 GROUP BY ALL""",
+)
+def _(g):
+    return big(
+        api.run_sql(
+            g,
+            """SELECT n.rid, n.rtid, o.rid AS parent, graph_name(o.rid, o.rtid) AS parent_name, count(i.rid) AS n_parts
+            FROM graph_nodes n JOIN LATERAL graph_neighbors_out(n.rid, n.rtid, :pid) o LEFT JOIN LATERAL graph_neighbors_in(n.rid, n.rtid, :pid) i
+            GROUP BY n.rid, n.rtid, o.rid, o.rtid""",
+            pid=2,
+        )
+    )
+
+
 @query("dag_ancestors_level", ' SELECT "desc" AS node, anc, hops::BIGINT AS hops FROM clo WHERE hops <= 2', CLOSURE_SQL)
 def _(g):
     return big(dag.ancestors(closure_of(g), g.nodes.where("rtid = 1").select(F.col("rid").alias("node")), 2))

@@ -385,3 +385,12 @@ def test_labels_are_few(spark):
     arcs = spark.range(2, 2001).select(F.col("id").alias("src"), F.explode(F.array_distinct(F.array(F.expr("id div 2"), F.expr("greatest(id div 3, 1)")))).alias("dst"))
     index = labels.label_index(arcs)
     assert index.runs.count() < 5 * index.places.count() and index.places.select("at").distinct().count() == 2000
+
+
+def test_block_covers(spark):
+    n = 300
+    rng = random.Random(1)
+    runs = [(k, *sorted((rng.randrange(n), rng.randrange(n)))) for k in range(200)] + [(200, 0, n - 1), (201, 0, 0), (202, 255, 256)]
+    index = labels.LabelIndex(spark.range(n).select(F.col("id").alias("node"), F.col("id").alias("at")), spark.createDataFrame(runs, "node long, lo long, hi long"))
+    met = labels.covers(index).toDF("run", "level", "block").join(labels.keys(index), ["level", "block"]).select("run", "node").collect()
+    assert len(met) == len(set(met)) and {tuple(r) for r in met} == {(k, x) for k, lo, hi in runs for x in range(lo, hi + 1)}
