@@ -6,6 +6,7 @@ Parameters (a seed class, a search text) are part of a query; inputs are never c
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import api
 from ..functions import render
 from ..model import Graph, nid, rid_of, rtid_of
-from ..operators import category, closure, dag, infer, labels, search, setjoin, traverse, weights
+from ..operators import category, closure, dag, infer, labels, search, setjoin, termindex, traverse, weights
 from ..session import saved
 from ..sources.star import GRAPH_SQL, NATION, REGION, SUPPLIER, star_graph
 
@@ -132,9 +133,11 @@ def _(g):
     return big(search.get_ontology_url(g))
 
 
-@query("list_kbs", " SELECT 1::BIGINT AS id, 'star' AS name")
+@query("list_kbs", " SELECT DISTINCT rid AS id, txt AS name FROM edges JOIN lit ON rid2 = lit.rid AND rtid2 = 13 WHERE pid = 4")
 def _(g):
-    return big(search.list_kbs(g).where(F.col("id") == search.kb_id(g, "star")))
+    """Knowledge bases read from the tables: one a brand."""
+    brands = g.edges.where("pid = 4").select(F.col("rid2").alias("rid")).distinct().join(g.nodes.where("rtid = 13"), "rid")
+    return big(search.list_kbs(replace(g, kbs=brands.select(F.col("rid").cast("int").alias("id"), "name"))))
 
 
 # --- neighbourhoods ------------------------------------------------------------------------------------------------
@@ -446,9 +449,32 @@ def _(g):
     return big(search.search_names(g, "blue", negated=True, max_distance=9))
 
 
-@query("search_ids_like", " SELECT rid, rtid::BIGINT AS rtid, name, " + DIST.format(t="#00001") + " FROM nodes WHERE rtid IN (1, 12) AND lower(name) LIKE '%#00001%'")
+@query("search_ids_like", " SELECT rid, rtid::BIGINT AS rtid, name, " + DIST.format(t="#00000001") + " FROM nodes WHERE rtid IN (1, 12) AND lower(name) LIKE '%#00000001%'")
 def _(g):
-    return big(search.search_ids(g, "#00001", type_mask=3))
+    return big(search.search_ids(g, "#00000001", type_mask=3))
+
+
+def term_index(g: Graph) -> termindex.TermIndex:
+    return termindex.build(g.live_nodes, "name")
+
+
+@query("indexed_terms_containing", " SELECT DISTINCT name AS term FROM nodes WHERE lower(name) LIKE '%brand#1%'")
+def _(g):
+    return termindex.containing(term_index(g), "BRAND#1")
+
+
+@query("indexed_terms_starting", " SELECT DISTINCT name AS term FROM nodes WHERE lower(name) LIKE 'customer#0000000%'")
+def _(g):
+    return termindex.starting(term_index(g), "Customer#0000000")
+
+
+@query(
+    "indexed_terms_similar",
+    """ SELECT DISTINCT name AS term, levenshtein(lower(name), 'supplier#000000011')::BIGINT AS distance FROM nodes
+    WHERE levenshtein(lower(name), 'supplier#000000011') <= 2""",
+)
+def _(g):
+    return termindex.similar(term_index(g), "Supplier#000000011", 2)
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from graphmill.functions.text import last_ancestors, like_escaped, matches, normalized_literal, path_ids, split_terms
 from graphmill.model import GraphError, Graph, nid, node_id, parsed_id, resource_types, rid_of, rtid_of
-from graphmill.operators import category, closure, dag, infer, labels, search, setjoin, traverse, weights
+from graphmill.operators import category, closure, dag, infer, labels, search, setjoin, termindex, traverse, weights
 
 NAMES = dict(zip("ABCDEFX", range(1, 8), strict=True))
 SUB = ["BA", "CA", "DB", "DC", "ED", "EA", "FE"]
@@ -394,3 +394,27 @@ def test_block_covers(spark):
     index = labels.LabelIndex(spark.range(n).select(F.col("id").alias("node"), F.col("id").alias("at")), spark.createDataFrame(runs, "node long, lo long, hi long"))
     met = labels.covers(index).toDF("run", "level", "block").join(labels.keys(index), ["level", "block"]).select("run", "node").collect()
     assert len(met) == len(set(met)) and {tuple(r) for r in met} == {(k, x) for k, lo, hi in runs for x in range(lo, hi + 1)}
+
+
+def test_term_index(spark):
+    rng = random.Random(2)
+    terms = sorted({"".join(rng.choice("abC_%é ") for _ in range(rng.randrange(0, 9))) for _ in range(500)})
+    index = termindex.build(spark.createDataFrame([(t,) for t in [*terms, None, terms[0]]], "term string"))
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for k, x in enumerate(a):
+            last, row = row, [k + 1] + [0] * len(b)
+            for j, y in enumerate(b):
+                row[j + 1] = min(last[j] + (x != y), last[j + 1] + 1, row[j] + 1)
+        return row[-1]
+
+    for text in ("ab", "abc", "Cab_", "%", "", "abcabc", "ééé"):
+        low = text.lower()
+        assert sorted(r["term"] for r in termindex.containing(index, text).collect()) == [t for t in terms if low in t.lower()]
+        assert sorted(r["term"] for r in termindex.starting(index, text).collect()) == [t for t in terms if t.lower().startswith(low)]
+        for d in (0, 1, 2):
+            assert sorted(tuple(r) for r in termindex.similar(index, text, d).collect()) == [(t, edits(low, t.lower())) for t in terms if edits(low, t.lower()) <= d]
+    plan = termindex.containing(index, "abca")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "folder" in plan.split("PartitionFilters: [", 1)[1].split("]")[0]
+    assert "StringStartsWith(key,ab)" in termindex.starting(index, "ab")._jdf.queryExecution().toString()
