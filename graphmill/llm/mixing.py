@@ -94,12 +94,12 @@ def schedule(goal: DataFrame, block: int) -> DataFrame:
     # as blocks, make it an equi-join: a source's range is cut at cell borders.
     cell = max(1, 2**32 // blocks)
     cells = F.sequence(F.floor(F.col("lo") / cell).cast("long"), F.floor((F.col("hi") - 1) / cell).cast("long"))
-    owned = points.withColumn("cell", F.floor(F.col("point") / cell).cast("long")).join(found.withColumn("cell", F.explode(cells)), "cell")
+    owned = points.withColumn("cell", F.floor(F.col("point") / cell).cast("long")).join(found.withColumn("cell", F.explode(cells)).hint("merge"), "cell")
     owned = owned.where("point >= lo and point < hi").withColumn("part", F.floor(F.col("slot") / SLOTS))
     before = Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = owned.groupBy("src", "part").count().select("src", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
     within = Window.partitionBy("src", "part").orderBy("slot")
-    ranked = owned.withColumn("rn", F.row_number().over(within)).join(starts, ["src", "part"]).withColumn("k", F.col("start") + F.col("rn") - 1)
+    ranked = owned.withColumn("rn", F.row_number().over(within)).join(starts.hint("merge"), ["src", "part"]).withColumn("k", F.col("start") + F.col("rn") - 1)
     ranked = ranked.where("k < need")
     ring = F.ceil(F.col("source_size") / block)
     begin = F.floor((F.col("point") - F.col("lo")) / (F.col("hi") - F.col("lo")) * ring) * block
@@ -148,7 +148,7 @@ def pieces(rows: DataFrame, slots: DataFrame, block: int) -> DataFrame:
     lo, hi = F.greatest("a", F.col("k") * block), F.least("b", (F.col("k") + 1) * block)
     cut = cut.withColumns({"from_word": lo - F.col("at"), "to_word": hi - F.col("at")}).drop("a", "b", "at", "begin")
     # Every block that is needed has its slot; the outer side keeps the documents that give nothing.
-    return cut.join(slots.select("src", "k", "slot"), ["src", "k"], "left")
+    return cut.join(slots.select("src", "k", "slot").hint("merge"), ["src", "k"], "left")
 
 
 def _cut(docs: DataFrame) -> DataFrame:
