@@ -81,13 +81,15 @@ def remove_spread_lines(docs: DataFrame, site: str = "source", min_sites: int =
     # The lines are bound to a lambda's variable: inlined, they would be split again for every line.
     staying = lambda p: F.array_except(F.sequence(F.lit(0), F.size(p) - 1), "gone")
     kept = F.transform(F.array(F.split("row.text", "\n")), lambda p: F.array_join(F.transform(staying(p), lambda i: F.get(p, i)), "\n"))
-    has_word = lambda x: F.regexp_like(x, F.lit(WORD))
-    return joined.select(
-        *unpacked(docs, OWN),
+    n_lines = F.size(F.filter(F.split("row.text", "\n"), lambda x: F.regexp_like(x, F.lit(WORD))))
+    # Computed before the documents' columns stand beside them, as those may bear any name.
+    found = joined.select(
+        "row",
         F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.element_at(kept, 1)).alias("kept_text"),
-        F.coalesce(F.size(F.filter(F.split("row.text", "\n"), has_word)), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
+    return found.select(*unpacked(docs, OWN), *OWN)
 
 
 def digest(cleaned: DataFrame) -> DataFrame:
