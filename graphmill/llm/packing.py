@@ -44,6 +44,8 @@ SEQ_LEN = 2048
 PAD_ID = 50256
 #: Bytes of text in a shard on average: bounds what one task holds.
 SHARD_BYTES = 8 << 20
+#: Tasks over which the shards are dealt at most; each streams through its own.
+MOST_TASKS = 20_000
 #: Times the bytes of a shard that are packed together at most.
 MOST_TIMES = 4
 #: Distinct chunks whose ids a task remembers at once.
@@ -243,8 +245,8 @@ def pack(
         F.col("doc_id").cast("long"),
         "text",
     ).where(F.length("text") > 0)
-    # As many partitions as shards: a hash of few numbers is uneven, but some shards in one task are no harm.
-    return dealt.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "text").mapInArrow(pack_all, SCHEMA)
+    # A hash of few numbers is uneven, but some shards in one task are no harm.
+    return dealt.repartition(min(shards, MOST_TASKS), "shard").sortWithinPartitions("shard", "doc_id", "text").mapInArrow(pack_all, SCHEMA)
 
 
 def segments_of(packed: Iterator) -> Iterator[tuple[int | None, int, list[int]]]:

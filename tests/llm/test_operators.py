@@ -282,6 +282,14 @@ def test_packing_of_a_blown_up_shard(spark):
     assert starts.count((5, 0)) == 301 and starts.count((0, 0)) == 4
 
 
+def test_packing_with_many_shards_a_task(spark, tables, monkeypatch):
+    docs = tables["real"][0]
+    key = lambda found: sorted((r["shard"], r["row"], bytes(r["token_ids"])) for r in found.collect())
+    want = key(packing.pack(docs, shard_bytes=20_000))
+    monkeypatch.setattr(packing, "MOST_TASKS", 3)
+    assert key(packing.pack(docs, shard_bytes=20_000)) == want and len({s for s, _, _ in want}) > 10
+
+
 def test_best_fit_decreasing():
     rng = random.Random(2)
     lengths = [rng.randrange(1, 65) for _ in range(500)]
