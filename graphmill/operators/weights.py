@@ -15,6 +15,10 @@ DEFAULT_WEIGHT, ALPHA = 0.0001, 0.0
 RESTART, ROUNDS, BUDGET, PATH_LENGTH = 0.6, 80, 40, 10
 #: Targets of a center-piece subgraph that the driver reads at once.
 TARGETS = 64
+#: Query nodes whose scores stand side by side in a walk.
+ABREAST = 16
+#: New nodes of a path that is searched among the taken nodes and their links alone.
+LOCAL = 2
 
 
 def tree_depths(trees: dict[str, DataFrame]) -> DataFrame:
@@ -66,23 +70,40 @@ def transition(weighted: DataFrame) -> DataFrame:
 def random_walks(step: DataFrame, queries: DataFrame, restart: float = RESTART, rounds: int = ROUNDS, tolerance: float | None = None) -> DataFrame:
     """(query, node, score): random walk with restart from each query node, a fixed number of rounds or until no score moves.
 
-    A round joins scores with the transitions and adds up per node; every fourth round is checkpointed.
+    A node's scores of up to ``ABREAST`` query nodes stand side by side. A round joins them with the transitions, which lie
+    dealt by their source, and adds up per node; every fourth round is checkpointed.
     """
-    step = saved(step)
-    start = queries.select(F.col("node").alias("query"), F.col("node"), F.lit(1.0).alias("score")).distinct()
-    score, last = start, start
+    parts = int(step.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    step = saved(step.repartition(parts, "src").sortWithinPartitions("src"))
+    starts = sorted(r["node"] for r in queries.select("node").distinct().collect())
+    found = None
+    for k in range(0, len(starts), ABREAST):
+        some = _walks_of(step, starts[k : k + ABREAST], restart, rounds, tolerance)
+        found = some if found is None else found.unionByName(some)
+    return queries.select(F.col("node").alias("query"), "node", F.lit(1.0).alias("score")).where("false") if found is None else found
+
+
+def _walks_of(step: DataFrame, starts: list[int], restart: float, rounds: int, tolerance: float | None) -> DataFrame:
+    names = [f"s{k}" for k in range(len(starts))]
+    first = step.sparkSession.createDataFrame(
+        [(q, *(1.0 if k == i else None for i in range(len(starts)))) for k, q in enumerate(starts)], f"node long, {', '.join(f'{s} double' for s in names)}"
+    )
+    back = first.select("node", *((F.col(s) * (1 - restart)).alias(s) for s in names))
+    apart = lambda df: df.select(
+        F.explode(F.array(*(F.struct(F.lit(q).cast("long").alias("query"), F.col(s).alias("score")) for q, s in zip(starts, names, strict=True)))).alias("q"), "node"
+    ).select("q.query", "node", "q.score").where("score is not null")
+    score, last = first, first
     for k in range(1, rounds + 1):
-        moved = score.join(step, score["node"] == step["src"]).select("query", F.col("dst").alias("node"), (F.col("score") * F.col("p") * restart).alias("part"))
-        back = start.select("query", "node", F.lit(1 - restart).alias("part"))
-        score = moved.unionByName(back).groupBy("query", "node").agg(F.sum("part").alias("score"))
+        moved = step.join(score, step["src"] == score["node"]).select(F.col("dst").alias("node"), *((F.col(s) * F.col("p") * restart).alias(s) for s in names))
+        score = moved.unionByName(back).groupBy("node").agg(*(F.sum(s).alias(s) for s in names))
         if k % 4 == 0 or k == rounds:
             score = saved(score)
             if tolerance is not None:
-                gap = score.join(last.withColumnRenamed("score", "old"), ["query", "node"], "full_outer")
+                gap = apart(score).join(apart(last).withColumnRenamed("score", "old"), ["query", "node"], "full_outer")
                 if (gap.agg(F.max(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0] or 0.0) < tolerance:
                     break
             last = score
-    return score
+    return apart(score)
 
 
 def joint_scores(scores: DataFrame, queries: DataFrame) -> DataFrame:
@@ -131,31 +152,85 @@ def _targets(scores: DataFrame, sources: list[int]) -> Iterator[tuple[int, float
 def _key_path(steps: DataFrame, taken: set[int], source: int, value: float, target: int, score: float, most: int) -> list[int] | None:
     """The path from source to target, through nodes of rising closeness to the target's score order, with the most score per new node.
 
-    Each round takes the states (node, new nodes) that the last one improved over the edges
-    (src, dst, value of dst); a state keeps its largest sum, and of equal ones the first found.
+    A state (node, new nodes) keeps its largest sum, and of equal ones the first found; it comes from states of as many new
+    nodes or fewer. So the states of up to ``LOCAL`` new nodes are found first, among the taken nodes, the target and the best
+    node between each two of them. A path of n new nodes has at most the sum of all taken nodes / n + the target's score per new
+    node: where this can't reach the best path found, the wider search over all edges is not needed, else it goes to the largest such n.
     """
     known = F.col("dst").isin(sorted(taken))
     allowed = steps.where(known | (F.col("value") < score) | ((F.col("value") == score) & (F.col("dst") <= target)))
     allowed = allowed.select("src", "dst", F.col("value").alias("gain"), F.when(known, 0).otherwise(1).alias("fresh"))
+    arcs, held = _links(allowed, sorted(taken | {target}))
+    best = _best(_states(arcs, source, value, most, LOCAL), target)
+    held[source] = value
+    whole, limit = sum(held.get(n, 0.0) for n in taken), most
+    if best:
+        limit = max((n for n in range(1, most + 1) if (whole / n + score) * (1 + 1e-9) >= best[0]), default=0)
+    if limit <= LOCAL:
+        return best[3]
+    # A state of all the new nodes that may be matters at the target only, if that is new.
+    last = limit if target in taken else F.when(F.col("dst") == target, limit).otherwise(limit - 1)
     spark = steps.sparkSession
     state = spark.createDataFrame([(source, 0, -value, True, source, 0, [source])], "node long, new int, cost double, moved boolean, via long, via_new int, path array<long>")
     for _ in range(most):
         reached = (
             state.where("moved")
             .join(allowed, F.col("node") == F.col("src"))
-            .where(~F.array_contains("path", F.col("dst")))
+            .where(~F.array_contains("path", F.col("dst")) & (F.col("new") + F.col("fresh") <= last))
             .select(
                 F.col("dst").alias("node"), (F.col("new") + F.col("fresh")).alias("new"), (F.col("cost") - F.col("gain")).alias("cost"),
                 F.lit(True).alias("moved"), F.col("node").alias("via"), F.col("new").alias("via_new"), F.concat("path", F.array("dst")).alias("path"),
             )
         )
-        best = F.min(F.struct("cost", "moved", "via", "via_new", "path")).alias("best")
-        found = state.withColumn("moved", F.lit(False)).unionByName(reached).groupBy("node", "new").agg(best).select("node", "new", "best.*")
+        first = F.min(F.struct("cost", "moved", "via", "via_new", "path")).alias("best")
+        found = state.withColumn("moved", F.lit(False)).unionByName(reached).groupBy("node", "new").agg(first).select("node", "new", "best.*")
         state, moved = saved_rows(found, "moved")
         if not moved:
             break
-    ends = [(-r["cost"] / max(r["new"], 1), -len(r["path"]), -r["new"], list(r["path"])) for r in state.where(F.col("node") == target).collect()]
-    return max(ends)[3] if ends else None
+    best = _best({(target, r["new"]): (r["cost"], list(r["path"])) for r in state.where(F.col("node") == target).collect()}, target)
+    return best and best[3]
+
+
+def _best(states: dict[tuple[int, int], tuple], target: int) -> tuple | None:
+    """(score per new node, .., path) of the best state at the target."""
+    return max(((-cost / max(new, 1), -len(path), -new, path) for (node, new), (cost, *_, path) in states.items() if node == target), default=None)
+
+
+def _links(allowed: DataFrame, near: list[int]) -> tuple[dict[int, list[tuple[int, float, int]]], dict[int, float]]:
+    """Arcs (dst, gain, fresh) by source between the nodes ``near``, straight and by the best other node between each two; and the nodes' values."""
+    out = allowed.where(F.col("src").isin(near))
+    straight = out.where(F.col("dst").isin(near)).select("src", F.lit(None).cast("long").alias("mid"), F.lit(None).cast("double").alias("mid_gain"), "dst", "gain", "fresh")
+    first = out.where(~F.col("dst").isin(near)).select("src", F.col("dst").alias("mid"), F.col("gain").alias("mid_gain"))
+    second = allowed.where(F.col("dst").isin(near) & ~F.col("src").isin(near)).select(F.col("src").alias("mid"), "dst", "gain", "fresh")
+    between = first.join(second, "mid").where("src <> dst").groupBy("src", "dst", "gain", "fresh").agg(F.max_by("mid", F.struct("mid_gain", -F.col("mid"))).alias("mid"), F.max("mid_gain").alias("mid_gain"))
+    arcs, held = {}, {}
+    for r in straight.unionByName(between).collect():
+        held[r["dst"]] = r["gain"]
+        way = [(r["src"], r["dst"], r["gain"], r["fresh"])]
+        if r["mid"] is not None:
+            way = [(r["src"], r["mid"], r["mid_gain"], 1), (r["mid"], r["dst"], r["gain"], r["fresh"])]
+        for src, *arc in way:
+            arcs.setdefault(src, set()).add(tuple(arc))
+    return {src: sorted(found) for src, found in arcs.items()}, held
+
+
+def _states(arcs: dict[int, list[tuple[int, float, int]]], source: int, value: float, most: int, limit: int) -> dict[tuple[int, int], tuple]:
+    """{(node, new): (cost, via, via_new, path)} after at most ``most`` rounds, with up to ``limit`` new nodes."""
+    state = {(source, 0): (-value, source, 0, [source])}
+    moved = list(state)
+    for _ in range(most):
+        reached = {}
+        for node, new in moved:
+            cost, _, _, path = state[node, new]
+            for dst, gain, fresh in arcs.get(node, ()):
+                if dst not in path and new + fresh <= limit:
+                    found = (cost - gain, node, new, [*path, dst])
+                    reached[dst, new + fresh] = min(found, reached.get((dst, new + fresh), found))
+        moved = [k for k, found in reached.items() if k not in state or found[0] < state[k][0]]
+        if not moved:
+            break
+        state |= {k: reached[k] for k in moved}
+    return state
 
 
 def ranked(scores: DataFrame, k: int) -> DataFrame:

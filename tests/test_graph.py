@@ -210,6 +210,26 @@ def test_center_piece_through_low_scores(spark):
     assert {(1, 3), (3, 2)} < {(r["src"], r["dst"]) for r in piece.collect()}
 
 
+def test_key_paths_without_wide_rounds(spark, monkeypatch):
+    # Among the taken nodes and their links, with the same outcome as rounds over all edges.
+    dice = random.Random(4)
+    ties = {tuple(sorted(dice.sample(range(40), 2))) for _ in range(150)} | {(0, 1), (1, 2)}
+    both = sorted(ties | {(b, a) for a, b in ties})
+    value = {n: 1.0 if n < 3 else dice.random() / 1000 for n in range(40)}
+    steps = spark.createDataFrame([(a, b, value[b]) for a, b in both], "src long, dst long, value double")
+    ranked = sorted(range(3, 40), key=lambda n: (-value[n], n))
+    rounds, saved_rows = [], weights.saved_rows
+    monkeypatch.setattr(weights, "saved_rows", lambda *given: rounds.append(1) or saved_rows(*given))
+    for taken, target in (({0, 1, 2}, ranked[0]), ({0, 1, 2, *ranked[:6]}, ranked[6]), ({0, 1, 2, *ranked[:4]}, ranked[2])):
+        arcs = {}
+        for a, b in both:
+            if b in taken or value[b] < value[target] or (value[b] == value[target] and b <= target):
+                arcs.setdefault(a, []).append((b, value[b], int(b not in taken)))
+        want = weights._best(weights._states(arcs, 0, value[0], 6, 6), target)
+        assert weights._key_path(steps, taken, 0, value[0], target, value[target], 6) == want[3]
+    assert not rounds
+
+
 def test_searches(spark):
     g = make(spark, [(1, 1, 5, 100, 13), (2, 1, 6, 101, 13)], {"Cerebellum": 1, "cerebral 50%": 2, "Brain": 3}, ["little brain", "Cere_label"])
     assert [r["name"] for r in search.search_names(g, "Cere", prefix=True).collect()] == ["Cerebellum", "cerebral 50%"]
