@@ -113,7 +113,7 @@ def keyword(graph: Graph, text: str, limit: int = search.TERM_LIMIT, ancestors:
     if ancestors := list(ancestors):
         if index is None:
             arcs = traverse.chosen_edges(graph, ["subClassOf"]).where("rtid1 = 1 and rtid2 = 1")
-            index = dag.closure_index(arcs.select(F.col("rid1").alias("src"), F.col("rid2").alias("dst")))
+            index = dag.index_below(arcs.select(F.col("rid1").alias("src"), F.col("rid2").alias("dst")), seeds(graph, ancestors).select(F.col("rid").alias("node")))
         terms = search.with_ancestor(terms, index, seeds(graph, ancestors))
     return search.autocomplete(terms, text, limit)
 
@@ -134,7 +134,7 @@ def card_listing(graph: Graph, roots: Iterable[str], pivots: dict[str, str], ind
     """(line) the cards of the classes below the roots, a tab-separated line each."""
     if index is None:
         arcs = traverse.chosen_edges(graph, ["subClassOf"]).where("rtid1 = 1 and rtid2 = 1")
-        index = dag.closure_index(arcs.select(F.col("rid1").alias("src"), F.col("rid2").alias("dst")))
+        index = dag.index_below(arcs.select(F.col("rid1").alias("src"), F.col("rid2").alias("dst")), seeds(graph, roots).select(F.col("rid").alias("node")))
     return render.tab_separated(category.card(graph, index, seeds(graph, roots).select("rid"), pivots))
 
 

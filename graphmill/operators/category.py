@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import ABBREVIATIONS, ACRONYMS, SYNONYM_PROPERTIES, Graph
+from .closure import named_by
 from .infer import has_definition, of_property
 from .search import ids_by_term, synonym_edges
 
@@ -13,15 +14,18 @@ from .search import ids_by_term, synonym_edges
 def categorised(index: DataFrame, categories: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """(rid, cat): classes below each category class (cat) or equal to it, of nested categories the lowest only.
 
-    Members of an equivalence group (rid, ridm) share the categories of the group's representative.
+    Members of an equivalence group (rid, ridm) share the categories of the group's representative. ``index`` needs the rows
+    of the categories only. Rows of a category, which may be most of the classes, are dealt over several tasks.
     """
     cats = categories.select("cat").distinct()
-    below = index.join(cats, index["anc"] == cats["cat"]).select(F.col("desc").alias("rid"), "cat").union(cats.select(F.col("cat").alias("rid"), "cat"))
+    held = named_by(index.select(F.col("desc").alias("rid"), F.col("anc").alias("cat")), "cat", cats, "rid").select("rid", "cat")
+    below = held.union(cats.select(F.col("cat").alias("rid"), "cat"))
     if groups is not None:
         member = groups.where("rid <> ridm")
         below = below.union(below.join(member, "rid").select(F.col("ridm").alias("rid"), "cat")).distinct()
     # A pair goes if the same class has a category below this one.
-    above = below.join(index.select(F.col("desc").alias("cat"), "anc"), "cat").select("rid", F.col("anc").alias("cat")).distinct()
+    upper = held.select(F.col("rid").alias("cat"), F.col("cat").alias("up")).join(cats, "cat", "left_semi").groupBy("cat").agg(F.collect_set("up").alias("ups"))
+    above = named_by(below, "cat", upper, "rid").select("rid", F.explode("ups").alias("cat")).distinct()
     return below.distinct().join(above, ["rid", "cat"], "left_anti")
 
 
@@ -48,7 +52,7 @@ def term_categories(graph: Graph, index: DataFrame, category_terms: list[str], g
 
 def card(graph: Graph, index: DataFrame, root: DataFrame, pivots: dict[str, str]) -> DataFrame:
     """(rid, name, parents, one column per pivot): classes below the root (rid), their parents' names and literal properties side by side."""
-    below = index.join(root.select(F.col("rid").alias("anc")), "anc", "left_semi").select(F.col("desc").alias("rid")).distinct()
+    below = named_by(index, "anc", root.select(F.col("rid").alias("anc")), "desc", "left_semi").select(F.col("desc").alias("rid")).distinct()
     classes = graph.live_nodes.where("rtid = 1").select("rid", "name")
     up = of_property(graph, "subClassOf").where("rtid1 = 1 and rtid2 = 1").select(F.col("rid1").alias("rid"), F.col("rid2").alias("p")).join(classes.toDF("p", "parent"), "p")
     parents = up.groupBy("rid").agg(F.array_join(F.array_sort(F.collect_set("parent")), ";").alias("parents"))

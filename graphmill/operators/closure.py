@@ -43,19 +43,20 @@ def reach(arcs: DataFrame, seeds: DataFrame, max_hops: int | None = None) -> Dat
     return _union(known)
 
 
-def all_pairs(arcs: DataFrame) -> DataFrame:
-    """(src, dst, hops) of every pair with a path of one arc or more between different nodes."""
+def all_pairs(arcs: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """(src, dst, hops) of every pair with a path of one arc or more, and ``max_hops`` at most, between different nodes."""
     arcs = saved(arcs.select("src", "dst").where("src <> dst").distinct())
     frontier = arcs.withColumn("hops", F.lit(1).cast("long"))
     known, hop = [frontier], 1
-    while True:
+    while max_hops is None or hop < max_hops:
         hop += 1
         step = frontier.select("src", F.col("dst").alias("mid")).join(arcs.toDF("mid", "dst"), "mid").select("src", "dst").where("src <> dst").distinct()
         seen = _union(known).select("src", "dst")
         frontier, left = saved_rows(step.join(seen, ["src", "dst"], "left_anti").withColumn("hops", F.lit(hop).cast("long")))
         if not left:
-            return _union(known)
+            break
         known.append(frontier)
+    return _union(known)
 
 
 def named_by(rows: DataFrame, keys: str | list[str], table: DataFrame, by: str, how: str = "inner") -> DataFrame:

@@ -7,16 +7,28 @@ from pyspark.sql import functions as F
 
 from ..model import GraphError
 from ..session import saved
-from .closure import all_pairs
+from .closure import all_pairs, named_by, reach
 
 
-def closure_index(arcs: DataFrame) -> DataFrame:
-    """(desc, anc, hops) of all pairs of child -> parent arcs (src, dst); edges without any root raise."""
+def _rooted(arcs: DataFrame) -> DataFrame:
+    """The arcs between different nodes; edges without any root raise."""
     arcs = arcs.where("src <> dst")
     roots = arcs.select("dst").subtract(arcs.select("src"))
     if roots.isEmpty() and not arcs.isEmpty():
         raise GraphError("root", "the hierarchy has edges but no root")
-    return all_pairs(arcs).toDF("desc", "anc", "hops")
+    return arcs
+
+
+def closure_index(arcs: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """(desc, anc, hops) of all pairs of child -> parent arcs (src, dst), up to ``max_hops``; edges without any root raise."""
+    return all_pairs(_rooted(arcs), max_hops).toDF("desc", "anc", "hops")
+
+
+def index_below(arcs: DataFrame, nodes: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """The rows of ``closure_index`` whose ancestor is one of the nodes (node): walked down from them, without the closure."""
+    down = _rooted(arcs).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    found = reach(down, nodes.select(F.col("node").alias("seed")), max_hops).where("hops > 0")
+    return found.select(F.col("node").alias("desc"), F.col("seed").alias("anc"), "hops")
 
 
 def is_ancestor(index: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -55,6 +67,17 @@ def estimate_count(index: DataFrame, nodes: DataFrame, hops: int | None = None,
     return counted.agg(F.when(F.countDistinct("node") == 0, F.lit(-1)).otherwise(F.count_if(near)).cast("long").alias("n_neighbors"))
 
 
+def near_count(arcs: DataFrame, nodes: DataFrame, hops: int | None = None, incoming: bool = True) -> DataFrame:
+    """``estimate_count`` from the arcs (src, dst): walked from the nodes for as many hops, without an index."""
+    arcs = _rooted(arcs).select("src", "dst")
+    nodes = nodes.select("node").distinct()
+    known = nodes.join(arcs.select(F.col("src").alias("node")).union(arcs.select("dst")).distinct(), "node", "left_semi")
+    ways = arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if incoming else arcs
+    found = reach(ways, known.select(F.col("node").alias("seed")), hops or None)
+    n = F.count_if(F.col("hops") > 0)
+    return found.agg(F.when(F.count("*") == 0, F.lit(-1)).otherwise(n).cast("long").alias("n_neighbors"))
+
+
 def lowest_common_ancestors(index: DataFrame, groups: DataFrame) -> DataFrame:
     """(grp, lca) of groups (grp, node): of the common ancestors-or-selves none of which lies above another, the nearest.
 
@@ -75,16 +98,20 @@ def lowest_common_ancestors(index: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def shortest_paths(arcs: DataFrame, index: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(desc, anc, step, node): one shortest upward path of each related pair (desc, anc), least nodes first."""
-    wanted = pairs.select("desc", "anc").join(index, ["desc", "anc"]).select("desc", "anc", "hops", F.col("desc").alias("node"), F.array("desc").alias("path"))
-    longest = wanted.agg(F.max("hops")).first()[0] or 0
-    far = index.select(F.col("desc").alias("next"), "anc", F.col("hops").alias("left"))
-    at_end = arcs.select("dst").distinct().select(F.col("dst").alias("next"), F.col("dst").alias("anc"), F.lit(0).cast("long").alias("left"))
-    left = saved(far.unionByName(at_end))
+    """(desc, anc, step, node): one shortest upward path of each related pair (desc, anc), least nodes first.
+
+    ``index`` needs the rows of the pairs' ancestors only. Every node below such an ancestor knows its next node towards it.
+    """
+    pairs = pairs.select("desc", "anc").distinct()
+    ends = pairs.select("anc").distinct()
+    far = saved(named_by(index.select("desc", "anc", "hops"), "anc", ends, "desc", "left_semi").select("desc", "anc", "hops"))
+    left = far.toDF("next", "anc", "left").unionByName(ends.select(F.col("anc").alias("next"), "anc", F.lit(0).cast("long").alias("left")))
+    step = far.join(arcs.select(F.col("src").alias("desc"), F.col("dst").alias("next")), "desc").join(left, ["next", "anc"]).where("left = hops - 1")
+    step = saved(step.groupBy(F.col("desc").alias("node"), "anc").agg(F.min("next").alias("next")))
+    at = saved(pairs.join(far, ["desc", "anc"]).select("desc", "anc", "hops", F.col("desc").alias("node")))
+    longest = at.agg(F.max("hops")).first()[0] or 0
+    found = at.select("desc", "anc", F.lit(0).alias("step"), "node")
     for k in range(1, longest + 1):
-        going = wanted.where(F.col("hops") >= k)
-        step = going.join(arcs, going["node"] == arcs["src"]).withColumnRenamed("dst", "next").join(left, ["next", "anc"])
-        best = step.where(F.col("left") == F.col("hops") - k).groupBy("desc", "anc", "hops", "path").agg(F.min("next").alias("node"))
-        best = best.withColumn("path", F.concat("path", F.array("node"))).select(wanted.columns)
-        wanted = saved(wanted.where(F.col("hops") < k).unionByName(best))
-    return wanted.select("desc", "anc", F.posexplode("path").alias("step", "node"))
+        at = saved(at.where(F.col("hops") >= k).join(step, ["node", "anc"]).select("desc", "anc", "hops", F.col("next").alias("node")))
+        found = found.unionByName(at.select("desc", "anc", F.lit(k).alias("step"), "node"))
+    return found

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import matches
 from ..model import DEFINING_TYPES, SYNONYM_PROPERTIES, Graph, GraphError, ResourceType, resource_types
+from .closure import named_by
 
 #: Default limits of the API (fixed values).
 TERM_LIMIT, CONCEPT_LIMIT, MAX_EDIT_DISTANCE = 20, 100, 50
@@ -170,7 +171,7 @@ def autocomplete(terms: DataFrame, text: str, limit: int = TERM_LIMIT) -> DataFr
 def with_ancestor(terms: DataFrame, index: DataFrame, ancestors: DataFrame) -> DataFrame:
     """Terms of classes that have one of the ancestors (or are one)."""
     wanted = ancestors.select(F.col("rid").alias("anc"))
-    below = index.join(wanted, "anc", "left_semi").select(F.col("desc").alias("rid")).union(wanted.select(F.col("anc").alias("rid"))).distinct()
+    below = named_by(index, "anc", wanted, "desc", "left_semi").select(F.col("desc").alias("rid")).union(wanted.select(F.col("anc").alias("rid"))).distinct()
     return terms.join(below, "rid", "left_semi")
 
 

@@ -230,6 +230,23 @@ def test_key_paths_without_wide_rounds(spark, monkeypatch):
     assert not rounds
 
 
+def test_index_below_without_the_closure(spark, index, monkeypatch):
+    rows = lambda df: {(r["desc"], r["anc"], r["hops"]) for r in df.select("desc", "anc", "hops").collect()}
+    whole = rows(index)
+    monkeypatch.setattr(dag, "all_pairs", None)
+    some = spark.createDataFrame([(NAMES["A"],), (NAMES["D"],)], "node long")
+    below = dag.index_below(arcs(spark), some)
+    assert rows(below) == {x for x in whole if x[1] in (1, 4)}
+    assert rows(dag.index_below(arcs(spark), some, 2)) == {x for x in whole if x[1] in (1, 4) and x[2] <= 2}
+    cats = some.withColumnRenamed("node", "cat")
+    found = lambda i: {(r["rid"], r["cat"]) for r in category.categorised(i, cats).collect()}
+    assert found(below) == found(index) == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 4)}
+    for node in (1, 4, 6, 99):
+        one = spark.createDataFrame([(node,)], "node long")
+        for hops, incoming in ((None, True), (2, True), (None, False), (1, False)):
+            assert dag.near_count(arcs(spark), one, hops, incoming).first()[0] == dag.estimate_count(index, one, hops, incoming).first()[0]
+
+
 def test_searches(spark):
     g = make(spark, [(1, 1, 5, 100, 13), (2, 1, 6, 101, 13)], {"Cerebellum": 1, "cerebral 50%": 2, "Brain": 3}, ["little brain", "Cere_label"])
     assert [r["name"] for r in search.search_names(g, "Cere", prefix=True).collect()] == ["Cerebellum", "cerebral 50%"]
