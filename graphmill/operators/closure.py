@@ -60,7 +60,7 @@ def all_pairs(arcs: DataFrame, max_hops: int | None = None) -> DataFrame:
 
 
 def named_by(rows: DataFrame, keys: str | list[str], table: DataFrame, by: str, how: str = "inner") -> DataFrame:
-    """``rows`` joined with ``table``, which has at most one row a key, on the columns ``keys``.
+    """``rows`` joined with ``table``, which has few rows a key, on the columns ``keys``.
 
     Rows of a hot key are dealt over ``SALTS`` tasks by their column ``by``, the table's rows repeated for each.
     """

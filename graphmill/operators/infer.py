@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..model import DEFINING_TYPES, EDGE_COLUMNS, EDGE_KEY, OWL, RETIRED_ROOTS, Graph
 from ..session import saved, saved_rows
-from .closure import components, reach
+from .closure import components, named_by, reach
 
 
 def as_edges(found: DataFrame, kbid: int | Column = 1, **flags) -> DataFrame:
@@ -27,7 +27,7 @@ def property_id(graph: Graph, name: str) -> DataFrame:
 
 
 def of_property(graph: Graph, name: str) -> DataFrame:
-    return graph.live_edges.join(property_id(graph, name), "pid", "left_semi")
+    return graph.live_edges.join(F.broadcast(property_id(graph, name)), "pid", "left_semi")  # one property row: its edges needn't meet in one task
 
 
 def equivalence_groups(graph: Graph) -> DataFrame:
@@ -49,7 +49,7 @@ def move_equivalent_edges(graph: Graph, groups: DataFrame) -> DataFrame:
     """All edges with class ends on members moved to their representatives; repeats fall away, equivalentClass edges stay."""
     same = property_id(graph, "equivalentClass").withColumn("stays", F.lit(True))
     reps = groups.where("rid <> ridm")
-    out = graph.edges.join(same, "pid", "left")
+    out = graph.edges.join(F.broadcast(same), "pid", "left")  # one property row
     for k in "12":
         own = reps.select(F.col("ridm").alias(f"rid{k}"), F.lit(1).alias(f"rtid{k}"), F.col("rid").alias(f"rep{k}"))
         out = out.join(own, [f"rid{k}", f"rtid{k}"], "left")
@@ -112,7 +112,7 @@ def inverse_edges(graph: Graph) -> DataFrame:
     """New edges that inverse properties imply, in both directions."""
     pairs = graph.inverse_properties.select(F.col("propertyid1").alias("pid"), F.col("propertyid2").alias("other"))
     pairs = pairs.union(pairs.select("other", "pid")).distinct()
-    turned = graph.live_edges.where("not hidden").join(pairs, "pid").select(
+    turned = named_by(graph.live_edges.where("not hidden"), "pid", pairs, "rid1").select(
         F.col("rid2").alias("rid1"), F.col("rtid2").alias("rtid1"), F.col("other").alias("pid"), F.col("rid1").alias("rid2"), F.col("rtid1").alias("rtid2")
     )
     return as_edges(_new_only(turned, graph.edges), derived=True)
@@ -144,7 +144,7 @@ def copy_across_equivalents(graph: Graph) -> DataFrame:
     """New edges from copying those at either end of a class to its equivalent classes, both ways; two-cycles of subClassOf are left out."""
     same = of_property(graph, "equivalentClass").where("rtid1 = 1 and rtid2 = 1").select(F.col("rid1").alias("a"), F.col("rid2").alias("b"))
     same = same.union(same.select("b", "a")).distinct()
-    eq, sub = (property_id(graph, n) for n in ("equivalentClass", "subClassOf"))
+    eq, sub = (F.broadcast(property_id(graph, n)) for n in ("equivalentClass", "subClassOf"))  # one property row each
     edges = graph.live_edges.where("not hidden").join(eq, "pid", "left_anti")
     subject = edges.where("rtid1 = 1").join(same, F.col("rid1") == F.col("a")).withColumn("rid1", F.col("b"))
     object_ = edges.where("rtid2 = 1").join(same, F.col("rid2") == F.col("a")).withColumn("rid2", F.col("b"))

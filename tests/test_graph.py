@@ -2,6 +2,7 @@
 
 import random
 import time
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -230,6 +231,21 @@ def test_key_paths_without_wide_rounds(spark, monkeypatch):
     assert not rounds
 
 
+def test_edges_of_one_property_are_not_gathered(spark):
+    g = make(spark, [(k, 1, 2, 1, 1) for k in range(2000)] + [(1, 1, 4, 2, 1)])
+    g = replace(g, inverse_properties=spark.createDataFrame([(2, 7, 1)], "propertyid1 long, propertyid2 long, kbid int"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().sparkPlan().toString()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastHashJoin" in plan(infer.of_property(g, "part_of"))
+        assert "BroadcastHashJoin" in plan(infer.move_equivalent_edges(g, spark.createDataFrame([(1, 2)], "rid long, ridm long")))
+        assert "_salt" in plan(infer.inverse_edges(g))
+        assert infer.inverse_edges(g).count() == 2000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_index_below_without_the_closure(spark, index, monkeypatch):
     rows = lambda df: {(r["desc"], r["anc"], r["hops"]) for r in df.select("desc", "anc", "hops").collect()}
     whole = rows(index)
