@@ -15,6 +15,8 @@ from ..session import saved, saved_rows
 
 #: Parts over which the rows of a hot node are dealt.
 SALTS = 16
+#: Lists of ancestors that a task cuts into rows.
+LISTS = 10_000
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -59,6 +61,30 @@ def all_pairs(arcs: DataFrame, max_hops: int | None = None) -> DataFrame:
     return _union(known)
 
 
+def packed_closure(arcs: DataFrame) -> DataFrame:
+    """(node, ancs, hops) of every node of a rooted DAG of arcs (src child, dst parent): all its ancestors and, at the same places, their least hops.
+
+    Layer by layer of longest depths: a node takes the lists of its parents, so that a list moves once an arc and layer, and what is
+    known is never gathered again. A list of parents moves whole and is cut into rows beside its node only. A cycle raises.
+    """
+    arcs = saved(arcs.select("src", "dst").where("src <> dst").distinct())
+    depths = saved(longest_depth(arcs))
+    placed = named_by(arcs, "src", depths.toDF("src", "at"), "dst")
+    placed = saved(named_by(placed, "dst", depths.toDF("dst", "from"), "src"))
+    # Which layers a layer takes from: at most the square of the height.
+    feeds: dict[int, dict[int, int]] = {}
+    for row in placed.groupBy("at", "from").agg(F.count("*").alias("n")).collect():
+        feeds.setdefault(row["at"], {})[row["from"]] = row["n"]
+    layers = {1: depths.where("depth = 1").select("node", F.array().cast("array<long>").alias("ancs"), F.array().cast("array<short>").alias("hops"))}
+    for depth in sorted(feeds):
+        step = placed.where(F.col("at") == depth)
+        told = _union([step.where(F.col("from") == k).join(layers[k], F.col("dst") == F.col("node")).select("src", "dst", "ancs", "hops") for k in sorted(feeds[depth])])
+        told = told.repartition(-(-sum(feeds[depth].values()) // LISTS), "src").select("src", F.explode(F.concat(F.array(F.struct(F.col("dst").alias("anc"), F.lit(0).cast("short").alias("hops"))), F.arrays_zip(F.col("ancs").alias("anc"), "hops"))).alias("x"))
+        least = told.groupBy("src", F.col("x.anc").alias("anc")).agg((F.min("x.hops") + 1).cast("short").alias("hops"))
+        layers[depth] = saved(least.groupBy(F.col("src").alias("node")).agg(F.collect_list("anc").alias("ancs"), F.collect_list("hops").alias("hops")))
+    return _union([layers[k] for k in sorted(layers)])
+
+
 def named_by(rows: DataFrame, keys: str | list[str], table: DataFrame, by: str, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``table``, which has few rows a key, on the columns ``keys``.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..model import GraphError
 from ..session import saved
-from .closure import all_pairs, named_by, reach
+from .closure import LISTS, all_pairs, named_by, packed_closure, reach
 
 
 def _rooted(arcs: DataFrame) -> DataFrame:
@@ -24,6 +24,28 @@ def closure_index(arcs: DataFrame, max_hops: int | None = None) -> DataFrame:
     return all_pairs(_rooted(arcs), max_hops).toDF("desc", "anc", "hops")
 
 
+def packed_index(arcs: DataFrame) -> DataFrame:
+    """``closure_index`` with a row a node: (desc, ancs, hops), where hops[k] belongs to ancs[k]. A hierarchy with cycles is walked pair by pair."""
+    arcs = _rooted(arcs)
+    try:
+        return packed_closure(arcs).toDF("desc", "ancs", "hops")
+    except GraphError as found:
+        if found.kind != "cycle":
+            raise
+    return _packed(all_pairs(arcs).toDF("desc", "anc", "hops"))
+
+
+def unpacked_index(packed: DataFrame) -> DataFrame:
+    """(desc, anc, hops) of a ``packed_index``."""
+    return packed.select("desc", F.inline(F.arrays_zip(F.col("ancs").alias("anc"), "hops"))).select("desc", "anc", F.col("hops").cast("long").alias("hops"))
+
+
+def _packed(index: DataFrame) -> DataFrame:
+    if "ancs" in index.columns:
+        return index
+    return index.groupBy("desc").agg(F.collect_list("anc").alias("ancs"), F.collect_list(F.col("hops").cast("short")).alias("hops"))
+
+
 def index_below(arcs: DataFrame, nodes: DataFrame, max_hops: int | None = None) -> DataFrame:
     """The rows of ``closure_index`` whose ancestor is one of the nodes (node): walked down from them, without the closure."""
     down = _rooted(arcs).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
@@ -82,19 +104,23 @@ def lowest_common_ancestors(index: DataFrame, groups: DataFrame) -> DataFrame:
     """(grp, lca) of groups (grp, node): of the common ancestors-or-selves none of which lies above another, the nearest.
 
     Nearness is the sum of hops from the group's nodes; ties go to the least node. A group
-    without a common ancestor gives no row.
+    without a common ancestor gives no row. ``index`` has a row a pair or is packed. What lies above a common ancestor is common too, so
+    one lies above another just if it is the parent of one: only single hops are looked up.
     """
+    packed = _packed(index)
+    own = F.array(F.struct(F.col("node").alias("anc"), F.lit(0).cast("short").alias("hops")))
     groups = groups.select("grp", "node").distinct()
-    size = groups.groupBy("grp").agg(F.count("*").alias("size"))
-    own = groups.select("grp", F.col("node").alias("anc"), F.lit(0).cast("long").alias("hops"))
-    above = groups.join(index, groups["node"] == index["desc"]).select("grp", "anc", "hops").unionByName(own)
-    common = above.groupBy("grp", "anc").agg(F.count("*").alias("n"), F.sum("hops").alias("hops")).join(size, "grp").where("n = size").select("grp", "anc", "hops")
-    upper = (
-        common.select("grp", F.col("anc").alias("desc")).join(index.select("desc", F.col("anc").alias("up")), "desc").select("grp", F.col("up").alias("anc"))
-    )
+    above = groups.join(packed, F.col("node") == F.col("desc"), "left").repartition(max(1, -(-groups.count() // LISTS)), "grp")
+    above = above.select("grp", "node", F.explode(F.concat(own, F.coalesce(F.arrays_zip(F.col("ancs").alias("anc"), "hops"), F.array()))).alias("x"))
+    size = F.count_if(F.col("x.anc") == F.col("node"))
+    counted = above.groupBy("grp", F.col("x.anc").alias("anc")).agg(F.count("*").alias("n"), F.sum("x.hops").alias("hops"), size.alias("own"))
+    counted = counted.withColumn("size", F.sum("own").over(Window.partitionBy("grp")))
+    common = saved(counted.where("n = size").select("grp", "anc", "hops"))
+    parents = packed.select("desc", F.filter(F.arrays_zip(F.col("ancs").alias("anc"), "hops"), lambda x: x["hops"] == 1)["anc"].alias("up"))
+    parents = parents.join(common.select(F.col("anc").alias("desc")).distinct().hint("merge"), "desc")
+    upper = named_by(common.select("grp", F.col("anc").alias("desc")), "desc", parents, "grp").select("grp", F.explode("up").alias("anc"))
     lowest = common.join(upper.distinct(), ["grp", "anc"], "left_anti")
-    first = F.row_number().over(Window.partitionBy("grp").orderBy("hops", "anc"))
-    return lowest.withColumn("turn", first).where("turn = 1").select("grp", F.col("anc").alias("lca"))
+    return lowest.groupBy("grp").agg(F.min_by("anc", F.struct("hops", "anc")).alias("lca"))
 
 
 def shortest_paths(arcs: DataFrame, index: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -99,6 +99,20 @@ def test_lca(spark, index):
     assert {r["grp"]: r["lca"] for r in dag.lowest_common_ancestors(index, rows).collect()} == {1: 1, 2: 4, 3: 3, 5: 4}
 
 
+def test_packed_closure(spark, index, monkeypatch):
+    loop = spark.createDataFrame([(2, 1), (3, 2), (2, 3), (4, 3)], "src long, dst long")
+    rows = lambda df: sorted(map(tuple, df.select("desc", "anc", "hops").collect()))
+    assert rows(dag.unpacked_index(dag.packed_index(loop))) == rows(dag.closure_index(loop))
+    monkeypatch.setattr(dag, "all_pairs", None)
+    packed = dag.packed_index(arcs(spark))
+    assert rows(dag.unpacked_index(packed)) == rows(index)
+    groups = spark.createDataFrame([(1, 6), (1, 3), (2, 5), (2, 4)], "grp int, node long")
+    seen = []
+    monkeypatch.setattr(dag, "named_by", lambda left, key, right, by: seen.append(right.selectExpr("sum(size(up)) as n").first()[0]) or closure.named_by(left, key, right, by))
+    assert sorted(map(tuple, dag.lowest_common_ancestors(packed, groups).collect())) == [(1, 3), (2, 4)]
+    assert seen == [4]  # the single hops above A, B, C and D
+
+
 def test_paths(spark, index):
     got = dag.shortest_paths(arcs(spark), index, spark.createDataFrame([(6, 1), (6, 2), (1, 6)], "desc long, anc long")).orderBy("step").collect()
     path = lambda a: [r["node"] for r in got if r["anc"] == a]
