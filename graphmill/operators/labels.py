@@ -73,22 +73,26 @@ def label_index(arcs: DataFrame) -> LabelIndex:
     height = depths.agg(F.max("depth")).first()[0] or 0
     tree = saved(_tree(arcs, depths, height))
     parents = tree.select(F.col("node").alias("dst"), F.col("depth").alias("to"), F.col("at").alias("first"), F.col("last"))
-    known = saved(named_by(arcs, "dst", parents, "src"))
-    told, runs = [], []
+    known = saved(named_by(named_by(arcs, "dst", parents, "src"), "src", depths.toDF("src", "from"), "dst"))
+    # Layers that tell a layer something: at most the square of the height.
+    tells: dict[int, set[int]] = {}
+    for row in known.select("to", "from").distinct().collect():
+        tells.setdefault(row["to"], set()).add(row["from"])
+    told, runs = {}, []
     for depth in range(height, 0, -1):
         rows = tree.where(F.col("depth") == depth).select("node", F.col("at").alias("lo"), F.col("last").alias("hi"))
-        for more in told:
-            rows = rows.union(more.where(F.col("to") == depth).select(F.col("dst").alias("node"), "lo", "hi"))
+        for k in sorted(tells.get(depth, set()) & told.keys()):
+            rows = rows.union(told[k].where(F.col("to") == depth).select(F.col("dst").alias("node"), "lo", "hi"))
         before = Window.partitionBy("node").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
         begins = F.col("lo") > F.coalesce(F.max("hi").over(before), F.lit(-2)) + 1
         group = F.sum(F.col("begins").cast("long")).over(Window.partitionBy("node").orderBy("lo", "hi"))
         merged = rows.distinct().withColumn("begins", begins).withColumn("run", group).groupBy("node", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         merged = saved(merged.select("node", "lo", "hi"))
         runs.append(merged)
-        met = known.join(merged.hint("merge"), known["src"] == merged["node"]).where("lo < first or hi > last")
+        met = known.where(F.col("from") == depth).join(merged.hint("merge"), F.col("src") == F.col("node")).where("lo < first or hi > last")
         more, n_more = saved_rows(met.select("dst", "to", "lo", "hi"))
         if n_more:
-            told.append(more)
+            told[depth] = more
     found = tree.select("node", F.col("at").alias("lo"), F.col("last").alias("hi")).where("false")
     for more in runs:
         found = found.union(more)

@@ -448,6 +448,17 @@ def test_labels_of_random_hierarchies(spark):
         labels.label_index(spark.createDataFrame([(1, 2), (2, 1), (3, 1)], "src long, dst long"))
 
 
+def test_label_layers_use_their_own_arcs(spark, monkeypatch):
+    """Along a chain each layer meets the arcs that begin in it, not all of them, and hears the layers that tell it something."""
+    met = []
+    monkeypatch.setattr(labels, "saved_rows", lambda df, *which: met.append(df._jdf.queryExecution().optimizedPlan().toString()) or closure.saved_rows(df, *which))
+    chain = spark.createDataFrame([(k + 1, k) for k in range(1, 6)] + [(6, 1)], "src long, dst long")
+    index = labels.label_index(chain)
+    assert {r["node"]: r["n"] for r in labels.below_counts(index).collect()} == {1: 5, 2: 4, 3: 3, 4: 2, 5: 1, 6: 0}
+    layers = [plan for plan in met if "from" in plan]
+    assert len(layers) == 6 and all(f"= {depth})" in plan for depth, plan in zip(range(6, 0, -1), layers, strict=True))
+
+
 def test_labels_are_few(spark):
     arcs = spark.range(2, 2001).select(F.col("id").alias("src"), F.explode(F.array_distinct(F.array(F.expr("id div 2"), F.expr("greatest(id div 3, 1)")))).alias("dst"))
     index = labels.label_index(arcs)
