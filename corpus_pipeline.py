@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphmill.llm import decontaminate, mixing, near_dups, packing, quality
 from graphmill.llm.common import table
-from graphmill.session import removed, shared_folder
+from graphmill.session import removed, shared_folder, shuffles_removed
 
 #: Words in a shingle of the near-duplicate stage.
 SHINGLE_WORDS = 5
@@ -59,7 +59,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        with shuffles_removed(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
         if k:
             removed(spark, f"{folder}/{k - 1}")

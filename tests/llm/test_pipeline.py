@@ -1,6 +1,12 @@
 """The pipeline, stage by stage, against brute force on each stage's own input."""
 
+import time
+from pathlib import Path
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from graphmill import session
 from graphmill.llm import mixing, packing, quality
 from graphmill.llm.common import shipped
 
@@ -58,3 +64,16 @@ def test_empty_documents(spark, tmp_path):
     for name in ("documents", "benchmark", "labels"):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_shuffle_files_go(spark):
+    folders = [x.toString() for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f.name for x in folders for f in Path(x).rglob("shuffle_*")}
+    before, setting = files(), spark.conf.get(session.CLEANUP)
+    out = session.saved(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    until = time.monotonic() + 20
+    while files() - before and time.monotonic() < until:
+        time.sleep(0.2)
+    assert not files() - before
+    assert out.count() == 7
+    assert spark.conf.get(session.CLEANUP) == setting
