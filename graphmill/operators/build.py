@@ -74,6 +74,8 @@ SYSTEM_CLASSES = ("Thing", "Restriction")
 #: Properties that give a label, the first that is there.
 LABEL_PROPERTIES = ("label", "IAO_0000589")
 LITERAL_LENGTH = 1500
+#: Statements that a task makes edges of.
+STATEMENTS = 250_000
 #: First id of what the rules add to the system vocabulary.
 SYSTEM_ID = 1 << 40
 
@@ -155,8 +157,15 @@ def build_edges(t: dict[str, DataFrame], kbid: int) -> DataFrame:
 
     thing, restriction = (F.lit(classes[n]) for n in SYSTEM_CLASSES)
     p = T.PROPERTY
-    child = t["subclassof"].select(F.struct("childid", "child_rtid").alias("c"), F.struct(F.col("parentid").alias("childid"), F.col("parent_rtid").alias("child_rtid")).alias("p"))
-    up = without_mutual(child.distinct(), "c", "p").select("c.childid", "c.child_rtid", F.col("p.childid").alias("parentid"), F.col("p.child_rtid").alias("parent_rtid"))
+    # a pair and its reverse meet under one key; self-pairs fall away
+    tasks = lambda df: max(1, -(-df.count() // STATEMENTS))
+    child, parent = F.struct("childid", "child_rtid"), F.struct(F.col("parentid").alias("childid"), F.col("parent_rtid").alias("child_rtid"))
+    met = t["subclassof"].select(F.least(child, parent).alias("lo"), F.greatest(child, parent).alias("hi"), (child < parent).alias("rising")).where("lo <> hi")
+    met = met.repartition(tasks(t["subclassof"]), "lo", "hi").groupBy("lo", "hi")
+    met = met.agg(F.bool_and("rising").alias("all"), F.bool_or("rising").alias("rising")).where("all = rising")
+    end = lambda rising, falling: F.when(F.col("rising"), F.col(rising)).otherwise(F.col(falling))
+    up = met.select(end("lo.childid", "hi.childid").alias("childid"), end("lo.child_rtid", "hi.child_rtid").alias("child_rtid"),
+                    end("hi.childid", "lo.childid").alias("parentid"), end("hi.child_rtid", "lo.child_rtid").alias("parent_rtid"))
     below = without_mutual(t["subpropertyof"].select("childid", "parentid").distinct(), "childid", "parentid")
     parts = [
         edge(up, "childid", "child_rtid", ("subClassOf",), "parentid", "parent_rtid"),
@@ -197,13 +206,17 @@ def build_edges(t: dict[str, DataFrame], kbid: int) -> DataFrame:
     for table, (kind, code, sign) in CARDINALITIES.items():
         own = t[table].withColumn("stmt", F.concat(F.lit(f"cardinality{sign}"), F.col("cardinality").cast("string")))
         parts.append(edge(own, "id", kind, "propertyid", integer, T.DATATYPE, hidden=True, restriction_type=code, stmt=F.col("stmt")))
-        child = t["subclassof"].where(f"parent_rtid = {int(kind)}").join(own, F.col("parentid") == F.col("id"))
+        child = t["subclassof"].where(f"parent_rtid = {int(kind)}").join(own.hint("merge"), F.col("parentid") == F.col("id"))
         counted.append(edge(child, "childid", "child_rtid", "propertyid", integer, T.DATATYPE, derived=True, restriction_type=code, stmt=F.col("stmt")))
     facet = {"derived": True, "restriction_type": "d", "restriction_stmt": "datatype"}
     parts.append(edge(t["datatype_restriction"], "id", T.DATATYPE_RESTRICTION, ("onDatatype",), "dtid", T.DATATYPE, **facet))
     parts.append(edge(t["datatype_restriction"], "id", T.DATATYPE_RESTRICTION, "facetpropid", "literalid", T.LITERAL, **facet))
-    edges = saved(reduce(DataFrame.unionByName, parts).dropDuplicates([*EDGE_KEY, "hidden", "restriction_type", "restriction_stmt"]))
-    new = reduce(DataFrame.unionByName, counted).join(edges.select(*EDGE_KEY).distinct(), list(EDGE_KEY), "left_anti")
+    # Statements are dealt by their ends before a task gathers any, so that none holds all of a file or a branch; an asserted one goes before a derived one.
+    key = [*EDGE_KEY, "hidden", "restriction_type", "restriction_stmt"]
+    given = reduce(DataFrame.unionByName, parts).select(*key, "derived")
+    dealt = given.repartition(tasks(given), *EDGE_KEY)
+    edges = saved(as_edges(dealt.groupBy(*key).agg(F.bool_and("derived").alias("derived")), kbid))
+    new = reduce(DataFrame.unionByName, counted).join(edges.select(*EDGE_KEY).hint("merge"), list(EDGE_KEY), "left_anti")
     return unhide_restrictions(edges.unionByName(new))
 
 

@@ -157,7 +157,7 @@ def copy_across_equivalents(graph: Graph) -> DataFrame:
 def without_mutual(pairs: DataFrame, child: str, parent: str) -> DataFrame:
     """Pairs whose reverse is not there as well; self-pairs fall away."""
     reverse = pairs.select(F.col(parent).alias(child), F.col(child).alias(parent)).distinct()
-    return pairs.join(reverse, [child, parent], "left_anti")
+    return pairs.join(reverse.hint("merge"), [child, parent], "left_anti")
 
 
 def domain_range_edges(domains: DataFrame, ranges: DataFrame, top: int) -> DataFrame:
@@ -171,8 +171,8 @@ def domain_range_edges(domains: DataFrame, ranges: DataFrame, top: int) -> DataF
 def unhide_restrictions(edges: DataFrame) -> DataFrame:
     """Edges; a hidden one shows where its subject is the object of a visible one."""
     shown = edges.where("not hidden").select(F.col("rid2").alias("rid1"), F.col("rtid2").alias("rtid1"), F.lit(True).alias("shown")).distinct()
-    hidden = F.col("hidden") & F.col("shown").isNull()
-    return edges.join(shown, ["rid1", "rtid1"], "left").select(*(hidden.alias(c) if c == "hidden" else F.col(c) for c in edges.columns))
+    hidden = edges.where("hidden").join(shown.hint("merge"), ["rid1", "rtid1"], "left").withColumn("hidden", F.col("shown").isNull())
+    return edges.where("hidden is not true").unionByName(hidden.select(*edges.columns))
 
 
 def deprecated_classes(graph: Graph) -> DataFrame:

@@ -20,17 +20,25 @@ from .star_queries import big
 KB = 1
 SUPPLIED_BY, PART_OF, PROPER = 1, 2, 3
 PROPERTIES = ((SUPPLIED_BY, "supplied_by"), (PART_OF, "part_of"), (PROPER, "proper part of"))
+#: Parts, and items of orders, of which a task makes rows; a part gives many.
+PARTS, ITEMS = 20_000, 250_000
 SPACES, CLASSES, SYSTEM = build.system_rows()
 SYSTEM_PID = {name: i for i, name, *_ in SYSTEM}
 
 
+def dealt(rows: DataFrame, n_rows: int, most: int, *keys: str) -> DataFrame:
+    """The rows over as many tasks as their number asks for: their files are small for what they give."""
+    return rows.repartition(max(1, -(-n_rows // most)), *keys)
+
+
 def star_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The star-schema tables as tables of a shredded ontology."""
     t = star.tables(spark, sf_dir)
-    p = t["part"].select(F.col("p_partkey").cast("long").alias("p"), "p_name", "p_type")
+    top = t["part"].count()
+    p = dealt(t["part"].select(F.col("p_partkey").cast("long").alias("p"), "p_name", "p_type"), top, PARTS, "p")
     s = t["supplier"].select(F.col("s_suppkey").cast("long").alias("s"), "s_name")
+    items = t["lineitem"].select("l_partkey", "l_suppkey")
     lit = star.literals(t)
-    top = p.count()
     sel = lambda df, where, **columns: df.where(where).select(*(F.expr(x).alias(c) for c, x in columns.items()))
     union = lambda *parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(*parts[1:]))
     half, third = "p div 2", "p div 3"
@@ -66,7 +74,7 @@ def star_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         ),
         "typeof": sel(s, "true", instanceid="s", instance_rtid="12", classid="s", class_rtid="1"),
         "relationship": union(
-            sel(t["lineitem"].select("l_partkey", "l_suppkey").distinct(), "true", subjectid="cast(l_partkey as long)", subject_rtid="1", propertyid="1L",
+            sel(dealt(items, items.count(), ITEMS, *items.columns).distinct(), "true", subjectid="cast(l_partkey as long)", subject_rtid="1", propertyid="1L",
                 objectid="cast(l_suppkey as long)", object_rtid="12"),
             sel(p.where("p % 4 = 0").join(lit, F.col("p_type") == F.col("txt")), "true", subjectid="p", subject_rtid="1",
                 propertyid=f"{SYSTEM_PID['label']}L", objectid="rid", object_rtid="13"),
