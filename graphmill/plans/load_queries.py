@@ -216,7 +216,8 @@ def restriction_triples(parts: DataFrame) -> DataFrame:
 
 
 def _expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = owl.shred(restriction_triples(star.tables(spark, sf_dir)["part"]))
+    parts = star.tables(spark, sf_dir)["part"].select("p_partkey")
+    tables = owl.shred(restriction_triples(dealt(parts, parts.count(), PARTS, "p_partkey")))
     kinds = (("somevaluesfromclass", T.SOME_VALUES_FROM), ("complementclass", T.COMPLEMENT))
     texts = [tables[t].select(F.lit(int(k)).cast("long").alias("kind"), F.col("browsertext").alias("text")) for t, k in kinds]
     used = tables["subclassof"].groupBy(F.col("parent_rtid").cast("long").alias("kind")).agg(F.count("*").alias("n_uses"))

@@ -4,11 +4,13 @@ from xml.etree import ElementTree
 
 import pytest
 
-from graphmill import api
+from graphmill import api, session
 from graphmill.model import SYNONYM_PROPERTIES, GraphError
 from graphmill.operators import build, dag, infer, load, search, traverse
+from graphmill.plans import load_queries
 from graphmill.sources import owl
 
+SF = "/root/testdata/sf0.001"
 HEAD = (
     '<?xml version="1.0"?><rdf:RDF xmlns="http://x.org/o#" xml:base="http://x.org/o" xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" '
     'xmlns:owl="http://www.w3.org/2002/07/owl#" xmlns:rdfs="http://www.w3.org/2000/01/rdf-schema#" xmlns:xsd="http://www.w3.org/2001/XMLSchema#">'
@@ -182,3 +184,17 @@ def test_spool(spark, tmp_path):
     (tmp_path / "t.tsv").write_text("1\tx\t[NULL]\n2\t[NULL]\t0\n")
     rows = owl.load_spool(spark, str(tmp_path), "id long, name string, nsid long").orderBy("id").collect()
     assert [tuple(r) for r in rows] == [(1, "x", None), (2, None, 0)]
+
+
+def test_rows_are_dealt(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(build, "STATEMENTS", 100, raising=False)
+    monkeypatch.setattr(build, "saved", lambda df: seen.append(session.saved(df)) or seen[-1])
+    build.build_edges(build.complete(spark, load_queries.star_tables(spark, SF)), 1)
+    assert seen[0].rdd.getNumPartitions() >= seen[0].count() // 100 > 4
+    triples, owl_tables = [], owl.shred
+    monkeypatch.setattr(load_queries, "PARTS", 20, raising=False)
+    monkeypatch.setattr(load_queries.owl, "shred", lambda found: triples.append(found) or owl_tables(found))
+    load_queries._expressions(spark, SF)
+    parts = spark.read.parquet(f"{SF}/part.parquet").count()
+    assert triples[0].rdd.getNumPartitions() == -(-parts // 20) > 1
