@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..model import EDGE_KEY, NODE_COLUMNS, OWL, RESOURCE_ANNOTATIONS, SYMMETRIC, SYSTEM_PROPERTIES, TEXT_ANNOTATIONS, Graph
 from ..model import ResourceType as T
 from ..session import saved, saved_rows
+from .closure import named_by
 from .infer import as_edges, deprecated_classes, propagate_obsolete, retired_roots, unhide_restrictions, without_mutual
 
 #: Columns of the tables of a shredded ontology (fixed values).
@@ -232,14 +233,16 @@ def set_labels(t: dict[str, DataFrame], nodes: DataFrame, edges: DataFrame) -> D
     """
     names = t["property"].where(F.col("name").isin(*LABEL_PROPERTIES)).select(F.col("id").alias("pid"), (F.col("name") != LABEL_PROPERTIES[0]).alias("later"))
     texts = nodes.select(F.col("rid").alias("rid2"), F.col("rtid").alias("rtid2"), F.col("name").alias("text"))
-    given = edges.join(names, "pid").join(texts, ["rid2", "rtid2"]).groupBy(F.col("rid1").alias("rid"), F.col("rtid1").alias("rtid"))
+    given = edges.join(names, "pid").join(texts.hint("merge"), ["rid2", "rtid2"]).groupBy(F.col("rid1").alias("rid"), F.col("rtid1").alias("rtid"))
     given = given.agg(F.min(F.struct("later", "text")).alias("best")).select("rid", "rtid", F.col("best.text").alias("given"))
     own = F.when(F.col("rtid").isin(1, 12, 13, 14, 15, 18), F.col("name")).when(F.col("rtid") == int(T.DATA_RANGE), F.expr("substring(name, 5)"))
     own = F.when(F.col("rtid").isin(17, 20, 21), F.col("label")).otherwise(own)
-    base = nodes.join(given, ["rid", "rtid"], "left").select("rid", "rtid", F.coalesce("given", own).alias("found"))
+    base = nodes.join(given.hint("merge"), ["rid", "rtid"], "left").select("rid", "rtid", F.coalesce("given", own).alias("found"))
     known = saved(base.where("found is not null"))
-    label = lambda rid, rtid, out: known.select(F.col("rid").alias(rid), F.col("rtid").alias(rtid), F.col("found").alias(out))
-    prop = lambda df: df.join(label("propertyid", "_t", "p").where(f"_t = {int(T.PROPERTY)}").drop("_t"), "propertyid")
+    # Sizes are guessed from files that are small for what they hold, so joins on nodes are told not to send either side to the driver.
+    label = lambda rid, rtid, out: known.select(F.col("rid").alias(rid), F.col("rtid").alias(rtid), F.col("found").alias(out)).hint("merge")
+    of_property = saved(known.where(F.col("rtid") == int(T.PROPERTY)).select(F.col("rid").alias("propertyid"), F.col("found").alias("p")))
+    prop = lambda df: named_by(df, "propertyid", of_property, "id")
     some = lambda kind, df, text: df.select(F.col("id").alias("rid"), F.lit(int(kind)).alias("rtid"), text.alias("found"))
     added = 1
     while added:
@@ -261,9 +264,9 @@ def set_labels(t: dict[str, DataFrame], nodes: DataFrame, edges: DataFrame) -> D
             whole = member.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(quoted_at("v", ","))), ", ").alias("v"), F.count_if(F.col("v").isNull()).alias("open"))
             new.append(some(kind, whole.where("open = 0"), F.concat(F.lit(f"{word} of ("), F.col("v"), F.lit(")"))))
         found = reduce(DataFrame.unionByName, new).where("found is not null").groupBy("rid", "rtid").agg(F.min("found").alias("found"))
-        found, added = saved_rows(found.join(known.select("rid", "rtid"), ["rid", "rtid"], "left_anti"))
+        found, added = saved_rows(found.join(known.select("rid", "rtid").hint("merge"), ["rid", "rtid"], "left_anti"))
         known = saved(known.unionByName(found)) if added else known
-    out = nodes.join(known, ["rid", "rtid"], "left")
+    out = nodes.join(known.hint("merge"), ["rid", "rtid"], "left")
     return out.select(*(F.coalesce("found", "name").alias(c) if c == "label" else F.col(c) for c in NODE_COLUMNS))
 
 

@@ -3,6 +3,7 @@
 from xml.etree import ElementTree
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphmill import api, session
 from graphmill.model import SYNONYM_PROPERTIES, GraphError
@@ -198,3 +199,11 @@ def test_rows_are_dealt(spark, monkeypatch):
     load_queries._expressions(spark, SF)
     parts = spark.read.parquet(f"{SF}/part.parquet").count()
     assert triples[0].rdd.getNumPartitions() == -(-parts // 20) > 1
+
+
+def test_labels_send_no_nodes_to_the_driver(spark):
+    tables = build.complete(spark, load_queries.star_tables(spark, SF))
+    nodes = session.saved(build.build_nodes(tables, 1))
+    edges = nodes.select(F.col("rid").alias("rid1"), F.col("rtid").alias("rtid1"), F.lit(-1).alias("pid"), F.col("rid").alias("rid2"), F.col("rtid").alias("rtid2")).where("false")
+    found = build.set_labels(tables, nodes, edges)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
