@@ -61,12 +61,9 @@ def all_pairs(arcs: DataFrame, max_hops: int | None = None) -> DataFrame:
     return _union(known)
 
 
-def packed_closure(arcs: DataFrame) -> DataFrame:
-    """(node, ancs, hops) of every node of a rooted DAG of arcs (src child, dst parent): all its ancestors and, at the same places, their least hops.
-
-    Layer by layer of longest depths: a node takes the lists of its parents, so that a list moves once an arc and layer, and what is
-    known is never gathered again. A list of parents moves whole and is cut into rows beside its node only. A cycle raises.
-    """
+def layered(arcs: DataFrame) -> tuple[DataFrame, DataFrame, dict[int, dict[int, int]]]:
+    """A rooted DAG of arcs (src child, dst parent) by longest depths: (node, depth); its arcs (src, dst, at, from) with the depths of their
+    ends; how many arcs each depth has from each other. A cycle raises."""
     arcs = saved(arcs.select("src", "dst").where("src <> dst").distinct())
     depths = saved(longest_depth(arcs))
     placed = named_by(arcs, "src", depths.toDF("src", "at"), "dst")
@@ -75,6 +72,16 @@ def packed_closure(arcs: DataFrame) -> DataFrame:
     feeds: dict[int, dict[int, int]] = {}
     for row in placed.groupBy("at", "from").agg(F.count("*").alias("n")).collect():
         feeds.setdefault(row["at"], {})[row["from"]] = row["n"]
+    return depths, placed, feeds
+
+
+def packed_closure(arcs: DataFrame) -> DataFrame:
+    """(node, ancs, hops) of every node of a rooted DAG of arcs (src child, dst parent): all its ancestors and, at the same places, their least hops.
+
+    Layer by layer of longest depths: a node takes the lists of its parents, so that a list moves once an arc and layer, and what is
+    known is never gathered again. A list of parents moves whole and is cut into rows beside its node only. A cycle raises.
+    """
+    depths, placed, feeds = layered(arcs)
     layers = {1: depths.where("depth = 1").select("node", F.array().cast("array<long>").alias("ancs"), F.array().cast("array<short>").alias("hops"))}
     for depth in sorted(feeds):
         step = placed.where(F.col("at") == depth)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import DEFINING_TYPES, EDGE_COLUMNS, EDGE_KEY, OWL, RETIRED_ROOTS, Graph
+from ..model import DEFINING_TYPES, EDGE_COLUMNS, EDGE_KEY, OWL, RETIRED_ROOTS, Graph, GraphError
 from ..session import saved, saved_rows
-from .closure import components, named_by, reach
+from .closure import LISTS, components, layered, named_by, reach
+
+#: Objects a bin holds at most, about, when inherited edges are packed in lists.
+OBJECTS = 50_000
 
 
 def as_edges(found: DataFrame, kbid: int | Column = 1, **flags) -> DataFrame:
@@ -121,23 +126,64 @@ def inverse_edges(graph: Graph) -> DataFrame:
 def inheritable_edges(graph: Graph, pid: int, sub_properties: list[int]) -> DataFrame:
     """New edges C -p-> X where C is below D and D -p-> X, unless C has an edge to X by p or a sub-property of it already.
 
-    The property of the new edge is the inherited edge's own; semi-naive to the fixpoint.
+    The property of the new edge is the inherited edge's own, that of the nearest D. A hierarchy with cycles is walked edge by edge.
     """
     family = sorted({pid, *sub_properties})
-    arcs = of_property(graph, "subClassOf").where("rtid1 = 1 and rtid2 = 1 and rid1 <> rid2").select(F.col("rid1").alias("child"), F.col("rid2").alias("parent"))
+    arcs = of_property(graph, "subClassOf").where("rtid1 = 1 and rtid2 = 1 and rid1 <> rid2").select(F.col("rid1").alias("src"), F.col("rid2").alias("dst"))
     arcs = saved(arcs.distinct())
     own = graph.live_edges.where(F.col("pid").isin(family) & (F.col("rtid1") == 1) & ~F.col("hidden"))
-    frontier = saved(own.select("rid1", "pid", "rid2", "rtid2").distinct())
-    held, new = frontier.select("rid1", "rid2", "rtid2").distinct(), None
+    own = saved(own.select("rid1", "pid", "rid2", "rtid2").distinct())
+    try:
+        new = _inherited_by_layers(arcs, own, len(family) > 1)
+    except GraphError as found:
+        if found.kind != "cycle":
+            raise
+        new = _inherited_in_rounds(arcs, own)
+    return as_edges(new.withColumn("rtid1", F.lit(1)), derived=True)
+
+
+def _inherited_by_layers(arcs: DataFrame, own: DataFrame, several: bool) -> DataFrame:
+    """(rid1, pid, rid2, rtid2) inherited over a DAG of arcs (src child, dst parent), layer by layer of longest depths; a cycle raises.
+
+    A class takes the lists of its parents, so that a list moves once an arc and what is held is never gathered again. Objects are
+    dealt into bins of some ``OBJECTS``, a list a class and bin. ``several``: more than one property, so the nearest edge tells which.
+    """
+    depths, placed, feeds = layered(arcs)
+    entry = ["rid2", "rtid2", "pid", "hops"]
+    bins = own.select(F.approx_count_distinct(F.xxhash64("rid2", "rtid2"))).first()[0] // OBJECTS + 1
+    # A step adds a hop, so own edges begin below 0.
+    start = own.select(F.col("rid1").alias("node"), F.pmod(F.xxhash64("rid2", "rtid2"), F.lit(bins)).alias("bin"), "rid2", "rtid2", "pid", F.lit(-1).alias("hops"))
+    start = saved(named_by(start, "node", depths, "rid2"))
+    n_own = {r["depth"]: r["n"] for r in start.groupBy("depth").agg(F.count("*").alias("n")).collect()}  # a row a layer
+    layers: dict[int, DataFrame] = {}
+    for depth in sorted({1, *n_own, *feeds}):
+        told = start.where(F.col("depth") == depth).select("node", "bin", *(F.array(c).alias(c) for c in entry))
+        if depth in feeds:
+            above = functools.reduce(DataFrame.unionByName, (layers[k] for k in sorted(feeds[depth])))
+            step = placed.where(F.col("at") == depth).join(above.hint("merge"), F.col("dst") == F.col("node"))
+            told = told.unionByName(step.select(F.col("src").alias("node"), "bin", *entry))
+        tasks = -(-(n_own.get(depth, 0) + bins * sum(feeds.get(depth, {}).values())) // LISTS)
+        told = told.repartition(max(tasks, 1), "node", "bin").select("node", "bin", F.inline(F.arrays_zip(*entry)))
+        held = told.groupBy("node", "bin", "rid2", "rtid2", "pid").agg((F.min("hops") + 1).alias("hops"))
+        if several:
+            near = Window.partitionBy("node", "bin", "rid2", "rtid2")
+            held = held.withColumn("near", F.min("hops").over(near)).where("hops = near")
+        layers[depth] = saved(held.groupBy("node", "bin").agg(*(F.collect_list(c).alias(c) for c in entry)))
+    every = functools.reduce(DataFrame.unionByName, layers.values())
+    return every.select(F.col("node").alias("rid1"), F.inline(F.arrays_zip(*entry))).where("hops > 0").select("rid1", "pid", "rid2", "rtid2")
+
+
+def _inherited_in_rounds(arcs: DataFrame, own: DataFrame) -> DataFrame:
+    """(rid1, pid, rid2, rtid2) inherited over any arcs (src child, dst parent): semi-naive to the fixpoint."""
+    frontier, new = own, own.where("false")
+    held = own.select("rid1", "rid2", "rtid2").distinct()
     while True:
-        step = frontier.join(arcs, frontier["rid1"] == arcs["parent"]).select(F.col("child").alias("rid1"), "pid", "rid2", "rtid2").distinct()
+        step = frontier.join(arcs, frontier["rid1"] == arcs["dst"]).select(F.col("src").alias("rid1"), "pid", "rid2", "rtid2").distinct()
         frontier, left = saved_rows(step.join(held, ["rid1", "rid2", "rtid2"], "left_anti"))
         if not left:
-            break
+            return new
         held = held.unionByName(frontier.select("rid1", "rid2", "rtid2").distinct())
-        new = frontier if new is None else new.unionByName(frontier)
-    empty = graph.edges.where("false").select("rid1", "pid", "rid2", "rtid2")
-    return as_edges((new if new is not None else empty).withColumn("rtid1", F.lit(1)), derived=True)
+        new = new.unionByName(frontier)
 
 
 def copy_across_equivalents(graph: Graph) -> DataFrame:

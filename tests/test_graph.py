@@ -139,6 +139,50 @@ def test_inherited_edges(spark):
     assert {r["rid1"] for r in got} == {2, 4, 5, 6} and all(r["rid2"] == 7 and r["derived"] for r in got)
 
 
+def inherited_plainly(arcs, own):
+    """(rid1, pid, rid2) inherited, by plain search from each class to the nearest ones with an edge to the object."""
+    found = set()
+    for start in {a for a, _ in arcs}:
+        for x in {x for _, _, x in own}:
+            seen, ring = {start}, {start}
+            while ring and not (hit := {p for n, p, y in own if n in ring and y == x}):
+                ring = {b for a, b in arcs if a in ring} - seen
+                seen |= ring
+            if ring and start not in ring:
+                found |= {(start, p, x) for p in hit}
+    return found
+
+
+@pytest.mark.parametrize("cyclic", [False, True])
+def test_inherited_edges_on_random_graphs(spark, monkeypatch, cyclic):
+    draw = random.Random(5)
+    pairs = {(a, draw.randrange(1, a)) for a in range(2, 25) for _ in range(2)} | ({(3, 20)} if cyclic else set())
+    own = {(draw.randrange(1, 25), draw.choice([2, 3]), draw.randrange(50, 56)) for _ in range(14)}
+    g = make(spark, [(a, 1, 1, b, 1) for a, b in sorted(pairs)] + [(a, 1, p, x, 13) for a, p, x in sorted(own)])
+    monkeypatch.setattr(infer, "OBJECTS", 2, raising=False)  # several bins
+    monkeypatch.setattr(infer, "LISTS", 3, raising=False)  # several tasks
+    for subs in ([], [3]):
+        held = {e for e in own if e[1] in (2, *subs)}
+        got = [(r["rid1"], r["pid"], r["rid2"]) for r in infer.inheritable_edges(g, 2, subs).collect()]
+        assert len(got) == len(set(got)) and set(got) == inherited_plainly(pairs, held)
+
+
+def test_inherited_edges_of_nothing(spark, micro):
+    assert infer.inheritable_edges(micro, 2, []).count() == 0
+    assert infer.inheritable_edges(make(spark, [(1, 1, 2, 7, 1)]), 2, [3]).count() == 0
+
+
+def test_inheriting_reads_the_layers_above_only(spark, monkeypatch):
+    reads = []
+    for name in ("saved", "saved_rows"):
+        kept = getattr(infer, name)
+        monkeypatch.setattr(infer, name, lambda df, *a, kept=kept: reads.append(df._jdf.queryExecution().analyzed().toString().count("LogicalRDD")) or kept(df, *a))
+    chain = {f"C{k}": k for k in range(1, 11)}
+    g = make(spark, [(k, 1, 1, k - 1, 1) for k in range(2, 11)] + [(1, 1, 2, 50, 13)], chain)
+    assert infer.inheritable_edges(g, 2, []).count() == 9
+    assert max(reads[2:]) <= 4, reads  # what is held is not gathered again each round
+
+
 def test_neighborhood_walks_through_everything(spark, micro):
     got = traverse.neighborhood(traverse.chosen_edges(micro), seed(spark, "E"), hops=2)
     assert pairs(got, "rid1", "rid2") == {"ED", "EA", "DB", "DC"}
