@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import saved, saved_rows
 from .closure import longest_depth
+from .walks import Blocks
 
 #: Weight of an edge of which nothing is known, and the free constant of the formula (fixed values).
 DEFAULT_WEIGHT, ALPHA = 0.0001, 0.0
@@ -17,8 +18,8 @@ RESTART, ROUNDS, BUDGET, PATH_LENGTH = 0.6, 80, 40, 10
 TARGETS = 64
 #: Query nodes whose scores stand side by side in a walk.
 ABREAST = 16
-#: New nodes of a path that is searched among the taken nodes and their links alone.
-LOCAL = 2
+#: Nodes between others whose arcs are read before a path takes them.
+MIDS = 1_000
 
 
 def tree_depths(trees: dict[str, DataFrame]) -> DataFrame:
@@ -59,51 +60,42 @@ def edge_weights(edges: DataFrame, depths: DataFrame, pi: DataFrame) -> DataFram
 
 
 def transition(weighted: DataFrame) -> DataFrame:
-    """(src, dst, p): column-normalised weights of the undirected graph; parallel edges add up."""
-    edges = weighted.where("src <> dst").select("src", "dst", "weight")
-    both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    both = both.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
-    total = both.groupBy("src").agg(F.sum("weight").alias("total"))
-    return both.join(total, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p"))
+    """(src, dst, weight) of the undirected graph, a row a pair of nodes; parallel edges add up."""
+    edges = weighted.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight")
+    return edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
 def random_walks(step: DataFrame, queries: DataFrame, restart: float = RESTART, rounds: int = ROUNDS, tolerance: float | None = None) -> DataFrame:
     """(query, node, score): random walk with restart from each query node, a fixed number of rounds or until no score moves.
 
-    A node's scores of up to ``ABREAST`` query nodes stand side by side. A round joins them with the transitions, which lie
-    dealt by their source, and adds up per node; every fourth round is checkpointed.
+    ``step`` is a ``transition``, which is read several times; a node passes its score on in proportion to the weights. A node's
+    scores of up to ``ABREAST`` query nodes stand side by side. Every fourth round is checkpointed.
     """
-    parts = int(step.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    step = saved(step.repartition(parts, "src").sortWithinPartitions("src"))
     starts = sorted(r["node"] for r in queries.select("node").distinct().collect())
+    blocks = Blocks(step, starts) if starts else None
     found = None
     for k in range(0, len(starts), ABREAST):
-        some = _walks_of(step, starts[k : k + ABREAST], restart, rounds, tolerance)
+        some = _walks_of(blocks, starts[k : k + ABREAST], restart, rounds, tolerance)
         found = some if found is None else found.unionByName(some)
     return queries.select(F.col("node").alias("query"), "node", F.lit(1.0).alias("score")).where("false") if found is None else found
 
 
-def _walks_of(step: DataFrame, starts: list[int], restart: float, rounds: int, tolerance: float | None) -> DataFrame:
-    names = [f"s{k}" for k in range(len(starts))]
-    first = step.sparkSession.createDataFrame(
-        [(q, *(1.0 if k == i else None for i in range(len(starts)))) for k, q in enumerate(starts)], f"node long, {', '.join(f'{s} double' for s in names)}"
-    )
-    back = first.select("node", *((F.col(s) * (1 - restart)).alias(s) for s in names))
-    apart = lambda df: df.select(
-        F.explode(F.array(*(F.struct(F.lit(q).cast("long").alias("query"), F.col(s).alias("score")) for q, s in zip(starts, names, strict=True)))).alias("q"), "node"
-    ).select("q.query", "node", "q.score").where("score is not null")
-    score, last = first, first
-    for k in range(1, rounds + 1):
-        moved = step.join(score, step["src"] == score["node"]).select(F.col("dst").alias("node"), *((F.col(s) * F.col("p") * restart).alias(s) for s in names))
-        score = moved.unionByName(back).groupBy("node").agg(*(F.sum(s).alias(s) for s in names))
-        if k % 4 == 0 or k == rounds:
-            score = saved(score)
-            if tolerance is not None:
-                gap = apart(score).join(apart(last).withColumnRenamed("score", "old"), ["query", "node"], "full_outer")
+def _walks_of(blocks: Blocks, starts: list[int], restart: float, rounds: int, tolerance: float | None) -> DataFrame:
+    with blocks.rounds():
+        sent = saved(blocks.first(starts))
+        score = saved(blocks.scores(sent, starts))
+        for k in range(1, rounds + 1):
+            stop = k % 4 == 0 or k == rounds
+            sent = blocks.moved(sent, starts, restart, stop and (tolerance is not None or k == rounds))
+            if stop:
+                sent = saved(sent)
+            if stop and (tolerance is not None or k == rounds):
+                last, score = score, saved(blocks.scores(sent, starts))
+            if stop and tolerance is not None:
+                gap = score.join(last.withColumnRenamed("score", "old"), ["query", "node"], "full_outer")
                 if (gap.agg(F.max(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0] or 0.0) < tolerance:
                     break
-            last = score
-    return apart(score)
+        return score
 
 
 def joint_scores(scores: DataFrame, queries: DataFrame) -> DataFrame:
@@ -123,54 +115,139 @@ def center_piece(
     the path of adjacent nodes with the largest sum of scores per new node, until ``budget``
     nodes are taken. The driver holds the taken nodes and the next ``TARGETS`` targets.
     """
-    scores = saved(joint_scores(random_walks(transition(weighted), queries, rounds=rounds), queries))
+    ties = saved(transition(weighted))
+    scores = saved(joint_scores(random_walks(ties, queries, rounds=rounds), queries))
     sources = sorted(r["node"] for r in queries.select("node").distinct().collect())
     value = {s: 0.0 for s in sources} | {r["node"]: r["score"] for r in scores.where(F.col("node").isin(sources)).collect()}
-    both = weighted.select("src", "dst").union(weighted.select("dst", "src")).where("src <> dst").distinct()
-    # A node that a query node misses scores 0, and may still lie on a path.
-    steps = saved(both.join(scores.toDF("dst", "value"), "dst", "left").select("src", "dst", F.coalesce("value", F.lit(0.0)).alias("value")))
-    taken = set(sources)
-    for target, score in _targets(scores, sources):
-        if len(taken) >= budget + len(sources):
-            break
-        for s in sources:
-            taken.update(_key_path(steps, taken, s, value[s], target, score, path_length) or ())
-    chosen = weighted.sparkSession.createDataFrame([(n,) for n in sorted(taken)], "n long")
-    return weighted.join(chosen.toDF("src"), "src", "left_semi").join(chosen.toDF("dst"), "dst", "left_semi").select("src", "pid", "dst", "weight")
-
-
-def _targets(scores: DataFrame, sources: list[int]) -> Iterator[tuple[int, float]]:
-    """All scored nodes but the query nodes, with their scores, best first."""
+    wide = lambda nodes: _around(ties, scores, nodes)
+    taken, near, covered = set(sources), None, set()
+    for ahead in _targets(scores, sources):
+        for k, (target, score) in enumerate(ahead):
+            if len(taken) >= budget + len(sources):
+                break
+            for s in sources:
+                if not taken | {target} <= covered:
+                    covered = taken | {t for t, _ in ahead[k:]}
+                    covered |= _between(saved(wide(covered)), covered)
+                    near = saved(wide(covered))
+                taken.update(_key_path(near, taken, s, value[s], target, score, path_length, wide) or ())
+        else:
+            continue
+        break
+    # A filter that Spark takes down to the source, so that the weights need not be kept.
+    return weighted.where(F.col("src").isin(sorted(taken)) & F.col("dst").isin(sorted(taken))).select("src", "pid", "dst", "weight")
+
+
+def _targets(scores: DataFrame, sources: list[int]) -> Iterator[list[tuple[int, float]]]:
+    """All scored nodes but the query nodes, with their scores, best first, ``TARGETS`` at once."""
     left = scores.where(~F.col("node").isin(sources))
     last = F.lit(True)
     while found := left.where(last).orderBy(F.desc("score"), "node").limit(TARGETS).collect():
-        yield from ((r["node"], r["score"]) for r in found)
+        yield [(r["node"], r["score"]) for r in found]
         node, score = found[-1]["node"], found[-1]["score"]
         last = (F.col("score") < score) | ((F.col("score") == score) & (F.col("node") > node))
 
 
-def _key_path(steps: DataFrame, taken: set[int], source: int, value: float, target: int, score: float, most: int) -> list[int] | None:
+def _around(ties: DataFrame, scores: DataFrame, nodes: set[int] | DataFrame) -> DataFrame:
+    """(src, dst, value): the arcs of both directions with an end among the nodes, and the score of the node they lead to.
+
+    A node that a query node misses scores 0, and may still lie on a path.
+    """
+    if isinstance(nodes, set):
+        of = lambda end: ties.where(F.col(end).isin(sorted(nodes)))
+    else:
+        of = lambda end: ties.join(nodes.select(F.col("node").alias(end)), end, "left_semi")
+    out = of("src").select("src", "dst").union(of("dst").select("src", "dst")).distinct()
+    both = out.union(out.select("dst", "src"))
+    return both.join(scores.toDF("dst", "value"), "dst", "left").select("src", "dst", F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
+def _between(arcs: DataFrame, nodes: set[int]) -> set[int]:
+    """Nodes that paths between the given ones are likely to take: the best one between each two of them, ``MIDS`` of these at most."""
+    known = sorted(nodes)
+    first = arcs.where(F.col("src").isin(known) & ~F.col("dst").isin(known)).toDF("a", "mid", "gain")
+    found = first.join(first.select(F.col("a").alias("b"), "mid"), "mid").where("a < b").groupBy("a", "b").agg(F.max(F.struct("gain", -F.col("mid"), "mid")).alias("best"))
+    return {r["mid"] for r in found.select("best.gain", "best.mid").distinct().orderBy(F.desc("gain"), "mid").limit(MIDS).collect()}
+
+
+def _key_path(
+    steps: DataFrame, taken: set[int], source: int, value: float, target: int, score: float, most: int, wide: Callable[[DataFrame], DataFrame] | None = None
+) -> list[int] | None:
     """The path from source to target, through nodes of rising closeness to the target's score order, with the most score per new node.
 
+    ``steps`` holds all arcs of the taken nodes and the target; ``wide`` gives those of other nodes, if there are more.
     A state (node, new nodes) keeps its largest sum, and of equal ones the first found; it comes from states of as many new
-    nodes or fewer. So the states of up to ``LOCAL`` new nodes are found first, among the taken nodes, the target and the best
-    node between each two of them. A path of n new nodes has at most the sum of all taken nodes / n + the target's score per new
-    node: where this can't reach the best path found, the wider search over all edges is not needed, else it goes to the largest such n.
+    nodes or fewer. First come paths with one new node at most between each two of the taken nodes and the target. Where a
+    bound tells that more new nodes in a row can win, rounds over the arcs in reach follow, up to a number of new nodes that grows.
     """
+    allowed = _allowed(steps, taken, target, score)
+    arcs, held = _links(allowed, sorted(taken | {target}), max(most // 2, 1))
+    held[source] = value
+    best, done = _best(_states(arcs, source, value, most, most), target), 0
+    while limit := _limit(arcs, held, taken, source, target, score, best and best[0], done, most):
+        done = min(limit, done + 2 if done else 3)
+        found = _wide_path(steps, taken, source, value, target, score, most, done, wide)
+        best = max((x for x in (best, found) if x), default=None)
+    return best and best[3]
+
+
+def _allowed(steps: DataFrame, taken: set[int], target: int, score: float) -> DataFrame:
     known = F.col("dst").isin(sorted(taken))
     allowed = steps.where(known | (F.col("value") < score) | ((F.col("value") == score) & (F.col("dst") <= target)))
-    allowed = allowed.select("src", "dst", F.col("value").alias("gain"), F.when(known, 0).otherwise(1).alias("fresh"))
-    arcs, held = _links(allowed, sorted(taken | {target}))
-    best = _best(_states(arcs, source, value, most, LOCAL), target)
-    held[source] = value
-    whole, limit = sum(held.get(n, 0.0) for n in taken), most
-    if best:
-        limit = max((n for n in range(1, most + 1) if (whole / n + score) * (1 + 1e-9) >= best[0]), default=0)
-    if limit <= LOCAL:
-        return best[3]
+    return allowed.select("src", "dst", F.col("value").alias("gain"), F.when(known, 0).otherwise(1).alias("fresh"))
+
+
+def _limit(
+    arcs: dict[int, list[tuple[int, float, int]]], held: dict[int, float], taken: set[int], source: int, target: int, score: float, best: float | None, done: int, most: int
+) -> int:
+    """The most new nodes, above ``done``, of a path that may reach the best score per new node with two or more new nodes in a row; else 0.
+
+    Going on to a taken node needs no new node if another one is its neighbour, one if they share a neighbour, else two. With two
+    in a row on the way to one of them, or to the target, the others must do with the rest of the new nodes.
+    """
+    if best is None:
+        return most if done < most else 0
+    fresh = int(target not in taken)
+    near = taken | {target}
+    enter = {n: 2 for n in near}
+    for src, found in arcs.items():
+        for dst, _, _ in found:
+            if src != target and dst in near:
+                enter[dst] = min(enter[dst], 0 if src in near else 1)
+    others = taken - {source, target}
+
+    def worth(left: set[int], room: int) -> float:
+        sums = [0.0] * (room + 1)
+        for n in left:
+            for k in range(room, enter[n] - 1, -1):
+                sums[k] = max(sums[k], sums[k - enter[n]] + held.get(n, 0.0))
+        return sums[room]
+
+    for n in range(most, done, -1):
+        mids = n - fresh
+        ways = [worth(others, mids - 2)] if mids >= 2 else []
+        if mids - 2 >= enter[target]:
+            ways += [held.get(z, 0.0) + worth(others - {z}, mids - 2 - enter[target]) for z in others]
+        if ways and (held[source] + max(ways) + score * (mids + 1)) / n * (1 + 1e-9) >= best:
+            return n
+    return 0
+
+
+def _wide_path(
+    steps: DataFrame, taken: set[int], source: int, value: float, target: int, score: float, most: int, limit: int, wide: Callable[[DataFrame], DataFrame] | None
+) -> tuple | None:
+    """The best path of up to ``limit`` new nodes, over all arcs that so many new nodes in a row can reach from both sides."""
+    spark = steps.sparkSession
+    row = limit - (target not in taken)
+    nodes = spark.createDataFrame([(n,) for n in sorted(taken | {target})], "node long")
+    for _ in range(row // 2 if wide else 0):
+        reached = _allowed(steps, taken, target, score).select(F.col("dst").alias("node"))
+        nodes = saved(nodes.union(reached).distinct())
+        steps = saved(wide(nodes))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    allowed = saved(_allowed(steps, taken, target, score).repartition(parts, "src").sortWithinPartitions("src"))
     # A state of all the new nodes that may be matters at the target only, if that is new.
     last = limit if target in taken else F.when(F.col("dst") == target, limit).otherwise(limit - 1)
-    spark = steps.sparkSession
     state = spark.createDataFrame([(source, 0, -value, True, source, 0, [source])], "node long, new int, cost double, moved boolean, via long, via_new int, path array<long>")
     for _ in range(most):
         reached = (
@@ -187,8 +264,7 @@ def _key_path(steps: DataFrame, taken: set[int], source: int, value: float, targ
         state, moved = saved_rows(found, "moved")
         if not moved:
             break
-    best = _best({(target, r["new"]): (r["cost"], list(r["path"])) for r in state.where(F.col("node") == target).collect()}, target)
-    return best and best[3]
+    return _best({(target, r["new"]): (r["cost"], list(r["path"])) for r in state.where(F.col("node") == target).collect()}, target)
 
 
 def _best(states: dict[tuple[int, int], tuple], target: int) -> tuple | None:
@@ -196,15 +272,16 @@ def _best(states: dict[tuple[int, int], tuple], target: int) -> tuple | None:
     return max(((-cost / max(new, 1), -len(path), -new, path) for (node, new), (cost, *_, path) in states.items() if node == target), default=None)
 
 
-def _links(allowed: DataFrame, near: list[int]) -> tuple[dict[int, list[tuple[int, float, int]]], dict[int, float]]:
-    """Arcs (dst, gain, fresh) by source between the nodes ``near``, straight and by the best other node between each two; and the nodes' values."""
+def _links(allowed: DataFrame, near: list[int], mids: int) -> tuple[dict[int, list[tuple[int, float, int]]], dict[int, float]]:
+    """Arcs (dst, gain, fresh) by source between the nodes ``near``, straight and by the best ``mids`` other nodes between each two; and the nodes' values."""
     out = allowed.where(F.col("src").isin(near))
     straight = out.where(F.col("dst").isin(near)).select("src", F.lit(None).cast("long").alias("mid"), F.lit(None).cast("double").alias("mid_gain"), "dst", "gain", "fresh")
     first = out.where(~F.col("dst").isin(near)).select("src", F.col("dst").alias("mid"), F.col("gain").alias("mid_gain"))
     second = allowed.where(F.col("dst").isin(near) & ~F.col("src").isin(near)).select(F.col("src").alias("mid"), "dst", "gain", "fresh")
-    between = first.join(second, "mid").where("src <> dst").groupBy("src", "dst", "gain", "fresh").agg(F.max_by("mid", F.struct("mid_gain", -F.col("mid"))).alias("mid"), F.max("mid_gain").alias("mid_gain"))
+    turn = F.row_number().over(Window.partitionBy("src", "dst").orderBy(F.desc("mid_gain"), "mid"))
+    between = first.join(second, "mid").where("src <> dst").withColumn("turn", turn).where(F.col("turn") <= mids)
     arcs, held = {}, {}
-    for r in straight.unionByName(between).collect():
+    for r in straight.unionByName(between.drop("turn")).collect():
         held[r["dst"]] = r["gain"]
         way = [(r["src"], r["dst"], r["gain"], r["fresh"])]
         if r["mid"] is not None:

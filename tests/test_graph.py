@@ -4,12 +4,13 @@ import random
 import time
 from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from graphmill.functions.text import last_ancestors, like_escaped, matches, normalized_literal, path_ids, split_terms
 from graphmill.model import GraphError, Graph, nid, node_id, parsed_id, resource_types, rid_of, rtid_of
-from graphmill.operators import category, closure, dag, infer, labels, search, setjoin, termindex, traverse, weights
+from graphmill.operators import category, closure, dag, infer, labels, search, setjoin, termindex, traverse, walks, weights
 
 NAMES = dict(zip("ABCDEFX", range(1, 8), strict=True))
 SUB = ["BA", "CA", "DB", "DC", "ED", "EA", "FE"]
@@ -289,6 +290,65 @@ def test_key_paths_without_wide_rounds(spark, monkeypatch):
     assert not rounds
 
 
+def test_walks_in_blocks(spark, monkeypatch):
+    # As by a dense matrix, whether an edge lies by its end of fewer edges or by itself; a start without edges keeps what restarts.
+    dice = random.Random(7)
+    rows = [(a, 1, b, dice.choice((1.0, 2.0, 0.5))) for a, b in {tuple(dice.sample(range(30), 2)) for _ in range(90)}] + [(0, 1, k, 1.0) for k in range(100, 160)]
+    weighted = spark.createDataFrame(rows, "src long, pid long, dst long, weight double")
+    starts = [0, 7, 29, 999]
+    matrix = np.zeros((1000, 1000))
+    for a, _, b, w in rows:
+        matrix[a, b] += w
+        matrix[b, a] += w
+    total = matrix.sum(axis=0)
+    matrix /= np.where(total > 0, total, 1)
+    score = start = np.eye(1000)[:, starts]
+    for _ in range(9):
+        score = 0.6 * matrix @ score + 0.4 * start
+    monkeypatch.setattr(walks, "LEAST", 20)
+    for name, value in (("HUBS", walks.HUBS), ("HUBS", 1), ("APART", 3)):
+        monkeypatch.setattr(walks, name, value)
+        found = weights.random_walks(weights.transition(weighted), spark.createDataFrame([(n,) for n in starts], "node long"), rounds=9)
+        got = {(r["query"], r["node"]): r["score"] for r in found.collect()}
+        assert set(got) == {(q, n) for k, q in enumerate(starts) for n in np.flatnonzero(score[:, k] > 0)}
+        assert all(abs(v - score[n, starts.index(q)]) < 1e-12 for (q, n), v in got.items())
+
+
+def test_only_nodes_of_several_blocks_move(spark, monkeypatch):
+    # 800 edges of 4 hubs: a leaf has its edges in one block, so that a round sends a score a leaf, not one an edge.
+    rows = [(h, 1, 100 + n, 1.0) for h in range(4) for n in range(200)]
+    monkeypatch.setattr(walks, "LEAST", 100)
+    blocks = walks.Blocks(weights.transition(spark.createDataFrame(rows, "src long, pid long, dst long, weight double")), [0])
+    assert len(blocks.ids) == 8
+    sent = sum(len(r["data"]) for r in blocks.moved(blocks.first([0]), [0], 0.6, False).collect()) // 8
+    assert 204 <= sent <= 200 + 4 * 8
+
+
+def test_key_paths_by_way_of_query_nodes(spark, monkeypatch):
+    # The best path leads through all query nodes with a node between each two: no round over all edges is needed.
+    value = {0: 1.0, 1: 1.0, 2: 1.0, 10: 1e-4, 11: 1e-4, 12: 1e-4, 13: 1e-3} | {20 + k: 1e-6 for k in range(30)}
+    ties = [(0, 10), (10, 1), (1, 11), (11, 2), (2, 12), (12, 13)] + [(20 + k, 20 + k + 1) for k in range(29)] + [(0, 20), (13, 49)]
+    both = ties + [(b, a) for a, b in ties]
+    steps = spark.createDataFrame([(a, b, value[b]) for a, b in both], "src long, dst long, value double")
+    rounds, saved_rows = [], weights.saved_rows
+    monkeypatch.setattr(weights, "saved_rows", lambda *given: rounds.append(1) or saved_rows(*given))
+    assert weights._key_path(steps, {0, 1, 2}, 0, 1.0, 13, 1e-3, 10) == [0, 10, 1, 11, 2, 12, 13]
+    assert not rounds
+
+
+def test_key_paths_with_new_nodes_in_a_row(spark):
+    # Arcs beyond those of the taken nodes are read where paths with more new nodes in a row can win.
+    value = {0: 1.0, 1: 1.0, 9: 0.3} | {k: 0.2 for k in (3, 4, 5, 6)}
+    ties = [(0, 3), (3, 4), (4, 5), (5, 9), (1, 6), (6, 9)]
+    both = ties + [(b, a) for a, b in ties]
+    steps = spark.createDataFrame([(a, b, value[b]) for a, b in both], "src long, dst long, value double")
+    wide = lambda nodes: steps.join(nodes.toDF("src"), "src", "left_semi").union(steps.join(nodes.toDF("dst"), "dst", "left_semi").select("src", "dst", "value")).distinct()
+    near = steps.where("src in (0, 1, 9) or dst in (0, 1, 9)")
+    assert weights._key_path(near, {0, 1}, 0, 1.0, 9, 0.3, 10, wide) == [0, 3, 4, 5, 9]
+    assert weights._key_path(near, {0, 1}, 1, 1.0, 9, 0.3, 10, wide) == [1, 6, 9]
+    assert weights._key_path(near, {0, 1}, 0, 1.0, 9, 0.3, 3, wide) is None
+
+
 def test_edges_of_one_property_are_not_gathered(spark):
     g = make(spark, [(k, 1, 2, 1, 1) for k in range(2000)] + [(1, 1, 4, 2, 1)])
     g = replace(g, inverse_properties=spark.createDataFrame([(2, 7, 1)], "propertyid1 long, propertyid2 long, kbid int"))
