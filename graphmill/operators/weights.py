@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import saved, saved_rows
 from .closure import longest_depth
-from .walks import Blocks
+from .walks import HUBS, Blocks
 
 #: Weight of an edge of which nothing is known, and the free constant of the formula (fixed values).
 DEFAULT_WEIGHT, ALPHA = 0.0001, 0.0
@@ -119,7 +119,7 @@ def center_piece(
     scores = saved(joint_scores(random_walks(ties, queries, rounds=rounds), queries))
     sources = sorted(r["node"] for r in queries.select("node").distinct().collect())
     value = {s: 0.0 for s in sources} | {r["node"]: r["score"] for r in scores.where(F.col("node").isin(sources)).collect()}
-    wide = lambda nodes: _around(ties, scores, nodes)
+    wide = lambda nodes, within=False: _around(ties, scores, nodes, within)
     taken, near, covered = set(sources), None, set()
     for ahead in _targets(scores, sources):
         for k, (target, score) in enumerate(ahead):
@@ -148,16 +148,19 @@ def _targets(scores: DataFrame, sources: list[int]) -> Iterator[list[tuple[int,
         last = (F.col("score") < score) | ((F.col("score") == score) & (F.col("node") > node))
 
 
-def _around(ties: DataFrame, scores: DataFrame, nodes: set[int] | DataFrame) -> DataFrame:
-    """(src, dst, value): the arcs of both directions with an end among the nodes, and the score of the node they lead to.
+def _around(ties: DataFrame, scores: DataFrame, nodes: set[int] | DataFrame, within: bool = False) -> DataFrame:
+    """(src, dst, value): the arcs of both directions with an end among the nodes (``within``: both ends), and the score of the node they lead to.
 
     A node that a query node misses scores 0, and may still lie on a path.
     """
-    if isinstance(nodes, set):
-        of = lambda end: ties.where(F.col(end).isin(sorted(nodes)))
-    else:
-        of = lambda end: ties.join(nodes.select(F.col("node").alias(end)), end, "left_semi")
-    out = of("src").select("src", "dst").union(of("dst").select("src", "dst")).distinct()
+
+    def of(arcs: DataFrame, end: str) -> DataFrame:
+        if isinstance(nodes, set):
+            return arcs.where(F.col(end).isin(sorted(nodes)))
+        return arcs.join(nodes.withColumnRenamed("node", end), end, "left_semi").select("src", "dst")
+
+    ties = ties.select("src", "dst")
+    out = of(of(ties, "src"), "dst") if within else of(ties, "src").union(of(ties, "dst")).distinct()
     both = out.union(out.select("dst", "src"))
     return both.join(scores.toDF("dst", "value"), "dst", "left").select("src", "dst", F.coalesce("value", F.lit(0.0)).alias("value"))
 
@@ -171,11 +174,11 @@ def _between(arcs: DataFrame, nodes: set[int]) -> set[int]:
 
 
 def _key_path(
-    steps: DataFrame, taken: set[int], source: int, value: float, target: int, score: float, most: int, wide: Callable[[DataFrame], DataFrame] | None = None
+    steps: DataFrame, taken: set[int], source: int, value: float, target: int, score: float, most: int, wide: Callable[[DataFrame, bool], DataFrame] | None = None
 ) -> list[int] | None:
     """The path from source to target, through nodes of rising closeness to the target's score order, with the most score per new node.
 
-    ``steps`` holds all arcs of the taken nodes and the target; ``wide`` gives those of other nodes, if there are more.
+    ``steps`` holds all arcs of the taken nodes and the target; ``wide`` gives those of other nodes, or between them, if there are more.
     A state (node, new nodes) keeps its largest sum, and of equal ones the first found; it comes from states of as many new
     nodes or fewer. First come paths with one new node at most between each two of the taken nodes and the target. Where a
     bound tells that more new nodes in a row can win, rounds over the arcs in reach follow, up to a number of new nodes that grows.
@@ -234,16 +237,18 @@ def _limit(
 
 
 def _wide_path(
-    steps: DataFrame, taken: set[int], source: int, value: float, target: int, score: float, most: int, limit: int, wide: Callable[[DataFrame], DataFrame] | None
+    steps: DataFrame, taken: set[int], source: int, value: float, target: int, score: float, most: int, limit: int, wide: Callable[[DataFrame, bool], DataFrame] | None
 ) -> tuple | None:
     """The best path of up to ``limit`` new nodes, over all arcs that so many new nodes in a row can reach from both sides."""
+    # The k-th of so many new nodes in a row is k arcs at most from the taken node before it, or from the one behind it.
     spark = steps.sparkSession
     row = limit - (target not in taken)
-    nodes = spark.createDataFrame([(n,) for n in sorted(taken | {target})], "node long")
-    for _ in range(row // 2 if wide else 0):
-        reached = _allowed(steps, taken, target, score).select(F.col("dst").alias("node"))
-        nodes = saved(nodes.union(reached).distinct())
-        steps = saved(wide(nodes))
+    nodes = F.broadcast(spark.createDataFrame([(n,) for n in sorted(taken | {target})], "node long"))
+    for k in range(1, row // 2 + 1 if wide else 0):
+        reached = _allowed(steps, taken, target, score).join(nodes.toDF("src"), "src", "left_semi").select(F.col("dst").alias("node"))
+        nodes, n_nodes = saved_rows(nodes.union(reached).distinct())
+        nodes = F.broadcast(nodes) if n_nodes <= HUBS else nodes
+        steps = saved(wide(nodes, 2 * k == row))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     allowed = saved(_allowed(steps, taken, target, score).repartition(parts, "src").sortWithinPartitions("src"))
     # A state of all the new nodes that may be matters at the target only, if that is new.

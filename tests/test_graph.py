@@ -342,11 +342,14 @@ def test_key_paths_with_new_nodes_in_a_row(spark):
     ties = [(0, 3), (3, 4), (4, 5), (5, 9), (1, 6), (6, 9)]
     both = ties + [(b, a) for a, b in ties]
     steps = spark.createDataFrame([(a, b, value[b]) for a, b in both], "src long, dst long, value double")
-    wide = lambda nodes: steps.join(nodes.toDF("src"), "src", "left_semi").union(steps.join(nodes.toDF("dst"), "dst", "left_semi").select("src", "dst", "value")).distinct()
+    scores = spark.createDataFrame(list(value.items()), "node long, score double")
+    wide = lambda nodes, within: weights._around(steps.where("src < dst"), scores, nodes, within)
     near = steps.where("src in (0, 1, 9) or dst in (0, 1, 9)")
     assert weights._key_path(near, {0, 1}, 0, 1.0, 9, 0.3, 10, wide) == [0, 3, 4, 5, 9]
     assert weights._key_path(near, {0, 1}, 1, 1.0, 9, 0.3, 10, wide) == [1, 6, 9]
     assert weights._key_path(near, {0, 1}, 0, 1.0, 9, 0.3, 3, wide) is None
+    assert weights._wide_path(near, {0, 1}, 0, 1.0, 9, 0.3, 10, 4, wide)[3] == [0, 3, 4, 5, 9]
+    assert weights._wide_path(near, {0, 1}, 0, 1.0, 9, 0.3, 10, 3, wide) is None
 
 
 def test_edges_of_one_property_are_not_gathered(spark):
